@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_langid
 from .mixing import OP8_SQL, op8_mixing
+from .near_dups import op6_near_dups
+from .neighbours import op2_neighbours
+from .packing import op3_packing
 from .quality import op1_quality
+from .rollups import OP7_SQL, op7_rollups
 from .sharding import op5_sharding
 from .urls import op10_urls
 
@@ -15,11 +20,16 @@ from .urls import op10_urls
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_neighbours": op2_neighbours,
+        "op3_packing": op3_packing,
         "op5_sharding": op5_sharding,
+        "op6_near_dups": op6_near_dups,
+        "op7_rollups": op7_rollups,
         "op8_mixing": op8_mixing,
+        "op9_langid": op9_langid,
         "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL}
