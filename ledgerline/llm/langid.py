@@ -183,6 +183,16 @@ def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ()) -
     return chosen.mapInArrow(judged, f"{schema}, lang_pred string, score double, phrase_rate double")
 
 
+def in_known_language(docs: DataFrame, most_phrases: float = 0.6) -> DataFrame:
+    """The rows of docs whose text is in a language that docs labels: und goes, and so does text that every language
+    needs more than most_phrases phrases a byte for. Without any label nothing can be judged and all rows stay."""
+    if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
+        return docs
+    other = tuple(c for c in docs.columns if c != "doc_id")
+    found = identify(docs, docs, keep=other)
+    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases)).select(*docs.columns)
+
+
 def held_out(doc_id) -> "F.Column":
     """The fifth of rows that nothing is learned from: crc32 of the id as text, modulo 5; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

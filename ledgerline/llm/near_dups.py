@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, settle
@@ -182,9 +182,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows equal in doc_id and text one stays."""
-    keys = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    hashed = docs.withColumn("_x", F.xxhash64("text"))
-    return hashed.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left_semi").drop("_x")
+    on = {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_z": F.col("doc_id").isNull()}
+    keys = near_duplicates(docs, percent).where("kept").withColumns(on).select("_k", "_z", F.col("h").alias("_x")).distinct()
+    kept = docs.withColumns({**on, "_x": F.xxhash64("text")}).join(keys, ["_k", "_z", "_x"], "left_semi")
+    # the window needs the partitions and the order that the join has made
+    one = F.row_number().over(Window.partitionBy("_k", "_z", "_x").orderBy("_x"))
+    return kept.withColumn("_one", one).where("_one = 1").select(*docs.columns)
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from .packing import op3_packing
 from .quality import op1_quality
 from .rollups import OP7_SQL, op7_rollups
 from .sharding import op5_sharding
+from .suffixes import op4_suffixes
 from .urls import op10_urls
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_neighbours": op2_neighbours,
         "op3_packing": op3_packing,
+        "op4_suffixes": op4_suffixes,
         "op5_sharding": op5_sharding,
         "op6_near_dups": op6_near_dups,
         "op7_rollups": op7_rollups,
