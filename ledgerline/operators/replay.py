@@ -400,6 +400,11 @@ def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     return stitch(parts, rows, options)
 
 
+def _took(ms):
+    """A duration that is never negative; -1 if it is not known."""
+    return F.when(ms.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), ms)).cast("bigint")
+
+
 def stitch(parts: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
     """One replay out of its segments' replays."""
     feed = Window.partitionBy(*KEY).orderBy("segment")
@@ -430,11 +435,11 @@ def stitch(parts: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
     moved = inner.withColumns(
         {
             "n": F.when(view, F.col("n") + F.col("gen0")).otherwise(F.col("n") + F.col("id0") + F.col("lost")),
-            "duration_ms": F.when(F.col("duration_ms") == -1, F.coalesce(F.greatest(F.lit(0), F.col("next_bind_ms") - F.col("at_ms")), F.lit(-1))).otherwise(F.col("duration_ms")),
+            "duration_ms": F.when(F.col("duration_ms") == -1, _took(F.col("next_bind_ms") - F.col("at_ms"))).otherwise(F.col("duration_ms")),
         }
     ).select(*parts.columns)
     nothing = F.lit(None).cast(LEVELS)
-    took = F.when(F.col("bound"), F.lit(0)).otherwise(F.coalesce(F.greatest(F.lit(0), F.col("next_bind_ms") - F.col("head_ms")), F.lit(-1)))
+    took = F.when(F.col("bound"), F.lit(0)).otherwise(_took(F.col("next_bind_ms") - F.col("head_ms")))
     none = F.lit(None).cast("bigint")
     lost = offsets.where("lost = 1").select(*KEY, "segment", F.lit("fault").alias("what"), (F.col("id0") + 1).alias("n"), F.col("head").alias("arrival"), none.alias("last_seq"), nothing.alias("bids"), nothing.alias("asks"), F.lit("disconnect").alias("kind"), F.col("head_ms").alias("at_ms"), F.lit(0).cast("bigint").alias("expected_seq"), F.lit(0).cast("bigint").alias("got_seq"), F.lit("source disconnected").alias("reason"), took.cast("bigint").alias("duration_ms"), F.lit(None).cast("array<bigint>").alias("counters"))
     sums = [F.sum(at[c] + (F.col("lost") if c in ("resyncs", "disconnects") else F.lit(0))).alias(c) for c in COUNTER_NAMES]
@@ -487,7 +492,7 @@ def recovery(fault_rows: DataFrame, binds: DataFrame) -> DataFrame:
     b = binds.select(*KEY, "arrival", "at_ms", F.lit(None).cast("bigint").alias("id"), F.lit(1).alias("_b"))
     ahead = Window.partitionBy(*KEY).orderBy("arrival", "_b").rowsBetween(1, Window.unboundedFollowing)
     out = f.unionByName(b).withColumn("_n", F.first(F.when(F.col("_b") == 1, F.col("at_ms")), ignorenulls=True).over(ahead)).where("_b = 0")
-    return out.select(*KEY, "id", F.coalesce(F.greatest(F.lit(0), F.col("_n") - F.col("at_ms")), F.lit(-1)).alias("duration_ms"))
+    return out.select(*KEY, "id", _took(F.col("_n") - F.col("at_ms")).alias("duration_ms"))
 
 
 def newest_faults(fault_rows: DataFrame, n: int = 16) -> DataFrame:

@@ -750,7 +750,7 @@ def e4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e7_recovery", f"""with {EV}, {FAULTS}, bd as (select symbol, arrival, received_ns // 1000000 at_ms from ev where event_id % 11 = 0), j as (select f.venue, f.symbol, f.id, f.at_ms, min(b.arrival) ba from fl f left join bd b on b.symbol = f.symbol and b.arrival >= f.arrival group by all)
-select j.venue, j.symbol, id, coalesce(greatest(0, b.at_ms - j.at_ms), -1) duration_ms from j left join bd b on b.symbol = j.symbol and b.arrival = j.ba""")
+select j.venue, j.symbol, id, case when b.at_ms is null then -1 else greatest(0, b.at_ms - j.at_ms) end duration_ms from j left join bd b on b.symbol = j.symbol and b.arrival = j.ba""")
 def e7(spark: SparkSession, d: str) -> DataFrame:
     binds = level_rows(spark, d).where("event_id % 11 = 0").select(*KEY, "arrival", F.expr("received_ns div 1000000").alias("at_ms"))
     return R.recovery(fault_log(spark, d), binds)
