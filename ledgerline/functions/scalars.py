@@ -92,7 +92,9 @@ def parse_levels(raw: Column, price_scale: Column, size_scale: Column) -> Column
     """[[price, size, ...], ...] strings as integer levels; null if any level is short or malformed. Missing: no levels."""
     raw = F.coalesce(raw, F.array().cast("array<array<string>>"))
     levels = F.transform(raw, lambda x: F.struct(parse_scaled(F.get(x, F.lit(0)), price_scale).alias("price"), parse_scaled(F.get(x, F.lit(1)), size_scale).alias("size")))
-    return F.when(F.forall(levels, lambda x: x["price"].isNotNull() & x["size"].isNotNull()), levels)
+    fine = lambda l: F.forall(l, lambda x: x["price"].isNotNull() & x["size"].isNotNull())
+    # bound as a lambda's argument, the levels are parsed once for both uses
+    return F.transform(F.array(levels), lambda l: F.when(fine(l), l))[0]
 
 
 def levels_as_strings(levels: Column, price_scale: Column | int, size_scale: Column | int) -> Column:

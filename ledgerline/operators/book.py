@@ -14,18 +14,21 @@ from ..schema import KEY, LEVELS
 CHECKSUM_DEPTH = 10
 
 
+def _entries() -> Column:
+    """All levels of a row in the order they are written, bids first: one array, so that a row is read once."""
+    side = lambda name, n: F.transform(F.coalesce(F.col(f"{name}s"), F.array().cast(LEVELS)), lambda x, i: F.struct(F.lit(name).alias("side"), F.lit(n).alias("_s"), i.alias("pos"), x["price"].alias("price"), x["size"].alias("size")))
+    return F.explode(F.concat(side("bid", 0), side("ask", 1))).alias("l")
+
+
 def snapshot_levels(snapshots: DataFrame) -> DataFrame:
     """Rows of a snapshot's levels in list order."""
-    keep = [*KEY, "snap_ord", "last_update_id"]
-    side = lambda name: snapshots.select(*keep, F.lit(name).alias("side"), F.posexplode(f"{name}s").alias("pos", "l"))
-    return side("bid").unionByName(side("ask")).select(*keep, "side", "pos", "l.price", "l.size")
+    return snapshots.select(*KEY, "snap_ord", "last_update_id", _entries()).select(*KEY, "snap_ord", "last_update_id", "l.side", "l.pos", "l.price", "l.size")
 
 
 def delta_levels(deltas: DataFrame) -> DataFrame:
     """Rows of deltas' levels; ord is the struct of arrival, bids before asks, and place in the list."""
-    side = lambda name, n: deltas.select(*KEY, "arrival", F.lit(n).alias("_s"), F.lit(name).alias("side"), F.posexplode(f"{name}s").alias("pos", "l"))
-    both = side("bid", 0).unionByName(side("ask", 1))
-    return both.select(*KEY, "arrival", F.struct("arrival", "_s", "pos").alias("ord"), "side", "l.price", "l.size")
+    rows = deltas.select(*KEY, "arrival", _entries())
+    return rows.select(*KEY, "arrival", F.struct("arrival", "l._s", "l.pos").alias("ord"), "l.side", "l.price", "l.size")
 
 
 def build(snapshots: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def raw_crossed(bids: Levels, asks: Levels) -> bool:
     return bool(bids and asks and max(p for p, _ in bids) >= min(p for p, _ in asks))
 
 
-@dataclass
+@dataclass(slots=True)
 class Row:
     """An event, a snapshot or a truth row of a feed."""
 

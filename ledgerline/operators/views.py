@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as S
 from ..schema import KEY
@@ -156,7 +157,8 @@ def sessions(mids: DataFrame) -> DataFrame:
     """session of each mid (KEY, ord, t_ms, mid, optional link): new where time goes back, the scale changes or the
     link was not open before."""
     w = Window.partitionBy(*KEY).orderBy("ord")
-    broken = (F.col("t_ms") < F.lag("t_ms").over(w)) | (S.scale_of(F.col("mid")) != S.scale_of(F.lag("mid").over(w)))
+    mid_before = F.lag("mid").over(w)
+    broken = (F.col("t_ms") < F.lag("t_ms").over(w)) | (mid_before.isNotNull() & (S.scale_of(F.col("mid")) != S.scale_of(mid_before)))
     if "link_breaks" in mids.columns:
         broken = broken | (F.col("link_breaks") > F.lag("link_breaks").over(w))
     return mids.withColumn("session", F.sum(F.coalesce(broken, F.lit(False)).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -164,7 +166,7 @@ def sessions(mids: DataFrame) -> DataFrame:
 
 def slots(rows: DataFrame, gap: int, keys: list[str]) -> DataFrame:
     """slot_ms of each row (t_ms, ord) of a group: the time of the greedy slot that it falls into."""
-    schema = rows.schema.add("slot_ms", "bigint")
+    schema = StructType([*rows.schema.fields, StructField("slot_ms", LongType())])
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by([("ord", "ascending")])
@@ -216,7 +218,7 @@ def rate_limited(rows: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
 def throttled(rows: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
     """What a display shows that changes once in gap_ms at most: a slot's first value at once, and its last one, if it
     came later, when the slot ends (that starts the next slot)."""
-    schema = rows.schema.add("shown_ms", "bigint")
+    schema = StructType([*rows.schema.fields, StructField("shown_ms", LongType())])
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by([("ord", "ascending")])

@@ -19,8 +19,8 @@ _KRAKEN_LEVEL = "array<struct<price:decimal(38,18),qty:decimal(38,18)>>"
 _KRAKEN = f"channel string, type string, data array<struct<symbol:string,bids:{_KRAKEN_LEVEL},asks:{_KRAKEN_LEVEL},checksum:bigint>>, {_BAD}"
 #: Fixed value: number forms that a level must not have: signs, exponents, more than 18 digits that count.
 KRAKEN_GUARD = r'"(price|qty)"\s*:\s*"?(-|[0-9.]+[eE]|[0-9]+\.[0-9]{18}[0-9]*[1-9])'
-#: Fixed value: a level that starts by a number instead of a string, in a bids or asks list of strings.
-UNQUOTED_LEVEL = r'"[ab]"\s*:\s*\[(\s*\[\s*("[^"]*"\s*,?\s*)*\]\s*,?)*\s*\[\s*("[^"]*"\s*,\s*)?-?[0-9]'
+#: A number where a frame of string levels has a price, a size or a further element.
+UNQUOTED_LEVEL = r'\[\s*-?[0-9]|"\s*,\s*-?[0-9]'
 
 
 def _sequence(raw: Column, path: str) -> Column:
