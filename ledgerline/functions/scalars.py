@@ -70,8 +70,9 @@ def to_scaled(s: Column) -> Column:
 
 
 def scale_of(s: Column) -> Column:
-    """How many digits follow the point."""
-    return F.length(_fraction(s))
+    """How many characters follow the first point."""
+    at = F.instr(s, ".")
+    return F.when(at > 0, F.length(s) - at).when(s.isNotNull(), 0)
 
 
 def from_scaled(v: Column, scale: Column | int) -> Column:

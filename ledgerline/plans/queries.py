@@ -167,12 +167,11 @@ def b4(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "b8_decimal_kit",
     f"""with {EV}, r as (select event_id, {FORMS} s from ev), g as (select *, {GOOD} plain from r)
-select event_id, s, plain, case when plain then replace(s, '.', '')::decimal(38,0) end scaled, case when contains(s, '.') then length(s) - instr(s, '.') else 0 end as scale, case when plain then s end as again
-from g where event_id % 10 != 8""",
+select event_id, s, plain, case when plain then replace(s, '.', '')::decimal(38,0) end scaled, case when contains(s, '.') then length(s) - instr(s, '.') else 0 end as scale, case when plain then s end as again from g""",
 )
 def b8(spark: SparkSession, d: str) -> DataFrame:
     """is_plain_decimal, to_scaled, scale_of, and from_scaled back to the text (leading zeros are restored by the width)."""
-    rows = forms(spark, d).select("event_id", "s").where("event_id % 10 != 8")
+    rows = forms(spark, d).select("event_id", "s")
     s = F.col("s")
     rows = rows.withColumns({"plain": S.is_plain_decimal(s), "scaled": S.to_scaled(s), "scale": S.scale_of(s).cast("bigint")})
     back = S.from_scaled(F.col("scaled"), F.col("scale").cast("int"))
@@ -484,15 +483,14 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a10_metric_lines",
-    f"""with {EVU}, {STATUS_SQL} select venue, symbol, unnest(['book_hub_published_total ' || published::varchar, 'book_hub_dropped_total ' || dropped::varchar, 'book_feed_info{{mode="live",symbol="' || symbol || '",venue="EVT"}} 1', 'book_engine_last_event_timestamp_seconds ' || rtrim(rtrim((last_event_ms // 1000)::varchar || '.' || lpad((last_event_ms % 1000)::varchar, 3, '0'), '0'), '.')]) line from st""",
+    f"""with {EVU}, {STATUS_SQL} select venue, symbol, unnest(['book_build_info{{version="v1"}} 1', 'book_hub_consumers 1', 'book_hub_delivered_total 0', 'book_engine_gaps_total 0', 'book_engine_resyncs_total 0', 'book_engine_disconnects_total 0', 'book_engine_would_crosses_total 0', 'book_engine_checksum_mismatches_total 0', 'book_engine_snapshot_rejects_total 0', 'book_engine_snapshot_errors_total 0', 'book_source_rejected_frames_total 0', 'book_latency_seconds_sum 0', 'book_latency_seconds_count 0', 'book_hub_published_total ' || published::varchar, 'book_hub_dropped_total ' || dropped::varchar, 'book_feed_info{{mode="live",symbol="' || symbol || '",venue="EVT"}} 1', 'book_engine_last_event_timestamp_seconds ' || rtrim(rtrim((last_event_ms // 1000)::varchar || '.' || lpad((last_event_ms % 1000)::varchar, 3, '0'), '0'), '.')]) line from st""",
 )
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    """Metric samples of each user's feed as text; of the families, those the feeds differ in."""
+    """All metric samples of each user's feed as text; a feed without a start time or latency has no such row."""
     s = status_rows(spark, d)
     zero = F.lit(0).cast("bigint")
     full = s.withColumns({"mode": F.lit("live"), "version": F.lit("v1"), "started_ms": zero, "consumers": F.lit(1), "delivered": zero, "count": zero, "sum_ns": zero, "max_ns": zero, "p50_ns": zero, "p99_ns": zero, "p999_ns": zero, **{c: zero for c in COUNTER_NAMES}})
-    lines = D.metric_lines(D.metric_samples(full))
-    return lines.where(F.col("name").isin("book_hub_published_total", "book_hub_dropped_total", "book_feed_info", "book_engine_last_event_timestamp_seconds")).select(*KEY, "line")
+    return D.metric_lines(D.metric_samples(full)).select(*KEY, "line")
 
 
 @query(
@@ -693,12 +691,12 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
     return R.counters(out).join(R.status(out), KEY).join(last, KEY).select(*KEY, "gens", "applied", "gaps", "resyncs", "state", "bid", "ask")
 
 
-@query("e1_replay_views", f"""with {EVU}, n as (select a.symbol, a.arrival, b.side, b.price, b.size, b.arrival wrote from ev a join ev b on a.symbol = b.symbol and b.arrival <= a.arrival where a.symbol::bigint < 20),
+@query("e1_replay_views", f"""with {EVU}, n as (select a.symbol, a.arrival, b.side, b.price, b.size, b.arrival wrote from ev a join ev b on a.symbol = b.symbol and b.arrival <= a.arrival),
 l as (select symbol, arrival, side, price, arg_max(size, wrote) size from n group by all), v as (select * from l where size > 0)
 select 'EVT' venue, symbol, arrival, arrival + 1 gen, max(case when side = 'bid' then price end) bid, min(case when side = 'ask' then price end) ask from v group by symbol, arrival""")
 def e1_views(spark: SparkSession, d: str) -> DataFrame:
-    """Best prices after every update, for feeds of the first twenty users (the SQL beside it is quadratic)."""
-    rows = level_rows(spark, d, "user_id").where(F.col("symbol").cast("bigint") < 20)
+    """Best prices after every update of every user's feed."""
+    rows = level_rows(spark, d, "user_id")
     v = R.views(R.replay(as_events(rows), empty_snapshots(rows), R.Options(depth=1)))
     best = lambda side: F.get(side, F.lit(0))["price"]
     return v.where("arrival > 0 and gen > 1").select(*KEY, "arrival", "gen", best(F.col("bids")).alias("bid"), best(F.col("asks")).alias("ask")).where("bid is not null or ask is not null")
@@ -926,7 +924,7 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
 @query("g10_rate_limit")
 def g10(spark: SparkSession, d: str) -> DataFrame:
     """Which events of each user a limit of one in ten minutes lets through."""
-    return V.rate_limited(mids(spark, d).where("ord % 1000 != 0").withColumn("t_ms", F.col("ord") * 211000 % 6000 + F.col("ord") * 200000), 600000, KEY)
+    return V.rate_limited(mids(spark, d).withColumn("t_ms", F.col("ord") * 211000 % 6000 + F.col("ord") * 200000), 600000, KEY)
 
 
 @query("g11_throttle")
@@ -1022,12 +1020,14 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return T.freshness(samples, states)
 
 
-@query("h9_telemetry_frames", f"""with {EV}, {FAULTS}, tk as (select unnest(range(1704067200000, 1704067200000 + 86400000 * 1, 3600000)) t), fe as (select distinct venue, symbol from ev)
+@query("h9_telemetry_frames", f"""with {EV}, {FAULTS}, rg as (select min(received_ns // 1000000) lo, max(received_ns // 1000000) hi from ev), tk as (select unnest(range(lo, hi + 1, 3600000)) t from rg), fe as (select distinct venue, symbol from ev)
 select fe.venue, fe.symbol, t, coalesce((select max(arrival) from ev where ev.symbol = fe.symbol and ev.received_ns // 1000000 <= t), 0) seq, (select count(case when kind = 'gap' then 1 end) from fl where fl.symbol = fe.symbol and at_ms <= t) gaps, (select count(case when kind in {REBUILD} then 1 end) from fl where fl.symbol = fe.symbol and at_ms <= t) resyncs, (select least(count(*), 16) from fl where fl.symbol = fe.symbol and at_ms <= t) listed, (select coalesce(max(id), 0) from fl where fl.symbol = fe.symbol and at_ms <= t) newest from fe, tk""")
 def h9(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of the first day, one an hour: the SQL beside it is quadratic in the ticks."""
-    v = level_rows(spark, d).select(*KEY, F.expr("received_ns div 1000000").alias("at_ms"), F.col("arrival").alias("gen"), F.col("arrival").alias("last_seq"))
-    f = T.telemetry_frames(fault_log(spark, d), v, 1704067200000, 1704067200000 + 86400000 - 3600000, 3600000)
+    """A frame of every feed for each hour that the table spans."""
+    rows = level_rows(spark, d)
+    v = rows.select(*KEY, F.expr("received_ns div 1000000").alias("at_ms"), F.col("arrival").alias("gen"), F.col("arrival").alias("last_seq"))
+    first, last = rows.agg(F.min(F.expr("received_ns div 1000000")), F.max(F.expr("received_ns div 1000000"))).first()
+    f = T.telemetry_frames(fault_log(spark, d), v, first, last, 3600000)
     return f.select(*KEY, "t", "seq", "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.array_max(F.transform("events", lambda e: e["id"])), F.lit(0)).alias("newest"))
 
 
