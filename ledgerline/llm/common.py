@@ -31,6 +31,11 @@ def group_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of a row as one struct `_row`, so that none of their names meets a working column's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint directory.
 
@@ -46,7 +51,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to a new table in the shared folder and read it back, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of settle() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def power_of_two(n: int, most: int) -> int:

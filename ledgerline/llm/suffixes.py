@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, settle
+from .common import discard, read, settle, whole_row
 from .textbytes import RangeHash, mix, split_batch, text_buffer
 
 LENGTH = 200
 GRAM = 32
-#: Runs of a task of the last pass; different runs of an anchor beyond which it is sorted row by row.
+#: Runs of a task of the last pass; different runs of an anchor that one task still sorts (their windows take about
+#: 150 MB), beyond which Spark sorts a row for each window.
 RUNS_PER_TASK = 2000
-WIDE = 2000
+WIDE = 20_000
 _POSITION_BITS = 24
 _SEGMENT = 1 << 23
 _U = np.uint64
@@ -139,7 +140,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = settle(find_runs(rows.select("doc_id", "h", "text"), length), "runs")
     flat = runs.select("doc_id", "h", F.inline(F.arrays_zip("key", "digest", "lo", "at", "hi")))
     counted = flat.groupBy("key").agg(F.count("*").alias("_n"), F.min("digest").alias("_a"), F.max("digest").alias("_b")).where("_n > 1")
-    hits = settle(flat.join(counted.select("key", (F.col("_a") != F.col("_b")).alias("differ")), "key"), "run-hits")
+    # a table of its own, so that the join deals out both sides and can split a hot anchor
+    counted = settle(counted.select("key", (F.col("_a") != F.col("_b")).alias("differ")), "run-keys")
+    hits = settle(flat.join(counted, "key"), "run-hits")
+    discard(runs, counted)
     done = hits.where("not differ").select("doc_id", "h", "lo", F.col("hi").alias("last"))
     open_ = hits.where("differ")
     kinds = open_.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "lo", "at", "hi")).alias("r"))
@@ -183,22 +187,25 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     many = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").select("w1", "w2")
     loose = windows.where("c = 1").join(many, ["w1", "w2"], "left_semi").select("doc_id", "h", "lo", F.col("lo").alias("last"))
     every = done.unionByName(twice).unionByName(narrow).unionByName(loose)
-    return every.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("start"), (F.col("last") + length).alias("end")))).alias("spans"))
+    spans = every.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("start"), (F.col("last") + length).alias("end")))).alias("spans"))
+    spans = settle(spans, "spans")
+    discard(hits, kinds, contexts)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_bytes, spans (maximal ranges of bytes that lie in a repeated window) kept (the other bytes) and rest (those as text where
-    something is cut, else null; a character that a cut splits goes with it).
+    """A row (n_bytes, spans, kept, rest, _row, text, doc_id) of every row of docs.
+
+    spans: maximal ranges of bytes that lie in a repeated window; kept: the other bytes; rest: those as text where
+    something is cut, else null (a character that a cut splits goes with it); _row: the columns of docs but for text.
 
     Judged on the input: every place of a repeated window is cut, its first included, within one text or across texts.
     Null text is empty; texts under `length` bytes have no window. Rows that repeat a doc_id and text repeat each other.
-    Rows without doc_id take part. All columns of docs stay.
+    Rows without doc_id take part. An empty table stays empty.
     """
-    rows = docs.withColumn("_x", F.xxhash64("text"))
-    plain = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_x").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(plain, length).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left")
-    joined = joined.drop("_d", "_h", "_x")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"), whole_row(docs, ("text",)))
+    spans = repeated_spans(rows.select("doc_id", "h", F.coalesce("text", F.lit("")).alias("text")), length).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").drop("_d", "_h", "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -226,7 +233,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     added = T.StructType.fromDDL("n_bytes long, spans array<struct<start:int,end:int>>, kept binary, rest string")
-    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *added.fields]))
+    return joined.mapInArrow(cut, T.StructType([*joined.drop("_spans").schema.fields, *added.fields]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -239,8 +246,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = cut.where(~some | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.when(some, F.col("rest")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(some, F.length("rest")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(some, F.length("rest")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def cut_digest(cut: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: An Arrow batch is worked on in blocks of about so many bytes.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 
@@ -56,7 +56,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64; kept for the next block."""
     if len(_powers.get("up", ())) < n:
-        m = max(n, 2 * BLOCK)
+        m = max(n, BLOCK + BLOCK // 4)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(m, base, np.uint64)
             steps[0] = 1
