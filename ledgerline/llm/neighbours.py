@@ -30,6 +30,8 @@ SAMPLE = 16_384
 CALIBRATION = 128
 TARGET = 0.98
 CHUNK = 256
+#: Scored entries that a task holds before it reduces them to each query's best.
+HELD = 400_000
 #: Centroids a half, at most: bounds the table of cells to CENTROIDS squared.
 CENTROIDS = 1024
 
@@ -153,7 +155,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARG
     queries = queries.withColumn("s", F.explode(F.sequence(F.lit(0), chunks_v - 1)))
     blocks = index.withColumn("s", F.pmod(F.xxhash64("uid"), chunks_v).cast("int")).groupBy("i", "s").agg(F.collect_list(F.struct("uid", "ids", "j", "e")).alias("vs_"))
 
+    def best_of(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        """The k + 1 best of each query (equal vectors are one entry)."""
+        every = pd.concat(frames).sort_values(["q", "score", "uid"], ascending=[True, False, True])
+        return every.groupby("q").head(k + 1)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
             for i, qs, vs in zip(pdf["i"], pdf["qs_"], pdf["vs_"]):
                 q, v = matrix([r["qe"] for r in qs], dim), matrix([r["e"] for r in vs], dim)
@@ -165,7 +173,15 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARG
                 a, b = np.repeat(np.arange(len(qs)), most), best.ravel()
                 seen = near[a, b] > -np.inf
                 a, b = a[seen], b[seen]
-                yield pd.DataFrame({"q": np.array([r["q"] for r in qs], np.int64)[a], "ids": [vs[x]["ids"] for x in b], "score": cosine(q[a], v[b])})
+                held.append(pd.DataFrame({"q": np.array([r["q"] for r in qs], np.int64)[a], "uid": np.array([r["uid"] for r in vs], np.int64)[b], "ids": [vs[x]["ids"] for x in b], "score": cosine(q[a], v[b])}))
+                size += len(a)
+                if size > HELD:
+                    held = [best_of(held)]
+                    if len(held[0]) > HELD // 2:
+                        yield held.pop().drop(columns="uid")
+                    size = sum(map(len, held))
+        if held:
+            yield best_of(held).drop(columns="uid")
 
     found = queries.join(blocks, ["i", "s"]).select("i", "qs_", "vs_").mapInPandas(score, "q long, ids array<long>, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
