@@ -1,7 +1,6 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Documents are cut into fragments of the largest length at most; a fragment of exactly that length is a sequence of its
-own. The others are dealt by digest into groups of about GROUP fragments, and every group is packed on its own, longest
+Documents are cut into fragments of the largest length at most, which are dealt by digest into groups of about GROUP fragments, and every group is packed on its own, longest
 fragment first: into the open bin that it leaves least room in, or into a new bin. The size of a new bin is the one
 whose cost for each word that the group's remaining fragments would put into it is least, so all lengths compete for
 each bin; at the end each bin shrinks to the least length that holds its contents.
@@ -105,26 +104,19 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, size: Column | Non
 
     size: words of a document, counted in its whole text unless given (with texts, always counted). Documents without
     words (null text too) have no fragment. Rows with a null or repeated doc_id are packed one by one. A bin's id names
-    its group and its number there; a fragment of the largest length is a bin named by its document and piece. Columns
-    of docs other than doc_id and text are ignored.
+    its group and its number there. Columns of docs other than doc_id and text are ignored.
     """
     largest = max(lengths)
     size = word_count(F.col("text")) if size is None or texts else size
     sizes = docs.select(F.col("doc_id"), size.cast("long").alias("_n"))
-    if texts:
-        n_rest = sizes.where(f"_n % {largest} > 0").count()
-        pieces = pieces_of(docs, size, largest, True)
-    else:
+    if not texts:
         sizes = settle(sizes, "pack-sizes")
-        n_rest = sizes.where(f"_n % {largest} > 0").count()
-        pieces = pieces_of(sizes, F.col("_n"), largest, False)
-    groups = max(1, -(-n_rest // group))
-    full = F.col("n_words") == largest
-    # fragments of the largest length need no search: any group takes them
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)).cast("int"))
-    text = ["text"] if texts else []
-    named = F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.col("piece").cast("string"))
-    whole = dealt.where(full).select("doc_id", "piece", "start", "n_words", *text, named.alias("bin_id"), F.lit(largest).alias("bin_capacity"), F.lit(0).alias("bin_offset"))
+    n_pieces = sizes.where("_n > 0").agg(F.sum(F.expr(f"(_n - 1) div {largest} + 1"))).first()[0] or 0
+    pieces = pieces_of(docs, size, largest, True) if texts else pieces_of(sizes, F.col("_n"), largest, False)
+    groups = max(1, -(-n_pieces // group))
+    # rows without an id are dealt by their place, lest they meet in one group
+    deal = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "piece", "n_words"))
+    dealt = pieces.withColumn("_g", F.pmod(deal, F.lit(groups)).cast("int"))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -133,7 +125,8 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, size: Column | Non
         return pdf.assign(bin_id=[f"{name}{b}" for b in of], bin_capacity=capacity.astype(np.int32), bin_offset=at.astype(np.int32)).drop(columns="_g")
 
     schema = f"doc_id long, piece long, start long, n_words int, {'text string, ' if texts else ''}bin_id string, bin_capacity int, bin_offset int"
-    return whole.unionByName(dealt.where(~full).groupBy("_g").applyInPandas(packed, schema))
+    return dealt.groupBy("_g").applyInPandas(packed, schema)
+
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
