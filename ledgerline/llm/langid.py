@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, whole_row
 from .textbytes import split_batch, text_buffer
 
 TRAIN_BYTES = 32_768
@@ -81,17 +81,17 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 def parse_table(steps: list[dict[int, int]], classes: np.ndarray) -> np.ndarray:
-    """Flat table: entry state * width + class holds twice the next entry's row start, plus 1 if a phrase ended.
+    """Flat table: entry state's row start + class holds twice the next state's row start, plus 1 if a phrase begins.
 
-    A byte that is nowhere in the labelled text ends a phrase and leads to the start.
+    A phrase begins at the start and wherever the last one cannot go on; a byte that is nowhere in the labelled text is
+    a phrase of its own and leads back to the start.
     """
     width = int(classes.max()) + 1
-    table = np.ones((len(steps), width), np.int32)
-    for s, out in enumerate(steps):
-        restart = np.ones(width, np.int32)
-        for c, t in steps[0].items():
-            restart[classes[c]] = 2 * t * width + 1
-        table[s] = restart
+    restart = np.ones(width, np.int32)
+    for c, t in steps[0].items():
+        restart[classes[c]] = 2 * t * width + 1
+    table = np.tile(restart, (len(steps), 1))
+    for s, out in enumerate(steps[1:], start=1):
         for c, t in out.items():
             table[s, classes[c]] = 2 * t * width
     return table.ravel()
@@ -129,8 +129,7 @@ class Model:
                 v = table[state[k, :n] + sym]
                 counts[k, :n] += v & 1
                 state[k, :n] = v >> 1
-        out = np.stack([np.bincount(doc, c, minlength=len(ends)) for c in counts]) if len(size) else np.zeros((len(self.langs), len(ends)))
-        return out + (parts > 0)
+        return np.stack([np.bincount(doc, c, minlength=len(ends)) for c in counts]) if len(size) else np.zeros((len(self.langs), len(ends)))
 
 
 def labelled_text(docs: DataFrame) -> dict[str, bytes]:
@@ -188,9 +187,8 @@ def in_known_language(docs: DataFrame, most_phrases: float = 0.6) -> DataFrame:
     needs more than most_phrases phrases a byte for. Without any label nothing can be judged and all rows stay."""
     if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
         return docs
-    other = tuple(c for c in docs.columns if c != "doc_id")
-    found = identify(docs, docs, keep=other)
-    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases)).select(*docs.columns)
+    found = identify(docs.select("doc_id", "text", whole_row(docs)), docs, keep=("_row",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases)).select("_row.*")
 
 
 def held_out(doc_id) -> "F.Column":
