@@ -135,3 +135,32 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _sql() -> str:
+    rates = ", ".join(f"({rate.replace(' div ', ' // ')}) {rule}" for rule, (rate, _) in RULES.items())
+    grid = ", ".join(f"('{rule}', {j}, {t})" for rule, (_, g) in RULES.items() for j, t in enumerate(g))
+    value = "case g.rule " + " ".join(f"when '{r}' then {r}" for r in RULES) + " end"
+    over = " or ".join(f"coalesce({r} > (select cut from c where c.stratum = k.stratum and c.rule = '{r}'), false)" for r in RULES)
+    return rf"""
+with d as (select row_number() over () id, doc_id, coalesce('0' || lang, '1') stratum, coalesce(text, '') t from documents),
+w as (select id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls, t from d),
+u as (select id, unnest(range(1, len(ws) - 1)) p, ws from w where len(ws) >= 3),
+g3 as (select id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] w3 from u),
+rp as (select id, count(distinct q) n from (select id, unnest([p, p + 1, p + 2]) q from (select *, count(*) over (partition by id, w3) c from g3) where c > 1) group by id),
+m as (select d.doc_id, d.stratum, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars, length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')) n_symbols,
+  len(ls) - len(list_distinct(ls)) n_dup_lines, len(ls) n_lines, coalesce(rp.n, 0) n_repeat_words from d join w using (id) left join rp using (id)),
+k as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {rates} from m),
+q as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having min(quality) = 1),
+good as (select * from k semi join q using (doc_id) where not base_failed),
+g(rule, step, cut) as (values {grid}),
+h as (select stratum, g.rule, g.step, g.cut, count(*) n, count(case when {value} > g.cut then 1 end) k from good, g group by all),
+p as (select *, case when k > n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end p,
+  {DELTA} / ({len(RULES)} * (select count(distinct stratum) from good)) lev from h),
+f as (select *, min(case when p > lev then step end) over (partition by stratum, rule) bad from p),
+c as (select stratum, rule, min(cut) cut from f where bad is null or step < bad group by all)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) kept, substr(stratum, 2) stratum from k
+"""
+
+
+OP1_SQL = _sql()

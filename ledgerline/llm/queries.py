@@ -11,11 +11,11 @@ from .mixing import OP8_SQL, op8_mixing
 from .near_dups import op6_near_dups
 from .neighbours import op2_neighbours
 from .packing import op3_packing
-from .quality import op1_quality
+from .quality import OP1_SQL, op1_quality
 from .rollups import OP7_SQL, op7_rollups
-from .sharding import op5_sharding
+from .sharding import OP5_SQL, op5_sharding
 from .suffixes import op4_suffixes
-from .urls import op10_urls
+from .urls import OP10_SQL, op10_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_quality": OP1_SQL, "op5_sharding": OP5_SQL, "op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL, "op10_urls": OP10_SQL}

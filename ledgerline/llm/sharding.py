@@ -77,3 +77,18 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: str = "s1") -> Data
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
+
+
+#: The SQL computes the checksums byte by byte. Rows per bucket do not change the result, so it takes plain windows.
+OP5_SQL = r"""
+with recursive bits as (select 0 i, range(0, 256)::bigint[] v union all select i + 1, list_transform(v, lambda x: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) from bits where i < 8), crc as (select v from bits where i = 8),
+d as (select row_number() over () id, doc_id, source, hex(encode(coalesce(text, ''))) x from documents),
+-- a block of 64 bytes at a time, so that no list is as long as a text
+b as (select id, 0 pos, 4294967295::bigint c, x from d union all
+  select b.id, pos + 64, list_reduce(list_prepend(c, list_transform(range(pos, least(pos + 64, length(x) // 2)), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c // 256, crc.v[((xor(c, b) & 255) + 1)::int])), x from b, crc where pos < length(x) // 2),
+s as (select id, xor(arg_max(c, pos), 4294967295) text_crc32 from b group by id),
+r as (select doc_id, source, length(x) // 2 + 8 size, text_crc32, coalesce('0' || source, '1') g, md5('s1:' || coalesce(doc_id::varchar, '')) u from d join s using (id)),
+f as (select *, (2 * row_number() over (partition by g order by u, doc_id nulls first, text_crc32, size) - 1)::double / (2 * count(*) over (partition by g))::double f from r),
+p as (select *, row_number() over (order by f, g, u, doc_id nulls first, text_crc32, size) - 1 pos, count(*) over () n from f)
+select doc_id, size, text_crc32, 'rows' law, (pos * 24 // n)::int shard, pos - ((pos * 24 // n) * n + 23) // 24 slot, null::int grown_shard, source from p
+"""

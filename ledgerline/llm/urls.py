@@ -91,7 +91,8 @@ def judge_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[st
     """page_id, host, path, rule, verdict and score of every page.
 
     The models learn from distinct URLs that a rule decides, four fifths of them by checksum; the remaining allowed ones
-    calibrate the threshold: the least score, in steps of 0.001, that blocks no more than false_blocks of them. Without
+    calibrate the threshold: the least score, in steps of 0.001, that blocks no more than false_blocks of them, and never
+    below 0, where an allowed URL is as likely. Without
     blocked or allowed examples, or without held-out ones, undecided URLs are allowed. Null url, or one without `://`:
     host and path empty, no rule, score null, allowed. Null or repeated page_id: judged row by row. Other columns are
     ignored.
@@ -119,7 +120,7 @@ def judge_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[st
             limit = r["step"]
             break
         over += r["count"]
-    beyond = F.lit(False) if limit is None else F.round(F.col("score") / SCORE_STEP).cast("long") > limit
+    beyond = F.lit(False) if limit is None else F.round(F.col("score") / SCORE_STEP).cast("long") > max(limit, 0)
     judged = every.join(scores.select(F.col("url").alias("_url"), "score"), F.col("url") == F.col("_url"), "left")
     verdict = F.coalesce(F.col("_given"), F.when(F.coalesce(beyond, F.lit(False)), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
@@ -127,3 +128,44 @@ def judge_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[st
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fits = []
+    for rule in sorted((*BLOCK, *ALLOW), key=lambda r: (-len(r), r)):
+        h, _, p = rule.partition("/")
+        fits.append(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{rule}'")
+    allow = ", ".join(f"'{r}'" for r in ALLOW)
+
+    def probability(s: str) -> str:
+        p0 = f"(({s}z.n) + (t{s}.t + 1.0) / {SIZE}) / (t{s}.n + t{s}.t + 1.0)"
+        p1 = f"(case when coalesce({s}y.n, 0) = 0 then {p0} else (coalesce({s}yz.n, 0) + {s}y.t * {p0}) / ({s}y.n + {s}y.t) end)"
+        p1 = p1.replace(f"({s}z.n)", f"coalesce({s}z.n, 0)")
+        return f"(case when coalesce({s}xy.n, 0) = 0 then {p1} else (coalesce({s}g.n, 0) + {s}xy.t * {p1}) / ({s}xy.n + {s}xy.t) end)"
+
+    tables, joins = [], []
+    for s, given in (("p", "allow"), ("r", "block")):
+        tables.append(f"""{s}g as (select g, count(*) n from tri where given = '{given}' and not held group by g),
+{s}z as (select g % {SIZE} z, sum(n)::bigint n from {s}g group by 1), {s}yz as (select g % {SIZE**2} yz, sum(n)::bigint n from {s}g group by 1),
+{s}y as (select yz // {SIZE} y, sum(n)::bigint n, count(*) t from {s}yz group by 1), {s}xy as (select g // {SIZE} xy, sum(n)::bigint n, count(*) t from {s}g group by 1),
+t{s} as (select coalesce(sum(n), 0)::bigint n, count(*) t from {s}z)""")
+        joins.append(f"left join {s}g on {s}g.g = u.g left join {s}z on {s}z.z = u.g % {SIZE} left join {s}yz on {s}yz.yz = u.g % {SIZE**2} left join {s}y on {s}y.y = u.g % {SIZE**2} // {SIZE} left join {s}xy on {s}xy.xy = u.g // {SIZE} cross join t{s}")
+    return rf"""
+with recursive page as (select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{up}', '{low}') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+ru as (select *, case {' '.join(fits)} end rule from page), gv as (select *, case when rule in ({allow}) then 'allow' when rule is not null then 'block' end given from ru),
+bits as (select 0 i, range(0, 256)::bigint[] v union all select i + 1, list_transform(v, lambda x: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) from bits where i < 8), crc as (select v from bits where i = 8),
+di as (select distinct url, given from gv where host != ''),
+dh as (select url, given, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(url, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c // 256, crc.v[((xor(c, b) & 255) + 1)::int])), 4294967295) % 5 = 0 held from di, crc),
+co as (select *, list_transform(string_split(regexp_replace('{START}' || regexp_replace(lower(url), '(?s)^.*?://', ''), '[0-9]', '0', 'g'), ''), lambda c: case when instr('{CLASSES}', c) > 0 then instr('{CLASSES}', c) - 1 else {SIZE - 1} end) cs from dh),
+tri as (select url, given, held, (cs[p] * {SIZE} + cs[p + 1]) * {SIZE} + cs[p + 2] g from (select *, unnest(range(1, len(cs) - 1)) p from co)),
+{', '.join(tables)},
+u as (select distinct g from tri), llr as (select u.g, ln({probability('r')}) - ln({probability('p')}) llr from u {' '.join(joins)}),
+sc as (select url, given, round(avg(llr) / {SCORE_STEP}) step from tri join llr using (g) where given is null or (held and given = 'allow') group by url, given),
+st as (select step, sum(count(*)) over (order by step desc) upto, sum(count(*)) over () n from sc where given = 'allow' group by step),
+li as (select case when (select count(distinct given) from dh where not held and given is not null) = 2 then max(case when upto > {FALSE_BLOCKS} * n then step end) end lim from st)
+select page_id, host, path, rule, coalesce(gv.given, case when sc.step > greatest(lim, 0) and lim is not null then 'block' else 'allow' end) verdict, sc.step * {SCORE_STEP} score from gv left join sc using (url) cross join li
+"""
+
+
+OP10_SQL = _sql()
