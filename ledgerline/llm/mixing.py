@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import group_key, power_of_two, read, settle, word_count
+from .common import discard, group_key, power_of_two, read, settle, whole_row, word_count
 from .sharding import BUCKETS, ROWS_PER_BUCKET, digest_bucket
 
 #: No document is taken more often.
@@ -47,7 +47,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1")
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("_g"), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("_u", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = settle(rows, "mix-rows")
+    raw = rows = settle(rows, "mix-rows")
     n_rows = rows.count()
     buckets = power_of_two(n_rows // ROWS_PER_BUCKET, BUCKETS)
     rows = rows.withColumn("_b", F.floor(digest_bucket(F.col("_u"), buckets)).cast("int"))
@@ -58,6 +58,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1")
     queue = Window.partitionBy("_g", "_b").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.join(offsets.join(targets, "_g"), ["_g", "_b"]).withColumn("_cum", F.col("_before") + F.sum("size").over(queue)).drop("_b", "_before")
     queued = settle(queued, "mix-queued")
+    discard(raw)
 
     finish = lambda e: (e * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target")
     key = lambda e: F.struct(finish(e).alias("f"), F.col("_g").alias("g"), F.col("_u").alias("u"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), e.alias("e"))
@@ -90,9 +91,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed:
     doc_id and size are taken equally often.
     """
     times = mix(docs, weights, seed).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("times").alias("_times")).where("_times > 0")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    chosen = sized.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return chosen.select(F.explode(F.sequence(F.lit(1), "_times")).alias("_epoch"), *docs.columns).drop("_epoch")
+    sized = docs.select(F.col("doc_id").cast("long").alias("_doc"), word_count(F.col("text")).alias("_words"), whole_row(docs))
+    chosen = sized.join(times, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return chosen.select(F.explode(F.sequence(F.lit(1), "_times")), "_row").select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
