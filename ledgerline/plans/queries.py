@@ -20,12 +20,13 @@ from ..operators import ordering as O
 from ..operators import replay as R
 from ..operators import telemetry as T
 from ..operators import views as V
-from ..schema import COUNTER_NAMES, KEY, LEVELS
+from ..schema import COUNTER_NAMES, FEED_EVENTS, KEY, LEVELS
 from ..shared import shared_path, written
 from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
-from .feeds import EV, LAST, PRICE_SCALE, SIZE_SCALE, as_events, empty_snapshots, level_rows, lineitem_rows
+from ..streaming.replay import replay_stream, use_rocksdb
+from .feeds import EV, LAST, PRICE_SCALE, SIZE_SCALE, as_events, empty_snapshots, level_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -691,6 +692,27 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
     return R.counters(out).join(R.status(out), KEY).join(last, KEY).select(*KEY, "gens", "applied", "gaps", "resyncs", "state", "bid", "ask")
 
 
+@query("e1_stream_replay", SQL["e1_replay"])
+def e1_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same feeds through the streaming replay, with an empty snapshot at the head of each feed's log."""
+    rows = level_rows(spark, d)
+    none = F.array().cast(LEVELS)
+    head = empty_snapshots(rows).select(*KEY, "arrival", F.lit(0).cast("bigint").alias("received_ns"), F.lit("snapshot").alias("kind"), F.col("last_update_id").alias("first_seq"), F.col("last_update_id").alias("last_seq"), none.alias("bids"), none.alias("asks"), "checksum")
+    source, sink = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
+    as_events(rows).drop("event_id").unionByName(head).write.parquet(source)
+    use_rocksdb(spark)
+    stream = spark.readStream.schema(FEED_EVENTS).parquet(source)
+    job = replay_stream(stream, None, R.Options(policy="in_log", views_every=0)).writeStream.format("parquet").option("path", sink).option("checkpointLocation", shared_path(spark, "stream-state"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(R.OUT).parquet(sink)
+    newest = lambda df, at: df.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in df.columns if c not in KEY]), at).alias("x")).select(*KEY, "x.*")
+    last = newest(R.views(out), "gen").select(*KEY, F.col("bids")[0]["price"].alias("bid"), F.col("asks")[0]["price"].alias("ask"))
+    closing = out.where("what = 'end'").groupBy(*KEY).agg(F.max_by(F.struct("kind", "counters", "n"), "n").alias("x"))
+    at = {c: F.col("x.counters")[i] for i, c in enumerate(COUNTER_NAMES)}
+    counts = closing.select(*KEY, F.col("x.n").alias("gens"), F.col("x.counters")[len(COUNTER_NAMES)].alias("applied"), at["gaps"].alias("gaps"), at["resyncs"].alias("resyncs"), F.col("x.kind").alias("state"))
+    return counts.join(last, KEY)
+
+
 @query("e1_replay_views", f"""with {EVU}, n as (select a.symbol, a.arrival, b.side, b.price, b.size, b.arrival wrote from ev a join ev b on a.symbol = b.symbol and b.arrival <= a.arrival),
 l as (select symbol, arrival, side, price, arg_max(size, wrote) size from n group by all), v as (select * from l where size > 0)
 select 'EVT' venue, symbol, arrival, arrival + 1 gen, max(case when side = 'bid' then price end) bid, min(case when side = 'ask' then price end) ask from v group by symbol, arrival""")

@@ -38,7 +38,7 @@ def binance_frames(frames: DataFrame, instruments: DataFrame) -> DataFrame:
 
     Ids are read by path: `U`/`u` and `E`/`e` differ in case only, which a schema cannot tell apart.
     """
-    rows = frames.join(F.broadcast(instruments.select(*KEY, "price_scale", "size_scale")), KEY, "left")  # a row a feed
+    rows = frames.join(instruments.select(*KEY, "price_scale", "size_scale"), KEY, "left")
     f = F.from_json("raw", _DIFF, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = rows.withColumn("f", f)
     bad = _malformed(F.col("raw"), F.col("f"))
@@ -52,7 +52,7 @@ def binance_frames(frames: DataFrame, instruments: DataFrame) -> DataFrame:
 
 def binance_snapshots(frames: DataFrame, instruments: DataFrame) -> DataFrame:
     """Snapshot rows of REST depth answers; an answer that does not normalize has route rejected."""
-    rows = frames.join(F.broadcast(instruments.select(*KEY, "price_scale", "size_scale")), KEY, "left")
+    rows = frames.join(instruments.select(*KEY, "price_scale", "size_scale"), KEY, "left")
     rows = rows.withColumn("f", F.from_json("raw", _REST, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = _malformed(F.col("raw"), F.col("f"))
     bids, asks = (S.parse_levels(F.col(f"f.{c}"), F.col("price_scale"), F.col("size_scale")) for c in ("bids", "asks"))
@@ -66,7 +66,7 @@ def kraken_frames(frames: DataFrame, instruments: DataFrame) -> DataFrame:
 
     Numbers are read as exact decimals; what a decimal would round or accept beyond plain digits is refused on the text.
     """
-    rows = frames.join(F.broadcast(instruments.select(*KEY, "price_scale", "size_scale")), KEY, "left")
+    rows = frames.join(instruments.select(*KEY, "price_scale", "size_scale"), KEY, "left")
     rows = rows.withColumn("f", F.from_json("raw", _KRAKEN, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     d = F.get(F.col("f.data"), F.lit(0))
     # decimal(38,18) prints 18 digits; parse_scaled drops the zeros
