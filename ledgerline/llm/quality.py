@@ -21,8 +21,8 @@ from .common import group_key, read, settle, words
 #: Rates per thousand, each with its grid from lenient to strict.
 RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", (4000, 3000, 2500, 2000, 1500, 1000, 750, 500, 350, 250, 150, 100, 50)),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (900, 800, 700, 600, 500, 400, 350, 300, 250)),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", (480, 450, 400, 350, 300, 250, 200)),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (900, 800, 700, 600, 500, 400, 350)),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", (480, 450, 400, 350, 300)),
     "long_words": ("1000 * word_chars div greatest(n_words, 1)", (14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000, 7500, 7000)),
 }
 ALPHA, DELTA = 0.01, 0.05
