@@ -660,7 +660,13 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*KEY, "batch", "first_seq", "last_seq", text("bids").alias("bids"), text("asks").alias("asks"))
 
 
-@query("d8_d9_checksum")
+@query(
+    "d8_d9_checksum",
+    f"""with recursive bits as (select 0 i, range(0, 256)::bigint[] v union all select i + 1, list_transform(v, lambda x: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) from bits where i < 8), crc as (select v from bits where i = 8), {TOP},
+t as (select venue, symbol, coalesce(string_agg(case when side = 'ask' then price::varchar || size::varchar end, '' order by rank), '') || coalesce(string_agg(case when side = 'bid' then price::varchar || size::varchar end, '' order by rank), '') t from top group by venue, symbol),
+c as (select venue, symbol, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(t, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a // 256, crc.v[((xor(a, b) & 255) + 1)::int])), 4294967295) c from t, crc)
+select venue, symbol, c + case when symbol::bigint % 3 = 0 then 1 else 0 end checksum, symbol::bigint % 3 != 0 checksum_ok from c""",
+)
 def d8(spark: SparkSession, d: str) -> DataFrame:
     """CRC32 of every user's view, and its check against a published value that is wrong for every third feed."""
     v = B.as_views(user_book(spark, d))
