@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,17 +15,20 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the nodes. Links of a node to itself and repeated links are dropped. Rounds end in written tables.
     """
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = settle(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
+        old, edges = edges, settle(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(old)
+    nodes = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    return edges.select(F.explode(nodes).alias("x")).select("x.*").distinct()
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every node hangs from one other that hangs from none: then all components are found."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")), F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    by_node = edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.hangs").alias("hangs"), F.max("x.holds").alias("holds"))
+    return by_node.where("hangs + holds > 1").agg(F.count("*")).first()[0] == 0

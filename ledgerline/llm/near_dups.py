@@ -7,9 +7,10 @@ linked within itself without any pair. Classes that share a band are candidates:
 the 32 bands with probability 5e-8. All links are confirmed on the full sets.
 
 No bucket is expanded into pairs of its members while they can still be connected cheaply: in each of HUB_ROUNDS rounds
-every member of a bucket is compared with one hub, picked by digest, and links are merged into components. What is left
-after that, members of one bucket that are still in different components, is compared pair by pair, in salted blocks:
-this exact rest is what keeps every link, and it is small unless a bucket's members are unlike each other.
+every member of a bucket is compared with one hub, the member that shares most bands (the original, in a group of edited
+copies), and links are merged into components. What is left after that, members of one bucket that are still in
+different components, is compared in blocks within tasks by 16-bit fingerprints of their shingles, an upper bound that
+loses no link; pairs that can reach the similarity are few and are confirmed like the others.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import discard, read, settle, whole_row
 from .components import components
 from .textbytes import mix, split_batch, text_buffer, word_hashes
 
 PERMUTATIONS = 64
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: A bucket's members are dealt into blocks of this size for the exact rest.
-REST_BLOCK = 64
+REST_BLOCK = 256
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * _U(2) + _U(1)
@@ -94,7 +95,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, set) of the wanted classes (cls, doc_id, h): the set's sorted hashes in bytes."""
+    """(cls, set, prints) of the wanted classes (cls, doc_id, h): the set's sorted hashes in bytes, and 16 bits of each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     picked = rows.join(wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "cls"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("cls", "text")
 
@@ -103,9 +104,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for batch in split_batch(whole, "text"):
                 offsets, data = text_buffer(batch.column("text"))
                 values, ends = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "n": pa.array(np.diff(ends)), "set": pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "set": pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()), "prints": pa.array([values[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
-    return picked.mapInArrow(hashed, "cls binary, n long, set binary").dropDuplicates(["cls"])
+    return picked.mapInArrow(hashed, "cls binary, set binary, prints binary").dropDuplicates(["cls"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,6 +129,64 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "a binary, b binary")
 
 
+def fixed(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column end to end, and where each begins, in items of dtype."""
+    offsets, data = text_buffer(column)
+    return np.frombuffer(data.tobytes(), dtype), offsets // np.dtype(dtype).itemsize
+
+
+def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that may be similar among members of one bucket but of different components; each pair once, by its first
+    shared band.
+
+    members: key, c, cls, comp, n, bands, prints. Blocks of a bucket meet each other in one row each, and are compared
+    inside the task: common fingerprints are counted, which no common shingle escapes, so their number bounds the
+    intersection from above and no link is lost. Only pairs that can reach the similarity come out.
+    """
+    blocks = F.ceil(F.col("c") / REST_BLOCK).cast("int")
+    member = F.struct("cls", "comp", "n", "bands", "prints")
+    grouped = members.withColumn("s", F.pmod(F.xxhash64("cls", "key"), blocks).cast("int")).groupBy("key", "s").agg(F.collect_list(member).alias("x"), F.first(blocks).alias("blocks"))
+    left = grouped.select("key", F.col("s").alias("s1"), F.col("x").alias("x1"), F.explode(F.expr("sequence(s, blocks - 1)")).alias("s"))
+    met = left.join(grouped.select("key", "s", F.col("x").alias("x2")), ["key", "s"]).select("key", (F.col("s") == F.col("s1")).alias("same"), "x1", "x2")
+
+    def side(column: pa.Array) -> dict:
+        v = column.values
+        cls, _ = fixed(v.field("cls"), np.uint64)
+        comp, _ = fixed(v.field("comp"), np.uint64)
+        prints, at = fixed(v.field("prints"), np.uint16)
+        return {"at": column.offsets.to_numpy(), "cls": cls.reshape(-1, 2), "comp": comp.reshape(-1, 2), "n": v.field("n").to_numpy(), "bands": v.field("bands").flatten().to_numpy().reshape(len(v), -1), "prints": prints, "pat": at}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, bool)
+        for batch in batches:
+            x, y = side(batch.column("x1")), side(batch.column("x2"))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, (key, same) in enumerate(zip(batch.column("key").to_pylist(), batch.column("same").to_pylist())):
+                p, q = slice(x["at"][i], x["at"][i + 1]), slice(y["at"][i], y["at"][i + 1])
+                one, two = x["bands"][p], y["bands"][q]
+                small, large = np.minimum(x["n"][p][:, None], y["n"][q]), np.maximum(x["n"][p][:, None], y["n"][q])
+                ask = (100 * small >= percent * large) & (x["comp"][p][:, None] != y["comp"][q]).any(axis=2)
+                if same:
+                    ask &= np.triu(np.ones(ask.shape, bool), 1) if len(one) == len(two) else True
+                for e in range(int(np.argmax(one[0] == key))):
+                    ask &= one[:, e][:, None] != two[:, e]
+                begin, end = y["pat"][q.start], y["pat"][q.stop]
+                cat, starts = y["prints"][begin:end], y["pat"][q] - begin
+                for r in np.flatnonzero(ask.any(axis=1)):
+                    own = x["prints"][x["pat"][p.start + r] : x["pat"][p.start + r + 1]]
+                    seen[own] = True
+                    hits = np.minimum(np.add.reduceat(seen[cat].astype(np.int32), starts), small[r])
+                    seen[own] = False
+                    may = np.flatnonzero(ask[r] & (100 * hits >= percent * (x["n"][p][r] + y["n"][q] - hits)))
+                    out.append((np.broadcast_to(x["cls"][p.start + r], (len(may), 2)), y["cls"][q][may]))
+            if out:
+                a, b = (np.concatenate(z) for z in zip(*out))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([v.tobytes() for v in a], pa.binary()), "b": pa.array([v.tobytes() for v in b], pa.binary())})
+
+    found = met.mapInArrow(compared, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, h (digest of the text), n_shingles, component_id, kept of every row of docs.
 
@@ -141,40 +200,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = settle(classes.select("cls", "least", "rep.doc_id", "rep.h", "n", "bands"), "classes")
     placed = classes.select("cls", "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    placed = settle(placed.join(shared, "key").select("key", "c", "cls", "n"), "buckets")
+    shared = settle(shared, "shared-bands")
+    in_shared = settle(placed.join(shared, "key").select("key", "c", "cls", "n"), "bucket-members")
+    popular = settle(in_shared.groupBy("cls").agg(F.sum("c").alias("pop")), "popular")
+    placed = settle(in_shared.join(popular, "cls"), "buckets")
+    discard(shared, in_shared, popular)
     sets = settle(sets_of(docs, classes.join(placed.select("cls").distinct(), "cls", "left_semi")), "sets")
 
     def alike(x: str, y: str):  # sizes too far apart cannot reach the similarity
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     tried = links = None
+    done = [placed, sets, classes]
     for round_ in range(HUB_ROUNDS + 1):
         if links is None:
             at = placed.withColumn("comp", F.col("cls"))
         else:
             comp = components(links)
             at = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64(F.lit(round_), "key", "cls").alias("r"), "cls", "n", "comp")).alias("hub")).where("_lo != _hi").select("key", "hub")
+        member = F.struct("pop", "cls", "n", "comp")
+        keys = at.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max(member).alias("hub")).where("_lo != _hi")
+        keys = settle(keys.select("key", "hub"), "open-buckets")
+        done.append(keys)
         if round_ < HUB_ROUNDS:
-            met = at.join(open_keys, "key").where((F.col("comp") != F.col("hub.comp")) & alike("n", "hub.n"))
+            if round_:  # the most shared member outside the first hub's component
+                other = at.join(keys, "key").where(F.col("comp") != F.col("hub.comp"))
+                keys = settle(other.groupBy("key").agg(F.max(member).alias("hub")), "open-buckets")
+                done.append(keys)
+            met = at.join(keys, "key").where((F.col("comp") != F.col("hub.comp")) & alike("n", "hub.n"))
             pairs = met.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
         else:
-            blocks = F.ceil(F.col("c") / REST_BLOCK).cast("int")
-            rest = at.where("c > 2").join(open_keys.select("key"), "key", "left_semi").withColumn("_s", F.pmod(F.xxhash64("cls", "key"), blocks).cast("int"))
-            other = rest.select("key", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_s"))
-            met = rest.join(other, ["key", "_s"]).where((F.col("cls") < F.col("o_cls")) & (F.col("comp") != F.col("o_comp")) & alike("n", "o_n"))
-            pairs = met.select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
+            # buckets of two were compared with their hub
+            rest = at.where("c > 2").join(keys.select("key"), "key", "left_semi")
+            rest = rest.join(sets.select("cls", "prints"), "cls").join(classes.select("cls", "bands"), "cls")
+            pairs = rest_pairs(rest, percent)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
         found = settle(confirm(pairs, sets, percent), "confirmed")
+        done += [pairs, found]
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
     comp = components(links)
     labels = classes.select("cls", "least").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     named = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
-    labels = labels.join(named, "comp").select("cls", "component_id")
+    labels = settle(labels.join(named, "comp").select("cls", "component_id"), "labels")
+    discard(*done)
     out = signed.join(labels, "cls", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -184,10 +256,11 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows equal in doc_id and text one stays."""
     on = {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_z": F.col("doc_id").isNull()}
     keys = near_duplicates(docs, percent).where("kept").withColumns(on).select("_k", "_z", F.col("h").alias("_x")).distinct()
-    kept = docs.withColumns({**on, "_x": F.xxhash64("text")}).join(keys, ["_k", "_z", "_x"], "left_semi")
+    rows = docs.select(*[c.alias(name) for name, c in on.items()], F.xxhash64("text").alias("_x"), whole_row(docs))
+    kept = rows.join(keys, ["_k", "_z", "_x"], "left_semi")
     # the window needs the partitions and the order that the join has made
     one = F.row_number().over(Window.partitionBy("_k", "_z", "_x").orderBy("_x"))
-    return kept.withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    return kept.withColumn("_one", one).where("_one = 1").select("_row.*")
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
