@@ -142,7 +142,8 @@ def test_registered(spark):
     names = queries.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "labels", "pages"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = names[name](spark, SF)
         cols = sorted(df.columns)
