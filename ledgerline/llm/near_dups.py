@@ -166,8 +166,9 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
                 one, two = x["bands"][p], y["bands"][q]
                 small, large = np.minimum(x["n"][p][:, None], y["n"][q]), np.maximum(x["n"][p][:, None], y["n"][q])
                 ask = (100 * small >= percent * large) & (x["comp"][p][:, None] != y["comp"][q]).any(axis=2)
-                if same:
-                    ask &= np.triu(np.ones(ask.shape, bool), 1) if len(one) == len(two) else True
+                if same:  # the lists of equal blocks need not be in the same order: a pair is told by its digests
+                    u, v = x["cls"][p][:, None], y["cls"][q]
+                    ask &= (u[..., 0] < v[..., 0]) | ((u[..., 0] == v[..., 0]) & (u[..., 1] < v[..., 1]))
                 for e in range(int(np.argmax(one[0] == key))):
                     ask &= one[:, e][:, None] != two[:, e]
                 begin, end = y["pat"][q.start], y["pat"][q.stop]

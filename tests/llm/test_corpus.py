@@ -95,6 +95,18 @@ def test_near_duplicates_by_blocks(docs, rows, monkeypatch):
     assert {tuple(x) for x in got if x[2] in big} == {x for x in wanted if x[2] in big}
 
 
+def test_blocks_in_any_order(spark, monkeypatch):
+    """The two lists of a block's members come in orders of their own; no pair is lost by that."""
+    prints = np.arange(10, dtype=np.uint16).tobytes()
+    ids = [bytes([9 - i] * 16) for i in range(6)]
+    members = spark.createDataFrame([(7, 6, i, i, 10, [7], prints) for i in ids], "key long, c long, cls binary, comp binary, n long, bands array<long>, prints binary")
+    frame = type(members)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: plain(self.withColumn("x2", F.reverse("x2")), *a, **b))
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in near_dups.rest_pairs(members, 80).collect()]
+    assert sorted(got) == sorted((x, y) for x in ids for y in ids if x < y)
+
+
 def test_without_near_duplicates(docs, rows):
     got = near_dups.without_near_duplicates(docs)
     assert got.columns == docs.columns
