@@ -17,7 +17,7 @@ from ledgerline.llm.suffixes import without_repeats
 
 STAGES = [
     ("language", lambda spark, docs, sf_dir: in_known_language(docs)),
-    ("near_duplicates", lambda spark, docs, sf_dir: without_near_duplicates(docs)),
+    ("near_duplicates", lambda spark, docs, sf_dir: without_near_duplicates(docs, size=5)),
     ("repeated_passages", lambda spark, docs, sf_dir: without_repeats(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixed_documents(docs)),
     ("packing", lambda spark, docs, sf_dir: pack(docs, texts=True)),

@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set is its distinct 2-word shingles. Every one of PERMUTATIONS hash functions gives two entries of its
+A document's set is its distinct shingles of so many words (op6_near_dups: 2, the pipeline: 5). Every one of PERMUTATIONS hash functions gives two entries of its
 signature, the least and the largest value over the set, so a signature of 2 * PERMUTATIONS entries costs half the hash
 evaluations. Two permutations' four entries make a band. Documents of equal sets form a class, which is signed once and
 linked within itself without any pair. Classes that share a band are candidates: at similarity 0.8 a pair shares none of
@@ -37,21 +37,32 @@ _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _C = _rng.integers(1, 2**63, 4, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts end to end, and the sets' offsets."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all texts' shingles of `size` words end to end, and the sets' offsets.
+
+    A text of fewer words has one shingle, all of it.
+    """
     words, of = word_hashes(data, offsets)
     n = len(offsets) - 1
-    same = of[1:] == of[:-1]
-    pairs = mix(words[:-1] * _C[0] + words[1:] * _C[1])[same]
+
+    def joined(m: int) -> np.ndarray:  # hashes of m successive words, at the place of the first
+        out = words[: max(len(words) - m + 1, 0)]
+        for j in range(1, m):
+            out = mix(out * _C[0] + words[j : j + len(out)] * _C[1])
+        return out
+
+    same = of[size - 1 :] == of[: max(len(of) - size + 1, 0)]
+    runs = joined(size)[same]
     count = np.bincount(of, minlength=n)
-    ends = np.concatenate([[0], np.cumsum(np.maximum(count - 1, 0))])
+    ends = np.concatenate([[0], np.cumsum(np.maximum(count - size + 1, 0))])
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
+    short = {m: mix(joined(m) * _C[2] + _U(m - 1)) for m in range(1, size) if (count == m).any()}
     sets = []
     for i in range(n):
-        if count[i] > 1:
-            sets.append(np.unique(pairs[ends[i] : ends[i + 1]]))
-        elif count[i] == 1:
-            sets.append(mix(words[first[i] : first[i] + 1] * _C[2]))
+        if count[i] >= size:
+            sets.append(np.unique(runs[ends[i] : ends[i + 1]]))
+        elif count[i]:
+            sets.append(short[count[i]][first[i] : first[i] + 1])
         else:
             sets.append(np.zeros(0, np.uint64))
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -71,7 +82,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return bands, np.add.reduceat(mix(values), start), np.add.reduceat(mix(values * _C[3]), start)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, size: int = 2) -> DataFrame:
     """doc_id, h (digest of the text), n (size of the set), cls (digest of the set, null if empty), bands."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
 
@@ -79,7 +90,7 @@ def sign(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in split_batch(whole, "text"):
                 offsets, data = text_buffer(batch.column("text"))
-                values, ends = shingle_sets(data, offsets)
+                values, ends = shingle_sets(data, offsets, size)
                 n = np.diff(ends)
                 cls, bands = np.full(len(n), None, object), np.full(len(n), None, object)
                 if len(values):
@@ -94,7 +105,7 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(signed, "doc_id long, h long, n long, cls binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int = 2) -> DataFrame:
     """(cls, set, prints) of the wanted classes (cls, doc_id, h): the set's sorted hashes in bytes, and 16 bits of each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     picked = rows.join(wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "cls"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("cls", "text")
@@ -103,7 +114,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in split_batch(whole, "text"):
                 offsets, data = text_buffer(batch.column("text"))
-                values, ends = shingle_sets(data, offsets)
+                values, ends = shingle_sets(data, offsets, size)
                 yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "set": pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()), "prints": pa.array([values[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
     return picked.mapInArrow(hashed, "cls binary, set binary, prints binary").dropDuplicates(["cls"])
@@ -188,15 +199,15 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, h (digest of the text), n_shingles, component_id, kept of every row of docs.
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
+    """doc_id, h (digest of the text), n_shingles, component_id, kept of every row of docs, by shingles of `size` words.
 
     component_id is the least doc_id that links reach. Null text, and text without words, has an empty set, links with
     nothing and is kept. Rows that share a doc_id are kept or dropped together. Rows without doc_id take part; their
     component's id is the least doc_id in it, null if there is none (then all its rows are kept, as none can be named).
     An empty table stays empty. Columns other than doc_id and text are ignored.
     """
-    signed = settle(sign(docs), "signatures")
+    signed = settle(sign(docs, size), "signatures")
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = settle(classes.select("cls", "least", "rep.doc_id", "rep.h", "n", "bands"), "classes")
     placed = classes.select("cls", "n", F.explode("bands").alias("key"))
@@ -206,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     popular = settle(in_shared.groupBy("cls").agg(F.sum("c").alias("pop")), "popular")
     placed = settle(in_shared.join(popular, "cls"), "buckets")
     discard(shared, in_shared, popular)
-    sets = settle(sets_of(docs, classes.join(placed.select("cls").distinct(), "cls", "left_semi")), "sets")
+    sets = settle(sets_of(docs, classes.join(placed.select("cls").distinct(), "cls", "left_semi"), size), "sets")
 
     def alike(x: str, y: str):  # sizes too far apart cannot reach the similarity
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -253,10 +264,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows equal in doc_id and text one stays."""
     on = {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_z": F.col("doc_id").isNull()}
-    keys = near_duplicates(docs, percent).where("kept").withColumns(on).select("_k", "_z", F.col("h").alias("_x")).distinct()
+    keys = near_duplicates(docs, percent, size).where("kept").withColumns(on).select("_k", "_z", F.col("h").alias("_x")).distinct()
     rows = docs.select(*[c.alias(name) for name, c in on.items()], F.xxhash64("text").alias("_x"), whole_row(docs))
     kept = rows.join(keys, ["_k", "_z", "_x"], "left_semi")
     # the window needs the partitions and the order that the join has made
@@ -265,4 +276,4 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -116,6 +116,31 @@ def test_without_near_duplicates(docs, rows):
     assert {d for d in kept if d is not None} == {d for d, c in want if d is not None and d == c}
 
 
+def test_stage_compares_five_words(spark):
+    """Scattered changed words keep a text; one changed word does not. Against brute force with five words."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    changed = lambda at: " ".join("new" + w if i in at else w for i, w in enumerate(base))
+    few = ["one", "one two", "one two three four", "one two three four", "one two three", "one two three four five", ""]
+    many = [" ".join(rng.choice("abc") for _ in range(300)) for _ in range(4)]  # they share all pairs of words
+    every = [" ".join(base), changed(range(10, 400, 25)), changed({200}), changed({200, 390}), *few, *many]
+
+    def five(text):
+        ws = text.split()
+        return {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))} if ws else set()
+
+    sets, least = [five(t) for t in every], list(range(len(every)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, x in enumerate(least) if i == x]
+    assert least[1] == 1 and least[2] == least[3] == 0 and least[7] == 6
+
+
 def brute_repeats(texts, length):
     count = Counter(b[i : i + length] for t in texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []
