@@ -1,8 +1,9 @@
 """Replay of a feed: snapshots and events in, views, faults, counters and a final status out.
 
 This is the one job that Spark's aggregates cannot express: whether an update applies depends on the book after all
-before it. One ordered fold a feed, in Arrow batches; a feed whose snapshots are in its log is folded a segment at a
-time, so that a hot feed runs in parallel, and the parts are stitched by window functions.
+before it. One ordered fold a feed over Arrow batches, which holds the book and one batch, not the feed; a feed whose
+snapshots are in its log is folded a segment at a time, so that a hot feed runs in parallel, and the parts are stitched
+by window functions.
 
 Snapshot policies: `queue` (the k-th fetch takes the k-th snapshot), `in_log` (snapshot rows are events), `as_of` (a
 fetch takes the true book, kept from `truth` rows of the log). A feed that ends early gets a status, never an error.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from ..schema import COUNTER_NAMES, KEY, LEVELS
 
 Levels = list[tuple[int, int]]
+#: A fold hands on its views when it has so many.
+VIEWS_A_BATCH = 1000
 
 
 @dataclass(frozen=True)
@@ -327,14 +330,19 @@ def fold_rows(options: Options, rows: Iterable[Row], queue: list[Row] | None = N
     return fold
 
 
-def output(fold: Fold, venue: str, symbol: str, segment: int) -> pa.Table:
-    """Views, faults and one closing row of a fold as a table of OUT's columns."""
-    views = fold.views + fold.last_view()
+def closing_row(fold: Fold) -> tuple:
     state, reason, at = fold.status()
-    out: list[tuple] = [("view", g, a, s, b, k, None, None, None, None, None, None, None) for g, a, s, b, k in views]
-    out += [("fault", f[0], f[7], None, None, None, f[1], f[2], f[3], f[4], f[5], f[6], None) for f in fold.faults]
     ended = [fold.counters[c] for c in COUNTER_NAMES] + [fold.applied, int(fold.open_fault is not None), int(fold.gen > 0), fold.last_event_ms]
-    out.append(("end", fold.gen, at, fold.last, None, None, state, None, None, None, reason, None, ended))
+    return ("end", fold.gen, at, fold.last, None, None, state, None, None, None, reason, None, ended)
+
+
+def output(fold: Fold, venue: str, symbol: str, segment: int, closing: bool = True) -> pa.Table:
+    """Views, faults and, if closing, one closing row of a fold as a table of OUT's columns."""
+    views = fold.views + (fold.last_view() if closing else [])
+    out: list[tuple] = [("view", g, a, s, b, k, None, None, None, None, None, None, None) for g, a, s, b, k in views]
+    out += [("fault", f[0], f[7], None, None, None, f[1], f[2], f[3], f[4], f[5], f[6], None) for f in fold.faults if closing or f is not fold.open_fault]
+    if closing:
+        out.append(closing_row(fold))
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), None, None, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
     names = ["what", "n", "arrival", "last_seq", "bids", "asks", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms", "counters"]
     cols = list(zip(*out))
@@ -361,6 +369,49 @@ def log_rows(events: DataFrame, snapshots: DataFrame | None) -> DataFrame:
     return rows.unionByName(queue)
 
 
+def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
+    """The folds of all (venue, symbol, segment) of rows, which are dealt by it.
+
+    A task reads its rows in order, batch by batch, and hands on what is settled after every VIEWS_A_BATCH views and
+    every batch: it holds books, a batch, the snapshots that wait for a fetch, and the open fault.
+    """
+    keys = [*KEY, "segment"]
+    last = lambda c: F.col(c).asc_nulls_last()
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("queued"), last("arrival"), last("sub"))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, at, started = None, None, False
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if fold.views or any(f is not fold.open_fault for f in fold.faults):
+                yield from output(fold, *at, closing=False).to_batches()
+                fold.views, fold.faults = [], [f for f in fold.faults if f is fold.open_fault]
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            of = zip(*[table.column(c).to_pylist() for c in keys])
+            for key, queued, row in zip(of, table.column("queued").to_pylist(), rows_of(table)):
+                if fold is None or key != at:
+                    if fold is not None:
+                        yield from output(fold, *at).to_batches()
+                    fold, at, started = Fold(options), key, False
+                if queued:
+                    fold.queue.append(row)
+                    continue
+                if not started and row.kind != "truth":
+                    fold.start(row)
+                    started = True
+                fold.step(row)
+                if len(fold.views) >= VIEWS_A_BATCH:
+                    yield from settled()
+            if fold is not None:
+                yield from settled()
+        if fold is not None:
+            yield from output(fold, *at).to_batches()
+
+    return dealt.mapInArrow(folded, OUT)
+
+
 def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options()) -> DataFrame:
     """The fold over all feeds: one table of views, faults and closing rows (see views, faults, counters, status).
 
@@ -369,16 +420,7 @@ def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Optio
     Keep or write the result before taking its parts, or the fold runs once for each.
     """
     rows = log_rows(events, snapshots if options.policy == "queue" else None)
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("queued", "ascending"), ("arrival", "ascending"), ("sub", "ascending")])
-        waits = table.column("queued").to_numpy()
-        n = int((~waits).sum())
-        queue = list(rows_of(table.slice(n)))
-        venue, symbol = (table.column(c)[0].as_py() for c in ("venue", "symbol"))
-        return output(fold_rows(options, rows_of(table.slice(0, n)), queue), venue, symbol, 0)
-
-    return rows.groupBy(*KEY).applyInArrow(fold, OUT)
+    return fold_sorted(rows.withColumn("segment", F.lit(0).cast("bigint")), options)
 
 
 def replay_segments(events: DataFrame, options: Options) -> DataFrame:
@@ -390,13 +432,7 @@ def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     """
     w = Window.partitionBy(*KEY).orderBy("arrival", "sub").rowsBetween(Window.unboundedPreceding, 0)
     rows = log_rows(events, None).withColumn("segment", F.sum((F.col("kind") == "snapshot").cast("bigint")).over(w)).where("segment > 0")
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("arrival", "ascending"), ("sub", "ascending")])
-        venue, symbol, segment = (table.column(c)[0].as_py() for c in ("venue", "symbol", "segment"))
-        return output(fold_rows(options, rows_of(table)), venue, symbol, segment)
-
-    parts = rows.groupBy(*KEY, "segment").applyInArrow(fold, OUT)
+    parts = fold_sorted(rows, options)
     return stitch(parts, rows, options)
 
 

@@ -508,15 +508,25 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return L.run_summary(values)
 
 
+#: A capture document holds about so many samples.
+CAPTURE_SAMPLES = 10_000
+
+
+def capture_documents(e: DataFrame) -> DataFrame:
+    """Captures of samples (KEY, event_id, ns): as many documents a feed as keep each of them small."""
+    parts = e.groupBy(*KEY).agg(F.ceil(F.count("*") / CAPTURE_SAMPLES).alias("_parts"))
+    dealt = e.join(parts, KEY).withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("_parts")))
+    return dealt.groupBy(*KEY, "part").agg(F.array_sort(F.collect_list(F.when(F.col("ns") > 1000, F.col("ns")))).alias("tail_ns"), F.count("*").alias("total_samples"))
+
+
 @query(
     "a12_k4_captures",
     f"""with {EV}, s as (select venue, symbol, c * 1000 ns from ev), m as (select symbol, count(*) total, max(ns) mx from s group by symbol), t as (select s.*, m.mx, greatest(1, m.mx // 32) w from s join m using (symbol) where ns > 1000)
 select venue, symbol, least(ns // w, 32) bin, count(*) n from t group by all""",
 )
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    """Captures written as one document a feed, checked, exploded and binned."""
-    e = level_rows(spark, d).select(*KEY, (F.col("c") * 1000).alias("ns"))
-    docs = e.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.when(F.col("ns") > 1000, F.col("ns")))).alias("tail_ns"), F.count("*").alias("total_samples"))
+    """Captures written as documents of bounded size, checked, exploded and binned."""
+    docs = capture_documents(level_rows(spark, d).select(*KEY, "event_id", (F.col("c") * 1000).alias("ns")))
     doc = F.to_json(F.struct(F.lit(1).alias("schema"), "venue", "symbol", F.lit(60_000_000_000).alias("window_ns"), F.lit(1000).alias("resolution_ns"), "total_samples", "tail_ns"))
     captures = docs.select(F.from_json(doc, LG.CAPTURE).alias("c")).select("c.*")
     return L.tail_bins(L.tail(LG.capture_samples(captures), KEY), KEY)

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 entry_module = importlib.import_module("__spark_entry__")
 from .conftest import SF
@@ -50,3 +51,17 @@ def test_limits(spark):
     states = {r["symbol"]: r["state"] for r in entry_module.queries()["e4_e5_e6_limits"](spark, SF).collect()}
     want = {0: {"ok"}, 1: {"snapshot_refused"}, 2: {"snapshot_failed"}, 3: {"stale_snapshot", "ok"}}
     assert all(state in want[int(s) % 4] for s, state in states.items())
+
+
+def test_captures_are_bounded(spark, monkeypatch):
+    """A feed of many samples becomes several documents with the same bins."""
+    from ledgerline.plans import queries as Q
+    from ledgerline.plans.feeds import level_rows
+
+    bins = lambda: sorted(map(tuple, Q.a12(spark, SF).collect()))
+    one = bins()
+    monkeypatch.setattr(Q, "CAPTURE_SAMPLES", 20)
+    e = level_rows(spark, SF).select("venue", "symbol", "event_id", F.lit(2000).alias("ns"))
+    docs = Q.capture_documents(e).collect()
+    assert max(len(r["tail_ns"]) for r in docs) < 60 and sum(r["total_samples"] for r in docs) == e.count()
+    assert bins() == one

@@ -151,3 +151,24 @@ def test_segments_end_at_the_limit(spark):
     log = spark.createDataFrame(rows, FEED_EVENTS)
     options = R.Options(policy="in_log")
     assert R.status(R.replay(log, None, options)).first()["state"] == R.status(R.replay_segments(log, options)).first()["state"] == "snapshot_refused"
+
+
+def test_fold_holds_a_batch(spark):
+    """Feeds of many batches, one after another in a task: the same as folds of whole feeds, without a group a feed."""
+    feeds = {f"s{i}": [x for x in random_log(random.Random(i), 150 + i)] for i in range(3)}
+    rows = [(v, name, *x) for name, log in feeds.items() for v, _, *x in log]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = R.replay(spark.createDataFrame(rows, FEED_EVENTS).repartition(3), None, R.Options(policy="in_log", depth=3))
+        assert "InArrow" in (plan := out._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, log in feeds.items():
+        fold = R.fold_rows(R.Options(policy="in_log", depth=3), [R.Row(x[4], x[2], x[3] // 10**6, x[5], x[6], x[7], x[8], x[9]) for x in log])
+        own = [r for r in got if r["symbol"] == name]
+        views = sorted((r["n"], r["arrival"], r["last_seq"], [tuple(x) for x in r["bids"]], [tuple(x) for x in r["asks"]]) for r in own if r["what"] == "view")
+        assert views == fold.views + fold.last_view()
+        faults = sorted([r["n"], r["kind"], r["at_ms"], r["expected_seq"], r["got_seq"], r["reason"], r["duration_ms"], r["arrival"]] for r in own if r["what"] == "fault")
+        assert faults == fold.faults and len(faults) > 5
+        assert [r["n"] for r in own if r["what"] == "end"] == [fold.gen]
