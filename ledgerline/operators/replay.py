@@ -581,3 +581,9 @@ def best_series(view_rows: DataFrame, fault_rows: DataFrame) -> DataFrame:
     best = view_rows.where((F.size("bids") > 0) & (F.size("asks") > 0)).select(*KEY, "gen", "arrival", F.col("bids")[0]["price"].alias("bid"), F.col("asks")[0]["price"].alias("ask"))
     marks = fault_rows.where(F.col("kind").isin("gap", "cross")).groupBy(*KEY, "arrival").agg(F.min("kind").alias("fault"))
     return best.join(marks, [*KEY, "arrival"], "left").withColumn("is_crossed", F.col("bid") >= F.col("ask"))
+
+
+def count_crossed(series: DataFrame) -> DataFrame:
+    """The series with `crossed`, the number of crossed states in all of its feed."""
+    n = series.groupBy(*KEY).agg(F.count_if("is_crossed").alias("crossed"))
+    return series.join(n, KEY)

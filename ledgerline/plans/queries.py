@@ -831,14 +831,29 @@ def e12(spark: SparkSession, d: str) -> DataFrame:
     return R.last_event_age(as_events(level_rows(spark, d)), 1704153600000)
 
 
-@query("e13_e14_best_series")
-def e13(spark: SparkSession, d: str) -> DataFrame:
-    """Best prices at every 50th view of replays under faults, with the faults' places; no state is crossed."""
+def faulted(spark: SparkSession, d: str, **options: int) -> DataFrame:
+    """Replays of the feeds under scheduled faults."""
     rows = as_events(level_rows(spark, d))
     fault = I.scheduled_fault(F.lit(1).cast("bigint"), F.col("arrival") - 1)
-    out = written(R.replay(I.inject(rows, fault), None, R.Options(policy="as_of", depth=1)), "series")
-    series = R.best_series(R.views(out), R.faults(out))
-    return series.where("gen % 50 = 0 or fault is not null").withColumns({"bid_text": S.format_scaled(F.col("bid"), PRICE_SCALE), "ask_text": S.format_scaled(F.col("ask"), PRICE_SCALE)})
+    return R.replay(I.inject(rows, fault), None, R.Options(policy="as_of", depth=1, **options))
+
+
+@query("e13_log_line")
+def e13(spark: SparkSession, d: str) -> DataFrame:
+    """Top-of-book log line of every 50th view of replays under faults."""
+    v = R.views(faulted(spark, d, views_every=50)).where("gen % 50 = 0")
+    level = lambda x: F.concat(S.format_scaled(x["price"], PRICE_SCALE), F.lit(" x "), S.format_scaled(x["size"], SIZE_SCALE))
+    best = lambda side: F.coalesce(level(F.get(side, F.lit(0))), F.lit("-"))
+    return v.select(*KEY, "gen", F.col("last_seq").alias("seq"), best(F.col("bids")).alias("bid"), best(F.col("asks")).alias("ask"))
+
+
+@query("e13_e14_best_series")
+def e14(spark: SparkSession, d: str) -> DataFrame:
+    """Best prices at every two-sided view of replays under faults, with the faults' places, and each feed's count of
+    crossed states over all of them: none."""
+    out = written(faulted(spark, d), "series")
+    series = R.count_crossed(R.best_series(R.views(out), R.faults(out)))
+    return series.withColumns({"bid_text": S.format_scaled(F.col("bid"), PRICE_SCALE), "ask_text": S.format_scaled(F.col("ask"), PRICE_SCALE)})
 
 
 # --- F. fault injection ----------------------------------------------------------------------------------------------

@@ -47,6 +47,21 @@ def test_no_state_is_crossed(spark):
     assert not any(r["is_crossed"] for r in entry_module.queries()["e13_e14_best_series"](spark, SF).collect())
 
 
+def test_best_series_is_whole(spark):
+    """Every two-sided view of every feed is in the series, and the log line has each 50th view."""
+    got = entry_module.queries()["e13_e14_best_series"](spark, SF).collect()
+    assert all(r["crossed"] == 0 for r in got)
+    lines = entry_module.queries()["e13_log_line"](spark, SF).collect()
+    assert lines and all(r["gen"] % 50 == 0 for r in lines)
+    both = {(r["symbol"], r["gen"]): r["bid_text"] for r in got}
+    for symbol in {r["symbol"] for r in got}:
+        gens = sorted(r["gen"] for r in got if r["symbol"] == symbol)
+        assert len(gens) > 0.9 * (gens[-1] - gens[0] + 1)
+    for r in lines:
+        if "-" not in (r["bid"], r["ask"]):
+            assert r["bid"].split(" x ")[0] == both[r["symbol"], r["gen"]]
+
+
 def test_limits(spark):
     states = {r["symbol"]: r["state"] for r in entry_module.queries()["e4_e5_e6_limits"](spark, SF).collect()}
     want = {0: {"ok"}, 1: {"snapshot_refused"}, 2: {"snapshot_failed"}, 3: {"stale_snapshot", "ok"}}

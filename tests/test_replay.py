@@ -172,3 +172,10 @@ def test_fold_holds_a_batch(spark):
         faults = sorted([r["n"], r["kind"], r["at_ms"], r["expected_seq"], r["got_seq"], r["reason"], r["duration_ms"], r["arrival"]] for r in own if r["what"] == "fault")
         assert faults == fold.faults and len(faults) > 5
         assert [r["n"] for r in own if r["what"] == "end"] == [fold.gen]
+
+
+def test_crossed_states_are_counted(spark):
+    """A crossed state between two log lines counts."""
+    views = spark.createDataFrame([("v", "s", g, g, g, [(105 if g == 7 else 99, 1)], [(101, 1)]) for g in range(1, 12)], f"venue string, symbol string, gen long, arrival long, last_seq long, bids {LEVELS}, asks {LEVELS}")
+    faults = spark.createDataFrame([], "venue string, symbol string, arrival long, kind string")
+    assert [r["crossed"] for r in R.count_crossed(R.best_series(views, faults)).collect()] == [1] * 11
