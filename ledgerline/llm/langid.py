@@ -5,36 +5,43 @@ the longest match with the labelled text from where the last phrase ended. The l
 for each byte wins.
 
 Greedy parsing only moves forward, so automaton and restarts make one table: (state, byte class) to the next state and
-whether a phrase ended. Texts are parsed in segments of SEGMENT bytes, thousands side by side; a segment adds one phrase
-at most, to every language alike. Training text is bounded for each language (TRAIN_DOCS rows of TRAIN_DOC bytes at most,
-TRAIN_BYTES in all), so the tables that are broadcast are bounded too; all text is parsed.
+whether a phrase ended. Texts are parsed in segments of SEGMENT bytes, thousands side by side, first as if a phrase began
+at each segment; then segments that the one before enters in another state are parsed again from that state until they
+meet the first parse, which they soon do. The result is the parse of the whole text.
+
+Training text is bounded: LANGUAGES languages, those with most labelled rows; of each a slice of TRAIN_SLICE characters
+of TRAIN_ROWS labelled rows, TRAIN_BYTES in all (less if TRAIN_TOTAL does not suffice for all languages). Only this text
+is collected and broadcast; every task builds the tables from it once. All text is parsed.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, whole_row
 from .textbytes import split_batch, text_buffer
 
+LANGUAGES = 128
+TRAIN_TOTAL = 262_144
 TRAIN_BYTES = 32_768
-TRAIN_DOCS = 64
-TRAIN_DOC = 65_536
+TRAIN_ROWS = 256
+TRAIN_SLICE = 512
 SEGMENT = 512
+#: Bytes after which a segment that is parsed again is compared with its first parse.
+STRIDE = 64
 
 
 def byte_map() -> np.ndarray:
-    """Folds bytes: letters to lower case (of two-byte Latin letters too), other ASCII to a space."""
+    """Lower-case letters and bytes above ASCII stay, other ASCII is a space."""
     m = np.arange(256, dtype=np.uint8)
     m[:128] = 32
-    for c in range(ord("a"), ord("z") + 1):
-        m[c] = m[c - 32] = c
-    m[0x80:0x9F] += 0x20
+    m[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
     return m
 
 
@@ -42,10 +49,13 @@ FOLD = byte_map()
 
 
 def folded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that lie end to end, with bytes folded and runs of spaces cut to one; and their ends."""
+    """Texts (lower case) that lie end to end, with bytes folded and runs of spaces within a text cut to one; and their
+    ends. A text's bytes do not depend on the texts beside it."""
     out = FOLD[data]
     keep = out != 32
     keep[1:] |= out[:-1] != 32
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    keep[starts[starts < len(out)]] = True
     kept = np.concatenate([[0], np.cumsum(keep)])
     return out[keep], kept[ends]
 
@@ -110,71 +120,131 @@ class Model:
 
     def phrases(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases of each text for each language; texts lie end to end in data (uint8), ends are their ends."""
-        data, ends = folded(data, ends)
+        return self.parsed(*folded(data, ends))
+
+    def parsed(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases of folded texts."""
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         parts = -(-(ends - starts) // SEGMENT)
         doc = np.repeat(np.arange(len(ends)), parts)
-        first = np.repeat(starts, parts) + (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        if not len(doc):
+            return np.zeros((len(self.langs), len(ends)))
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(starts, parts) + place * SEGMENT
         size = np.minimum(first + SEGMENT, ends[doc]) - first
         order = np.argsort(-size, kind="stable")  # long ones first: those still running are a prefix
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        before = np.where(place > 0, at[np.arange(len(order)) - 1], -1)[order]
         first, size, doc = first[order], size[order], doc[order]
         symbols = self.classes[data]
-        running = len(size) - np.searchsorted(size[::-1], np.arange(SEGMENT), side="right")
-        counts = np.zeros((len(self.langs), len(size)), np.int32)
-        state = np.zeros((len(self.langs), len(size)), np.int32)
-        for t in range(int(size.max(initial=0))):
-            n = running[t]
-            sym = symbols[first[:n] + t]
-            for k, table in enumerate(self.tables):
-                v = table[state[k, :n] + sym]
-                counts[k, :n] += v & 1
-                state[k, :n] = v >> 1
-        return np.stack([np.bincount(doc, c, minlength=len(ends)) for c in counts]) if len(size) else np.zeros((len(self.langs), len(ends)))
+        most = int(size[0])
+        grid = np.stack([symbols[np.minimum(first + t, len(symbols) - 1)] for t in range(most)])
+        counts = [self.walk(table, grid, size, before) for table in self.tables]
+        return np.stack([np.bincount(doc, c, minlength=len(ends)) for c in counts])
+
+    @staticmethod
+    def walk(table: np.ndarray, grid: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each segment. grid: a column of byte classes a segment, of which `size` count (they
+        fall); before: the segment before it in its text, or -1."""
+        most, n = grid.shape
+        running = n - np.searchsorted(size[::-1], np.arange(most), side="right")
+        marks = -(-most // STRIDE)
+        states, counts = np.zeros((marks, n), np.int32), np.zeros((marks, n), np.int32)
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for t in range(most):
+            m = running[t]
+            v = table[state[:m] + grid[t, :m]]
+            count[:m] += v & 1
+            state[:m] = v >> 1
+            if (t + 1) % STRIDE == 0 or t + 1 == most:
+                states[t // STRIDE], counts[t // STRIDE] = state, count
+        entered = np.zeros(n, np.int32)
+        while True:
+            wanted = np.where(before >= 0, states[-1][before], 0)
+            again = np.flatnonzero(wanted != entered)
+            if not len(again):
+                return counts[-1]
+            entered[again] = wanted[again]
+            state, count = wanted[again], np.zeros(len(again), np.int32)
+            for mark in range(marks):
+                for t in range(mark * STRIDE, min((mark + 1) * STRIDE, most)):
+                    v = table[state + grid[t, again]]
+                    on = t < size[again]
+                    count += (v & 1) * on
+                    state = np.where(on, v >> 1, state)
+                met = state == states[mark, again]
+                # from here on the parse is the one known, with another count so far
+                counts[mark:, again[met]] += count[met] - counts[mark, again[met]]
+                states[mark, again[~met]], counts[mark, again[~met]] = state[~met], count[~met]
+                again, state, count = again[~met], state[~met], count[~met]
+                if not len(again):
+                    break
+
+
+@functools.lru_cache(maxsize=2)
+def model_of(text: tuple[tuple[str, bytes], ...]) -> Model:
+    """The model of a training text, built once in a worker."""
+    return Model(dict(text))
 
 
 def labelled_text(docs: DataFrame) -> dict[str, bytes]:
-    """Training text for each language: TRAIN_DOCS labelled rows in the order of a digest, TRAIN_BYTES in all at most.
+    """Training text for each language, in lower case: slices of labelled rows in the order of a digest.
 
-    Rows in training: lang not null, text not null and of TRAIN_DOC bytes at most.
+    A slice begins at a place that the row's digest chooses, so rows of any length take part. Slices without a letter
+    are passed over; a language that has no other is not learned.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_DOC))
-    ranked = known.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), F.xxhash64("text"))).alias("_r"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "lang").alias("_h"), F.xxhash64("text").alias("_x"))
+    # a row a language, LANGUAGES at most
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not langs:
+        return {}
+    begin = 1 + F.pmod(F.xxhash64("_h", "_x"), F.greatest(F.length("text") - TRAIN_SLICE, F.lit(0)) + 1)
+    slices = known.where(F.col("lang").isin(langs)).select("lang", "_h", "_x", F.lower(F.substr("text", begin.cast("int"), F.lit(TRAIN_SLICE))).alias("s")).where(F.col("s").rlike(r"\p{L}"))
+    ranked = slices.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_x"))).where(F.col("_r") <= TRAIN_ROWS)
+    most = min(TRAIN_BYTES, TRAIN_TOTAL // len(langs))
     out: dict[str, bytes] = {}
-    for row in sorted(ranked.where(F.col("_r") <= TRAIN_DOCS).collect(), key=lambda r: (r["lang"], r["_r"])):
-        out[row["lang"]] = (out.get(row["lang"], b"") + b"\n" + row["text"].encode())[:TRAIN_BYTES]
+    # bounded: TRAIN_ROWS slices of LANGUAGES languages
+    for row in sorted(ranked.select("lang", "s", "_r").collect(), key=lambda r: (r["lang"], r["_r"])):
+        out[row["lang"]] = (out.get(row["lang"], b"") + b"\n" + row["s"].encode())[:most]
     return out
 
 
 def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and phrase_rate (phrases for each byte in the winning language) of every row of docs.
+    """doc_id, lang_pred, score and phrase_rate of every row of docs, by the labelled rows of training.
 
-    score: 1 less the winner's rate over the runner-up's, 0 to 1; 1 if only one language was learned. Ties go to the
-    language first in order. Null text, text without a letter, or nothing learned: `und`, score 0, rate null. doc_id may
-    be null or repeat: rows are judged one by one. Languages with a null or empty sample are not learned. keep: further
-    columns to carry along; others are ignored.
+    score: 1 less the winner's rate over the runner-up's, 0 to 1; 1 if only one language was learned. phrase_rate: phrases
+    beyond the first for each folded byte in the winning language. Ties go to the language first in order. Null text,
+    text without a letter, or nothing learned: `und`, score 0, rate null. doc_id may be null or repeat: rows are judged
+    one by one, alike in any company. keep: further columns to carry along; others are ignored.
     """
-    text = labelled_text(training)
+    return identified(docs, labelled_text(training), keep)
+
+
+def identified(docs: DataFrame, text: dict[str, bytes], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same by a training text that is at hand."""
     spark = docs.sparkSession
-    chosen = docs.select(*dict.fromkeys(("doc_id", *keep)), F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    chosen = docs.select(*dict.fromkeys(("doc_id", *keep)), F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     if not text:
         return chosen.drop("_text", "_letters").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "phrase_rate": F.lit(None).cast("double")})
-    shared = spark.sparkContext.broadcast(Model(text))
+    shared = spark.sparkContext.broadcast(tuple(sorted(text.items())))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = model_of(shared.value)
         for whole in batches:
             for batch in split_batch(whole, "_text"):
-                texts = batch.column("_text")
-                offsets, data = text_buffer(texts)
-                counts = model.phrases(data, offsets[1:])
-                size = np.maximum(np.diff(offsets), 1)  # a rate a byte of the text as it is
+                offsets, raw = text_buffer(batch.column("_text"))
+                data, ends = folded(raw, offsets[1:])
+                counts = model.parsed(data, ends)
+                size = np.maximum(np.diff(np.concatenate([[0], ends])), 1)
                 best = np.argmin(counts, axis=0)
                 least = counts[best, np.arange(len(size))]
                 second = np.sort(counts, axis=0)[1] if len(model.langs) > 1 else np.full(len(size), np.inf)
                 ok = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
                 score = np.where(ok, 1 - least / np.maximum(second, 1e-9), 0.0)
                 cols = {c: batch.column(c) for c in batch.schema.names if c not in ("_text", "_letters")}
-                cols |= {"lang_pred": pa.array(np.where(ok, np.asarray(model.langs, object)[best], "und"), pa.string()), "score": pa.array(np.clip(score, 0, 1)), "phrase_rate": pa.array(least / size, mask=~ok)}
+                rate = np.maximum(least - 1, 0) / size
+                cols |= {"lang_pred": pa.array(np.where(ok, np.asarray(model.langs, object)[best], "und"), pa.string()), "score": pa.array(np.clip(score, 0, 1)), "phrase_rate": pa.array(rate, mask=~ok)}
                 yield pa.RecordBatch.from_pydict(cols)
 
     kept = [f for f in chosen.schema if f.name not in ("_text", "_letters")]
@@ -182,21 +252,31 @@ def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ()) -
     return chosen.mapInArrow(judged, f"{schema}, lang_pred string, score double, phrase_rate double")
 
 
-def in_known_language(docs: DataFrame, most_phrases: float = 0.6) -> DataFrame:
-    """The rows of docs whose text is in a language that docs labels: und goes, and so does text that every language
-    needs more than most_phrases phrases a byte for. Without any label nothing can be judged and all rows stay."""
-    if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
+def in_known_language(docs: DataFrame, margin: float = 1.5, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text is in a language that docs labels: und goes, and so does text that needs too many
+    phrases a byte in every language.
+
+    The limit is calibrated on labelled rows that nothing is learned from, all of them: margin times the rate that one in
+    a thousand of them exceeds, never below `least`. Where nothing was learned (no label, or no labelled text with a
+    letter) nothing can be judged and all rows stay, null text too.
+    """
+    aside = F.col("lang").isNotNull() & held_out(F.col("doc_id"))
+    text = labelled_text(docs.where(~aside)) or labelled_text(docs)
+    if not text:
         return docs
-    found = identify(docs.select("doc_id", "text", whole_row(docs)), docs, keep=("_row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases)).select("_row.*")
+    rates = identified(docs.where(aside).select("doc_id", "text"), text)
+    usual = rates.agg(F.percentile_approx("phrase_rate", 0.999, 100_000)).first()[0]
+    found = identified(docs.select("doc_id", "text", whole_row(docs)), text, keep=("_row",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= max(least, margin * (usual or 0.0)))).select("_row.*")
 
 
-def held_out(doc_id) -> "F.Column":
+def held_out(doc_id: Column) -> Column:
     """The fifth of rows that nothing is learned from: crc32 of the id as text, modulo 5; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from labelled ones with an id that are not held out (see identify)."""
     docs = read(spark, sf_dir, "documents")
     found = identify(docs, docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate")
