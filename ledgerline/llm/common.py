@@ -39,11 +39,14 @@ def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint directory.
 
-    A temporary folder is used only if the session names none (tests, one machine).
+    A temporary folder is used only if the session names none and runs on one machine; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
     return sc.getCheckpointDir()
 
 
@@ -64,6 +67,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few short columns that a broadcast may hold.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, n_rows: int) -> DataFrame:
+    """df for a join, broadcast only if its counted rows are few enough; else Spark deals out both sides."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
 def power_of_two(n: int, most: int) -> int:
     """The least power of two that is n at least, within 1 and most."""
     p = 1
