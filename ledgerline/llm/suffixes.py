@@ -13,10 +13,15 @@ windows moves as one row, about one for 85 bytes of text:
 2. The second digit is the digest of the bytes that a run covers. An anchor all of whose runs agree is done: all its
    windows repeat, as do those of any run that another one equals.
 3. The remaining runs (edges of passages, edited copies) are sorted window by window, digits of eight bytes down to the
-   depth, in tasks that hold many anchors each. An anchor with more than WIDE different runs is sorted by Spark instead,
-   a row for each window.
+   depth, in tasks that hold many anchors each.
 
-Digests of the first two passes have 128 bits together; the last pass compares bytes (digests for wide anchors).
+An anchor with more than WIDE different runs is too much for one task; Spark passes over it first. The windows of a run
+are halved by the anchor's offset in them. All windows of one half hold more bytes to the anchor's right, all of the
+other more to its left; these bytes are the next digit of their part of the run. Groups of WIDE parts at most go to
+step 3, larger ones are halved again, until a part is one window and its digits are all of its bytes. So a row stays a
+run, or a part of one, and no group of any size meets in one task.
+
+Keys of the first passes and of halves are digests of 128 bits; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -24,21 +29,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, read, settle, whole_row
+from .common import discard, if_small, read, settle, whole_row
 from .textbytes import RangeHash, mix, split_batch, text_buffer
 
 LENGTH = 200
 GRAM = 32
-#: Runs of a task of the last pass; different runs of an anchor that one task still sorts (their windows take about
-#: 150 MB), beyond which Spark sorts a row for each window.
+#: Runs of a task of the last pass, and different runs of an anchor that one task still sorts: their windows take about
+#: 20 MB.
 RUNS_PER_TASK = 2000
-WIDE = 20_000
+WIDE = 2000
 _POSITION_BITS = 24
 _SEGMENT = 1 << 23
 _U = np.uint64
@@ -132,6 +137,76 @@ def repeated_windows(key: np.ndarray, offset: np.ndarray, start: np.ndarray, dat
     return out
 
 
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Small numbers for a column's values; null is -1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+
+def sort_parts(parts: DataFrame, tasks: int, length: int) -> DataFrame:
+    """(doc_id, h, lo, last) of the windows of parts that equal a window of another part of the same key.
+
+    parts: key, doc_id, h, c, lo, at, hi, bytes; those with c > 1 are there to compare with. Ids stay in Arrow.
+    """
+
+    def sort_runs(table: pa.Table) -> pa.Table:
+        names = ("h", "lo", "at", "hi", "c")
+        key, doc = codes(table.column("key")), codes(table.column("doc_id"))
+        h, lo, at, hi, c = (table.column(x).to_numpy().astype(np.int64) for x in names)
+        order = np.lexsort((lo, h, doc, key))
+        same = np.concatenate([[False], np.all([x[order][1:] == x[order][:-1] for x in (key, doc, h, lo)], axis=0)])
+        rows = np.sort(order[~same])  # repeated rows bring their text twice
+        key, lo, at, hi, c = (x[rows] for x in (key, lo, at, hi, c))
+        ends, data = text_buffer(table.column("bytes").combine_chunks().take(pa.array(rows)))
+        base = ends[:-1]
+        n = hi - lo + 1
+        run = np.repeat(np.arange(len(rows)), n)
+        within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        found = repeated_windows(key[run], (at - lo)[run] - within, base[run] + within, data, length)
+        found &= (c == 1)[run]
+        a = np.flatnonzero(found & np.concatenate([[True], ~found[:-1] | (run[1:] != run[:-1])])) if len(run) else np.zeros(0, int)
+        b = np.flatnonzero(found & np.concatenate([~found[1:] | (run[1:] != run[:-1]), [True]])) if len(run) else np.zeros(0, int)
+        own = pa.array(rows[run[a]])
+        return pa.table({"doc_id": table.column("doc_id").take(own), "h": table.column("h").take(own), "lo": pa.array(lo[run[a]] + within[a], pa.int32()), "last": pa.array(lo[run[b]] + within[b], pa.int32())})
+
+    return parts.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("_task")).applyInArrow(sort_runs, "doc_id long, h long, lo int, last int")
+
+
+def halved(parts: DataFrame, length: int) -> DataFrame:
+    """Parts (with p, q: the offsets of the anchor in their windows are p to q) halved, with the next digit in the key."""
+    m = "(p + q) div 2"
+    # bytes begin at lo; the anchor's right side is known up to at + length - q, its left side from at - p
+    right = f"substring(bytes, at + {length} - q - lo + 1, q - {m})"
+    left = f"substring(bytes, at - {m} - lo, {m} + 1 - p)"
+    half = lambda side, digit, p, q: F.expr(f"named_struct('key', md5(concat(cast(concat(key, '{side}') as binary), {digit})), 'p', {p}, 'q', {q}, 'lo', greatest(lo, at - ({q})), 'hi', least(hi, at - ({p})))")
+    both = F.filter(F.array(half("r", right, "p", f"int({m})"), half("l", left, f"int({m} + 1)", "q")), lambda x: x["lo"] <= x["hi"])
+    out = parts.select("doc_id", "h", "c", "at", "bytes", F.col("lo").alias("from"), F.explode(both).alias("x"))
+    return out.select("x.key", "doc_id", "h", "c", "x.lo", "at", "x.hi", F.expr(f"substring(bytes, x.lo - from + 1, x.hi - x.lo + {length})").alias("bytes"), "x.p", "x.q")
+
+
+def split_wide(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Parts of wide anchors by passes over halves: written tables of parts in groups of WIDE at most, and of
+    (doc_id, h, lo, last) of single windows that repeat."""
+    narrow, repeated = [], []
+    parts = settle(parts.withColumns({"p": F.lit(0), "q": F.lit(length - min(GRAM, length))}), "wide")
+    # halves of less than a window end this: a pass for each doubling of a window's offsets
+    while True:
+        halves = settle(halved(parts.where("p < q"), length).unionByName(parts.where("p = q")), "wide")
+        discard(parts)
+        sizes = settle(halves.groupBy("key").count().where("count > 1"), "wide-keys")
+        big = settle(sizes.where(F.col("count") > WIDE).select("key"), "wide-keys")
+        n_big = big.count()
+        many = if_small(big, n_big)
+        narrow.append(settle(halves.join(many, "key", "left_anti").join(sizes.select("key"), "key", "left_semi"), "narrow"))
+        wide = halves.join(many, "key", "left_semi")
+        repeated.append(settle(wide.where("p = q").select("doc_id", "h", "lo", F.col("hi").alias("last")), "wide-windows"))
+        parts = settle(wide.where("p < q"), "wide")
+        discard(halves, sizes, big)
+        if not n_big or not parts.limit(1).count():
+            discard(parts)
+            return narrow, repeated
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, spans): the byte ranges (start, end) of windows that repeat, of each text that has any.
 
@@ -143,53 +218,39 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     # a table of its own, so that the join deals out both sides and can split a hot anchor
     counted = settle(counted.select("key", (F.col("_a") != F.col("_b")).alias("differ")), "run-keys")
     hits = settle(flat.join(counted, "key"), "run-hits")
+    # texts that are there more than once under one id: their runs come once
+    copies = settle(runs.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "run-copies")
     discard(runs, counted)
     done = hits.where("not differ").select("doc_id", "h", "lo", F.col("hi").alias("last"))
     open_ = hits.where("differ")
     kinds = open_.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "lo", "at", "hi")).alias("r"))
     kinds = settle(kinds.select("key", "digest", "c", "r.*"), "run-kinds")
-    twice = open_.join(kinds.where("c > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("doc_id", "h", "lo", F.col("hi").alias("last"))
-    n_kinds = kinds.count()
-    wide = kinds.groupBy("key").agg(F.count("*").alias("_k")).select("key", (F.col("_k") > WIDE).alias("wide"))
-    asked = kinds.join(wide, "key").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "c", "lo", "at", "hi", "wide")).alias("asked"))
-    contexts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
-    contexts = contexts.select("doc_id", "h", F.col("text").cast("binary").alias("text"), F.explode("asked").alias("x")).select("doc_id", "h", "x.*", F.expr(f"substring(text, x.lo + 1, x.hi - x.lo + {length})").alias("bytes"))
+    hot = settle(kinds.where((F.col("c") > 1) & (F.col("c") > WIDE)).select("key", "digest"), "hot-kinds")
+    n_hot, n_kinds, n_copies = hot.count(), kinds.count(), copies.count()
+    on, ends = ["key", "digest"], lambda df: df.select("doc_id", "h", "lo", F.col("hi").alias("last"))
+    # rows of a hot kind meet its one row where they are; the others are dealt out
+    twice = ends(open_.join(if_small(hot, n_hot), on, "left_anti").join(kinds.where("c > 1").select(*on), on, "left_semi"))
+    twice = twice.unionByName(ends(open_.join(if_small(hot, n_hot), on, "left_semi")))
+    wide = settle(kinds.groupBy("key").agg(F.count("*").alias("_k")).where(F.col("_k") > WIDE).select("key", F.lit(True).alias("wide")), "wide-anchors")
+    n_wide = wide.count()
+    asked = kinds.join(if_small(wide, n_wide), "key", "left").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "c", "lo", "at", "hi", "wide")).alias("asked"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    contexts = rows.join(asked, same).drop("_d", "_h")
+    contexts = contexts.select("doc_id", "h", F.col("text").cast("binary").alias("text"), F.explode("asked").alias("x")).select("doc_id", "h", F.col("x.key").cast("string").alias("key"), "x.c", "x.lo", "x.at", "x.hi", F.coalesce("x.wide", F.lit(False)).alias("wide"), F.expr(f"substring(text, x.lo + 1, x.hi - x.lo + {length})").alias("bytes"))
+    if n_copies:
+        again = if_small(copies, n_copies)
+        contexts = contexts.join(again, same, "left_anti").unionByName(contexts.join(again, same, "left_semi").dropDuplicates(["doc_id", "h", "key", "lo"]))
     contexts = settle(contexts, "run-bytes")
-    tasks = max(1, -(-n_kinds // RUNS_PER_TASK))
-
-    def sort_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "doc_id", "h", "lo"])  # repeated rows bring their text twice
-        data = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-        base = np.cumsum([0, *map(len, pdf["bytes"])])[:-1]
-        lo, at, hi = (pdf[c].to_numpy(np.int64) for c in ("lo", "at", "hi"))
-        n = hi - lo + 1
-        run = np.repeat(np.arange(len(pdf)), n)
-        within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        found = repeated_windows(pdf["key"].to_numpy()[run], (at - lo)[run] - within, base[run] + within, data, length)
-        found &= (pdf["c"].to_numpy() == 1)[run]
-        a = np.flatnonzero(found & np.concatenate([[True], ~found[:-1] | (run[1:] != run[:-1])])) if len(run) else np.zeros(0, int)
-        b = np.flatnonzero(found & np.concatenate([~found[1:] | (run[1:] != run[:-1]), [True]])) if len(run) else np.zeros(0, int)
-        own = run[a]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[own], "h": pdf["h"].to_numpy()[own], "lo": lo[own] + within[a], "last": lo[own] + within[b]})
-
-    narrow = contexts.where("not wide").groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("_task")).applyInPandas(sort_runs, "doc_id long, h long, lo int, last int")
-
-    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                one = RangeHash(data).every(length)
-                two = RangeHash(data[::-1]).every(length)[::-1]
-                m = len(one)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_id"]] * m, pa.int64()), "h": pa.array([row["h"]] * m, pa.int64()), "c": pa.array([row["c"]] * m, pa.int64()), "lo": pa.array(row["lo"] + np.arange(m), pa.int32()), "w1": pa.array(one.view(np.int64)), "w2": pa.array(np.ascontiguousarray(two).view(np.int64))})
-
-    windows = contexts.where("wide").mapInArrow(each_window, "doc_id long, h long, c long, lo int, w1 long, w2 long")
-    many = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").select("w1", "w2")
-    loose = windows.where("c = 1").join(many, ["w1", "w2"], "left_semi").select("doc_id", "h", "lo", F.col("lo").alias("last"))
-    every = done.unionByName(twice).unionByName(narrow).unionByName(loose)
+    narrow, single = split_wide(contexts.where("wide").drop("wide"), length) if n_wide else ([], [])
+    parts = contexts.where("not wide").drop("wide")
+    for more in narrow:
+        parts = parts.unionByName(more.drop("p", "q"))
+    every = done.unionByName(twice).unionByName(sort_parts(parts, max(1, -(-n_kinds // RUNS_PER_TASK)), length))
+    for more in single:
+        every = every.unionByName(more)
     spans = every.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("start"), (F.col("last") + length).alias("end")))).alias("spans"))
     spans = settle(spans, "spans")
-    discard(hits, kinds, contexts)
+    discard(hits, copies, kinds, hot, wide, contexts, *narrow, *single)
     return spans
 
 
@@ -256,4 +317,5 @@ def cut_digest(cut: DataFrame) -> DataFrame:
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its bytes in repeated windows of LENGTH bytes, as counts and a digest (see cut_repeats)."""
     return cut_digest(cut_repeats(read(spark, sf_dir, "documents")))
