@@ -10,8 +10,13 @@ blocks, and the quota is what the walk needs for the share TARGET of these neigh
 walk, noise a long one, and recall holds for either.
 
 Codebooks are fitted on a bounded sample (SAMPLE vectors in the order of a digest); all vectors are indexed. Equal
-vectors are indexed once, with the least ids that a result can hold, so copies of a vector cost nothing more. Vectors
-of a first-half centroid are dealt into chunks of CHUNK, and so are the queries that reach it.
+vectors are indexed once, with the least ids that a result can hold, so copies of a vector cost nothing more. First-half
+centroids lie in blocks, neighbours together; a block holds BLOCK_BYTES of vectors at most, and a centroid with more has
+blocks of its own. A query comes once to each block that it reaches, so what is copied grows with queries times blocks,
+not with cells.
+
+Within a block the best entries are told by a matrix product, whose rounding is bounded: all entries within that bound
+of the k-th best stay, and are then ordered by the exact cosine and their ids.
 """
 
 from __future__ import annotations
@@ -24,12 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import power_of_two, read, settle
+from .common import discard, power_of_two, read, settle
 
 SAMPLE = 16_384
 CALIBRATION = 128
 TARGET = 0.98
+#: Queries that come to a block at a time.
 CHUNK = 256
+#: Vectors of a block, in bytes; blocks that a small table still has, for tasks to run side by side.
+BLOCK_BYTES = 4_000_000
+BLOCKS = 64
 #: Scored entries that a task holds before it reduces them to each query's best.
 HELD = 400_000
 #: Centroids a half, at most: bounds the table of cells to CENTROIDS squared.
@@ -83,27 +92,66 @@ def matrix(packed, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float64).reshape(-1, dim)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, which is exact, so that no square overflows."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, initial=0.0))
+    return np.ldexp(v, -exponent[:, None])
+
+
 def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact cosine of paired rows, in double precision."""
+    q, v = scaled(q), scaled(v)
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
+def slack(dim: int) -> float:
+    """Twice the most by which a cosine from unit vectors can be off, of `dim` products and their sum."""
+    return 8 * (dim + 8) * np.finfo(np.float64).eps
+
+
+def blocks_of(book: np.ndarray, counts: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each first-half centroid.
+
+    Centroids are taken in the order of their main direction and share a block while it has room.
+    """
+    per = int(max(1, min(BLOCK_BYTES // (8 * dim), -(-counts.sum() // BLOCKS))))
+    centred = book - book.mean(axis=0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    base, many = np.zeros(len(book), np.int64), np.ones(len(book), np.int64)
+    block, room = -1, 0
+    for i in order:
+        if counts[i] > per:
+            many[i] = -(-counts[i] // per)
+            base[i], block, room = block + 1, block + many[i], 0
+        else:
+            if counts[i] > room or block < 0:
+                block, room = block + 1, per
+            base[i] = block
+            room -= counts[i]
+    return base, many
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARGET) -> DataFrame:
     """The k nearest of each vector whose vec_id is divisible by every, among all others: query_id, rank, vec_id, score.
 
-    Takes no part: null vec_id; null, empty or zero vectors; null or non-finite components; vectors of another length
-    than most have (ties: the shorter). Rows that repeat a vec_id with another vector are candidates of their own, never
-    neighbours of that vec_id. Equal vectors all count. Score ties go to the smaller vec_id. No vectors, no rows. Other
-    columns are ignored.
+    Takes no part: null vec_id; null, empty or zero vectors; null or non-finite components. Vectors of different lengths
+    have no cosine: each length has an index of its own, so lengths should be few. Rows that repeat a vec_id with another
+    vector are candidates of their own, never neighbours of that vec_id. Equal vectors all count. Score ties go to the
+    smaller vec_id. A target of 1 visits every cell. No vectors, no rows. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where(valid(F.col("e")))
-    common = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return empty
-    dim = common["n"]
-    rows = rows.where(F.size("e") == dim)
+    # a row a length
+    lengths = [r["n"] for r in rows.groupBy(F.size("e").alias("n")).count().orderBy("n").collect()]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, dim in enumerate(lengths):
+        found = search_length(rows.where(F.size("e") == dim), dim, every, k, target)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float) -> DataFrame:
+    """search() among vectors of one length (vec_id, e)."""
+    spark = rows.sparkSession
     least = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     asked = rows.where(F.col("vec_id") % every == 0)
     unique = least.groupBy("e").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -134,26 +182,36 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARG
                 yield pdf.assign(i=d1.argmin(1).astype(np.int32), j=d2.argmin(1).astype(np.int32))
 
     index = settle(unique.mapInPandas(assign, "uid long, ids array<long>, asks boolean, e binary, i int, j int"), "ann-index")
+    discard(unique)
     cells = np.zeros((width, width), np.int64)
     for r in index.groupBy("i", "j").count().collect():  # bounded: a row a cell
         cells[r["i"], r["j"]] = r["count"]
-    quota = calibrate(index, order, cells, halves, shared, dim, k, target)
+    quota = int(cells.sum()) if target >= 1 else calibrate(index, order, cells, halves, shared, dim, k, target)
+    base, many = blocks_of(books[0], cells.sum(axis=1), dim)
+    walk = spark.sparkContext.broadcast((cells, base, many))
 
     def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, base, many = walk.value
         for pdf in batches:
             if len(pdf):
                 d1, d2 = halves(matrix(pdf["e"], dim), shared.value)
                 limit = np.array([reach(a, b, cells, quota) for a, b in zip(d1, d2)])
-                q, i = np.nonzero(d1 + d2.min(1)[:, None] <= limit[:, None])
-                yield pd.DataFrame({"i": i.astype(np.int32), "q": pdf["uid"].to_numpy()[q], "qe": pdf["e"].to_numpy()[q], "lim": limit[q]})
+                limit += 1e-9 * (1 + np.abs(limit))  # distances are computed again in blocks, and rounded otherwise
+                hit = (d1 + d2.min(1)[:, None] <= limit[:, None]) & (cells.sum(axis=1) > 0)
+                q, b = [], []
+                for p, row in enumerate(hit):
+                    own = np.unique(np.concatenate([np.arange(base[i], base[i] + many[i]) for i in np.flatnonzero(row)])) if row.any() else np.zeros(0, np.int64)
+                    q.append(np.full(len(own), p))
+                    b.append(own)
+                q, b = np.concatenate(q), np.concatenate(b)
+                yield pd.DataFrame({"b": b.astype(np.int64), "q": pdf["uid"].to_numpy()[q], "qe": pdf["e"].to_numpy()[q], "lim": limit[q]})
 
     asking = index.where("asks")
-    chunks_q = max(1, -(-asking.count() // CHUNK))
-    chunks_v = F.element_at(F.array(*[F.lit(int(max(1, -(-c // CHUNK)))) for c in cells.sum(1)]), F.col("i") + 1)
-    queries = asking.select("uid", "e").mapInPandas(reached, "i int, q long, qe binary, lim double")
-    queries = queries.groupBy("i", F.pmod(F.xxhash64("q"), F.lit(chunks_q)).alias("qs")).agg(F.collect_list(F.struct("q", "lim", "qe")).alias("qs_"))
-    queries = queries.withColumn("s", F.explode(F.sequence(F.lit(0), chunks_v - 1)))
-    blocks = index.withColumn("s", F.pmod(F.xxhash64("uid"), chunks_v).cast("int")).groupBy("i", "s").agg(F.collect_list(F.struct("uid", "ids", "j", "e")).alias("vs_"))
+    chunks = max(1, -(-asking.count() // CHUNK))
+    queries = asking.select("uid", "e").mapInPandas(reached, "b long, q long, qe binary, lim double")
+    queries = queries.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(chunks)).alias("qs")).agg(F.collect_list(F.struct("q", "lim", "qe")).alias("qs_"))
+    of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("i") + 1)
+    blocks = index.withColumn("b", (of(base) + F.pmod(F.xxhash64("uid"), of(many))).cast("long")).groupBy("b").agg(F.collect_list(F.struct("uid", "ids", "i", "j", "e")).alias("vs_"))
 
     def best_of(frames: list[pd.DataFrame]) -> pd.DataFrame:
         """The k + 1 best of each query (equal vectors are one entry)."""
@@ -163,18 +221,20 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARG
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
-            for i, qs, vs in zip(pdf["i"], pdf["qs_"], pdf["vs_"]):
+            for qs, vs in zip(pdf["qs_"], pdf["vs_"]):
                 q, v = matrix([r["qe"] for r in qs], dim), matrix([r["e"] for r in vs], dim)
+                ids = np.array([r["q"] for r in qs], np.int64)
+                uids = np.array([r["uid"] for r in vs], np.int64)
                 d1, d2 = halves(q, shared.value)
-                j = np.array([r["j"] for r in vs])
-                near = np.where(d1[:, i][:, None] + d2[:, j] <= np.array([r["lim"] for r in qs])[:, None], unit(q) @ unit(v).T, -np.inf)
-                most = min(len(vs), k + 4)
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                a, b = np.repeat(np.arange(len(qs)), most), best.ravel()
-                seen = near[a, b] > -np.inf
-                a, b = a[seen], b[seen]
-                held.append(pd.DataFrame({"q": np.array([r["q"] for r in qs], np.int64)[a], "uid": np.array([r["uid"] for r in vs], np.int64)[b], "ids": [vs[x]["ids"] for x in b], "score": cosine(q[a], v[b])}))
-                size += len(a)
+                i, j = np.array([r["i"] for r in vs]), np.array([r["j"] for r in vs])
+                near = np.where(d1[:, i] + d2[:, j] <= np.array([r["lim"] for r in qs])[:, None], unit(q) @ unit(v).T, -np.inf)
+                most = min(len(vs), k + 1)
+                edge = -np.partition(-near, most - 1, axis=1)[:, most - 1]
+                a, b = np.nonzero((near >= edge[:, None] - slack(dim)) & (near > -np.inf))
+                for at in range(0, len(a), HELD):
+                    x, y = a[at : at + HELD], b[at : at + HELD]
+                    held.append(best_of([pd.DataFrame({"q": ids[x], "uid": uids[y], "ids": [vs[z]["ids"] for z in y], "score": cosine(q[x], v[y])})]))
+                    size += len(held[-1])
                 if size > HELD:
                     held = [best_of(held)]
                     if len(held[0]) > HELD // 2:
@@ -183,7 +243,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, target: float = TARG
         if held:
             yield best_of(held).drop(columns="uid")
 
-    found = queries.join(blocks, ["i", "s"]).select("i", "qs_", "vs_").mapInPandas(score, "q long, ids array<long>, score double")
+    found = queries.join(blocks, "b").select("qs_", "vs_").mapInPandas(score, "q long, ids array<long>, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     listed = found.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k + 1)
     asked_ids = asked.select(F.col("vec_id").alias("query_id"), "e").distinct()
@@ -227,4 +287,5 @@ def calibrate(index: DataFrame, order: list, cells: np.ndarray, halves, shared,
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every 50th vector among all others (see search)."""
     return search(read(spark, sf_dir, "embeddings"))
