@@ -4,8 +4,8 @@ Every source is a queue of its documents in seeded-shuffled order, served again
 document's virtual finish time is the source's cumulative words up to and with it, over the source's target. The mix
 takes the entries of all queues in the order of finish times and stops at the total budget.
 
-Cumulative sums are taken in buckets: of the shuffle digest within a source, and of the finish time over all entries.
-Only the one finish-time bucket in which the budget runs out is summed row by row; the last entry taken (one row) then
+Cumulative sums are taken in buckets: of the shuffle digest within a source (see sharding.running, which also spreads
+rows that repeat), and of the finish time over all entries. Only the one finish-time bucket in which the budget runs out is summed row by row; the last entry taken (one row) then
 decides for every document on its own.
 """
 
@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, group_key, power_of_two, read, settle, whole_row, word_count
-from .sharding import BUCKETS, ROWS_PER_BUCKET, digest_bucket
+from .common import group_key, power_of_two, read, settle, whole_row, word_count
+from .sharding import BUCKETS, ROWS_PER_BUCKET, running
 
 #: No document is taken more often.
 EPOCHS = 3
@@ -39,31 +39,27 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epo
     return ranked.select("_g", F.col("size").alias("source_size"), F.coalesce(F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w")), F.col("_cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1") -> DataFrame:
-    """How often the mix takes each document: `times` and `taken` (words), with size, source_size and target.
+def keyed(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """doc_id, _g, size, _u and _at of every row of docs, and more columns, as a written table."""
+    told = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("_g"), word_count(F.col("text")).alias("size"), F.md5(told).alias("_u"), *more)
+    return settle(rows.withColumn("_at", F.monotonically_increasing_id()), "mix-rows")
 
-    Sizes are words. Null text or text without words: size 0, taken 0. Null source: a source of its own, last in order.
-    Null or repeated doc_id: rows count one by one; equal rows are served one after another. An empty table stays empty.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("_g"), word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("_u", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    raw = rows = settle(rows, "mix-rows")
+
+def served(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """_at, doc_id, size, source_size, target and times of every row of keyed()."""
+    rows = rows.select("doc_id", "_g", "size", "_u", "_at")
     n_rows = rows.count()
     buckets = power_of_two(n_rows // ROWS_PER_BUCKET, BUCKETS)
-    rows = rows.withColumn("_b", F.floor(digest_bucket(F.col("_u"), buckets)).cast("int"))
-    sums = rows.groupBy("_g", "_b").agg(F.sum("size").alias("_s"))
-    offsets = sums.select("_g", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # one row a source
     targets = source_targets(rows.groupBy("_g").agg(F.sum("size").alias("size")), weights)
-    queue = Window.partitionBy("_g", "_b").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.join(offsets.join(targets, "_g"), ["_g", "_b"]).withColumn("_cum", F.col("_before") + F.sum("size").over(queue)).drop("_b", "_before")
+    queued = running(rows, "size", n_rows, ROWS_PER_BUCKET).withColumnRenamed("_end", "_cum").join(targets, "_g")
     queued = settle(queued, "mix-queued")
-    discard(raw)
 
     finish = lambda e: (e * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target")
-    key = lambda e: F.struct(finish(e).alias("f"), F.col("_g").alias("g"), F.col("_u").alias("u"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), e.alias("e"))
-    served = (F.col("size") > 0) & (F.col("target") > 0)
-    entries = queued.where(served).select("size", "source_size", F.explode(F.array(*[key(F.lit(e)) for e in range(EPOCHS)])).alias("k"))
+    key = lambda e: F.struct(finish(e).alias("f"), F.col("_g").alias("g"), F.col("_u").alias("u"), e.alias("e"))
+    wanted = (F.col("size") > 0) & (F.col("target") > 0)
+    entries = queued.where(wanted).select("size", "source_size", F.explode(F.array(*[key(F.lit(e)) for e in range(EPOCHS)])).alias("k"))
     entries = entries.withColumn("_t", F.least(F.floor(F.col("k.f") * buckets), F.lit(4 * buckets)).cast("int"))
     budget = queued.agg(F.sum("size")).first()[0] or 0
     totals = entries.groupBy("_t").agg(F.sum("size").alias("_s"))
@@ -77,31 +73,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1")
         cut = within.where(F.col("_run") <= budget).agg(F.max("k").alias("k")).first()["k"]
         below = [F.least(F.floor(finish(F.lit(e)) * buckets), F.lit(4 * buckets)) < last["_t"] for e in range(EPOCHS)]
         if cut is not None:
-            edge = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["g"]).alias("g"), F.lit(cut["u"]).alias("u"), F.lit(cut["d"]).cast("long").alias("d"), F.lit(cut["e"]).alias("e"))
+            edge = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["g"]).alias("g"), F.lit(cut["u"]).alias("u"), F.lit(cut["e"]).alias("e"))
             below = [x | (key(F.lit(e)) <= edge) for e, x in enumerate(below)]
         taken = sum((x.cast("int") for x in below), F.lit(0))
-    out = queued.withColumn("times", F.when(served, taken).otherwise(0).cast("int"))
+    return queued.select("_at", "doc_id", "size", "source_size", "target", F.when(wanted, taken).otherwise(0).cast("int").alias("times"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1") -> DataFrame:
+    """How often the mix takes each document: `times` and `taken` (words), with size, source_size and target.
+
+    Sizes are words. Null text or text without words: size 0, taken 0. Null source: a source of its own, last in order.
+    Null or repeated doc_id: rows count one by one; equal rows are served one after another. An empty table stays empty.
+    Columns other than doc_id, text and source are ignored.
+    """
+    out = served(keyed(docs, seed), weights)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "m1") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs.
+    """The documents of the mix, each row as often as it is taken, with the columns of docs.
 
-    The mix itself works on keys and sizes; whole texts move once, to meet their number of times. Rows that share
-    doc_id and size are taken equally often.
+    The mix itself works on keys and sizes; whole texts move once, to meet their row's number of times.
     """
-    times = mix(docs, weights, seed).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("times").alias("_times")).where("_times > 0")
-    sized = docs.select(F.col("doc_id").cast("long").alias("_doc"), word_count(F.col("text")).alias("_words"), whole_row(docs))
-    chosen = sized.join(times, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return chosen.select(F.explode(F.sequence(F.lit(1), "_times")), "_row").select("_row.*")
+    rows = keyed(docs, seed, whole_row(docs))
+    times = served(rows, weights).where("times > 0").select("_at", "times")
+    chosen = rows.select("_at", "_row").join(times, "_at")
+    return chosen.select(F.explode(F.sequence(F.lit(1), "times")), "_row").select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document (see mix)."""
     return mix(read(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""
-with d as (select doc_id, coalesce('0' || source, '1') g, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, md5('m1:' || coalesce(doc_id::varchar, '')) u from documents),
+with d as (select doc_id, coalesce('0' || source, '1') g, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, md5('m1:' || coalesce(doc_id::varchar, '') || ':' || coalesce(md5(text), '')) u from documents),
 s as (select g, sum(size)::bigint size from d group by g),
 w as (select *, [1, 2, 3][(row_number() over (order by g) - 1) % 3 + 1]::bigint w, size * 3 cap from s),
 r as (select *, cap::double / w::double r from w),
@@ -109,9 +115,9 @@ l as (select *, (sum(size) over () - coalesce(sum(cap) over (order by r, g rows
   / (sum(w) over () - coalesce(sum(w) over (order by r, g rows between unbounded preceding and 1 preceding), 0))::double lev from r),
 v as (select lev from l where lev <= r order by r, g limit 1),
 t as (select g, size source_size, least(cap::double, coalesce((select lev from v) * w, cap::double)) target from l),
-q as (select d.*, source_size, target, sum(size) over (partition by d.g order by u, doc_id, size rows unbounded preceding)::bigint cum from d join t using (g)),
+q as (select d.*, source_size, target, sum(size) over (partition by d.g order by u rows unbounded preceding)::bigint cum from d join t using (g)),
 e as (select doc_id, size, g, u, e, (e * source_size + cum)::double / target f from q, range(3) x(e) where size > 0 and target > 0),
-c as (select doc_id, u, size, sum(size) over (order by f, g, u, doc_id, e rows unbounded preceding) run from e),
+c as (select doc_id, u, size, sum(size) over (order by f, g, u, e rows unbounded preceding) run from e),
 k as (select doc_id, count(*) times from c where run <= (select sum(size) from d) group by doc_id)
 select d.doc_id, d.size::bigint size, t.source_size, t.target, (d.size * coalesce(k.times, 0))::bigint taken, coalesce(k.times, 0)::int times
 from d join t using (g) left join k using (doc_id)
