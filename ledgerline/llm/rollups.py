@@ -1,8 +1,13 @@
 """Token counts kept by deltas: additive totals by source, language and tokenizer version.
 
-A batch of changes is reduced to signed sums for each key and written to a folder of its own; a commit record follows.
-Totals are the sum over committed batches. Delivering a batch again replaces its own folder by the same sums, so it
-cannot count twice, and a batch that was cut short has no record and does not count at all.
+A batch of changes is reduced to signed sums for each key and written to a new folder; then one record in the log says
+that the batch is committed and where its sums are. A batch in the log is never written again, so delivering it twice
+does nothing, and a batch that was cut short has no record and does not count. Totals are maintained: every COMPACT
+batches the last totals and the sums since are added up into new totals, which a record in the log puts in force. So a
+reader adds COMPACT small tables at most, however long the history.
+
+A record is one file that Spark moves into the log when its job commits: it is there whole or not at all. Files without a
+record are left by a crash and are never read. One writer at a time; readers need no care.
 """
 
 from __future__ import annotations
@@ -29,23 +34,82 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(sign.cast("long")).alias("n_docs"), F.sum(change.cast("long")).alias("n_tokens"))
 
 
+#: Batches after which sums are added up into new totals.
+COMPACT = 8
+SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+
+
 class Rollup:
-    """Totals in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Batch ids are any strings but null; an id counts once, whatever it brings later.
+    """
 
-    def commit(self, batch_id: str, changes: DataFrame) -> None:
-        """Add a batch; again with the same id, replace it by itself."""
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}")
-        self.spark.createDataFrame([(batch_id,)], "id string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch_id={batch_id}")
+    def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
+        self.spark, self.path, self.compact = spark, path.rstrip("/"), compact
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.mode("append").parquet(f"{self.path}/{path}")
+
+    def _record(self, kind: str, batch_id: str | None, attempt: str, batches: int) -> None:
+        row = self.spark.createDataFrame([(kind, batch_id, attempt, batches)], "kind string, batch_id string, attempt string, batches long")
+        self._write(row.coalesce(1), "log")
+
+    def _log(self) -> DataFrame:
+        """Records so far. The first record brings the folder."""
+        schema = "kind string, batch_id string, attempt string, batches long"
+        # an empty file of the log's own, so that it can be read before any batch
+        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/log")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/log")
+
+    def _sums(self, attempts: list[str], folder: str) -> DataFrame:
+        paths = [f"{self.path}/{folder}/{a}" for a in attempts]
+        return self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
+
+    def _state(self) -> tuple[DataFrame, list[str], list[str]]:
+        """The log's batches, and the attempts to add up: of the totals in force (or none), and of batches after them."""
+        log = self._log()
+        batches = log.where("kind = 'batch'").groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
+        base = log.where("kind = 'totals'").orderBy(F.desc("batches"), "attempt").first()
+        if base is None:
+            return batches, [], [r["attempt"] for r in batches.collect()]
+        folded = self.spark.read.schema("batch_id string").parquet(f"{self.path}/folded/{base['attempt']}")
+        # bounded: fewer than `compact` batches, and those after a compaction that was cut short
+        return batches, [base["attempt"]], [r["attempt"] for r in batches.join(folded, "batch_id", "left_anti").collect()]
+
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Add a batch; False, and nothing is done, if it was committed before."""
+        if batch_id is None:
+            raise ValueError("a batch needs an id")
+        if self._log().where((F.col("kind") == "batch") & (F.col("batch_id") == batch_id)).limit(1).count():
+            return False
+        attempt = uuid.uuid4().hex
+        self._write(signed(changes), f"deltas/{attempt}")
+        self._record("batch", batch_id, attempt, 1)
+        batches, base, since = self._state()
+        if len(since) >= self.compact:
+            self._fold(batches, base, since)
+        return True
+
+    def _fold(self, batches: DataFrame, base: list[str], since: list[str]) -> None:
+        """New totals out of the last ones and the sums since; in force once they are in the log."""
+        attempt = uuid.uuid4().hex
+        self._write(added(self._sums(base, "totals").unionByName(self._sums(since, "deltas"))), f"totals/{attempt}")
+        self._write(batches.select("batch_id"), f"folded/{attempt}")
+        self._record("totals", None, attempt, self.spark.read.parquet(f"{self.path}/folded/{attempt}").count())
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over committed batches; keys whose sums are all zero are gone."""
-        deltas = self.spark.read.schema("source string, lang string, tokenizer string, n_docs long, n_tokens long, batch_id string").parquet(f"{self.path}/deltas")
-        commits = self.spark.read.schema("id string").parquet(f"{self.path}/commits").distinct()
-        counted = deltas.join(commits, deltas["batch_id"] == commits["id"], "left_semi")
-        return counted.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
+        """(source, lang, tokenizer, n_docs, n_tokens) over committed batches; keys whose sums are all zero are gone.
+
+        Without any committed batch the result is empty.
+        """
+        _, base, since = self._state()
+        return added(self._sums(base, "totals").unionByName(self._sums(since, "deltas")))
+
+
+def added(sums: DataFrame) -> DataFrame:
+    """Sums by key, without keys that came to nothing."""
+    return sums.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -56,13 +120,13 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def op7_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents after five batches, two of which are delivered twice.
+    """Totals of all documents after five batches, two of which are delivered twice, with totals made every third batch.
 
     All documents come in by both tokenizer versions, the second version's counts are revised to hold an end mark each,
     and documents under 50 words are deleted again from both.
     """
     counts = settle(document_counts(read(spark, sf_dir, "documents")), "rollup-counts")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}", compact=3)
     one = lambda op, version, tokens, old=None, where="true": counts.where(where).select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), tokens.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
     words, apart = F.col("words"), F.col("apart")
     batches = {
