@@ -1,12 +1,14 @@
 """Risk-controlled quality rules (native: DataFrame functions only).
 
 A rule rejects a document whose rate exceeds a cutoff. Cutoffs are chosen for every stratum (language) on labelled
-documents: a cutoff of a rule's grid is certified if the number of good labelled documents that it rejects makes a true
-false-rejection rate above the allowed one improbable, by the exact binomial tail P(Bin(n, alpha) <= k). The grid is
-fixed beforehand and tested from lenient to strict, stopping at the first failure (fixed-sequence testing), so one
-stratum and rule need no further correction; across strata and rules the level is divided (Bonferroni). With
-probability 1 - delta no stratum loses more than rules * alpha of its good documents. A stratum with too few labels
-certifies nothing and loses nothing.
+documents, in two parts by a digest of the id. The choosing part (a quarter) says how far along a rule's grid, from
+lenient to strict, it pays to go: to the cutoff that best tells bad documents from good ones, or nowhere if none does.
+The other part certifies: a cutoff stands if the number of good labelled documents that it rejects makes a true
+false-rejection rate above the allowed one improbable, by the exact binomial tail P(Bin(n, alpha) <= k). The cutoffs are
+tested in the grid's order, stopping at the first failure (fixed-sequence testing: the order and its end do not depend on
+the certifying part), so one stratum and rule need no further correction; across strata and rules the level is divided
+(Bonferroni). With probability 1 - delta no stratum loses more than rules * alpha of its good documents. A stratum with
+too few labels certifies nothing and loses nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import group_key, read, settle, words
 #: Rates per thousand, each with its grid from lenient to strict.
 RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", (4000, 3000, 2500, 2000, 1500, 1000, 750, 500, 350, 250, 150, 100, 50)),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (900, 800, 700, 600, 500, 400, 350)),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", (480, 450, 400, 350, 300)),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (900, 800, 700, 600, 500, 400, 350, 300, 250)),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", (480, 450, 400, 350, 300, 250, 200)),
     "long_words": ("1000 * word_chars div greatest(n_words, 1)", (14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000, 7500, 7000)),
 }
 ALPHA, DELTA = 0.01, 0.05
@@ -100,40 +102,57 @@ def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     return F.when(k > n * alpha, F.lit(1.0)).otherwise(F.exp(top) * F.aggregate(F.sequence(F.lit(0), terms), one, add, lambda acc: acc["s"]))
 
 
-def choose_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of the certified cutoffs, from the measures of good labelled documents, one row each."""
-    hits = [F.sum((F.expr(rate) > t).cast("long")).alias(f"{rule}_{j}") for rule, (rate, grid) in RULES.items() for j, t in enumerate(grid)]
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *hits)
-    counts = counts.withColumn("_level", F.lit(delta) / (len(RULES) * F.count("*").over(Window.partitionBy())))  # a row for each stratum
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("step"), F.lit(t).alias("cutoff"), F.col(f"{rule}_{j}").alias("k")) for rule, (_, grid) in RULES.items() for j, t in enumerate(grid)])
-    tested = counts.select("stratum", "n", "_level", F.explode(tests).alias("t")).select("stratum", "n", "_level", "t.*")
-    tested = tested.withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha))
-    first_failed = F.min(F.when(F.col("p") > F.col("_level"), F.col("step"))).over(Window.partitionBy("stratum", "rule"))
-    certified = tested.withColumn("_f", first_failed).where("_f is null or step < _f")
+#: First hex digits of an id's digest that put a labelled document into the choosing part.
+CHOOSING = "4"
+
+
+def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff) of the certified cutoffs, from the measures of labelled documents with `good`, a row each."""
+    part = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < CHOOSING
+    steps = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("step"), F.lit(t).alias("cutoff"), (F.expr(rate) > t).alias("hit")) for rule, (rate, grid) in RULES.items() for j, t in enumerate(grid)])
+    rows = labelled.select("stratum", "good", part.alias("chooses"), F.explode(steps).alias("s")).select("stratum", "good", "chooses", "s.*")
+    good, hit, chooses = F.col("good"), F.col("hit"), F.col("chooses")
+    counts = rows.groupBy("stratum", "rule", "step", "cutoff").agg(
+        F.count_if(good & ~chooses).alias("n"),
+        F.count_if(good & ~chooses & hit).alias("k"),
+        # bad documents that the cutoff tells from good ones, less good ones that it takes for bad, times both numbers
+        (F.count_if(~good & chooses & hit) * F.count_if(good & chooses) - F.count_if(good & chooses & hit) * F.count_if(~good & chooses)).alias("gain"),
+    )
+    one = Window.partitionBy("stratum", "rule")
+    best = F.max(F.when(F.col("gain") > 0, F.struct("gain", (-F.col("step")).alias("s")))).over(one)
+    # a row for each stratum and step in one window
+    first = (F.col("rule") == next(iter(RULES))) & (F.col("step") == 0) & (F.col("n") > 0)
+    strata = F.sum(first.cast("long")).over(Window.partitionBy())
+    tested = counts.withColumns({"_strata": strata, "_end": -best["s"]}).where(F.col("step") <= F.col("_end"))
+    tested = tested.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(1.0))
+    failed = F.col("p") > F.lit(delta) / (len(RULES) * F.col("_strata"))
+    certified = tested.withColumn("_f", F.min(F.when(failed, F.col("step"))).over(one)).where("_f is null or step < _f")
     return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Measures, base_failed and kept of every document.
 
-    Good labelled documents are those whose labels all say quality 1 and that pass the base rules. Null text: no words,
-    so base_failed. Null stratum: a stratum of its own. Null doc_id: never labelled. Repeated rows: judged alike, one by
-    one. No labels: only the base rules reject. Columns of docs other than doc_id, text and the stratum are ignored.
+    Labelled documents are those that pass the base rules; good ones are those whose labels all say quality 1. Null text:
+    no words, so base_failed. Null stratum: a stratum of its own. Null doc_id: never labelled. Repeated rows: judged
+    alike, one by one. No labels, or none that are bad: only the base rules reject. Columns of docs other than doc_id,
+    text and the stratum are ignored.
     """
     known = settle(measures(docs, stratum), "quality-measures")
-    quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_q")).where("_q = 1")
-    good = known.where("not base_failed").join(quality.select("doc_id"), "doc_id", "left_semi")
-    cutoffs = choose_cutoffs(good, alpha, delta)
+    quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    cutoffs = choose_cutoffs(known.where("not base_failed").join(quality, "doc_id"), alpha, delta)
     by_stratum = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     rejected = [F.coalesce(F.expr(rate) > F.col(f"cut_{rule}"), F.lit(False)) for rule, (rate, _) in RULES.items()]
     ok = ~F.col("base_failed")
     for x in rejected:
         ok = ok & ~x
     joined = known.join(by_stratum, "stratum", "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(ok).alias("kept"), F.substring("stratum", 2, 100).alias("stratum"))
+    name = F.when(F.col("stratum").startswith("0"), F.expr("substring(stratum, 2)"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(ok).alias("kept"), name.alias("stratum"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, with cutoffs by language (see judge)."""
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
@@ -151,15 +170,19 @@ rp as (select id, count(distinct q) n from (select id, unnest([p, p + 1, p + 2])
 m as (select d.doc_id, d.stratum, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars, length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')) n_symbols,
   len(ls) - len(list_distinct(ls)) n_dup_lines, len(ls) n_lines, coalesce(rp.n, 0) n_repeat_words from d join w using (id) left join rp using (id)),
 k as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {rates} from m),
-q as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having min(quality) = 1),
-good as (select * from k semi join q using (doc_id) where not base_failed),
+q as (select doc_id, min(quality) = 1 good from labels where doc_id is not null and quality is not null group by doc_id),
+lab as (select k.*, q.good, substr(md5(k.doc_id::varchar), 1, 1) < '{CHOOSING}' chooses from k join q using (doc_id) where not base_failed),
 g(rule, step, cut) as (values {grid}),
-h as (select stratum, g.rule, g.step, g.cut, count(*) n, count(case when {value} > g.cut then 1 end) k from good, g group by all),
-p as (select *, case when k > n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end p,
-  {DELTA} / ({len(RULES)} * (select count(distinct stratum) from good)) lev from h),
+hit as (select stratum, good, chooses, g.rule, g.step, g.cut, {value} > g.cut hit from lab, g),
+h as (select stratum, rule, step, cut, count_if(good and not chooses)::bigint n, count_if(good and not chooses and hit)::bigint k,
+  count_if(not good and chooses and hit) * count_if(good and chooses) - count_if(good and chooses and hit) * count_if(not good and chooses) gain from hit group by all),
+b as (select *, row_number() over (partition by stratum, rule order by gain desc, step) r from h where gain > 0),
+e as (select h.* from h join b on b.stratum = h.stratum and b.rule = h.rule and b.r = 1 and h.step <= b.step),
+p as (select *, case when n = 0 or k > n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) end p,
+  {DELTA} / ({len(RULES)} * (select count(distinct stratum) from h where n > 0)) lev from e),
 f as (select *, min(case when p > lev then step end) over (partition by stratum, rule) bad from p),
 c as (select stratum, rule, min(cut) cut from f where bad is null or step < bad group by all)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) kept, substr(stratum, 2) stratum from k
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) kept, case when stratum like '0%' then substr(stratum, 2) end stratum from k
 """
 
 
