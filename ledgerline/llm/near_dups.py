@@ -1,8 +1,8 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set is its distinct shingles of so many words (op6_near_dups: 2, the pipeline: 5). Every one of PERMUTATIONS hash functions gives two entries of its
-signature, the least and the largest value over the set, so a signature of 2 * PERMUTATIONS entries costs half the hash
-evaluations. Two permutations' four entries make a band. Documents of equal sets form a class, which is signed once and
+A document's set is its distinct shingles of so many words (op6_near_dups: 2, the pipeline: 5). Every one of
+PERMUTATIONS hash functions gives two entries of its signature, the least and the largest value over the set, so a
+signature of 2 * PERMUTATIONS entries costs half the hash evaluations. Two permutations' four entries make a band. Documents of equal sets form a class, which is signed once and
 linked within itself without any pair. Classes that share a band are candidates: at similarity 0.8 a pair shares none of
 the 32 bands with probability 5e-8. All links are confirmed on the full sets.
 
@@ -276,4 +276,5 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and verdict of every document by two-word shingles (see near_duplicates)."""
     return near_duplicates(read(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -25,6 +25,8 @@ SIZE = len(CLASSES) + 1
 START = "://"
 #: Share of held-out allowed URLs that the calibrated threshold may block, at most.
 FALSE_BLOCKS = 0.01
+#: Log ratios are summed as whole millionths, so that the order of a sum changes nothing; scores are in steps of 0.001.
+UNIT = 1_000_000
 SCORE_STEP = 0.001
 
 
@@ -109,24 +111,27 @@ def judge_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[st
     counts = trigrams(distinct.where("given is not null and not held")).groupBy("g").agg(F.sum((F.col("given") == "allow").cast("long")).alias("accepted"), F.sum((F.col("given") == "block").cast("long")).alias("rejected"))
     table = settle(model(counts), "url-model")
     scored = trigrams(distinct.where("given is null or (held and given = 'allow')")).join(F.broadcast(table), "g")
-    scores = settle(scored.groupBy("url", "given").agg((F.round(F.avg("llr") / SCORE_STEP) * SCORE_STEP).alias("score")), "url-scores")
+    scores = scored.groupBy("url", "given").agg(F.sum(F.round(F.col("llr") * UNIT).cast("long")).alias("_s"), F.count("*").alias("_n"))
+    # the nearest step, halves up; no log ratio is below -30
+    step = F.expr(f"(2 * _s + _n * {60 * UNIT + UNIT // 1000}) div (2 * _n * {UNIT // 1000}) - {30 * 1000}")
+    scores = settle(scores.select("url", "given", step.cast("long").alias("step"), (step * SCORE_STEP).alias("score")), "url-scores")
     seen = distinct.where("not held").agg(F.count_if(F.col("given") == "allow"), F.count_if(F.col("given") == "block")).first()
-    step = F.round(F.col("score") / SCORE_STEP).cast("long").alias("step")
     # a row for each step of the score: scores of single characters are bounded, so are the steps
-    steps = scores.where("given = 'allow'").groupBy(step).count().orderBy(F.desc("step")).collect() if all(seen) else []
+    steps = scores.where("given = 'allow'").groupBy("step").count().orderBy(F.desc("step")).collect() if all(seen) else []
     n, over, limit = sum(r["count"] for r in steps), 0, None
     for r in steps:
         if over + r["count"] > false_blocks * n:
             limit = r["step"]
             break
         over += r["count"]
-    beyond = F.lit(False) if limit is None else F.round(F.col("score") / SCORE_STEP).cast("long") > max(limit, 0)
-    judged = every.join(scores.select(F.col("url").alias("_url"), "score"), F.col("url") == F.col("_url"), "left")
+    beyond = F.lit(False) if limit is None else F.col("step") > max(limit, 0)
+    judged = every.join(scores.select(F.col("url").alias("_url"), "step", "score"), F.col("url") == F.col("_url"), "left")
     verdict = F.coalesce(F.col("_given"), F.when(F.coalesce(beyond, F.lit(False)), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page (see judge_urls)."""
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
@@ -161,10 +166,10 @@ co as (select *, list_transform(string_split(regexp_replace('{START}' || regexp_
 tri as (select url, given, held, (cs[p] * {SIZE} + cs[p + 1]) * {SIZE} + cs[p + 2] g from (select *, unnest(range(1, len(cs) - 1)) p from co)),
 {', '.join(tables)},
 u as (select distinct g from tri), llr as (select u.g, ln({probability('r')}) - ln({probability('p')}) llr from u {' '.join(joins)}),
-sc as (select url, given, round(avg(llr) / {SCORE_STEP}) step from tri join llr using (g) where given is null or (held and given = 'allow') group by url, given),
+sc as (select url, given, (2 * sum(round(llr * {UNIT})::bigint) + count(*) * {60 * UNIT + UNIT // 1000})::bigint // (2 * count(*) * {UNIT // 1000}) - {30 * 1000} step from tri join llr using (g) where given is null or (held and given = 'allow') group by url, given),
 st as (select step, sum(count(*)) over (order by step desc) upto, sum(count(*)) over () n from sc where given = 'allow' group by step),
 li as (select case when (select count(distinct given) from dh where not held and given is not null) = 2 then max(case when upto > {FALSE_BLOCKS} * n then step end) end lim from st)
-select page_id, host, path, rule, coalesce(gv.given, case when sc.step > greatest(lim, 0) and lim is not null then 'block' else 'allow' end) verdict, sc.step * {SCORE_STEP} score from gv left join sc using (url) cross join li
+select page_id, host, path, rule, coalesce(gv.given, case when sc.step > greatest(lim, 0) and lim is not null then 'block' else 'allow' end) verdict, sc.step * {SCORE_STEP}::double score from gv left join sc using (url) cross join li
 """
 
 
