@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -357,6 +358,242 @@ def test_phrases_are_longest_matches():
     assert got == n
 
 
+def phrases_of(text, train):
+    """Phrases of bytes by the longest match with train, a byte that is not in it alone."""
+    i = n = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and train.find(text[i : i + k + 1]) >= 0:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def fold(text):
+    """Lower-case letters and what is beyond ASCII, other runs as one space."""
+    return re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", text.lower().encode())
+
+
+def test_long_texts_are_parsed_as_one():
+    """Over segment ends too, and alike in any company: against the parse by search, for several languages."""
+    rng = random.Random(9)
+    words = ["abra", "kadabra", "abrax", "zzy", "étéé", "kad", "ab"]
+    train = {k: " ".join(rng.choice(words) for _ in range(120)).encode() for k in ("p", "q")} | {"r": b"zzzzz"}
+    model = langid.Model(train)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 3, 200, 900, 0, 2500)] + [" abc", "x", "ab" * 1500, "  9  ", "z" * 2000]
+    bytes_ = [t.encode() for t in texts]
+    got = model.phrases(np.frombuffer(b"".join(bytes_), np.uint8), np.cumsum([len(b) for b in bytes_]))
+    for k, lang in enumerate(model.langs):
+        assert [int(x) for x in got[k]] == [phrases_of(fold(t), fold(train[lang].decode())) for t in texts]
+    for t, b in zip(texts, bytes_):
+        alone = model.phrases(np.frombuffer(b, np.uint8), np.array([len(b)]))
+        assert alone[:, 0].tolist() == got[:, texts.index(t)].tolist()
+
+
+def test_language_query_against_search(spark):
+    """op9 over all documents of the smallest table: every prediction and score by brute force, and held-out accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    text = langid.labelled_text(docs.where("doc_id is not null").where(~langid.held_out(F.col("doc_id"))))
+    learned = {k: fold(v.decode(errors="ignore")) for k, v in sorted(text.items())}
+    got = {r["doc_id"]: r for r in langid.op9_langid(spark, "/root/testdata/sf0.001").collect()}
+    right = []
+    for r in docs.collect():
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert g["lang_pred"] == "und"
+            continue
+        if len(r["text"]) < 3000:
+            counts = {k: phrases_of(fold(r["text"]), v) for k, v in learned.items()}
+            best = min(counts, key=lambda k: (counts[k], k))
+            assert g["lang_pred"] == best and g["score"] == pytest.approx(1 - counts[best] / sorted(counts.values())[1])
+        if g["held_out"] and r["lang"]:
+            right.append(g["lang_pred"] == r["lang"])
+    assert len(right) > 10 and np.mean(right) > 0.95
+
+
+def test_language_of_long_labelled_texts(spark):
+    """Labelled texts of any length are learned from, and rows are judged alike in any partitioning."""
+    long = {"aa": "ban tok rim dol " * 30_000, "bb": "xylo quaz jive oui " * 30_000}
+    rows = [(i, long[k], k) for i, k in enumerate(["aa", "bb"] * 4)] + [(20 + i, t, None) for i, t in enumerate([" tok ban", "quaz oui", "rim", "  9 tok", "ban"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.in_known_language(docs).count() == len(rows)
+    once = [sorted(map(str, langid.identify(docs.repartition(n), docs).collect())) for n in (1, 7)]
+    assert once[0] == once[1]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, docs).collect()}
+    assert got[20] == "aa" and got[21] == "bb" and got[0] == "aa" and got[1] == "bb"
+    none = spark.createDataFrame([(1, "12", "aa"), (2, None, "bb"), (3, "words here", None)], "doc_id long, text string, lang string")
+    assert langid.in_known_language(none).count() == 3  # nothing with a letter is labelled: nothing can be judged
+    assert {r["lang_pred"] for r in langid.identify(none, none).collect()} == {"und"}
+
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids above 2^53 come out as they went in, with nulls in the same batch."""
+    shared = " ".join(f"pass{i}" for i in range(60))
+    rows = [(BIG, shared + " own one", "en", "s"), (None, shared + " own two", "en", "s"), (7, "short " + shared, None, None), (BIG + 2, "a b c", None, "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    want = [(r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 200))]
+    assert Counter(map(tuple, suffixes.cut_digest(suffixes.cut_repeats(docs, 200)).collect())) == Counter(want)
+    ids = Counter(r[0] for r in rows if r[1])
+    for texts in (False, True):
+        assert Counter(r["doc_id"] for r in packing.pack(docs, texts=texts).collect()) == ids
+    assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == Counter(r[0] for r in rows)
+    assert Counter(r["doc_id"] for r in near_dups.near_duplicates(docs, size=5).collect()) == Counter(r[0] for r in rows)
+
+
+@pytest.mark.parametrize("wide", [2, 5])
+def test_hot_anchor_is_halved(spark, monkeypatch, wide):
+    """One passage in many documents with edges of their own, and copies of it: an anchor of many runs."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, tail = word(150), word(120)
+    rows = [(i, word(90) + core + (tail[: 10 * (i % 12)] if i % 3 else "") + word(90)) for i in range(40)] + [(100, core + tail), (100, core + tail), (101, core)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixes, "WIDE", wide)
+    got = suffixes.cut_digest(suffixes.cut_repeats(docs, 200)).collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 200)))
+
+
+def plain_best_fit(sizes, lengths):
+    """The rule of best_fit said plainly: every open bin is looked at, every fragment still to come is counted."""
+    price = {c: packing.cost(c, max(lengths)) for c in lengths}
+    bins = []
+    for i, s in enumerate(sizes):
+        left = sorted(sizes[i:], reverse=True)
+
+        def gain(c):
+            space = c
+            for x in left:
+                space -= x if x <= space else 0
+            return (c - space) / price[c]
+
+        fitting = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= s]
+        if fitting:
+            least = min(bins[b][0] - bins[b][1] for b in fitting)
+            b = max((b for b in fitting if bins[b][0] - bins[b][1] == least), key=lambda b: bins[b][2])  # the last one used
+        else:
+            bins.append([max((c for c in sorted(lengths) if c >= s), key=lambda c: (gain(c), -c)), 0, i])
+            b = len(bins) - 1
+        bins[b][1] += s
+        bins[b][2] = i
+    return [(c, u) for c, u, _ in bins]
+
+
+def test_best_fit_follows_its_rule():
+    rng = random.Random(8)
+    for lengths in ((16,), (8, 16, 32), (10, 64)):
+        for _ in range(5):
+            sizes = sorted((rng.randint(1, max(lengths)) for _ in range(60)), reverse=True)
+            of, at, cap = packing.best_fit(np.array(sizes), lengths)
+            used = Counter()
+            for b, o, s in zip(of.tolist(), at.tolist(), sizes):
+                assert used[b] == o
+                used[b] += s
+            want = Counter((min(c for c in lengths if c >= u), u) for _, u in plain_best_fit(sizes, lengths))
+            assert Counter((int(cap[of == b][0]), u) for b, u in used.items()) == want
+
+
+def total_cost(of, cap, largest):
+    return sum(packing.cost(int(cap[of == b][0]), largest) for b in set(of.tolist()))
+
+
+def test_several_lengths_cost_less():
+    rng = np.random.default_rng(4)
+    sizes = np.sort(np.minimum(rng.geometric(1 / 90, 2000), 512))[::-1]
+    of, _, cap = packing.best_fit(sizes, (64, 128, 256, 512))
+    one, _, same = packing.best_fit(sizes, (512,))
+    assert total_cost(of, cap, 512) < total_cost(one, same, 512)
+
+
+def test_packing_query(spark):
+    """op3 over all documents of the smallest table: fragments against the texts, bins against the plain rule."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = Counter()
+    for r in rows:
+        n = len(WORD.findall(r["text"] or ""))
+        want.update((r["doc_id"], p, 4096 * p, min(4096, n - 4096 * p)) for p in range(-(-n // 4096)))
+    got = packing.op3_packing(spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["n_words"]) for r in got) == want
+    groups = defaultdict(list)
+    for r in got:
+        groups[r["bin_id"].split("-")[0]].append(r)
+    for own in groups.values():
+        bins = defaultdict(list)
+        for r in own:
+            bins[r["bin_id"], r["bin_capacity"]].append(r)
+        for v in bins.values():
+            v.sort(key=lambda r: r["bin_offset"])
+            assert [r["bin_offset"] for r in v] == [sum(x["n_words"] for x in v[:i]) for i in range(len(v))]
+        plain = plain_best_fit(sorted((r["n_words"] for r in own), reverse=True), packing.LENGTHS)
+        assert Counter((c, sum(r["n_words"] for r in v)) for (_, c), v in bins.items()) == Counter((min(c for c in packing.LENGTHS if c >= u), u) for _, u in plain)
+
+
+def test_repeated_ids_spread(spark):
+    """A third of all rows with one id, and another third without: they go to all groups, none is lost."""
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, "one two three four five") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for texts in (False, True):
+        got = packing.pack(docs, (8, 16), group=64, texts=texts).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+        sizes = Counter(r["bin_id"].split("-")[0] for r in got)
+        assert len(sizes) == 47 and max(sizes.values()) < 130
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Rows of a null id, all equal or not, are taken one by one: the mix of documents has the words that mix() says."""
+    rows = [(None, f"w{i % 2} " * 10, "a") for i in range(300)] + [(i, "x y z", "b") for i in range(500)] + [(3, "same text", "b")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = lambda: sorted(tuple(r) for r in mixing.mix(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text", "source")).collect())
+    whole = taken()
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 4)
+    assert taken() == whole
+    by_source = Counter()
+    for r in mixing.mix(docs).collect():
+        by_source[r["source_size"]] += r["taken"]
+    out = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        out[{"a": 3000, "b": 1900}[r["source"]]] += len(WORD.findall(r["text"]))
+    assert out == by_source and all(by_source[n] <= t + 10 for n, t in {(r["source_size"], r["target"]) for r in mixing.mix(docs).collect()})
+
+
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    rows = [(None, "t", "a")] * 700 + [(i, f"t{i}", f"only{i}") for i in range(300)] + [(9, None, None)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    place = lambda: sorted((r["doc_id"] or -1, r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs, 7).collect())
+    whole = place()
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 4)
+    assert place() == whole
+    assert sorted(Counter(x[2] for x in whole).values()) == [157] * 6 + [158]
+    assert len({(x[2], x[3]) for x in whole}) == len(rows)
+    alone = Counter(x[2] for x in whole if x[0] >= 10)  # sources of one row each lie in all shards
+    assert len(alone) == 7 and max(alone.values()) < 80
+
+
+def test_cutoffs_match_sql(spark):
+    """On labels that suffice, both engines certify the same cutoffs, and these reject."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fine = lambda: " ".join(word() for _ in range(60))
+    symbols = lambda: " ".join(word() + "$" * rng.randint(0, 3) for _ in range(60))
+    lines = lambda: "\n".join([fine()] * 2 + [fine() for _ in range(rng.randint(1, 6))])
+    rows = [(i, [symbols, lines][i // 5 % 2]() if i % 5 == 0 else fine(), "en" if i % 7 else "de") for i in range(9000)]
+    docs = spark.createDataFrame(rows + [(None, fine(), "en"), (9001, None, ""), (9002, symbols(), None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(9000)] + [(4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("labels", labels.toArrow())
+    got = quality.judge(docs, labels)
+    cols = sorted(got.columns)
+    here = Counter(map(tuple, got.select(cols).collect()))
+    assert here == Counter(con.execute(f"select {', '.join(cols)} from ({quality.OP1_SQL})").fetchall())
+    verdicts = got.where("not base_failed and stratum = 'en'").groupBy((F.col("doc_id") % 5 == 0).alias("bad")).agg(F.avg((~F.col("kept")).cast("int")).alias("gone")).collect()
+    gone = {r["bad"]: r["gone"] for r in verdicts}
+    assert gone[True] > 0.5 and gone[False] < 0.04
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
