@@ -17,9 +17,9 @@ windows moves as one row, about one for 85 bytes of text:
 
 An anchor with more than WIDE different runs is too much for one task; Spark passes over it first. The windows of a run
 are halved by the anchor's offset in them. All windows of one half hold more bytes to the anchor's right, all of the
-other more to its left; these bytes are the next digit of their part of the run. Groups of WIDE parts at most go to
-step 3, larger ones are halved again, until a part is one window and its digits are all of its bytes. So a row stays a
-run, or a part of one, and no group of any size meets in one task.
+other more to its left; these bytes are the next digit of their part of the run. Equal parts are done, as in step 2, and
+one of them goes on. Groups of WIDE parts at most go to step 3, larger ones are halved again, until a part is one window
+and its digits are all of its bytes. So a row stays a run, or a part of one, and no group of any size meets in one task.
 
 Keys of the first passes and of halves are digests of 128 bits; step 3 compares bytes.
 """
@@ -181,29 +181,52 @@ def halved(parts: DataFrame, length: int) -> DataFrame:
     half = lambda side, digit, p, q: F.expr(f"named_struct('key', md5(concat(cast(concat(key, '{side}') as binary), {digit})), 'p', {p}, 'q', {q}, 'lo', greatest(lo, at - ({q})), 'hi', least(hi, at - ({p})))")
     both = F.filter(F.array(half("r", right, "p", f"int({m})"), half("l", left, f"int({m} + 1)", "q")), lambda x: x["lo"] <= x["hi"])
     out = parts.select("doc_id", "h", "c", "at", "bytes", F.col("lo").alias("from"), F.explode(both).alias("x"))
-    return out.select("x.key", "doc_id", "h", "c", "x.lo", "at", "x.hi", F.expr(f"substring(bytes, x.lo - from + 1, x.hi - x.lo + {length})").alias("bytes"), "x.p", "x.q")
+    out = out.select("x.key", "doc_id", "h", "c", "x.lo", "at", "x.hi", F.expr(f"substring(bytes, x.lo - from + 1, x.hi - x.lo + {length})").alias("bytes"), "x.p", "x.q")
+    return out.withColumn("digest", F.expr("md5(concat(cast(concat(at - lo, ':') as binary), bytes))"))
+
+
+def of_equal_kind(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc_id, h, lo, last) of the rows whose kind (key, digest) in the written table kinds has n > 1.
+
+    Rows of kinds with more than WIDE of them meet their kind's one row where they are; the others are dealt out.
+    """
+    on = ["key", "digest"]
+    hot = kinds.where((F.col("n") > 1) & (F.col("n") > WIDE)).select(*on)
+    n_hot = hot.count()
+    some = kinds.where(F.col("n") > 1).select(*on)
+    if n_hot:
+        hot = if_small(hot, n_hot)
+        out = rows.join(hot, on, "left_anti").join(some, on, "left_semi").unionByName(rows.join(hot, on, "left_semi"))
+    else:
+        out = rows.join(some, on, "left_semi")
+    return out.select("doc_id", "h", "lo", F.col("hi").alias("last"))
 
 
 def split_wide(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Parts of wide anchors by passes over halves: written tables of parts in groups of WIDE at most, and of
-    (doc_id, h, lo, last) of single windows that repeat."""
+    (doc_id, h, lo, last) of parts that equal another."""
     narrow, repeated = [], []
-    parts = settle(parts.withColumns({"p": F.lit(0), "q": F.lit(length - min(GRAM, length))}), "wide")
-    # halves of less than a window end this: a pass for each doubling of a window's offsets
+    cols = ["key", "doc_id", "h", "c", "lo", "at", "hi", "bytes"]
+    parts = settle(parts.select(*cols).withColumns({"p": F.lit(0), "q": F.lit(length - min(GRAM, length))}), "wide")
+    # a pass for each halving of the offsets, until a part is a window and all of a key are equal
     while True:
-        halves = settle(halved(parts.where("p < q"), length).unionByName(parts.where("p = q")), "wide")
+        whole = parts.where("p = q").withColumn("digest", F.lit(""))
+        halves = settle(halved(parts.where("p < q"), length).unionByName(whole), "wide")
         discard(parts)
-        sizes = settle(halves.groupBy("key").count().where("count > 1"), "wide-keys")
-        big = settle(sizes.where(F.col("count") > WIDE).select("key"), "wide-keys")
+        first = F.min_by(F.struct(*cols[1:], "p", "q"), F.struct("doc_id", "h", "lo")).alias("r")
+        kinds = halves.groupBy("key", "digest").agg(F.count("*").alias("n"), first)
+        kinds = settle(kinds, "wide-kinds")
+        repeated.append(settle(of_equal_kind(halves, kinds), "wide-repeated"))
+        sizes = settle(kinds.groupBy("key").count().where("count > 1"), "wide-keys")
+        big = sizes.where(F.col("count") > WIDE).select("key")
         n_big = big.count()
-        many = if_small(big, n_big)
-        narrow.append(settle(halves.join(many, "key", "left_anti").join(sizes.select("key"), "key", "left_semi"), "narrow"))
-        wide = halves.join(many, "key", "left_semi")
-        repeated.append(settle(wide.where("p = q").select("doc_id", "h", "lo", F.col("hi").alias("last")), "wide-windows"))
-        parts = settle(wide.where("p < q"), "wide")
-        discard(halves, sizes, big)
-        if not n_big or not parts.limit(1).count():
-            discard(parts)
+        # of parts that equal another one goes on, to compare with
+        ones = kinds.select("key", "digest", "n", "r.*").withColumn("c", F.greatest("c", "n"))
+        rest = ones if not n_big else ones.join(if_small(big, n_big), "key", "left_anti")
+        narrow.append(settle(rest.join(sizes.select("key"), "key", "left_semi").select(*cols), "narrow"))
+        parts = settle(ones.join(if_small(big, n_big), "key", "left_semi").select(*cols, "p", "q"), "wide") if n_big else None
+        discard(halves, kinds, sizes)
+        if parts is None:
             return narrow, repeated
 
 
@@ -223,17 +246,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(runs, counted)
     done = hits.where("not differ").select("doc_id", "h", "lo", F.col("hi").alias("last"))
     open_ = hits.where("differ")
-    kinds = open_.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "lo", "at", "hi")).alias("r"))
-    kinds = settle(kinds.select("key", "digest", "c", "r.*"), "run-kinds")
-    hot = settle(kinds.where((F.col("c") > 1) & (F.col("c") > WIDE)).select("key", "digest"), "hot-kinds")
-    n_hot, n_kinds, n_copies = hot.count(), kinds.count(), copies.count()
-    on, ends = ["key", "digest"], lambda df: df.select("doc_id", "h", "lo", F.col("hi").alias("last"))
-    # rows of a hot kind meet its one row where they are; the others are dealt out
-    twice = ends(open_.join(if_small(hot, n_hot), on, "left_anti").join(kinds.where("c > 1").select(*on), on, "left_semi"))
-    twice = twice.unionByName(ends(open_.join(if_small(hot, n_hot), on, "left_semi")))
+    kinds = open_.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "lo", "at", "hi")).alias("r"))
+    kinds = settle(kinds.select("key", "digest", "n", "r.*"), "run-kinds")
+    n_kinds, n_copies = kinds.count(), copies.count()
+    twice = of_equal_kind(open_, kinds)
     wide = settle(kinds.groupBy("key").agg(F.count("*").alias("_k")).where(F.col("_k") > WIDE).select("key", F.lit(True).alias("wide")), "wide-anchors")
     n_wide = wide.count()
-    asked = kinds.join(if_small(wide, n_wide), "key", "left").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "c", "lo", "at", "hi", "wide")).alias("asked"))
+    asked = kinds.join(if_small(wide, n_wide), "key", "left").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", F.col("n").alias("c"), "lo", "at", "hi", "wide")).alias("asked"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
     contexts = rows.join(asked, same).drop("_d", "_h")
     contexts = contexts.select("doc_id", "h", F.col("text").cast("binary").alias("text"), F.explode("asked").alias("x")).select("doc_id", "h", F.col("x.key").cast("string").alias("key"), "x.c", "x.lo", "x.at", "x.hi", F.coalesce("x.wide", F.lit(False)).alias("wide"), F.expr(f"substring(text, x.lo + 1, x.hi - x.lo + {length})").alias("bytes"))
@@ -244,13 +263,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     narrow, single = split_wide(contexts.where("wide").drop("wide"), length) if n_wide else ([], [])
     parts = contexts.where("not wide").drop("wide")
     for more in narrow:
-        parts = parts.unionByName(more.drop("p", "q"))
+        parts = parts.unionByName(more)
     every = done.unionByName(twice).unionByName(sort_parts(parts, max(1, -(-n_kinds // RUNS_PER_TASK)), length))
     for more in single:
         every = every.unionByName(more)
     spans = every.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("start"), (F.col("last") + length).alias("end")))).alias("spans"))
     spans = settle(spans, "spans")
-    discard(hits, copies, kinds, hot, wide, contexts, *narrow, *single)
+    discard(hits, copies, kinds, wide, contexts, *narrow, *single)
     return spans
 
 
