@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COUNTER_NAMES, KEY, LEVELS
+from ..shared import written
 
 Levels = list[tuple[int, int]]
 #: A fold hands on its views when it has so many.
@@ -40,6 +42,10 @@ class Options:
     fetch_ms: int = 0  # added to the clock by every fetch
     views_every: int = 1  # 0: no views, only the last one
 
+    def __post_init__(self) -> None:
+        if self.checksum and 0 < self.max_depth < 10:
+            raise ValueError("a window must hold the ten levels that a checksum covers")
+
 
 def crc_checksum(bids: Levels, asks: Levels) -> int:
     return zlib.crc32("".join(f"{p}{s}" for side in (asks, bids) for p, s in side).encode())
@@ -124,7 +130,7 @@ class Fold:
         self.counters = dict.fromkeys(COUNTER_NAMES, 0)
         self.last_event_ms = -1
         self.applied = 0
-        self.queue: list[Row] = []
+        self.queue: deque[Row] = deque()
         self.views: list[tuple] = []
         self.faults: list[list] = []
         self.newest: tuple | None = None
@@ -183,7 +189,7 @@ class Fold:
         if self.o.policy == "as_of":
             bids, asks = self.truth.top(len(self.truth.prices[0]) + len(self.truth.prices[1]))
             return Row("snapshot", last_seq=self.truth_seq, bids=bids, asks=asks)
-        return self.queue.pop(0) if self.queue else None
+        return self.queue.popleft() if self.queue else None
 
     def bind(self, row: Row) -> None:
         """Fetches snapshots until one is taken, within the limits."""
@@ -293,7 +299,7 @@ class Fold:
                         book.set(side, price, size)
                 setattr(self, k, book)
             elif k == "queue":
-                self.queue = [Row(**r) for r in v]
+                self.queue = deque(Row(**r) for r in v)
             else:
                 setattr(self, k, tuple(v) if k == "ended" and v else v)
 
@@ -320,7 +326,7 @@ _LEVEL = pa.list_(pa.struct([("price", pa.int64()), ("size", pa.int64())]))
 
 def fold_rows(options: Options, rows: Iterable[Row], queue: list[Row] | None = None) -> Fold:
     fold = Fold(options)
-    fold.queue = queue or []
+    fold.queue = deque(queue or ())
     started = False
     for row in rows:
         if not started and row.kind != "truth":
@@ -365,7 +371,8 @@ def log_rows(events: DataFrame, snapshots: DataFrame | None) -> DataFrame:
     rows = events.select(*cols, (F.col("error") if "error" in events.columns else F.lit(None).cast("string")).alias("error"), F.lit(False).alias("queued"), (F.col("sub") if "sub" in events.columns else F.lit(0)).cast("bigint").alias("sub"))
     if snapshots is None:
         return rows
-    queue = snapshots.select("venue", "symbol", F.lit(None).cast("bigint").alias("arrival"), F.lit(0).cast("bigint").alias("received_ns"), F.lit("snapshot").alias("kind"), F.col("last_update_id").alias("first_seq"), F.col("last_update_id").alias("last_seq"), "bids", "asks", "checksum", "error", F.lit(True).alias("queued"), F.col("snap_ord").alias("sub"))
+    # the queue comes first, whatever its arrival, which is not null, so that all arrivals stay whole numbers
+    queue = snapshots.select("venue", "symbol", F.lit(0).cast("bigint").alias("arrival"), F.lit(0).cast("bigint").alias("received_ns"), F.lit("snapshot").alias("kind"), F.col("last_update_id").alias("first_seq"), F.col("last_update_id").alias("last_seq"), "bids", "asks", "checksum", "error", F.lit(True).alias("queued"), F.col("snap_ord").alias("sub"))
     return rows.unionByName(queue)
 
 
@@ -377,6 +384,8 @@ def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
     """
     keys = [*KEY, "segment"]
     last = lambda c: F.col(c).asc_nulls_last()
+    if "max_depth" not in rows.columns:
+        rows = rows.withColumn("max_depth", F.lit(None).cast("int"))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("queued"), last("arrival"), last("sub"))
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,11 +399,13 @@ def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             of = zip(*[table.column(c).to_pylist() for c in keys])
-            for key, queued, row in zip(of, table.column("queued").to_pylist(), rows_of(table)):
+            windows = table.column("max_depth").to_pylist()
+            for key, window, queued, row in zip(of, windows, table.column("queued").to_pylist(), rows_of(table)):
                 if fold is None or key != at:
                     if fold is not None:
                         yield from output(fold, *at).to_batches()
-                    fold, at, started = Fold(options), key, False
+                    own = options if window is None else replace(options, max_depth=window)
+                    fold, at, started = Fold(own), key, False
                 if queued:
                     fold.queue.append(row)
                     continue
@@ -412,14 +423,17 @@ def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
     return dealt.mapInArrow(folded, OUT)
 
 
-def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options(), instruments: DataFrame | None = None) -> DataFrame:
     """The fold over all feeds: one table of views, faults and closing rows (see views, faults, counters, status).
 
     events: FEED_EVENTS (kinds delta, trade, disconnect, and for in_log snapshot, for as_of truth), ordered by arrival
     within a feed, ties by an optional `sub`. snapshots: SNAPSHOTS in fetch order by snap_ord, for the policy `queue`.
+    instruments (KEY, max_depth): windows of feeds, where they differ from the options'; a feed without a row has those.
     Keep or write the result before taking its parts, or the fold runs once for each.
     """
     rows = log_rows(events, snapshots if options.policy == "queue" else None)
+    if instruments is not None:
+        rows = rows.join(instruments.select(*KEY, F.col("max_depth").cast("int").alias("max_depth")), KEY, "left")
     return fold_sorted(rows.withColumn("segment", F.lit(0).cast("bigint")), options)
 
 
@@ -432,7 +446,8 @@ def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     """
     w = Window.partitionBy(*KEY).orderBy("arrival", "sub").rowsBetween(Window.unboundedPreceding, 0)
     rows = log_rows(events, None).withColumn("segment", F.sum((F.col("kind") == "snapshot").cast("bigint")).over(w)).where("segment > 0")
-    parts = fold_sorted(rows, options)
+    # read by several steps, folded once
+    parts = written(fold_sorted(rows, options), "segments")
     return stitch(parts, rows, options)
 
 
@@ -464,7 +479,7 @@ def stitch(parts: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
     first = F.min(F.when(F.col("_ended").isNotNull(), F.col("segment"))).over(Window.partitionBy(*KEY))
     ends = ends.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("segment") <= F.col("_stop")))
     ends = ends.withColumns({"gen0": F.coalesce(F.sum("gens").over(before), F.lit(0)), "id0": F.coalesce(F.sum(F.col("n_faults") + F.col("lost")).over(before), F.lit(0))})
-    ends = ends.withColumn("next_bind_ms", F.min(F.when(F.col("bound"), F.col("head_ms"))).over(feed.rowsBetween(1, Window.unboundedFollowing)))
+    ends = ends.withColumn("next_bind_ms", F.first(F.when(F.col("bound"), F.col("head_ms")), ignorenulls=True).over(feed.rowsBetween(1, Window.unboundedFollowing)))
     offsets = ends.select(*KEY, "segment", "gen0", "id0", "lost", "next_bind_ms", "head", "head_ms", "bound")
     inner = parts.where("what != 'end'").join(offsets, [*KEY, "segment"])
     view = F.col("what") == "view"

@@ -1,10 +1,12 @@
 """Figures of views: depth, bars, curve positions, mid history. Views hold string levels [[price, size], ...], best first.
 
-All but the greedy-slot folds at the end are Columns within a row: no shuffle, no Python, exact in decimal(38,0).
+All but the folds over slots at the end are Columns within a row: no shuffle, no Python, exact in decimal(38,0).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -143,47 +145,49 @@ def bar_shares(bids: Column, asks: Column) -> Column:
 WINDOW_MS, GAP_MS, MAX_POINTS, ENOUGH = 120_000, 500, 240, 10
 
 
-def greedy_slots(t: np.ndarray, gap: int) -> np.ndarray:
-    """Number of the slot of each time (sorted): a slot starts at the first time `gap` or more after the last one's start."""
-    slot, i, n = np.empty(len(t), np.int64), 0, 0
-    while i < len(t):
-        j = max(i + 1, int(np.searchsorted(t, t[i] + gap, side="left")))
-        slot[i:j] = n
-        i, n = j, n + 1
-    return slot
-
-
-def sessions(mids: DataFrame) -> DataFrame:
-    """session of each mid (KEY, ord, t_ms, mid, optional link): new where time goes back, the scale changes or the
-    link was not open before."""
-    w = Window.partitionBy(*KEY).orderBy("ord")
-    mid_before = F.lag("mid").over(w)
-    broken = (F.col("t_ms") < F.lag("t_ms").over(w)) | (mid_before.isNotNull() & (S.scale_of(F.col("mid")) != S.scale_of(mid_before)))
-    if "link_breaks" in mids.columns:
-        broken = broken | (F.col("link_breaks") > F.lag("link_breaks").over(w))
-    return mids.withColumn("session", F.sum(F.coalesce(broken, F.lit(False)).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def kept_points(rows: DataFrame, gap: int, keys: list[str], restarts: bool) -> DataFrame:
+    """Add session and slot_ms to rows (keys, ord, t_ms), in the order of ord: the slot that each falls into.
 
-
-def slots(rows: DataFrame, gap: int, keys: list[str]) -> DataFrame:
-    """slot_ms of each row (t_ms, ord) of a group: the time of the greedy slot that it falls into."""
-    schema = StructType([*rows.schema.fields, StructField("slot_ms", LongType())])
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ord", "ascending")])
-        t = table.column("t_ms").to_numpy()
-        slot = greedy_slots(t, gap)
-        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(t) else np.zeros(0, int)
-        return table.append_column("slot_ms", pa.array(t[first][slot], pa.int64()))
-
-    return rows.groupBy(*keys).applyInArrow(fold, schema)
+    A slot starts at a row that lies `gap` or more after the start of the last one; rows nearer to it keep its time. With
+    restarts, a row before the slot's start, of another `scale` or of another `link` starts a new session; else it falls
+    into the slot. Where a slot starts depends on all before it, so this is a fold; it holds one slot for each task.
+    """
+    schema = StructType([*rows.schema.fields, StructField("session", LongType()), StructField("slot_ms", LongType())])
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ord")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, session, at, kind, link = None, 0, None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            own = zip(*[batch.column(c).to_pylist() for c in keys])
+            kinds = batch.column("scale").to_pylist() if restarts else [None] * n
+            links = batch.column("link").to_pylist() if restarts else [None] * n
+            sessions, slots = [], []
+            for k, t, now, up in zip(own, batch.column("t_ms").to_pylist(), kinds, links):
+                if k != key:
+                    key, session, at = k, 0, None
+                elif restarts and (up != link or t < at or now != kind):
+                    session, at = session + 1, None
+                if at is None or t >= at + gap:
+                    at = t
+                kind, link = now, up
+                sessions.append(session)
+                slots.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sessions, pa.int64()), pa.array(slots, pa.int64())], names=[*batch.schema.names, "session", "slot_ms"])
+
+    return dealt.mapInArrow(folded, schema)
 
 
 def mid_history(mids: DataFrame) -> DataFrame:
-    """The points of every feed's mid history: (KEY, session, t_ms, mid).
+    """The points of every feed's mid history: (KEY, session, t_ms, mid), from mids (KEY, ord, t_ms, mid, optional
+    link_breaks: how often the link was not open so far).
 
-    A point keeps the time of its slot's first mid and takes its slot's last one.
+    A point keeps the time of its slot's first mid and takes its slot's last one. Time that falls below the last point's
+    starts over, as do another scale of the mids and a link that was not open in between.
     """
-    slotted = slots(sessions(mids), GAP_MS, [*KEY, "session"])
+    link = F.col("link_breaks") if "link_breaks" in mids.columns else F.lit(0)
+    rows = mids.select(*KEY, "ord", "t_ms", "mid", S.scale_of(F.col("mid")).cast("bigint").alias("scale"), link.cast("bigint").alias("link"))
+    slotted = kept_points(rows, GAP_MS, KEY, True)
     return slotted.groupBy(*KEY, "session", F.col("slot_ms").alias("t_ms")).agg(F.max_by("mid", "ord").alias("mid"))
 
 
@@ -210,9 +214,9 @@ def spark_shares(points: DataFrame) -> DataFrame:
 
 def rate_limited(rows: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
     """Rows that pass a limit of one in gap_ms: the first, then the next one gap_ms or more after the last that passed."""
-    slotted = slots(rows, gap_ms, keys)
+    slotted = kept_points(rows, gap_ms, keys, False)
     first = F.row_number().over(Window.partitionBy(*keys, "slot_ms").orderBy("ord"))
-    return slotted.withColumn("_f", first).where("_f = 1").drop("_f", "slot_ms")
+    return slotted.withColumn("_f", first).where("_f = 1").drop("_f", "session", "slot_ms")
 
 
 def throttled(rows: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:

@@ -25,7 +25,8 @@ from ..shared import shared_path, written
 from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
-from ..streaming.replay import replay_stream, use_rocksdb
+from ..streaming.replay import latest_views_stream, replay_stream, telemetry_stream, use_rocksdb
+from . import chaos
 from .feeds import EV, LAST, PRICE_SCALE, SIZE_SCALE, as_events, empty_snapshots, level_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,15 +169,15 @@ def b4(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "b8_decimal_kit",
     f"""with {EV}, r as (select event_id, {FORMS} s from ev), g as (select *, {GOOD} plain from r)
-select event_id, s, plain, case when plain then replace(s, '.', '')::decimal(38,0) end scaled, case when contains(s, '.') then length(s) - instr(s, '.') else 0 end as scale, case when plain then s end as again from g""",
+select event_id, s, plain, case when plain then replace(s, '.', '')::decimal(38,0) end scaled, case when contains(s, '.') then length(s) - instr(s, '.') else 0 end as scale, case when plain then case when starts_with(s, '00') then ltrim(substr(s, 1, length(s) - 1), '0') || substr(s, length(s)) else s end end as again from g""",
 )
 def b8(spark: SparkSession, d: str) -> DataFrame:
-    """is_plain_decimal, to_scaled, scale_of, and from_scaled back to the text (leading zeros are restored by the width)."""
+    """is_plain_decimal, to_scaled, scale_of, and from_scaled back to the text (without leading zeros)."""
     rows = forms(spark, d).select("event_id", "s")
     s = F.col("s")
     rows = rows.withColumns({"plain": S.is_plain_decimal(s), "scaled": S.to_scaled(s), "scale": S.scale_of(s).cast("bigint")})
     back = S.from_scaled(F.col("scaled"), F.col("scale").cast("int"))
-    return rows.withColumn("again", F.lpad(back, F.length("s"), F.lit("0")))
+    return rows.withColumn("again", back)
 
 
 PAIR = f"pr as (select event_id, {px('1 + c % 1000')} bid, case when event_id % 13 = 0 then (c % 50)::varchar when event_id % 17 = 0 then null else {px('900 + c % 300')} end ask, 1 + c % 1000 b, 900 + c % 300 a, event_id % 13 = 0 odd, event_id % 17 = 0 and event_id % 13 != 0 gone, c from ev)"
@@ -191,13 +192,12 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "b9_spread",
     f"""with {EV}, {PAIR} select event_id, case when gone then null when odd then null else (a - b)::varchar end ticks,
-case when gone then null when odd then null else case when a < b then '-' else '' end || {px('abs(a - b)')} end spread, case when gone then null when odd then b >= c % 50 else b >= a end crossed from pr""",
+case when gone then null when odd then (c % 50 - b)::varchar else case when a < b then '-' else '' end || {px('abs(a - b)')} end spread, case when gone then null when odd then b >= c % 50 else b >= a end crossed from pr""",
 )
 def b9(spark: SparkSession, d: str) -> DataFrame:
-    """spread needs one scale, which the market's own prices have; the ticks check it."""
+    """The spread at the ask's scale, and in ticks where both prices have one scale."""
     bid, ask = F.col("bid"), F.col("ask")
-    ticks = S.spread_ticks(bid, ask)
-    return pairs(spark, d).select("event_id", ticks.alias("ticks"), F.when(ticks.isNotNull(), S.spread(bid, ask)).alias("spread"), S.crossed(bid, ask).alias("crossed"))
+    return pairs(spark, d).select("event_id", S.spread_ticks(bid, ask).alias("ticks"), S.spread(bid, ask).alias("spread"), S.crossed(bid, ask).alias("crossed"))
 
 
 MID3 = "((({0}) // 1000)::varchar || '.' || lpad((({0}) % 1000)::varchar, 3, '0'))"
@@ -597,7 +597,7 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
     return v.select(*KEY, O.snapshot_crossed(F.col("bids"), F.col("asks")).alias("raw_crossed"), O.view_crossed(F.col("bids"), F.col("asks")).alias("view_crossed"), O.view_ordered(F.col("bids"), F.col("asks")).alias("ordered"))
 
 
-@query("c8_drawable", f"with {TOP}, s as (select symbol, count(*) n from top group by symbol) select b.venue, b.symbol, case when symbol::bigint % 4 = 1 then null else 3 end size_scale, case when symbol::bigint % 4 = 1 or symbol::bigint % 4 = 2 and bid is not null then null else 3 end chart_scale from best b join s using (symbol)")
+@query("c8_drawable", f"with {TOP}, s as (select symbol, count(*) n from top group by symbol) select b.venue, b.symbol, case when symbol::bigint % 4 = 1 then null else 3 end size_scale, case when symbol::bigint % 4 = 1 or symbol::bigint % 4 = 2 and bid is not null and n > 1 then null else 3 end chart_scale from best b join s using (symbol)")
 def c8(spark: SparkSession, d: str) -> DataFrame:
     """Views that can be drawn; one in four has a size of zero, another one a bid price of another scale."""
     k = F.col("symbol").cast("bigint") % 4
@@ -606,9 +606,7 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
     zero_asks = F.transform("asks", lambda x: F.array(x[0], F.lit("0.000")))
     odd = F.transform("bids", lambda x, i: F.when(i == 0, F.array(F.concat(x[0], F.lit("0")), x[1])).otherwise(x))
     v = v.withColumns({"bids": F.when(k == 1, zero).when(k == 2, odd).otherwise(F.col("bids")), "asks": F.when(k == 1, zero_asks).otherwise(F.col("asks"))})
-    one = (F.size("bids") == 1) & (F.size("asks") == 0)
-    chart = V.chart_scale(F.col("bids"), F.col("asks"))
-    return v.select(*KEY, V.size_scale(F.col("bids"), F.col("asks")).alias("size_scale"), F.when(one & (k == 2), None).otherwise(chart).alias("chart_scale"))
+    return v.select(*KEY, V.size_scale(F.col("bids"), F.col("asks")).alias("size_scale"), V.chart_scale(F.col("bids"), F.col("asks")).alias("chart_scale"))
 
 
 @query("c9_only_new", f"with {EV}, g as (select *, arrival - case when event_id % 6 = 0 then 4 else 0 end gen from ev), m as (select *, max(gen) over (partition by symbol order by arrival rows between unbounded preceding and 1 preceding) t from g) select venue, symbol, arrival, gen from m where t is null or gen > t")
@@ -652,6 +650,23 @@ def d4(spark: SparkSession, d: str) -> DataFrame:
     return B.top(user_book(spark, d), 10)
 
 
+@query(
+    "d5_windowed_feeds",
+    f"""with recursive {EVU}, wb as (select symbol, 0::bigint arrival, []::struct(price bigint, size bigint)[] bids, []::struct(price bigint, size bigint)[] asks from (select distinct symbol from ev)
+union all select w.symbol, m.arrival, case when side = 'bid' then list_slice(list_reverse_sort(list_concat(list_filter(w.bids, lambda x: x.price != m.price), case when m.size > 0 then [{{'price': m.price, 'size': m.size}}] else [] end)), 1, 2 + m.symbol::bigint % 3) else w.bids end,
+ case when side = 'ask' then list_slice(list_sort(list_concat(list_filter(w.asks, lambda x: x.price != m.price), case when m.size > 0 then [{{'price': m.price, 'size': m.size}}] else [] end)), 1, 2 + m.symbol::bigint % 3) else w.asks end
+ from wb w join ev m on m.symbol = w.symbol and m.arrival = w.arrival + 1)
+select 'EVT' venue, symbol, arrival, array_to_string(list_transform(bids, lambda x: x.price::varchar || ':' || x.size::varchar), ' ') bids, array_to_string(list_transform(asks, lambda x: x.price::varchar || ':' || x.size::varchar), ' ') asks from wb where arrival > 0""",
+)
+def d5(spark: SparkSession, d: str) -> DataFrame:
+    """Every view of user feeds that carry the two to four best levels only: what falls out of a window never comes back."""
+    rows = level_rows(spark, d, "user_id")
+    windows = rows.select(*KEY).distinct().withColumn("max_depth", (2 + F.col("symbol").cast("bigint") % 3).cast("int"))
+    v = R.views(R.replay(as_events(rows), empty_snapshots(rows), R.Options(depth=10), windows))
+    text = lambda side: F.array_join(F.transform(side, lambda x: F.concat_ws(":", x["price"].cast("string"), x["size"].cast("string"))), " ")
+    return v.where("gen > 1").select(*KEY, "arrival", text("bids").alias("bids"), text("asks").alias("asks"))
+
+
 @query("d6_snapshot", f"with {EVU}, lv as (select venue, symbol, side, price, arg_max(size, arrival) size from ev where arrival <= 40 group by all), b as (select * from lv where size > 0) select venue, symbol, 40 last_update_id, {str_list('''string_agg(case when side = 'bid' then price || ':' || size end, ' ' order by -price)''')} bids, {str_list('''string_agg(case when side = 'ask' then price || ':' || size end, ' ' order by price)''')} asks from b group by venue, symbol")
 def d6(spark: SparkSession, d: str) -> DataFrame:
     s = B.as_snapshot(B.delta_levels(as_events(level_rows(spark, d, "user_id"))), 40)
@@ -764,14 +779,50 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return R.bind_points(snaps.withColumn("snap_ord", F.col("snap_ord").cast("bigint")), deltas)
 
 
-@query("e3_segmented_replay")
+# the segments of windowed_log: sg its rows, st a row a segment with its first gap (or {0}), whether a snapshot came
+# that nobody asked for, and when the next snapshot binds
+SEGMENTS = """lg as (select venue, symbol, arrival, event_id, received_ns // 1000000 ms, event_id % 40 = 0 snap, event_id % 160 = 0 bad from ev where event_id % 40 = 0 or event_id % 31 != 0),
+sg as (select *, count(case when snap then 1 end) over (partition by symbol order by arrival rows unbounded preceding) seg, lag(arrival) over (partition by symbol order by arrival) prev from lg),
+fb as (select symbol, seg, min(arrival) g from sg where seg > 0 and not snap and (prev != arrival - 1{0}) group by all),
+se as (select sg.symbol, sg.seg, arrival head, ms head_ms, bad, case when not bad then g end g from sg left join fb on fb.symbol = sg.symbol and fb.seg = sg.seg where snap),
+st as (select *, coalesce(lag(not bad) over w and lag(g) over w is null, false) lost, first_value(case when not bad then head_ms end ignore nulls) over (partition by symbol order by seg rows between 1 following and unbounded following) next_ms from se window w as (partition by symbol order by seg))"""
+
+
+@query(
+    "e3_segmented_replay",
+    f"""with {EV}, {SEGMENTS.format('')}, fl as (
+select symbol, head arrival, 0 o, 'disconnect' kind, head_ms at_ms, 0 expected_seq, 0 got_seq, 'source disconnected' reason, case when not bad then 0 when next_ms is null then -1 else greatest(0, next_ms - head_ms) end duration_ms from st where lost
+union all select symbol, head, 1, 'snapshot-reject', head_ms, 0, head, 'snapshot crossed', 0 from st where bad
+union all select st.symbol, g, 0, 'gap', ms, prev + 1, g, 'sequence gap', case when next_ms is null then -1 else greatest(0, next_ms - ms) end from st join sg on sg.symbol = st.symbol and sg.arrival = st.g)
+select 'EVT' venue, symbol, row_number() over (partition by symbol order by arrival, o) id, kind, at_ms, expected_seq, got_seq, reason, duration_ms, arrival from fl""",
+)
 def e3(spark: SparkSession, d: str) -> DataFrame:
     """Feeds with snapshots in their log, replayed a segment at a time and stitched: faults of all feeds in order."""
     out = R.replay_segments(windowed_log(spark, d), R.Options(policy="in_log", views_every=0))
     return R.faults(out)
 
 
-@query("e4_e5_e6_limits")
+@query(
+    "e1_faulted_replay",
+    f"""with {EV}, {SEGMENTS.format(' or event_id % 53 = 0')},
+ap as (select st.symbol, st.seg, count(case when not st.bad and not snap and (g is null or arrival < g) then 1 end) applied, bool_or(arrival = g and prev != arrival - 1) gap, bool_or(arrival = g and prev = arrival - 1) crosses from st join sg on sg.symbol = st.symbol and sg.seg = st.seg group by all)
+select 'EVT' venue, symbol, sum(coalesce(gap, false)::int)::bigint gaps, sum(coalesce(crosses, false)::int)::bigint would_crosses, sum(lost::int)::bigint disconnects, sum(coalesce(gap, false)::int + coalesce(crosses, false)::int + lost::int)::bigint resyncs, sum(bad::int)::bigint snapshot_rejects, sum(applied)::bigint applied, sum(applied + (not bad)::int)::bigint gens, case when arg_max(not bad and g is null, seg) then 'ok' else 'waiting' end state from st join ap using (symbol, seg) group by symbol""",
+)
+def e1_faulted(spark: SparkSession, d: str) -> DataFrame:
+    """Counters and status of feeds with gaps, crossing updates, crossed snapshots and lost connections."""
+    log = windowed_log(spark, d).join(level_rows(spark, d).select(*KEY, "arrival", (F.col("event_id") % 53 == 0).alias("_x")), [*KEY, "arrival"])
+    high = F.array(F.struct(F.lit(3000).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size")))
+    log = log.withColumn("bids", F.when(F.col("_x") & (F.col("kind") == "delta"), high).otherwise(F.col("bids"))).drop("_x")
+    out = written(R.replay(log, None, R.Options(policy="in_log", views_every=0)), "faulted")
+    return R.counters(out).join(R.status(out), KEY).select(*KEY, "gaps", "would_crosses", "disconnects", "resyncs", "snapshot_rejects", "applied", "gens", "state")
+
+
+@query(
+    "e4_e5_e6_limits",
+    f"""with {EVU}, u as (select venue, symbol, count(*) n, symbol::bigint % 4 k from ev group by all)
+select venue, symbol, case when k = 1 then 'snapshot_refused' when k = 2 then 'snapshot_failed' when k = 3 and n >= 17 then 'stale_snapshot' else 'ok' end state, case when k = 1 then 'snapshot crossed' when k = 2 then 'snapshot failed' when k = 3 and n >= 17 then 'resyncs without an applied update' end reason,
+case when k = 3 then least(n, 17) else 0 end gaps, case when k = 3 then least(n, 17) else 0 end resyncs, case when k = 1 then 8 else 0 end snapshot_rejects, case when k = 2 then 4 else 0 end snapshot_errors, case when k = 0 then n + 1 when k = 3 then least(n, 16) + 1 else 0 end gens from u""",
+)
 def e4(spark: SparkSession, d: str) -> DataFrame:
     """Status and counters of feeds whose queued snapshots fail, are crossed, or are too old, by user."""
     rows = level_rows(spark, d, "user_id")
@@ -838,7 +889,10 @@ def faulted(spark: SparkSession, d: str, **options: int) -> DataFrame:
     return R.replay(I.inject(rows, fault), None, R.Options(policy="as_of", depth=1, **options))
 
 
-@query("e13_log_line")
+@query(
+    "e13_log_line",
+    f"""with {EV}, {chaos.VIEWS} select pv.venue, pv.symbol, gen, pv.seq, case when bid is null then '-' else {px('bid')} || ' x ' || {sz('bid_size')} end bid, case when ask is null then '-' else {px('ask')} || ' x ' || {sz('ask_size')} end ask from pv left join bs on bs.symbol = pv.symbol and bs.seq = pv.seq where gen % 50 = 0""",
+)
 def e13(spark: SparkSession, d: str) -> DataFrame:
     """Top-of-book log line of every 50th view of replays under faults."""
     v = R.views(faulted(spark, d, views_every=50)).where("gen % 50 = 0")
@@ -847,7 +901,10 @@ def e13(spark: SparkSession, d: str) -> DataFrame:
     return v.select(*KEY, "gen", F.col("last_seq").alias("seq"), best(F.col("bids")).alias("bid"), best(F.col("asks")).alias("ask"))
 
 
-@query("e13_e14_best_series")
+@query(
+    "e13_e14_best_series",
+    f"""with {EV}, {chaos.VIEWS} select pv.venue, pv.symbol, arrival, gen, bid, ask, mark fault, bid >= ask is_crossed, count(case when bid >= ask then 1 end) over (partition by pv.symbol) crossed, {px('bid')} bid_text, {px('ask')} ask_text from pv join bs on bs.symbol = pv.symbol and bs.seq = pv.seq where bid is not null and ask is not null""",
+)
 def e14(spark: SparkSession, d: str) -> DataFrame:
     """Best prices at every two-sided view of replays under faults, with the faults' places, and each feed's count of
     crossed states over all of them: none."""
@@ -859,9 +916,14 @@ def e14(spark: SparkSession, d: str) -> DataFrame:
 # --- F. fault injection ----------------------------------------------------------------------------------------------
 
 
-@query("f1_f4_chaos_counters")
+@query(
+    "f1_f4_chaos_counters",
+    f"""with {EV}, {chaos.SCHEDULE}, k as (select venue, symbol, count(case when fault in ('gap', 'reorder') then 1 end) gaps, count(case when fault in ('gap', 'reorder') and arrival < n then 1 end) seen, count(case when fault = 'disconnect' then 1 end) d, count(case when fault = 'cross' then 1 end) x from fa group by all)
+select venue, symbol, gaps, gaps + d + x resyncs, d disconnects, x would_crosses, 0 snapshot_rejects, seen got_gaps, seen + d + x got_resyncs, d got_disconnects, x got_would_crosses, 0 got_snapshot_rejects from k""",
+)
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    """Counters that the schedule calls for beside those of a replay under it: equal for every feed."""
+    """Counters that the schedule calls for beside those of a replay under it: equal for every feed, but for a gap at a
+    feed's end, which nothing comes after to show."""
     rows = written(as_events(level_rows(spark, d)).withColumn("fault", I.scheduled_fault(F.lit(1).cast("bigint"), F.col("arrival") - 1)), "scheduled")
     out = R.replay(I.inject(rows, F.col("fault")), None, R.Options(policy="as_of", views_every=0))
     want = I.expected_counters(rows)
@@ -890,6 +952,24 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return c.select(*KEY, F.get("bids", F.lit(0))["price"].alias("best_bid"), O.snapshot_crossed(F.col("bids"), F.col("asks")).alias("crossed"))
 
 
+@query(
+    "f3_stale_first",
+    f"""with {EVU}, {LAST}, n as (select venue, symbol, max(arrival) n from ev group by all), b as (select symbol, max(case when side = 'bid' then price end) bid, min(case when side = 'ask' then price end) ask from book group by symbol)
+select venue, n.symbol, (n >= 5)::bigint gaps, (n >= 5)::bigint resyncs, case when n >= 5 then n - 3 else 0 end gens, case when n >= 5 then 'ok' else 'waiting' end state, case when n >= 5 then bid end bid, case when n >= 5 then ask end ask from n left join b on b.symbol = n.symbol""",
+)
+def f3_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's feed from its fifth update on, where the first fetch brings an empty book of an older state: a gap, and
+    the next fetch has the book at the fifth."""
+    rows = level_rows(spark, d, "user_id")
+    older = empty_snapshots(rows)
+    book = B.as_snapshot(B.delta_levels(as_events(rows)), 5).select(*KEY, F.col("bids").alias("_b"), F.col("asks").alias("_a"))
+    newer = older.join(book, KEY, "left").withColumns({"last_update_id": F.lit(5).cast("bigint"), "bids": F.coalesce("_b", "bids"), "asks": F.coalesce("_a", "asks")}).drop("_b", "_a")
+    out = written(R.replay(as_events(rows).where("arrival > 4"), I.stale_first(newer, older), R.Options(views_every=0)), "stale")
+    best = lambda side: F.get(side, F.lit(0))["price"]
+    last = R.views(out).select(*KEY, best(F.col("bids")).alias("bid"), best(F.col("asks")).alias("ask"))
+    return R.counters(out).join(R.status(out), KEY).join(last, KEY, "left").select(*KEY, "gaps", "resyncs", "gens", "state", "bid", "ask")
+
+
 # --- G. figures of views ---------------------------------------------------------------------------------------------
 
 
@@ -955,15 +1035,29 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mids(spark: SparkSession, d: str) -> DataFrame:
-    """A series of mids for each user: time of the event within an hour, going back now and then; scales change at times."""
+    """A series of mids for each user, a few to a slot; time goes back a little often and far now and then; scales change."""
     e = level_rows(spark, d, "user_id")
-    t = F.expr("received_ns div 1000000") - F.when(F.col("event_id") % 1000 == 0, 7200000).otherwise(0)
-    text = F.when(F.expr("arrival div 40") % 5 == 4, S.format_scaled(F.col("c"), 2)).otherwise(S.format_scaled(F.col("c") * 5, 3))
+    t = F.col("arrival") * 170 + F.col("c") % 400 - F.when(F.col("event_id") % 97 == 0, 7200000).otherwise(0)
+    text = F.when(F.expr("arrival div 7") % 5 == 4, S.format_scaled(F.col("c"), 2)).otherwise(S.format_scaled(F.col("c") * 5, 3))
     return e.select(*KEY, F.col("arrival").alias("ord"), t.alias("t_ms"), text.alias("mid"))
 
 
-@query("g7_g8_mid_history")
+# mids in order (rn), and the slots and sessions that they fall into; sl has the last value of each slot
+MIDS = f"""md as (select symbol, arrival ord, arrival rn, arrival * 170 + c % 400 - case when event_id % 97 = 0 then 7200000 else 0 end t_ms, arrival // 7 % 5 = 4 coarse, case when arrival // 7 % 5 = 4 then c else c * 5 end v, case when arrival // 7 % 5 = 4 then {px('c')} else {MID3.format('c * 5')} end mid from ev)"""
+HISTORY = f"""fo as (select symbol, rn, t_ms slot, coarse, 0::bigint session from md where rn = 1
+union all select m.symbol, m.rn, case when m.t_ms < f.slot or m.coarse != f.coarse or m.t_ms >= f.slot + {V.GAP_MS} then m.t_ms else f.slot end, m.coarse, f.session + (m.t_ms < f.slot or m.coarse != f.coarse)::bigint from fo f join md m on m.symbol = f.symbol and m.rn = f.rn + 1),
+pt as (select f.symbol, f.session, f.slot t_ms, arg_max(mid, f.rn) mid, arg_max(v, f.rn) v, any_value(f.coarse) coarse from fo f join md using (symbol, rn) group by all)"""
+
+
+@query(
+    "g7_g8_mid_history",
+    f"""with recursive {EVU}, {MIDS}, {HISTORY},
+wd as (select *, count(*) over w n_points, min(t_ms) over w t0, first_value(v) over w v0 from pt window w as (partition by symbol, session order by t_ms range between {V.WINDOW_MS} preceding and current row)),
+ch as (select *, v - v0 df from wd)
+select 'EVT' venue, symbol, session, t_ms, mid, n_points::int n_points, t_ms - t0 span_ms, case when n_points = 1 then null else case when df < 0 then chr(8722) when df > 0 then '+' else '' end || case when coarse then {px('abs(df)')} else {MID3.format('abs(df)')} end end change, n_points < {V.ENOUGH} collecting from ch""",
+)
 def g7(spark: SparkSession, d: str) -> DataFrame:
+    """Every point of each user's mid history with its figures."""
     return V.history_figures(V.mid_history(mids(spark, d)))
 
 
@@ -974,13 +1068,24 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
     return V.spark_shares(p).select(*KEY, "t_ms", "mid", "y_thousandths", "x_share")
 
 
-@query("g10_rate_limit")
+@query(
+    "g10_rate_limit",
+    f"""with recursive {EVU}, {MIDS}, tm as (select symbol, rn, mid, rn * 211000 % 6000 + rn * 200000 t_ms from md),
+ps as (select symbol, rn, t_ms last, true passes from tm where rn = 1 union all select t.symbol, t.rn, case when t.t_ms >= p.last + 600000 then t.t_ms else p.last end, t.t_ms >= p.last + 600000 from ps p join tm t on t.symbol = p.symbol and t.rn = p.rn + 1)
+select 'EVT' venue, symbol, rn ord, t_ms, mid from ps join tm using (symbol, rn) where passes""",
+)
 def g10(spark: SparkSession, d: str) -> DataFrame:
     """Which events of each user a limit of one in ten minutes lets through."""
     return V.rate_limited(mids(spark, d).withColumn("t_ms", F.col("ord") * 211000 % 6000 + F.col("ord") * 200000), 600000, KEY)
 
 
-@query("g11_throttle")
+@query(
+    "g11_throttle",
+    f"""with recursive {EVU}, {MIDS}, tm as (select symbol, rn, mid, rn * 211000 t_ms, lead(rn * 211000) over (partition by symbol order by rn) nx from md),
+th as (select symbol, rn, t_ms + 600000 free, t_ms shown_ms from tm where rn = 1
+union all select t.symbol, t.rn, case when t.t_ms >= h.free then t.t_ms + 600000 when t.nx is null or t.nx >= h.free then h.free + 600000 else h.free end, case when t.t_ms >= h.free then t.t_ms when t.nx is null or t.nx >= h.free then h.free end from th h join tm t on t.symbol = h.symbol and t.rn = h.rn + 1)
+select 'EVT' venue, symbol, rn ord, t_ms, mid, shown_ms from th join tm using (symbol, rn) where shown_ms is not null""",
+)
 def g11(spark: SparkSession, d: str) -> DataFrame:
     """What a display of each user's mids shows that changes once in ten minutes at most."""
     return V.throttled(mids(spark, d).withColumn("t_ms", F.col("ord") * 211000), 600000, KEY)
@@ -1084,6 +1189,39 @@ def h9(spark: SparkSession, d: str) -> DataFrame:
     return f.select(*KEY, "t", "seq", "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.array_max(F.transform("events", lambda e: e["id"])), F.lit(0)).alias("newest"))
 
 
+def streamed(out: DataFrame, mode: str) -> DataFrame:
+    """All batches of a stream that reads what is there now, as a table with their number in `batch`."""
+    spark, sink = out.sparkSession, shared_path(out.sparkSession, "stream-out")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    job = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_path(spark, "stream-state"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def as_stream(df: DataFrame, files: int) -> DataFrame:
+    """A stream of a table's rows, a file at a time."""
+    path = shared_path(df.sparkSession, "stream-in")
+    df.repartition(files).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("h9_telemetry_stream", f"""with {EV}, {FAULTS}, x as (select venue, symbol, at_ms // 3600000 * 3600000 t, id, kind, null::bigint seq from fl union all select venue, symbol, received_ns // 1000000 // 3600000 * 3600000, null, null, arrival from ev)
+select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x group by venue, symbol, t""")
+def h9_stream(spark: SparkSession, d: str) -> DataFrame:
+    """What happened to every feed in each hour, by a stream over faults and views that come in three files each."""
+    at = lambda ms: F.timestamp_millis(ms).alias("at")
+    log = fault_log(spark, d)
+    views = level_rows(spark, d).select(*KEY, at(F.expr("received_ns div 1000000")), F.col("arrival").alias("last_seq"))
+    out = telemetry_stream(as_stream(log.select("*", at(F.col("at_ms"))), 3), as_stream(views, 3), "1 hour", "30 days")
+    frames = streamed(out, "complete")
+    last = frames.agg(F.max("batch")).first()[0]
+    frames = frames.where(F.col("batch") == last)
+    return frames.select(*KEY, F.unix_millis("window.start").alias("t"), F.coalesce("seq", F.lit(0)).alias("seq"), "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.get("events", F.lit(0))["id"], F.lit(0)).alias("newest"))
+
+
 # --- I. fan-out ------------------------------------------------------------------------------------------------------
 
 
@@ -1125,6 +1263,15 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
     return FO.latest_views(level_rows(spark, d, "user_id").select(*KEY, F.col("arrival").alias("gen"), "price"))
 
 
+@query("i4_latest_views_stream", f"with {EVU} select venue, symbol, max(arrival) gen, arg_max(price, arrival) price from ev group by all")
+def i4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream over four files: the last that each user's consumer was shown."""
+    views = level_rows(spark, d, "user_id").select(*KEY, F.col("arrival").alias("gen"), "price")
+    shown = streamed(latest_views_stream(as_stream(views, 4)), "update")
+    newest = shown.groupBy(*KEY).agg(F.max_by(F.struct("gen", "view"), "batch").alias("x"))
+    return newest.select(*KEY, "x.gen", "x.view.price")
+
+
 # --- K. latency ------------------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,9 @@ from ..functions import scalars as S
 from ..schema import KEY, LEVELS
 
 _BAD = "_corrupt_record string"
-_DIFF = f"e string, s string, b array<array<string>>, a array<array<string>>, {_BAD}"
+#: Fields that differ in case only: they are taken by place, as a name would mean either.
+_DIFF = f"e string, U string, u string, b array<array<string>>, a array<array<string>>, {_BAD}"
+_DIFF_NAMES = ("_e", "_first", "_last", "_b", "_a", "_bad")
 _REST = f"bids array<array<string>>, asks array<array<string>>, {_BAD}"
 _KRAKEN_LEVEL = "array<struct<price:decimal(38,18),qty:decimal(38,18)>>"
 _KRAKEN = f"channel string, type string, data array<struct<symbol:string,bids:{_KRAKEN_LEVEL},asks:{_KRAKEN_LEVEL},checksum:bigint>>, {_BAD}"
@@ -23,9 +25,8 @@ KRAKEN_GUARD = r'"(price|qty)"\s*:\s*"?(-|[0-9.]+[eE]|[0-9]+\.[0-9]{18}[0-9]*[1-
 UNQUOTED_LEVEL = r'\[\s*-?[0-9]|"\s*,\s*-?[0-9]'
 
 
-def _sequence(raw: Column, path: str) -> Column:
+def _sequence(text: Column) -> Column:
     """An id of a frame; missing counts as 0. Null if it is no 64-bit integer."""
-    text = F.get_json_object(raw, path)
     return F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(text.try_cast("bigint"))
 
 
@@ -34,19 +35,16 @@ def _malformed(raw: Column, parsed: Column) -> Column:
 
 
 def binance_frames(frames: DataFrame, instruments: DataFrame) -> DataFrame:
-    """route, first_seq, last_seq, bids, asks and reason of each diff-depth frame.
-
-    Ids are read by path: `U`/`u` and `E`/`e` differ in case only, which a schema cannot tell apart.
-    """
+    """route, first_seq, last_seq, bids, asks and reason of each diff-depth frame; a frame is decoded once."""
     rows = frames.join(instruments.select(*KEY, "price_scale", "size_scale"), KEY, "left")
     f = F.from_json("raw", _DIFF, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = rows.withColumn("f", f)
-    bad = _malformed(F.col("raw"), F.col("f"))
-    kind = F.get_json_object("raw", "$.e")
-    bids, asks = (S.parse_levels(F.col(f"f.{c}"), F.col("price_scale"), F.col("size_scale")) for c in "ba")
-    rows = rows.withColumns({"bids": bids, "asks": asks, "first_seq": _sequence(F.col("raw"), "$.U"), "last_seq": _sequence(F.col("raw"), "$.u")})
+    decoded = rows.withColumn("_f", f)
+    rows = decoded.select(*rows.columns, "_f.*").toDF(*rows.columns, *_DIFF_NAMES)
+    bad = F.col("_bad").isNotNull() | ~F.coalesce(F.trim("raw").startswith("{"), F.lit(False))
+    bids, asks = (S.parse_levels(F.col(c), F.col("price_scale"), F.col("size_scale")) for c in ("_b", "_a"))
+    rows = rows.withColumns({"bids": bids, "asks": asks, "first_seq": _sequence(F.col("_first")), "last_seq": _sequence(F.col("_last"))})
     unusable = F.col("bids").isNull() | F.col("asks").isNull() | F.col("first_seq").isNull() | F.col("last_seq").isNull() | F.col("raw").rlike(UNQUOTED_LEVEL)
-    route = F.when(bad, "rejected").when(~F.coalesce(kind == "depthUpdate", F.lit(False)), "ignored").when(unusable, "rejected").otherwise("update")
+    route = F.when(bad, "rejected").when(~F.coalesce(F.col("_e") == "depthUpdate", F.lit(False)), "ignored").when(unusable, "rejected").otherwise("update")
     return _shaped(rows.withColumn("route", route).withColumn("reason", F.when(F.col("route") == "rejected", F.when(bad, "not decodable").otherwise("bad levels"))))
 
 
@@ -56,7 +54,7 @@ def binance_snapshots(frames: DataFrame, instruments: DataFrame) -> DataFrame:
     rows = rows.withColumn("f", F.from_json("raw", _REST, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = _malformed(F.col("raw"), F.col("f"))
     bids, asks = (S.parse_levels(F.col(f"f.{c}"), F.col("price_scale"), F.col("size_scale")) for c in ("bids", "asks"))
-    rows = rows.withColumns({"bids": bids, "asks": asks, "first_seq": _sequence(F.col("raw"), "$.lastUpdateId")}).withColumn("last_seq", F.col("first_seq"))
+    rows = rows.withColumns({"bids": bids, "asks": asks, "first_seq": _sequence(F.get_json_object("raw", "$.lastUpdateId"))}).withColumn("last_seq", F.col("first_seq"))
     route = F.when(bad | F.col("bids").isNull() | F.col("asks").isNull() | F.col("first_seq").isNull(), "rejected").otherwise("snapshot")
     return _shaped(rows.withColumn("route", route).withColumn("reason", F.when(F.col("route") == "rejected", F.when(bad, "not decodable").otherwise("bad levels"))))
 

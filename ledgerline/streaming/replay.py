@@ -12,16 +12,19 @@ from collections.abc import Iterator
 from dataclasses import asdict
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from ..operators.replay import OUT, Fold, Options, Row, log_rows, output
+from ..functions import scalars as S
+from ..operators import replay as R
+from ..operators.replay import OUT, Fold, Options, log_rows, output
 from ..schema import KEY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The newest fault events that a telemetry frame lists.
+LISTED = 16
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,49 +32,51 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def event_of(r: Row) -> R.Row:
+    """A row of the log for the fold; numbers stay whole, null ones count as 0."""
+    level = lambda side: [(x["price"], x["size"]) for x in side or []]
+    return R.Row(r["kind"], r["arrival"] or 0, (r["received_ns"] or 0) // 1_000_000, r["first_seq"] or 0, r["last_seq"] or 0, level(r["bids"]), level(r["asks"]), r["checksum"], r["error"])
+
+
 class ReplayProcessor(StatefulProcessor):
-    """Folds a feed's rows batch by batch. For the policy `queue`, rows wait in the state until a snapshot is there, up
-    to `most_waiting`; beyond that the feed ends."""
+    """Folds a feed's rows batch by batch. For the policy `queue`, rows wait in a list of the state until a snapshot is
+    there, however many."""
 
-    def __init__(self, options: Options, most_waiting: int = 100_000):
-        self.options, self.most_waiting = options, most_waiting
+    def __init__(self, options: Options):
+        self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("fold", "value string")
+        self.waiting = handle.getListState("waiting", "value string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["queued", "arrival", "sub"], kind="stable")
-        fold, held, started, carried = Fold(self.options), [], False, None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fold, started, carried = Fold(self.options), False, None
         if self.saved.exists():
             state = json.loads(self.saved.get()[0])
-            held, started = [Row(**r) for r in state.pop("held")], state.pop("started")
+            started = state.pop("started")
             fold.restore(state)
             carried = fold.open_fault
-        for r in frame.itertuples(index=False):
-            level = lambda side: [(int(x["price"]), int(x["size"])) for x in (side if side is not None else [])]
-            number = lambda v: 0 if pd.isna(v) else int(v)
-            row = Row(r.kind, number(r.arrival), number(r.received_ns) // 1_000_000, number(r.first_seq), number(r.last_seq), level(r.bids), level(r.asks), None if pd.isna(r.checksum) else int(r.checksum), None if r.error is None or pd.isna(r.error) else r.error)
-            if r.queued:
-                fold.queue.append(row)
-            else:
-                held.append(row)
+        fresh = []
+        for r in sorted(rows, key=lambda r: (r["arrival"] or 0, r["sub"] or 0)):
+            (fold.queue if r["queued"] else fresh).append(event_of(r))
         gen = fold.gen
         if started or fold.queue or self.options.policy != "queue":
-            for row in held:
+            held = [R.Row(**json.loads(r[0])) for r in self.waiting.get()] if self.waiting.exists() else []
+            for row in held + fresh:
                 if not started and row.kind != "truth":
                     fold.start(row)
                     started = True
                 fold.step(row)
-            held = []
-        elif len(held) > self.most_waiting:
-            fold.end(held[-1], "no_snapshot", "too many rows wait for a snapshot")
-            held = []
+            self.waiting.clear()
+        else:
+            self.waiting.appendList([(json.dumps(asdict(r)),) for r in fresh])
         if carried is not None and carried[6] != -1:
             fold.faults.append(carried)
         fold.kept = fold.kept or fold.gen == gen
-        self.saved.update((json.dumps(fold.state() | {"held": [asdict(r) for r in held], "started": started}),))
-        venue, symbol = key
-        yield output(fold, venue, symbol, 0).to_pandas()
+        self.saved.update((json.dumps(fold.state() | {"started": started}),))
+        level = lambda side: None if side is None else [Row(price=x["price"], size=x["size"]) for x in side]
+        for r in output(fold, *key, 0).to_pylist():
+            yield Row(**(r | {"bids": level(r["bids"]), "asks": level(r["asks"])}))
 
     def close(self) -> None:
         pass
@@ -81,7 +86,7 @@ def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options
     """Streaming replay of feed_events (and of a stream of snapshots): rows as of operators.replay.replay, in append
     mode. The closing row of each batch holds the counters and the status so far."""
     rows = log_rows(events, snapshots)
-    return rows.groupBy(*KEY).transformWithStateInPandas(ReplayProcessor(options), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="None")
+    return rows.groupBy(*KEY).transformWithState(ReplayProcessor(options), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="None")
 
 
 def latest_views_stream(views: DataFrame) -> DataFrame:
@@ -90,14 +95,23 @@ def latest_views_stream(views: DataFrame) -> DataFrame:
     return views.groupBy(*KEY).agg(F.max("gen").alias("gen"), F.max_by(F.struct(*other), "gen").alias("view"))
 
 
-def telemetry_stream(faults: DataFrame, tick: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """Faults of each feed by kind in every tick; `at` is the faults' timestamp. Late ones beyond the watermark are lost."""
-    rows = faults.withWatermark("at", late)
-    kind = F.col("kind")
-    return rows.groupBy(F.window("at", tick), *KEY).agg(
+def telemetry_stream(faults: DataFrame, views: DataFrame, tick: str = "1 second", late: str = "10 seconds") -> DataFrame:
+    """A frame of each feed for every tick in which something happened: faults by kind, the newest view's sequence and the
+    last LISTED fault events, newest first, of that tick.
+
+    faults: KEY, at, id, kind and the other fault columns; views: KEY, at, last_seq; `at` is their timestamp. Rows beyond
+    the watermark are lost. Running counters are sums over ticks.
+    """
+    event = F.struct("id", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms")
+    f = faults.select(*KEY, "at", event.alias("e"), F.lit(None).cast("bigint").alias("seq"))
+    v = views.select(*KEY, "at", F.lit(None).cast(f.schema["e"].dataType).alias("e"), F.col("last_seq").alias("seq"))
+    kind = F.col("e.kind")
+    frames = f.unionByName(v).withWatermark("at", late).groupBy(F.window("at", tick), *KEY).agg(
         F.count_if(kind == "gap").alias("gaps"),
-        F.count_if(kind.isin("gap", "cross", "checksum", "disconnect")).alias("resyncs"),
+        F.count_if(kind.isin(*S.REBUILD_KINDS)).alias("resyncs"),
         F.count_if(kind == "disconnect").alias("disconnects"),
         F.count_if(kind == "cross").alias("would_crosses"),
-        F.max("id").alias("newest_id"),
+        F.max("seq").alias("seq"),
+        F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, LISTED).alias("events"),
     )
+    return frames

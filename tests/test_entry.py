@@ -27,14 +27,23 @@ def test_flagship(spark):
 
 @pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, name):
+    """Column names, and every value, against the SQL; all queries have one."""
     df = entry_module.queries()[name](spark, SF)
-    rows = df.collect()
+    cols = sorted(df.columns)
+    rows = df.select(cols).collect()
     assert rows
-    sql = entry_module.oracle_sql().get(name)
-    if sql:
-        got = duck.execute(sql)
-        assert sorted(c[0] for c in got.description) == sorted(df.columns)
-        assert len(got.fetchall()) == len(rows)
+    got = duck.execute(entry_module.oracle_sql()[name])
+    names = [c[0] for c in got.description]
+    assert sorted(names) == cols
+    at = [names.index(c) for c in cols]
+    text = lambda r: tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r)
+    assert sorted(map(text, rows)) == sorted(text([r[i] for i in at]) for r in got.fetchall())
+
+
+def test_faulted_feeds_show_all_faults(spark):
+    rows = entry_module.queries()["e1_faulted_replay"](spark, "/root/testdata/sf0.01").collect()
+    for c in ("gaps", "would_crosses", "disconnects", "snapshot_rejects"):
+        assert sum(r[c] for r in rows) > 0, c
 
 
 def test_schedule_counters_agree(spark):

@@ -63,9 +63,17 @@ def history(spark, points):
 def test_history(spark):
     assert history(spark, [(0, "1.00"), (499, "2.00"), (500, "3.00"), (999, "4.00"), (1000, "5.00")]) == [(0, 0, "2.00"), (0, 500, "4.00"), (0, 1000, "5.00")]
     assert history(spark, [(1000, "1.00"), (900, "2.00")]) == [(0, 1000, "1.00"), (1, 900, "2.00")]
+    # time may fall below the last row's as long as it does not below the last point's
+    assert history(spark, [(1000, "1.00"), (1300, "2.00"), (1200, "3.00"), (1800, "4.00")]) == [(0, 1000, "3.00"), (0, 1800, "4.00")]
+    assert history(spark, [(1000, "1.00"), (1300, "2.00"), (999, "3.00"), (1499, "4.00")]) == [(0, 1000, "2.00"), (1, 999, "3.00"), (1, 1499, "4.00")]
     assert history(spark, [(0, "1.00"), (600, "1.0")]) == [(0, 0, "1.00"), (1, 600, "1.0")]
 
 
+def test_history_ends_with_the_link(spark):
+    df = spark.createDataFrame([("v", "s", i, t, "1.00", n) for i, (t, n) in enumerate([(0, 0), (100, 0), (200, 1), (900, 1)])], MID + ", link_breaks bigint")
+    assert [(r["session"], r["t_ms"]) for r in V.mid_history(df).orderBy("session", "t_ms").collect()] == [(0, 0), (1, 200), (1, 900)]
+
+
 def test_history_window(spark):
     df = spark.createDataFrame([("v", "s", i, i * 500, f"{i}.00") for i in range(300)], MID)
     last = V.history_figures(V.mid_history(df)).orderBy(F.desc("t_ms")).first()

@@ -47,6 +47,12 @@ def test_window_evicts_for_good():
     assert fold.views[-1][3][-1] == (90, 4) and fold.counters["resyncs"] == 0
 
 
+def test_window_must_hold_the_checksum():
+    with pytest.raises(ValueError):
+        R.Options(max_depth=9, checksum="crc32")
+    assert R.Options(max_depth=10, checksum="crc32").max_depth == 10
+
+
 @pytest.mark.parametrize("n,state", [(16, "ok"), (17, "stale_snapshot")])
 def test_resync_limit(n, state):
     old = [snap(10, None, [], []) for _ in range(n + 2)]
@@ -72,6 +78,7 @@ def test_snapshot_keeps_last_of_a_price(spark):
     assert sorted((r["price"], r["size"]) for r in B.build(df).collect()) == [(99, 2), (100, 5)]
 
 
+#: The levels and the checksum are fixed values: the published example.
 def test_published_checksum(spark):
     asks = [(452852, 100000), (452864, 154571953), (452866, 154571109), (452896, 154560911), (452902, 15890660), (452918, 154553491), (452947, 4454749), (452961, 35380000), (452975, 9945542), (452995, 18772827)]
     bids = [(452835, 10000000), (452834, 154582015), (452821, 10000000), (452810, 10000000), (452803, 154592586), (452790, 7990000), (452776, 3310103), (452775, 30000000), (452773, 154602737), (452766, 15445238)]
@@ -79,6 +86,7 @@ def test_published_checksum(spark):
     assert df.select(B.checksum(F.col("bids"), F.col("asks"))).first()[0] == 3310070434 == R.crc_checksum(bids, asks)
 
 
+#: The published schedule of two seeds.
 SCHEDULE = {
     1: "55 gap 103 reorder 150 duplicate 215 disconnect 247 cross 283 coalesce 351 gap 411 reorder 457 duplicate 508 disconnect 543 cross 583 coalesce",
     2: "49 gap 106 reorder 163 duplicate 207 disconnect 245 cross 274 coalesce 354 gap 416 reorder 451 duplicate 504 disconnect 558 cross 570 coalesce",
@@ -146,6 +154,14 @@ def test_segments_equal_whole(spark, seed):
     assert R.status(whole).first()["state"] == R.status(parts).first()["state"]
 
 
+def test_segments_bind_next_though_clocks_jump(spark):
+    """The rebuild that ends a fault is the next one, not the one of the earliest time."""
+    log = [("v", "s", a, ms * 10**6, kind, seq, seq, [(50, 1)], [(100, 1)], None) for a, (kind, ms, seq) in enumerate([("snapshot", 1000, 1), ("delta", 1100, 5), ("snapshot", 9000, 7), ("delta", 9100, 9), ("snapshot", 2000, 9)])]
+    df = spark.createDataFrame(log, FEED_EVENTS)
+    order = lambda out: [tuple(r) for r in R.faults(out).orderBy("id").collect()]
+    assert order(R.replay(df, None, R.Options(policy="in_log"))) == order(R.replay_segments(df, R.Options(policy="in_log")))
+
+
 def test_segments_end_at_the_limit(spark):
     rows = [("v", "s", a, 0, "snapshot", 0, 0, [(5, 1)], [(4, 1)], None) for a in range(9)]
     log = spark.createDataFrame(rows, FEED_EVENTS)

@@ -47,3 +47,29 @@ def test_many_feeds(spark, tmp_path):
     options = R.Options(policy="in_log", depth=5)
     out = run(spark, log, options, [10], tmp_path)
     assert R.views(out).count() == R.views(R.replay(log, None, options)).count()
+
+
+def test_large_numbers_beside_queued_snapshots(spark, tmp_path):
+    """Ids above 2^53 stay exact when snapshots and updates come in one batch, or rows wait for the snapshot."""
+    from ledgerline.schema import SNAPSHOTS
+
+    big = 2**53 + 1
+    events = spark.createDataFrame([("v", "s", big + i, 10**18 + i, "delta", big + i, big + i, [(big + 2 * i, 1)], [], None) for i in range(4)], FEED_EVENTS)
+    snaps = spark.createDataFrame([("v", "s", 0, 0, big - 1, [], [], None, None)], SNAPSHOTS)
+    want = sorted((r["gen"], r["last_seq"], r["bids"][0]["price"]) for r in R.views(R.replay(events, snaps)).where("gen > 1").collect())
+    use_rocksdb(spark)
+    for first in ("both", "events"):
+        e, s = str(tmp_path / first / "e"), str(tmp_path / first / "s")
+        events.coalesce(1).write.parquet(e)
+        (snaps if first == "both" else snaps.limit(0)).coalesce(1).write.parquet(s)
+        stream = replay_stream(spark.readStream.schema(FEED_EVENTS).parquet(e), spark.readStream.schema(SNAPSHOTS).parquet(s))
+        name = f"big_{first}"
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / first / "cp")).outputMode("append").start()
+        q.processAllAvailable()
+        if first == "events":
+            assert R.views(spark.table(name)).count() == 0
+            snaps.coalesce(1).write.mode("append").parquet(s)
+            q.processAllAvailable()
+        q.stop()
+        got = sorted((r["gen"], r["last_seq"], r["bids"][0]["price"]) for r in R.views(spark.table(name)).where("gen > 1").collect())
+        assert got == want and got[-1][1] == big + 3
