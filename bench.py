@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import statistics
@@ -19,6 +20,7 @@ from ledgerline.operators import replay as R
 from ledgerline.plans import queries as Q
 from ledgerline.plans.feeds import as_events, empty_snapshots, level_rows, lineitem_rows
 from ledgerline.schema import KEY
+from ledgerline.shared import shared_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -31,20 +33,30 @@ def replay_many(spark):
     return R.replay(as_events(rows), empty_snapshots(rows), R.Options(depth=10))
 
 
-def replay_hot(spark):
-    """All order lines as one feed, counters and last view only."""
+@functools.cache
+def recorded(segments: bool) -> str:
+    """All order lines as one feed's recorded log; with segments, every 20,000th row is a snapshot."""
+    spark = SparkSession.getActiveSession()
     rows = lineitem_rows(spark, SF_DIR, hot=True)
-    return R.replay(as_events(rows), empty_snapshots(rows), R.Options(views_every=0))
+    e = as_events(rows).drop("event_id")
+    if segments:
+        snap = (F.col("arrival") == 1) | (F.col("arrival") % 20000 == 0)
+        lv = lambda p: F.array(F.struct(F.lit(p).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size")))
+        e = e.withColumns({"bids": F.when(snap, lv(1)).otherwise(F.col("bids")), "asks": F.when(snap, lv(2500)).otherwise(F.col("asks")), "kind": F.when(snap, "snapshot").otherwise(F.col("kind"))})
+    path = shared_path(spark, "recorded")
+    e.repartition(16, "arrival").write.parquet(path)
+    return path
+
+
+def replay_hot(spark):
+    """One feed's log of all order lines: counters and last view, in the feed's order."""
+    log = spark.read.parquet(recorded(False))
+    return R.replay(log, empty_snapshots(log), R.Options(views_every=0))
 
 
 def replay_hot_segments(spark):
-    """The hot feed with a snapshot in its log at every 20,000th update, a segment at a time."""
-    rows = lineitem_rows(spark, SF_DIR, hot=True)
-    e = as_events(rows)
-    snap = (F.col("arrival") == 1) | (F.col("arrival") % 20000 == 0)
-    lv = lambda p: F.array(F.struct(F.lit(p).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size")))
-    e = e.withColumns({"bids": F.when(snap, lv(1)).otherwise(F.col("bids")), "asks": F.when(snap, lv(2500)).otherwise(F.col("asks")), "kind": F.when(snap, "snapshot").otherwise(F.col("kind"))})
-    return R.replay_segments(e.drop("event_id"), R.Options(policy="in_log", views_every=0))
+    """The same feed with a snapshot in its log at every 20,000th update, a segment at a time."""
+    return R.replay_segments(spark.read.parquet(recorded(True)), R.Options(policy="in_log", views_every=0))
 
 
 def latest_book(spark):

@@ -19,6 +19,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,8 +134,8 @@ class Fold:
         self.queue: deque[Row] = deque()
         self.views: list[tuple] = []
         self.faults: list[list] = []
-        self.newest: tuple | None = None
         self.kept = True
+        self.head = (0, 0)
 
     # --- outputs
 
@@ -228,6 +229,7 @@ class Fold:
     # --- events
 
     def start(self, row: Row) -> None:
+        self.head = (row.arrival, row.ms)
         if self.o.policy == "in_log":
             self.waiting = True
         else:
@@ -287,7 +289,7 @@ class Fold:
     def state(self) -> dict:
         """Plain values for a state store."""
         pairs = lambda b: [list(d.items()) for d in b.sizes]
-        names = ("last", "gen", "resyncs_in_a_row", "fault_id", "fetches", "attempts", "bound", "waiting", "open_fault", "ended", "counters", "last_event_ms", "applied", "truth_seq")
+        names = ("last", "gen", "resyncs_in_a_row", "fault_id", "fetches", "attempts", "bound", "waiting", "open_fault", "ended", "counters", "last_event_ms", "applied", "truth_seq", "head")
         return {k: getattr(self, k) for k in names} | {"book": pairs(self.book), "truth": pairs(self.truth), "queue": [asdict(r) for r in self.queue]}
 
     def restore(self, state: dict) -> None:
@@ -307,17 +309,44 @@ class Fold:
 # --- Arrow in and out ------------------------------------------------------------------------------------------------
 
 
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def numbers(column: pa.Array) -> list[int]:
+    """Whole numbers of a column, null as 0; by way of numpy, which is many times faster than a value at a time."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).tolist()
+
+
+def texts(column: pa.Array) -> list[str | None]:
+    """Strings of a column that has few different ones."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    coded = column.dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    return [names[i] for i in pc.fill_null(coded.indices, len(names) - 1).to_numpy(zero_copy_only=False).tolist()]
+
+
 def level_lists(column: pa.Array) -> list[Levels]:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    at = column.offsets.to_pylist()
-    flat = list(zip(column.values.field("price").to_pylist(), column.values.field("size").to_pylist()))
+    at = column.offsets.to_numpy().tolist()
+    flat = list(zip(numbers(column.values.field("price")), numbers(column.values.field("size"))))
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def rows_of(table: pa.Table) -> Iterator[Row]:
-    cols = [table.column(c).to_pylist() for c in ("kind", "arrival", "received_ns", "first_seq", "last_seq", "checksum", "error")]
-    for kind, arrival, ns, first, last, checksum, error, bids, asks in zip(*cols, level_lists(table.column("bids")), level_lists(table.column("asks"))):
-        yield Row(kind, arrival or 0, (ns or 0) // 1_000_000, first or 0, last or 0, bids, asks, checksum, error)
+    column = lambda c: whole(table.column(c))
+    sums = column("checksum")
+    checksums = [None] * len(sums) if sums.null_count == len(sums) else sums.to_pylist()
+    ms = [ns // 1_000_000 for ns in numbers(column("received_ns"))]
+    return map(Row, texts(column("kind")), numbers(column("arrival")), ms, numbers(column("first_seq")), numbers(column("last_seq")), level_lists(column("bids")), level_lists(column("asks")), checksums, texts(column("error")))
+
+
+def key_runs(table: pa.Table, keys: list[str]) -> list[tuple[int, int, tuple]]:
+    """First and last row and key of each run of rows with one key."""
+    codes = [pc.fill_null(whole(table.column(c)).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in keys]
+    new = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+    return [(a, b, tuple(table.column(c)[a].as_py() for c in keys)) for a, b in zip(starts, [*starts[1:], table.num_rows])]
 
 
 OUT = f"venue string, symbol string, segment bigint, what string, n bigint, arrival bigint, last_seq bigint, bids {LEVELS}, asks {LEVELS}, kind string, at_ms bigint, expected_seq bigint, got_seq bigint, reason string, duration_ms bigint, counters array<bigint>"
@@ -338,7 +367,7 @@ def fold_rows(options: Options, rows: Iterable[Row], queue: list[Row] | None = N
 
 def closing_row(fold: Fold) -> tuple:
     state, reason, at = fold.status()
-    ended = [fold.counters[c] for c in COUNTER_NAMES] + [fold.applied, int(fold.open_fault is not None), int(fold.gen > 0), fold.last_event_ms]
+    ended = [fold.counters[c] for c in COUNTER_NAMES] + [fold.applied, int(fold.open_fault is not None), int(fold.gen > 0), fold.last_event_ms, *fold.head]
     return ("end", fold.gen, at, fold.last, None, None, state, None, None, None, reason, None, ended)
 
 
@@ -398,23 +427,24 @@ def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            of = zip(*[table.column(c).to_pylist() for c in keys])
-            windows = table.column("max_depth").to_pylist()
-            for key, window, queued, row in zip(of, windows, table.column("queued").to_pylist(), rows_of(table)):
+            rows, queued = rows_of(table), table.column("queued").to_numpy().tolist()
+            for first, end, key in key_runs(table, keys) if table.num_rows else []:
                 if fold is None or key != at:
                     if fold is not None:
                         yield from output(fold, *at).to_batches()
-                    own = options if window is None else replace(options, max_depth=window)
-                    fold, at, started = Fold(own), key, False
-                if queued:
-                    fold.queue.append(row)
-                    continue
-                if not started and row.kind != "truth":
-                    fold.start(row)
-                    started = True
-                fold.step(row)
-                if len(fold.views) >= VIEWS_A_BATCH:
-                    yield from settled()
+                    window = table.column("max_depth")[first].as_py()
+                    fold = Fold(options if window is None else replace(options, max_depth=window))
+                    at, started = key, False
+                for i, row in zip(range(first, end), rows):
+                    if queued[i]:
+                        fold.queue.append(row)
+                        continue
+                    if not started and row.kind != "truth":
+                        fold.start(row)
+                        started = True
+                    fold.step(row)
+                    if len(fold.views) >= VIEWS_A_BATCH:
+                        yield from settled()
             if fold is not None:
                 yield from settled()
         if fold is not None:
@@ -437,6 +467,23 @@ def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Optio
     return fold_sorted(rows.withColumn("segment", F.lit(0).cast("bigint")), options)
 
 
+#: Arrivals of a feed that one task numbers.
+STRETCH = 8192
+
+
+def with_segments(rows: DataFrame) -> DataFrame:
+    """segment: how many snapshot rows a feed has seen, by counts of stretches of arrivals and numbers within a stretch, so
+    that a hot feed is numbered side by side."""
+    rows = rows.withColumn("_stretch", F.expr(f"arrival div {STRETCH}"))
+    snapshot = F.col("kind") == "snapshot"
+    # a row a stretch
+    counts = rows.groupBy(*KEY, "_stretch").agg(F.count_if(snapshot).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*KEY, "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.count_if(snapshot).over(Window.partitionBy(*KEY, "_stretch").orderBy("arrival", "sub").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(counts, [*KEY, "_stretch"]).withColumn("segment", F.col("_before") + within).drop("_stretch", "_before")
+
+
 def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     """The replay of feeds whose snapshots are in their log, a segment at a time, with the same result as replay().
 
@@ -444,11 +491,10 @@ def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     over them. A segment that follows one without an open fault starts by a disconnect. A feed ends where bind_attempts
     snapshots in a row were refused, or more than resync_limit resyncs passed without an applied update.
     """
-    w = Window.partitionBy(*KEY).orderBy("arrival", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log_rows(events, None).withColumn("segment", F.sum((F.col("kind") == "snapshot").cast("bigint")).over(w)).where("segment > 0")
+    rows = with_segments(log_rows(events, None)).where("segment > 0")
     # read by several steps, folded once
     parts = written(fold_sorted(rows, options), "segments")
-    return stitch(parts, rows, options)
+    return stitch(parts, options)
 
 
 def _took(ms):
@@ -456,14 +502,14 @@ def _took(ms):
     return F.when(ms.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), ms)).cast("bigint")
 
 
-def stitch(parts: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
-    """One replay out of its segments' replays."""
+def stitch(parts: DataFrame, options: Options) -> DataFrame:
+    """One replay out of its segments' replays; their closing rows say where each began."""
     feed = Window.partitionBy(*KEY).orderBy("segment")
     before = feed.rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.where("kind = 'snapshot'").select(*KEY, "segment", F.col("arrival").alias("head"), F.expr("received_ns div 1000000").alias("head_ms"))
     faults = parts.where("what = 'fault'").groupBy(*KEY, "segment").agg(F.count("*").alias("n_faults"))
-    ends = parts.where("what = 'end'").select(*KEY, "segment", F.col("n").alias("gens"), "counters").join(heads, [*KEY, "segment"]).join(faults, [*KEY, "segment"], "left").fillna(0, ["n_faults"])
     n = len(COUNTER_NAMES)
+    ends = parts.where("what = 'end'").select(*KEY, "segment", F.col("n").alias("gens"), "counters", F.col("counters")[n + 4].alias("head"), F.col("counters")[n + 5].alias("head_ms"))
+    ends = ends.join(faults, [*KEY, "segment"], "left").fillna(0, ["n_faults"])
     at = {c: F.col("counters")[i] for i, c in enumerate(COUNTER_NAMES)}
     ends = ends.withColumns({"bound": F.col("gens") > 0, "broken": F.col("counters")[n + 1] > 0, "did": F.col("counters")[n] > 0})
     # a disconnect opens a segment unless the feed was waiting: first segment, a fault before it, a refused snapshot before it
