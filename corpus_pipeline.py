@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import read, settle
+from ledgerline.llm.common import discard, read, settle
 from ledgerline.llm.langid import in_known_language
 from ledgerline.llm.mixing import mixed_documents
 from ledgerline.llm.near_dups import without_near_duplicates
@@ -28,7 +28,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
