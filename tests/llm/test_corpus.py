@@ -53,13 +53,13 @@ def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def shingles(text):
+def shingles(text, size=2):
     ws = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return set(zip(ws, ws[1:])) if len(ws) > 1 else {tuple(ws)} if ws else set()
+    return {tuple(ws[i : i + size]) for i in range(max(len(ws) - size + 1, 1))} if ws else set()
 
 
-def components_of(rows):
-    sets = [shingles(r[1]) for r in rows]
+def components_of(rows, size=2):
+    sets = [shingles(r[1], size) for r in rows]
     up = list(range(len(rows)))
 
     def find(x):
@@ -69,8 +69,11 @@ def components_of(rows):
 
     for i in range(len(rows)):
         for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if not small or 100 * small < 80 * large:  # the union is the larger set at least
+                continue
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if 100 * both >= 80 * (small + large - both):
                 up[find(i)] = find(j)
     least = defaultdict(list)
     for i, r in enumerate(rows):
@@ -84,6 +87,15 @@ def test_near_duplicates(docs, rows):
     assert Counter(map(tuple, got)) == Counter(components_of(rows))
 
 
+def test_near_duplicates_query(spark):
+    """op6 over all documents of a table with planted copies: no link at 0.8 or above is missed."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = components_of(rows)
+    got = near_dups.op6_near_dups(spark, "/root/testdata/sf0.01").collect()
+    assert Counter(map(tuple, got)) == Counter((d, n, c, d == c) for d, n, c in want)
+    assert sum(d != c for d, _, c in want) > 10
+
+
 def test_near_duplicates_by_blocks(docs, rows, monkeypatch):
     """With blocks of two members and without useful hubs the exact rest finds the same components."""
     monkeypatch.setattr(near_dups, "REST_BLOCK", 2)
@@ -142,15 +154,21 @@ def test_stage_compares_five_words(spark):
     assert least[1] == 1 and least[2] == least[3] == 0 and least[7] == 6
 
 
-def brute_repeats(texts, length):
+def brute_gone(texts, length):
+    """Each text's bytes, and which of them lie in a window that repeats."""
     count = Counter(b[i : i + length] for t in texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
-    out = []
     for t in texts:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield b, gone
+
+
+def brute_repeats(texts, length):
+    out = []
+    for b, gone in brute_gone(texts, length):
         starts = int((gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]).sum()) if len(gone) else 0
         out.append((len(b), int(gone.sum()), starts, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
     return out
@@ -392,7 +410,7 @@ def test_long_texts_are_parsed_as_one():
 
 def test_language_query_against_search(spark):
     """op9 over all documents of the smallest table: every prediction and score by brute force, and held-out accuracy."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     text = langid.labelled_text(docs.where("doc_id is not null").where(~langid.held_out(F.col("doc_id"))))
     learned = {k: fold(v.decode(errors="ignore")) for k, v in sorted(text.items())}
     got = {r["doc_id"]: r for r in langid.op9_langid(spark, "/root/testdata/sf0.001").collect()}
@@ -517,6 +535,11 @@ def test_packing_query(spark):
         want.update((r["doc_id"], p, 4096 * p, min(4096, n - 4096 * p)) for p in range(-(-n // 4096)))
     got = packing.op3_packing(spark, "/root/testdata/sf0.001").collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["n_words"]) for r in got) == want
+    check_bins(got)
+
+
+def check_bins(got):
+    """Bins of packed fragments, group by group, against the plain rule."""
     groups = defaultdict(list)
     for r in got:
         groups[r["bin_id"].split("-")[0]].append(r)
@@ -594,13 +617,56 @@ def test_cutoffs_match_sql(spark):
     assert gone[True] > 0.5 and gone[False] < 0.04
 
 
+def known_language(rows, text):
+    """The rows that the language stage keeps, by search for phrases in the training text."""
+    learned = {k: fold(v.decode(errors="ignore")) for k, v in text.items()}
+
+    def rate(t):
+        if t is None or not any(c.isalpha() for c in t):
+            return None
+        return max(min(phrases_of(fold(t), v) for v in learned.values()) - 1, 0) / len(fold(t))
+
+    rates = [rate(r["text"]) for r in rows]
+    aside = sorted(x for r, x in zip(rows, rates) if x is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    limit = max(0.5, 1.5 * aside[math.ceil(0.999 * len(aside)) - 1])
+    return [r for r, x in zip(rows, rates) if x is not None and x <= limit]
+
+
 def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    """Every stage's rows by brute force on all that its predecessor kept (the mix by its SQL), and run() as a whole."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert {"doc_id", "text", "bin_id", "n_words"} <= set(out.columns) and out.count() > 0
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, "/root/testdata/sf0.001").cache()
-        assert after.columns == docs.columns, name
-        assert {r[0] for r in after.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
-        before = after
+    stages = [(name, lambda df, stage=stage: stage(spark, df, "/root/testdata/sf0.001")) for name, stage in corpus_pipeline.STAGES[:-1]]
+    before, rows = docs, docs.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    for name, stage in stages:
+        out = stage(before)
+        assert out.columns == docs.columns, name
+        if name == "language":
+            text = langid.labelled_text(docs.where(~(F.col("lang").isNotNull() & langid.held_out(F.col("doc_id")))))
+            want = known_language(rows, text)
+        elif name == "near_duplicates":
+            want = [r for r, (d, n, c) in zip(rows, components_of([(r["doc_id"], r["text"]) for r in rows], 5)) if d == c]
+        elif name == "repeated_passages":
+            want = []
+            for r, (b, gone) in zip(rows, brute_gone([r["text"] for r in rows], 200)):
+                rest = bytes(np.frombuffer(b, np.uint8)[~gone]).decode(errors="ignore")
+                if not gone.any():
+                    want.append(r)
+                elif WORD.search(rest):
+                    want.append(tuple({**r.asDict(), "text": rest, "n_chars": len(rest)}.values()))
+        else:
+            con = duckdb.connect()
+            con.register("documents", before.toArrow())
+            times = dict(con.execute(f"select doc_id, times from ({mixing.OP8_SQL})").fetchall())
+            want = [r for r in rows for _ in range(times[r["doc_id"]])]
+        rows = out.collect()
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, want)), name
+        before = spark.createDataFrame(rows, docs.schema).repartition(3)
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    fragments = Counter()
+    for r in rows:
+        at = [m.start() for m in WORD.finditer(r["text"])]
+        cuts = [0, *at[4096::4096], len(r["text"])]
+        fragments.update((r["doc_id"], p, 4096 * p, min(4096, len(at) - 4096 * p), r["text"][a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if at)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["n_words"], r["text"]) for r in got) == fragments
+    check_bins(got)
