@@ -11,11 +11,13 @@ from .mixing import OP8_SQL, op8_mixing
 from .near_dups import op6_near_dups
 from .neighbours import op2_neighbours
 from .packing import op3_packing
+from .periodic import op12_periodic
 from .quality import OP1_SQL, op1_quality
 from .rollups import OP7_SQL, op7_rollups
 from .sharding import OP5_SQL, op5_sharding
 from .suffixes import op4_suffixes
 from .urls import OP10_SQL, op10_urls
+from .warc import OP13_SQL, op13_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_langid": op9_langid,
         "op10_urls": op10_urls,
+        "op12_periodic": op12_periodic,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op5_sharding": OP5_SQL, "op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL, "op10_urls": OP10_SQL}
+    return {"op1_quality": OP1_SQL, "op5_sharding": OP5_SQL, "op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL, "op10_urls": OP10_SQL, "op13_warc": OP13_SQL}

@@ -87,8 +87,8 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word (runs of bytes other than space and 9 to 13), in order."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and text number of every word (runs of bytes other than space and 9 to 13), in order."""
     inside = ~_GAP[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -97,5 +97,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     begins[edge] |= inside[edge]
     stops[edge - 1] |= inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    of = np.searchsorted(offsets, start, side="right") - 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def words_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words of word_bounds as a binary array."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    bytes_ = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(bytes_)])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word (runs of bytes other than space and 9 to 13), in order."""
+    start, end, of = word_bounds(data, offsets)
     return RangeHash(_LOWER[data] if lower else data)(start, end), of
