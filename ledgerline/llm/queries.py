@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP11_SQL, op11_collocations
 from .langid import op9_langid
 from .mixing import OP8_SQL, op8_mixing
 from .near_dups import op6_near_dups
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_langid": op9_langid,
         "op10_urls": op10_urls,
+        "op11_collocations": op11_collocations,
         "op12_periodic": op12_periodic,
         "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op5_sharding": OP5_SQL, "op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL, "op10_urls": OP10_SQL, "op13_warc": OP13_SQL}
+    return {"op1_quality": OP1_SQL, "op5_sharding": OP5_SQL, "op7_rollups": OP7_SQL, "op8_mixing": OP8_SQL, "op10_urls": OP10_SQL, "op11_collocations": OP11_SQL, "op13_warc": OP13_SQL}
