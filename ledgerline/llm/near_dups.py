@@ -4,7 +4,8 @@ A document's set is its distinct shingles of so many words (op6_near_dups: 2, th
 PERMUTATIONS hash functions gives two entries of its signature, the least and the largest value over the set, so a
 signature of 2 * PERMUTATIONS entries costs half the hash evaluations. Two permutations' four entries make a band. Documents of equal sets form a class, which is signed once and
 linked within itself without any pair. Classes that share a band are candidates: at similarity 0.8 a pair shares none of
-the 32 bands with probability 5e-8. All links are confirmed on the full sets.
+the 32 bands with probability 5e-8. All links are confirmed on the full sets, of which every shingle is told by 128 bits that
+come from a cryptographic digest of its words.
 
 No bucket is expanded into pairs of its members while they can still be connected cheaply: in each of HUB_ROUNDS rounds
 every member of a bucket is compared with one hub, the member that shares most bands (the original, in a group of edited
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, read, settle, whole_row
 from .components import components
-from .textbytes import mix, split_batch, text_buffer, word_hashes
+from .textbytes import mix, split_batch, text_buffer, word_digests
 
 PERMUTATIONS = 64
 HUB_ROUNDS = 1
@@ -37,18 +38,19 @@ _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _C = _rng.integers(1, 2**63, 4, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of all texts' shingles of `size` words end to end, and the sets' offsets.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of `size` words of all texts, set by set: two digests of 64 bits of each, sets sorted by the first,
+    and the sets' offsets.
 
     A text of fewer words has one shingle, all of it.
     """
-    words, of = word_hashes(data, offsets)
+    words, of = word_digests(data, offsets)
     n = len(offsets) - 1
 
-    def joined(m: int) -> np.ndarray:  # hashes of m successive words, at the place of the first
+    def joined(m: int) -> np.ndarray:  # digests of m successive words, at the place of the first
         out = words[: max(len(words) - m + 1, 0)]
         for j in range(1, m):
-            out = mix(out * _C[0] + words[j : j + len(out)] * _C[1])
+            out = mix(out * _C[:2] + words[j : j + len(out)] * _C[2:])
         return out
 
     same = of[size - 1 :] == of[: max(len(of) - size + 1, 0)]
@@ -56,20 +58,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[
     count = np.bincount(of, minlength=n)
     ends = np.concatenate([[0], np.cumsum(np.maximum(count - size + 1, 0))])
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    short = {m: mix(joined(m) * _C[2] + _U(m - 1)) for m in range(1, size) if (count == m).any()}
+    short = {m: mix(joined(m) * _C[1:3] + _U(m - 1)) for m in range(1, size) if (count == m).any()}
     sets = []
     for i in range(n):
         if count[i] >= size:
-            sets.append(np.unique(runs[ends[i] : ends[i + 1]]))
+            own = runs[ends[i] : ends[i + 1]]
+            own = own[np.lexsort((own[:, 1], own[:, 0]))]
+            sets.append(own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])])
         elif count[i]:
             sets.append(short[count[i]][first[i] : first[i] + 1])
         else:
-            sets.append(np.zeros(0, np.uint64))
+            sets.append(np.zeros((0, 2), np.uint64))
     sizes = np.array([len(s) for s in sets], np.int64)
-    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    every = np.concatenate(sets) if sets else np.zeros((0, 2), np.uint64)
+    return np.ascontiguousarray(every[:, 0]), np.ascontiguousarray(every[:, 1]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(values: np.ndarray, others: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys (texts by bands) and the two halves of a set digest; of texts with a set only, in order."""
     start = offsets[:-1][np.diff(offsets) > 0]
     entries = np.empty((2 * PERMUTATIONS, len(start)), np.uint64)
@@ -79,7 +84,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         np.minimum.reduceat(x, start, out=entries[2 * k])
         np.maximum.reduceat(x, start, out=entries[2 * k + 1])
     bands = np.stack([mix(mix(entries[r] * _C[0] + entries[r + 1] * _C[1]) + entries[r + 2] * _C[2] + entries[r + 3] * _C[3] + _U(r)) for r in range(0, 2 * PERMUTATIONS, 4)], axis=1)
-    return bands, np.add.reduceat(mix(values), start), np.add.reduceat(mix(values * _C[3]), start)
+    return bands, np.add.reduceat(mix(values), start), np.add.reduceat(mix(others * _C[3]), start)
 
 
 def sign(docs: DataFrame, size: int = 2) -> DataFrame:
@@ -90,11 +95,11 @@ def sign(docs: DataFrame, size: int = 2) -> DataFrame:
         for whole in batches:
             for batch in split_batch(whole, "text"):
                 offsets, data = text_buffer(batch.column("text"))
-                values, ends = shingle_sets(data, offsets, size)
+                values, others, ends = shingle_sets(data, offsets, size)
                 n = np.diff(ends)
                 cls, bands = np.full(len(n), None, object), np.full(len(n), None, object)
                 if len(values):
-                    keys, one, two = signatures(values, ends)
+                    keys, one, two = signatures(values, others, ends)
                     both = np.stack([one, two], axis=1)
                     full = np.flatnonzero(n)
                     cls[full] = [x.tobytes() for x in both]
@@ -106,7 +111,8 @@ def sign(docs: DataFrame, size: int = 2) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = 2) -> DataFrame:
-    """(cls, set, prints) of the wanted classes (cls, doc_id, h): the set's sorted hashes in bytes, and 16 bits of each."""
+    """(cls, set, prints) of the wanted classes (cls, doc_id, h): the set's digests in bytes (the sorted first ones, then the
+    second ones), and 16 bits of each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     picked = rows.join(wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "cls"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("cls", "text")
 
@@ -114,8 +120,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = 2) -> DataFrame:
         for whole in batches:
             for batch in split_batch(whole, "text"):
                 offsets, data = text_buffer(batch.column("text"))
-                values, ends = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "set": pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()), "prints": pa.array([values[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+                values, others, ends = shingle_sets(data, offsets, size)
+                yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "set": pa.array([values[a:b].tobytes() + others[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()), "prints": pa.array([values[a:b].astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
     return picked.mapInArrow(hashed, "cls binary, set binary, prints binary").dropDuplicates(["cls"])
 
@@ -130,11 +136,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+                s, t = (v.reshape(2, -1) for v in ((s, t) if len(s) <= len(t) else (t, s)))
+                at = np.minimum(np.searchsorted(t[0], s[0]), t.shape[1] - 1)
+                both = int(np.count_nonzero((t[:, at] == s).all(axis=0)))
+                ok.append(100 * both >= percent * (s.shape[1] + t.shape[1] - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "a binary, b binary")
