@@ -31,9 +31,14 @@ def group_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as a part of an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
     """All columns of a row as one struct `_row`, so that none of their names meets a working column's."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row")
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without]).alias("_row")
 
 
 def shared_dir(spark: SparkSession) -> str:

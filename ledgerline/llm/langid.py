@@ -9,9 +9,10 @@ whether a phrase ended. Texts are parsed in segments of SEGMENT bytes, thousands
 at each segment; then segments that the one before enters in another state are parsed again from that state until they
 meet the first parse, which they soon do. The result is the parse of the whole text.
 
-Training text is bounded: LANGUAGES languages, those with most labelled rows; of each a slice of TRAIN_SLICE characters
-of TRAIN_ROWS labelled rows, TRAIN_BYTES in all (less if TRAIN_TOTAL does not suffice for all languages). Only this text
-is collected and broadcast; every task builds the tables from it once. All text is parsed.
+Training text is bounded: of each language a slice of TRAIN_SLICE letters of TRAIN_ROWS labelled rows, TRAIN_BYTES in all.
+Only this text is collected and broadcast, for WAVE languages at a time; every task builds their tables from it once.
+However many languages there are, none is left out: texts are parsed in waves, each of which keeps the two least counts
+of phrases so far. All text is parsed.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read, whole_row
+from .common import discard, quoted, read, settle, whole_row
 from .textbytes import split_batch, text_buffer
 
-LANGUAGES = 128
-TRAIN_TOTAL = 262_144
+#: Languages whose tables a task holds at a time (about 12 MB each), and whose labelled text is collected at a time.
+WAVE = 8
 TRAIN_BYTES = 32_768
 TRAIN_ROWS = 256
 TRAIN_SLICE = 512
@@ -191,25 +194,29 @@ def model_of(text: tuple[tuple[str, bytes], ...]) -> Model:
 def labelled_text(docs: DataFrame) -> dict[str, bytes]:
     """Training text for each language, in lower case: slices of labelled rows in the order of a digest.
 
-    A slice begins at a place that the row's digest chooses, so rows of any length take part. Slices without a letter
-    are passed over; a language that has no other is not learned.
+    A slice is taken from the row's letters, all else folded to spaces first, at a place that the row's digest chooses: a
+    labelled row of any length counts if it has a letter anywhere. A language without such a row is not learned.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "lang").alias("_h"), F.xxhash64("text").alias("_x"))
-    # a row a language, LANGUAGES at most
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
-        return {}
-    begin = 1 + F.pmod(F.xxhash64("_h", "_x"), F.greatest(F.length("text") - TRAIN_SLICE, F.lit(0)) + 1)
-    slices = known.where(F.col("lang").isin(langs)).select("lang", "_h", "_x", F.lower(F.substr("text", begin.cast("int"), F.lit(TRAIN_SLICE))).alias("s")).where(F.col("s").rlike(r"\p{L}"))
+    letters = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "_h", "_x", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]+", " ").alias("_t"))
+    begin = 1 + F.pmod(F.xxhash64("_h", "_x"), F.greatest(F.length("_t") - TRAIN_SLICE, F.lit(0)) + 1)
+    slices = letters.select("lang", "_h", "_x", F.substr("_t", begin.cast("int"), F.lit(TRAIN_SLICE)).alias("s"))
     ranked = slices.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_x"))).where(F.col("_r") <= TRAIN_ROWS)
-    most = min(TRAIN_BYTES, TRAIN_TOTAL // len(langs))
+    ranked = settle(ranked.select("lang", "s", "_r"), "slices")
+    langs = [r["lang"] for r in ranked.select("lang").distinct().orderBy("lang").collect()]
     out: dict[str, bytes] = {}
-    # bounded: TRAIN_ROWS slices of LANGUAGES languages
-    for row in sorted(ranked.select("lang", "s", "_r").collect(), key=lambda r: (r["lang"], r["_r"])):
-        out[row["lang"]] = (out.get(row["lang"], b"") + b"\n" + row["s"].encode())[:most]
+    # bounded: TRAIN_ROWS slices of 8 * WAVE languages at a time, of which TRAIN_BYTES a language stay
+    for wave in waves(langs, 8 * WAVE):
+        for row in sorted(ranked.where(F.col("lang").isin(wave)).collect(), key=lambda r: (r["lang"], r["_r"])):
+            out[row["lang"]] = (out.get(row["lang"], b"") + b"\n" + row["s"].encode())[:TRAIN_BYTES]
+    discard(ranked)
     return out
 
 
+def waves(items: list, size: int) -> list[list]:
+    return [items[at : at + size] for at in range(0, len(items), size)]
+
+
 def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score and phrase_rate of every row of docs, by the labelled rows of training.
 
@@ -227,7 +234,24 @@ def identified(docs: DataFrame, text: dict[str, bytes], keep: tuple[str, ...] =
     chosen = docs.select(*dict.fromkeys(("doc_id", *keep)), F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     if not text:
         return chosen.drop("_text", "_letters").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "phrase_rate": F.lit(None).cast("double")})
-    shared = spark.sparkContext.broadcast(tuple(sorted(text.items())))
+    parts = waves(sorted(text), WAVE)
+    found = chosen
+    for i, langs in enumerate(parts):
+        if i:
+            found = settle(found, "parsed")
+        found = parsed_by(found, spark.sparkContext.broadcast(tuple((k, text[k]) for k in langs)))
+    ok = F.col("_letters")
+    # the winner's count comes first; one language alone has no second
+    score = F.coalesce(1 - F.col("_least") / F.greatest("_second", F.lit(1e-9)), F.lit(1.0))
+    rate = F.greatest(F.col("_least") - 1, F.lit(0.0)) / F.greatest("_size", F.lit(1))
+    kept = [F.col(quoted(c)) for c in chosen.columns if c not in ("_text", "_letters")]
+    return found.select(*kept, F.when(ok, F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(ok, F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))).otherwise(0.0).alias("score"), F.when(ok, rate).alias("phrase_rate"))
+
+
+def parsed_by(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """rows (with _text) with the best language so far, its phrases, the second least phrases (null if there are none) and
+    the folded size: _lang, _least, _second, _size. Of equals the earlier language stays."""
+    again = "_lang" in rows.columns
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
@@ -236,20 +260,22 @@ def identified(docs: DataFrame, text: dict[str, bytes], keep: tuple[str, ...] =
                 offsets, raw = text_buffer(batch.column("_text"))
                 data, ends = folded(raw, offsets[1:])
                 counts = model.parsed(data, ends)
-                size = np.maximum(np.diff(np.concatenate([[0], ends])), 1)
-                best = np.argmin(counts, axis=0)
-                least = counts[best, np.arange(len(size))]
-                second = np.sort(counts, axis=0)[1] if len(model.langs) > 1 else np.full(len(size), np.inf)
-                ok = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-                score = np.where(ok, 1 - least / np.maximum(second, 1e-9), 0.0)
-                cols = {c: batch.column(c) for c in batch.schema.names if c not in ("_text", "_letters")}
-                rate = np.maximum(least - 1, 0) / size
-                cols |= {"lang_pred": pa.array(np.where(ok, np.asarray(model.langs, object)[best], "und"), pa.string()), "score": pa.array(np.clip(score, 0, 1)), "phrase_rate": pa.array(rate, mask=~ok)}
+                names = np.broadcast_to(np.asarray(model.langs, object)[:, None], counts.shape)
+                if again:
+                    before = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_lang", "_least", "_second")]
+                    counts = np.concatenate([before[1][None], np.nan_to_num(before[2].astype(float), nan=np.inf)[None], counts])
+                    names = np.concatenate([before[0][None], np.full((1, len(before[0])), None, object), names])
+                order = np.argsort(counts, axis=0, kind="stable")
+                at = np.arange(counts.shape[1])
+                second = counts[order[1], at] if len(counts) > 1 else np.full(len(at), np.inf)
+                cols = {c: batch.column(c) for c in batch.schema.names if c not in ("_lang", "_least", "_second", "_size")}
+                cols |= {"_lang": pa.array(names[order[0], at], pa.string()), "_least": pa.array(counts[order[0], at], pa.float64()), "_second": pa.array(second, pa.float64(), mask=np.isinf(second))}
+                cols["_size"] = pa.array(np.diff(np.concatenate([[0], ends])), pa.int64())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    kept = [f for f in chosen.schema if f.name not in ("_text", "_letters")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return chosen.mapInArrow(judged, f"{schema}, lang_pred string, score double, phrase_rate double")
+    old = [f for f in rows.schema if f.name not in ("_lang", "_least", "_second", "_size")]
+    new = T.StructType.fromDDL("_lang string, _least double, _second double, _size long")
+    return rows.mapInArrow(judged, T.StructType([*old, *new.fields]))
 
 
 def in_known_language(docs: DataFrame, margin: float = 1.5, least: float = 0.5) -> DataFrame:
@@ -257,11 +283,11 @@ def in_known_language(docs: DataFrame, margin: float = 1.5, least: float = 0.5)
     phrases a byte in every language.
 
     The limit is calibrated on labelled rows that nothing is learned from, all of them: margin times the rate that one in
-    a thousand of them exceeds, never below `least`. Where nothing was learned (no label, or no labelled text with a
+    a thousand of them exceeds, never below `least`. A language all of whose labelled rows are such is learned from them. Where nothing was learned (no label, or no labelled text with a
     letter) nothing can be judged and all rows stay, null text too.
     """
     aside = F.col("lang").isNotNull() & held_out(F.col("doc_id"))
-    text = labelled_text(docs.where(~aside)) or labelled_text(docs)
+    text = labelled_text(docs.where(aside)) | labelled_text(docs.where(~aside))
     if not text:
         return docs
     rates = identified(docs.where(aside).select("doc_id", "text"), text)
