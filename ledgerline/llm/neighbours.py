@@ -155,7 +155,10 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
     least = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     asked = rows.where(F.col("vec_id") % every == 0)
     unique = least.groupBy("e").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    unique = unique.join(asked.select("e").distinct().withColumn("asks", F.lit(True)), "e", "left").select(F.col("ids")[0].alias("uid"), "ids", F.coalesce("asks", F.lit(False)).alias("asks"), "e")
+    unique = unique.join(asked.select("e").distinct().withColumn("asks", F.lit(True)), "e", "left").select("ids", F.coalesce("asks", F.lit(False)).alias("asks"), "e")
+    # a number for each vector, as one id may have several: given once, in the written table
+    unique = settle(unique.withColumn("uid", F.monotonically_increasing_id()).select("uid", "ids", "asks", "e"), "ann-unique")
+    number_of = unique.where("asks").select("e", "uid")
 
     def pack_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,9 +167,9 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
     unique = settle(unique.mapInPandas(pack_rows, "uid long, ids array<long>, asks boolean, e binary"), "ann-vectors")
     n = unique.count()
     half = max(1, dim // 2)
-    order = [F.xxhash64("uid"), "uid"]
+    order = [F.xxhash64("e"), F.col("ids")[0]]
     # bounded: SAMPLE vectors
-    sample = unit(matrix([r["e"] for r in unique.select("e", "uid").orderBy(*order).limit(SAMPLE).collect()], dim))
+    sample = unit(matrix([r["e"] for r in unique.orderBy(*order).select("e").limit(SAMPLE).collect()], dim))
     width = min(len(sample), power_of_two(int(n**0.5 / 2), CENTROIDS))
     books = [fit_codebook(sample[:, :half], width), fit_codebook(sample[:, half:] if dim > 1 else sample, width)]
     shared = spark.sparkContext.broadcast(books)
@@ -188,10 +191,10 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
         cells[r["i"], r["j"]] = r["count"]
     quota = int(cells.sum()) if target >= 1 else calibrate(index, order, cells, halves, shared, dim, k, target)
     base, many = blocks_of(books[0], cells.sum(axis=1), dim)
-    walk = spark.sparkContext.broadcast((cells, base, many))
+    table = spark.sparkContext.broadcast((cells, base, many))
 
-    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, base, many = walk.value
+    def reached(batches: Iterator[pd.DataFrame], quota: int) -> Iterator[pd.DataFrame]:
+        cells, base, many = table.value
         for pdf in batches:
             if len(pdf):
                 d1, d2 = halves(matrix(pdf["e"], dim), shared.value)
@@ -206,17 +209,13 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
                 q, b = np.concatenate(q), np.concatenate(b)
                 yield pd.DataFrame({"b": b.astype(np.int64), "q": pdf["uid"].to_numpy()[q], "qe": pdf["e"].to_numpy()[q], "lim": limit[q]})
 
-    asking = index.where("asks")
-    chunks = max(1, -(-asking.count() // CHUNK))
-    queries = asking.select("uid", "e").mapInPandas(reached, "b long, q long, qe binary, lim double")
-    queries = queries.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(chunks)).alias("qs")).agg(F.collect_list(F.struct("q", "lim", "qe")).alias("qs_"))
     of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("i") + 1)
-    blocks = index.withColumn("b", (of(base) + F.pmod(F.xxhash64("uid"), of(many))).cast("long")).groupBy("b").agg(F.collect_list(F.struct("uid", "ids", "i", "j", "e")).alias("vs_"))
+    blocks = index.withColumn("b", (of(base) + F.pmod(F.xxhash64("e"), of(many))).cast("long")).groupBy("b").agg(F.collect_list(F.struct("ids", "i", "j", "e")).alias("vs_"))
 
     def best_of(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        """The k + 1 best of each query (equal vectors are one entry)."""
-        every = pd.concat(frames).sort_values(["q", "score", "uid"], ascending=[True, False, True])
-        return every.groupby("q").head(k + 1)
+        """The k + 1 best ids of each query, each by the best of its vectors."""
+        every = pd.concat(frames).sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        return every.drop_duplicates(["q", "vec_id"]).groupby("q").head(k + 1)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -224,30 +223,52 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
             for qs, vs in zip(pdf["qs_"], pdf["vs_"]):
                 q, v = matrix([r["qe"] for r in qs], dim), matrix([r["e"] for r in vs], dim)
                 ids = np.array([r["q"] for r in qs], np.int64)
-                uids = np.array([r["uid"] for r in vs], np.int64)
                 d1, d2 = halves(q, shared.value)
                 i, j = np.array([r["i"] for r in vs]), np.array([r["j"] for r in vs])
                 near = np.where(d1[:, i] + d2[:, j] <= np.array([r["lim"] for r in qs])[:, None], unit(q) @ unit(v).T, -np.inf)
-                most = min(len(vs), k + 1)
-                edge = -np.partition(-near, most - 1, axis=1)[:, most - 1]
-                a, b = np.nonzero((near >= edge[:, None] - slack(dim)) & (near > -np.inf))
+                # a place for each id of a vector, those of one id side by side: an id is as near as its best vector
+                of = np.repeat(np.arange(len(vs)), [len(r["ids"]) for r in vs])
+                vec_ids = np.concatenate([r["ids"] for r in vs]).astype(np.int64)
+                by_id = np.argsort(vec_ids, kind="stable")
+                of, vec_ids = of[by_id], vec_ids[by_id]
+                first = np.flatnonzero(np.concatenate([[True], vec_ids[1:] != vec_ids[:-1]]))
+                by_place = near[:, of]
+                best = by_place if len(first) == len(of) else np.maximum.reduceat(by_place, first, axis=1)
+                most = min(len(first), k + 1)
+                edge = -np.partition(-best, most - 1, axis=1)[:, most - 1]
+                a, b = np.nonzero((by_place >= edge[:, None] - slack(dim)) & (by_place > -np.inf))
                 for at in range(0, len(a), HELD):
                     x, y = a[at : at + HELD], b[at : at + HELD]
-                    held.append(best_of([pd.DataFrame({"q": ids[x], "uid": uids[y], "ids": [vs[z]["ids"] for z in y], "score": cosine(q[x], v[y])})]))
+                    held.append(best_of([pd.DataFrame({"q": ids[x], "vec_id": vec_ids[y], "score": cosine(q[x], v[of[y]])})]))
                     size += len(held[-1])
                 if size > HELD:
                     held = [best_of(held)]
                     if len(held[0]) > HELD // 2:
-                        yield held.pop().drop(columns="uid")
+                        yield held.pop()
                     size = sum(map(len, held))
         if held:
-            yield best_of(held).drop(columns="uid")
-
-    found = queries.join(blocks, "b").select("qs_", "vs_").mapInPandas(score, "q long, ids array<long>, score double")
-    nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    listed = found.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k + 1)
-    asked_ids = asked.select(F.col("vec_id").alias("query_id"), "e").distinct()
-    to_unique = asked_ids.join(least.groupBy("e").agg(F.min("vec_id").alias("q")), "e").select("query_id", "q")
+            yield best_of(held)
+
+    def nearest(asking: DataFrame, quota: int) -> DataFrame:
+        """(q, vec_id, score): the k + 1 best ids of each asking vector (uid, e), its own among them."""
+        chunks = max(1, -(-asking.count() // CHUNK))
+        queries = asking.select("uid", "e").mapInPandas(lambda batches: reached(batches, quota), "b long, q long, qe binary, lim double")
+        queries = queries.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(chunks)).alias("qs")).agg(F.collect_list(F.struct("q", "lim", "qe")).alias("qs_"))
+        found = queries.join(blocks, "b").select("qs_", "vs_").mapInPandas(score, "q long, vec_id long, score double")
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        best = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
+
+    every_ = int(cells.sum())
+    asking = index.where("asks")
+    listed = settle(nearest(asking, quota), "ann-nearest")
+    if quota < every_:
+        # a walk among vectors of few ids may not reach enough of them: it goes on to the last cell
+        enough = listed.groupBy("q").count().where(F.col("count") > k).select(F.col("q").alias("uid"))
+        short = settle(asking.join(enough, "uid", "left_anti").select("uid", "e"), "ann-short")
+        if short.limit(1).count():
+            listed = listed.join(short.select(F.col("uid").alias("q")), "q", "left_anti").unionByName(nearest(short, every_))
+    to_unique = asked.select(F.col("vec_id").alias("query_id"), "e").distinct().join(number_of, "e").select("query_id", F.col("uid").alias("q"))
     pairs = to_unique.join(listed, "q").where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -255,7 +276,7 @@ def search_length(rows: DataFrame, dim: int, every: int, k: int, target: float)
 
 def calibrate(index: DataFrame, order: list, cells: np.ndarray, halves, shared, dim: int, k: int, target: float) -> int:
     """Vectors that a walk must pass to meet the share target of true neighbours, by CALIBRATION query vectors."""
-    probes = index.where("asks").select("e", "uid").orderBy(*order).limit(CALIBRATION).collect()
+    probes = index.where("asks").orderBy(*order).select("e", "uid").limit(CALIBRATION).collect()
     if not probes:
         return 1
     q = unit(matrix([r["e"] for r in probes], dim))
