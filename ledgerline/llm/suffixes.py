@@ -26,6 +26,7 @@ Keys of the first passes and of halves are digests of 128 bits; step 3 compares
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, if_small, read, settle, whole_row
+from .common import discard, if_small, quoted, read, settle, whole_row
 from .textbytes import RangeHash, mix, split_batch, text_buffer
 
 LENGTH = 200
@@ -75,7 +76,12 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     first = start[new]
     last = start[np.concatenate([new[1:], [len(start)]]).astype(np.int64) - 1] if len(new) else first
     at = anchor[new]
-    covered = mix(hashes(first, last + length) + _U(0x9E3779B97F4A7C15) * (at - first).astype(np.uint64) + _U(0xC2B2AE3D27D4EB4F) * (last - first).astype(np.uint64))
+    if length > LENGTH:  # running sums modulo 2^64 have known collisions, from ranges of 1,024 bytes on
+        raw = data.tobytes()
+        bytes_ = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64)
+    else:
+        bytes_ = hashes(first, last + length)
+    covered = mix(bytes_ + _U(0x9E3779B97F4A7C15) * (at - first).astype(np.uint64) + _U(0xC2B2AE3D27D4EB4F) * (last - first).astype(np.uint64))
     return of[new], first, last, at, grams[at], covered
 
 
@@ -327,7 +333,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     new = {"text": F.when(some, F.col("rest")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(some, F.length("rest")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return left.select(*[(new[c] if c in new else F.col(f"_row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def cut_digest(cut: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ SCORE_STEP = 0.001
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path: empty for null or a text without `://`."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*(/?[^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -125,7 +125,8 @@ def judge_urls(pages: DataFrame, block: tuple[str, ...] = BLOCK, allow: tuple[st
             break
         over += r["count"]
     beyond = F.lit(False) if limit is None else F.col("step") > max(limit, 0)
-    judged = every.join(scores.select(F.col("url").alias("_url"), "step", "score"), F.col("url") == F.col("_url"), "left")
+    # a row for each distinct url: both sides are dealt out, whatever the size of the written file
+    judged = every.join(scores.select(F.col("url").alias("_url"), "step", "score").hint("merge"), F.col("url") == F.col("_url"), "left")
     verdict = F.coalesce(F.col("_given"), F.when(F.coalesce(beyond, F.lit(False)), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
