@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import langid, mixing, near_dups, packing, quality, sharding, suffixes
+from ledgerline.llm import langid, mixing, near_dups, neighbours, packing, quality, sharding, suffixes, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n string, `key` long, _row long, spans string"
@@ -670,3 +670,95 @@ def test_pipeline(spark):
         fragments.update((r["doc_id"], p, 4096 * p, min(4096, len(at) - 4096 * p), r["text"][a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if at)
     assert Counter((r["doc_id"], r["piece"], r["start"], r["n_words"], r["text"]) for r in got) == fragments
     check_bins(got)
+
+
+# --- wrong or lost rows of earlier rounds ---------------------------------------------------------------------------
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_running_sums_confuse(spark):
+    """Sums modulo 2^64 give the Thue-Morse word and its complement one hash; nothing in common is no link."""
+    one = thue_morse(4096)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one}"), (5, one)]
+    for size in (1, 2, 5):
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()}
+        assert got == {r[0]: c for r, c in zip(rows, [1, 2, 3, 3 if size == 1 else 4, 1])}
+
+
+def test_long_windows_that_running_sums_confuse(spark):
+    """Windows longer than the collisions known of running sums."""
+    one = thue_morse(2048)
+    rows = [(1, "x" * 40 + one + "y" * 40), (2, "x" * 40 + one.translate(str.maketrans("ab", "ba")) + "y" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.cut_digest(suffixes.cut_repeats(df, 2048)).collect()}
+    assert got == {r[0]: b[:2] for r, b in zip(rows, brute_repeats([r[1] for r in rows], 2048))}
+
+
+def test_letters_in_part_of_a_text(spark):
+    """Letters anywhere in a labelled text are learned, wherever its digest would cut."""
+    english = "the quick brown fox jumps over the lazy dog and then it sleeps under the old oak tree for a while"
+    french = "le petit chat noir dort sur la grande table de la cuisine pendant que la pluie tombe sur les toits"
+    rows = [(i, english + " 0123456789" * 2000, "en") for i in (1, 2, 3)] + [(i, french, "fr") for i in (4, 5, 6)] + [(7, "the old fox sleeps", None), (8, "la pluie tombe", None), (9, english, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, docs).collect()}
+    assert got == {1: "en", 2: "en", 3: "en", 4: "fr", 5: "fr", 6: "fr", 7: "en", 8: "fr", 9: "en"}
+    assert langid.in_known_language(docs).count() == 9
+
+
+def test_many_languages(spark):
+    """More languages than a wave holds, each with letters of its own: none is left out, and scores do not depend on waves."""
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(130) for j in range(8)]
+    rows = [(k * 10 + i, " ".join("".join(letters[8 * k + (i + j * m) % 8] for j in range(5)) for m in range(1, 9)), f"l{k:03}") for k in range(130) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, docs).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_waves_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    once = sorted(map(str, langid.identify(docs, docs).collect()))
+    monkeypatch.setattr(langid, "WAVE", 1)
+    assert sorted(map(str, langid.identify(docs, docs).collect())) == once
+
+
+def test_odd_column_names(spark):
+    """Stages carry columns of any name and type."""
+    rows = [(i, f"some plain words number {'abcdefgh'[i]} of this text", "en", "web", (1, "x"), [2]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` struct<`n chars`:int,`x.y`:string>, `n ``chars` array<int>")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert out.count() >= 0
+    assert langid.in_known_language(docs).count() == 8
+
+
+def test_repeated_vector_ids(spark):
+    """Rows that repeat a vec_id with another vector do not take places from other ids."""
+    rng = np.random.default_rng(9)
+    near = [1.0, 0.0, 0.01, 0.0]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (3, near), (3, [1.0, 0.001, 0.0, 0.0])] + [(i, [float(x) for x in rng.normal(size=4)]) for i in (4, 5, 6, 7, 8)]
+    # one id with many vectors, all nearer than any other; an id that shares a vector with it
+    many = [(9, [1.0, float(x), 0.0, 0.0]) for x in rng.normal(scale=1e-3, size=400)]
+    for data in (rows, rows + many + [(50, many[0][1]), (50, [0.0, 0.0, 0.0, 1.0]), (100, [0.0, 0.0, 1.0, 1.0])]):
+        got = neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+        for query in {i for i, _ in data if i % 50 == 0}:
+            best = {}
+            for own in (np.array(v) for i, v in data if i == query):
+                for i, v in data:
+                    if i != query:
+                        score = float(own @ np.array(v) / np.linalg.norm(own) / np.linalg.norm(v))
+                        best[i] = max(best.get(i, -2.0), score)
+            want = sorted(best, key=lambda i: (-round(best[i], 12), i))[:5]
+            mine = sorted((r for r in got if r["query_id"] == query), key=lambda r: r["rank"])
+            assert [r["vec_id"] for r in mine] == want, query
+            assert [r["score"] for r in mine] == pytest.approx([best[i] for i in want])
+
+
+def test_url_column_of_any_name(spark):
+    df = spark.createDataFrame([("HTTP://A.b/c?d",), (None,), ("x",)], "address string")
+    host, path = urls.url_parts(F.col("address"))
+    assert sorted(map(tuple, df.select(host, path).collect())) == [("", ""), ("", ""), ("a.b", "/c")]
