@@ -286,6 +286,16 @@ class Fold:
         """The book at the end, if its view was not kept already."""
         return [(*self.shown, *self.book.top(self.o.depth))] if self.gen and not self.kept and self.bound else []
 
+    def closing(self) -> tuple:
+        """The values of the row that ends a fold's output, in the order of `output`."""
+        state, reason, at = self.status()
+        ended = [self.counters[c] for c in COUNTER_NAMES] + [self.applied, int(self.open_fault is not None), int(self.gen > 0), self.last_event_ms, *self.head]
+        return ("end", self.gen, at, self.last, None, None, state, None, None, None, reason, None, ended)
+
+    def enter(self, row: Row) -> bool:
+        """Takes up the state that a row holds; whether the feed has started with it."""
+        raise NotImplementedError
+
     def state(self) -> dict:
         """Plain values for a state store."""
         pairs = lambda b: [list(d.items()) for d in b.sizes]
@@ -365,19 +375,13 @@ def fold_rows(options: Options, rows: Iterable[Row], queue: list[Row] | None = N
     return fold
 
 
-def closing_row(fold: Fold) -> tuple:
-    state, reason, at = fold.status()
-    ended = [fold.counters[c] for c in COUNTER_NAMES] + [fold.applied, int(fold.open_fault is not None), int(fold.gen > 0), fold.last_event_ms, *fold.head]
-    return ("end", fold.gen, at, fold.last, None, None, state, None, None, None, reason, None, ended)
-
-
 def output(fold: Fold, venue: str, symbol: str, segment: int, closing: bool = True) -> pa.Table:
     """Views, faults and, if closing, one closing row of a fold as a table of OUT's columns."""
     views = fold.views + (fold.last_view() if closing else [])
     out: list[tuple] = [("view", g, a, s, b, k, None, None, None, None, None, None, None) for g, a, s, b, k in views]
     out += [("fault", f[0], f[7], None, None, None, f[1], f[2], f[3], f[4], f[5], f[6], None) for f in fold.faults if closing or f is not fold.open_fault]
     if closing:
-        out.append(closing_row(fold))
+        out.append(fold.closing())
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), None, None, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
     names = ["what", "n", "arrival", "last_seq", "bids", "asks", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms", "counters"]
     cols = list(zip(*out))
@@ -405,7 +409,7 @@ def log_rows(events: DataFrame, snapshots: DataFrame | None) -> DataFrame:
     return rows.unionByName(queue)
 
 
-def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
+def fold_sorted(rows: DataFrame, options: Options, fold_type: type[Fold] = Fold) -> DataFrame:
     """The folds of all (venue, symbol, segment) of rows, which are dealt by it.
 
     A task reads its rows in order, batch by batch, and hands on what is settled after every VIEWS_A_BATCH views and
@@ -433,11 +437,14 @@ def fold_sorted(rows: DataFrame, options: Options) -> DataFrame:
                     if fold is not None:
                         yield from output(fold, *at).to_batches()
                     window = table.column("max_depth")[first].as_py()
-                    fold = Fold(options if window is None else replace(options, max_depth=window))
+                    fold = fold_type(options if window is None else replace(options, max_depth=window))
                     at, started = key, False
                 for i, row in zip(range(first, end), rows):
                     if queued[i]:
-                        fold.queue.append(row)
+                        if row.kind == "snapshot":
+                            fold.queue.append(row)
+                        else:
+                            started = fold.enter(row) or started
                         continue
                     if not started and row.kind != "truth":
                         fold.start(row)
