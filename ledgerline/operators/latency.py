@@ -7,11 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import drop_written, written
+
 #: Growth of a bucket, and the largest value told apart (an hour).
 GROWTH = 1.02
 MAX_NS = 3_600_000_000_000
 FLOOR_NS = 1000
 BINS = 32
+#: Bits of a sample that a round of selection tells, and parts that a key's samples are dealt into.
+BITS, SALTS = 12, 16
 
 
 def samples(applied: DataFrame) -> DataFrame:
@@ -46,23 +50,54 @@ def quantiles(hist: DataFrame, keys: list[str], ps: dict[str, float]) -> DataFra
 
 
 def tail(rows: DataFrame, keys: list[str], floor_ns: int = FLOOR_NS) -> DataFrame:
-    """Samples above the floor with their place and number in order; total counts all samples."""
-    ranked = rows.withColumn("total", F.count("*").over(Window.partitionBy(*keys))).where(F.col("ns") > floor_ns)
-    return ranked.withColumns({"place": F.row_number().over(Window.partitionBy(*keys).orderBy("ns")), "above": F.count("*").over(Window.partitionBy(*keys))})
+    """Samples above the floor."""
+    return rows.where(F.col("ns") > floor_ns)
+
 
+def selected(rows: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """(keys, name, ns): the sample of a rank from 1 (ranks: keys, name, rank) among a key's samples in order (ns >= 0).
 
-def tail_figures(tail_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """p50, p90, p99 (the sample at floor(p * (n - 1))), and how many samples are at or under the floor."""
-    pick = lambda p: F.max(F.when(F.col("place") == F.floor(F.lit(p) * (F.col("above") - 1)) + 1, F.col("ns")))
-    return tail_rows.groupBy(*keys).agg(pick(0.5).alias("p50_ns"), pick(0.9).alias("p90_ns"), pick(0.99).alias("p99_ns"), F.max("total").alias("total"), (F.max("total") - F.max("above")).alias("at_floor"))
+    By rounds: samples are counted in 2^BITS equal cells of the range that is known to hold the one asked for; the cell in
+    which the count passes the rank is the next range, until a cell is one value. Samples are counted, never sorted.
+    """
+    counted = written(rows.groupBy(*keys, "ns").agg(F.count("*").alias("n")), "samples")
+    most = counted.agg(F.max("ns")).first()[0] or 0
+    shift = BITS * max(0, -(-most.bit_length() // BITS) - 1)
+    asked = ranks.select(*keys, "name", "rank", F.lit(0).cast("bigint").alias("cell"))
+    while True:
+        # few rows a key: a copy for each salt, so that a hot key's samples are dealt out
+        salted = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = counted.withColumn("_s", F.pmod(F.xxhash64("ns"), F.lit(SALTS)).cast("int"))
+        inside = own.join(salted, [*keys, "_s"]).where(F.shiftright("ns", shift + BITS) == F.col("cell"))
+        cells = inside.groupBy(*keys, "name", "rank", F.shiftright("ns", shift).alias("_cell")).agg(F.sum("n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "name").orderBy("_cell"))
+        passed = cells.withColumn("_upto", upto).where(F.col("_upto") >= F.col("rank"))
+        found = passed.groupBy(*keys, "name").agg(F.min_by(F.struct("_cell", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank")), "_cell").alias("x"))
+        asked = written(found.select(*keys, "name", "x.rank", F.col("x._cell").alias("cell")), "cells")
+        if not shift:
+            drop_written(counted)
+            return asked.select(*keys, "name", F.col("cell").alias("ns"))
+        shift -= BITS
+
+
+def tail_figures(rows: DataFrame, keys: list[str], floor_ns: int = FLOOR_NS) -> DataFrame:
+    """Of all samples (rows): p50, p90, p99 of those above the floor (the sample at floor(p * (n - 1)) of n in order), their
+    total, and how many are at or under the floor. Keys without a sample above the floor are left out."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("ns") > floor_ns).alias("above")).where("above > 0")
+    names = {"p50_ns": 0.5, "p90_ns": 0.9, "p99_ns": 0.99}
+    rank = lambda p: F.floor(F.lit(p) * (F.col("above") - 1)) + 1
+    ranks = counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for name, p in names.items()])).alias("r")).select(*keys, "r.*")
+    found = selected(tail(rows, keys, floor_ns), keys, ranks).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("ns"))).alias(name) for name in names])
+    return counts.join(found, keys).select(*keys, *names, "total", (F.col("total") - F.col("above")).alias("at_floor"))
 
 
 def tail_bins(tail_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts in 32 equal bins from zero to the largest sample, and one for what lies beyond by rounding."""
-    w = Window.partitionBy(*keys)
-    width = F.greatest(F.lit(1), F.expr(f"_max div {BINS}"))
-    rows = tail_rows.withColumn("_max", F.max("ns").over(w)).withColumn("_w", width)
-    return rows.groupBy(*keys, F.least(F.expr("ns div _w"), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
+    values = tail_rows.groupBy(*keys, "ns").agg(F.count("*").alias("n"))
+    width = F.greatest(F.lit(1), F.expr(f"max(ns) div {BINS}")).alias("_w")
+    widths = tail_rows.groupBy(*keys).agg(width).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = values.withColumn("_s", F.pmod(F.xxhash64("ns"), F.lit(SALTS)).cast("int")).join(widths, [*keys, "_s"])
+    return rows.groupBy(*keys, F.least(F.expr("ns div _w"), F.lit(BINS)).alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def bars(p50: Column, p99: Column, p999: Column, most: Column) -> Column:

@@ -1,30 +1,21 @@
 """Order of a feed: sequence numbers, routing, classification of updates, checks on views.
 
-All jobs partition by (venue, symbol), so they share one exchange when chained.
+Running figures are taken by stretches of a feed (see scans.py), so that no task has more than a stretch of a hot feed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-
-
-def _before():
-    """All earlier rows of the feed."""
-    return Window.partitionBy(*KEY).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _upto():
-    """The rows of the feed up to this one."""
-    return Window.partitionBy(*KEY).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+from .scans import MOST, SUM, running
 
 
 def synthetic_sequence(routed: DataFrame) -> DataFrame:
     """seq for feeds without ids: accepted snapshots and updates count up from 1; other frames take none."""
     taken = F.col("route").isin("snapshot", "update")
-    return routed.withColumn("seq", F.when(taken, F.count_if(taken).over(_upto())))
+    return running(routed.withColumn("_taken", taken.cast("bigint")), KEY, "arrival", {"seq": (SUM, F.col("_taken"))}).withColumn("seq", F.when(F.col("_taken") > 0, F.col("seq"))).drop("_taken")
 
 
 def route_events(events: DataFrame) -> DataFrame:
@@ -39,14 +30,13 @@ def rebind_on_snapshots(routed: DataFrame) -> DataFrame:
     feed's first snapshot are discarded.
     """
     snap = F.col("route") == "snapshot"
-    before = F.count_if(snap).over(_before())
-    rows = routed.where(F.col("route").isin("snapshot", "update")).withColumn("_n", F.coalesce(before, F.lit(0)))
+    rows = running(routed.where(F.col("route").isin("snapshot", "update")), KEY, "arrival", {"_n": (SUM, snap.cast("bigint"))}, own=False).fillna(0, ["_n"])
     return rows.where(snap | (F.col("_n") > 0)).withColumn("kind", F.when(snap & (F.col("_n") > 0), "disconnect").when(snap, "bind").otherwise("delta")).drop("_n")
 
 
 def segments(rows: DataFrame) -> DataFrame:
     """segment: how many snapshot rows a feed has seen; each can be replayed on its own."""
-    return rows.withColumn("segment", F.sum((F.col("route") == "snapshot").cast("bigint")).over(_upto()))
+    return running(rows, KEY, "arrival", {"segment": (SUM, (F.col("route") == "snapshot").cast("bigint"))})
 
 
 def classify(deltas: DataFrame, bind_id: Column | int = 0) -> DataFrame:
@@ -56,12 +46,11 @@ def classify(deltas: DataFrame, bind_id: Column | int = 0) -> DataFrame:
     one segment; across segments the replay knows.
     """
     bind = F.lit(bind_id).cast("bigint") if isinstance(bind_id, int) else bind_id
-    last = F.greatest(bind, F.coalesce(F.max("last_seq").over(_before()), bind))
-    rows = deltas.withColumn("applied_before", last)
+    rows = running(deltas, KEY, "arrival", {"applied_before": (MOST, F.col("last_seq"))}, own=False)
+    rows = rows.withColumn("applied_before", F.greatest(bind, F.col("applied_before")))
     kind = F.when(F.col("last_seq") <= F.col("applied_before"), "stale").when(F.col("first_seq") > F.col("applied_before") + 1, "gap").otherwise("apply")
-    rows = rows.withColumn("_k", kind)
-    first_gap = F.min(F.when(F.col("_k") == "gap", F.col("arrival"))).over(Window.partitionBy(*KEY))
-    return rows.withColumn("class", F.when(first_gap.isNull() | (F.col("arrival") <= first_gap), F.col("_k"))).drop("_k")
+    rows = running(rows.withColumn("_k", kind), KEY, "arrival", {"_gaps": (SUM, (F.col("_k") == "gap").cast("bigint"))}, own=False)
+    return rows.withColumn("class", F.when(F.coalesce("_gaps", F.lit(0)) == 0, F.col("_k"))).drop("_k", "_gaps")
 
 
 def snapshot_crossed(bids: Column, asks: Column) -> Column:
@@ -88,5 +77,4 @@ def view_ordered(bids: Column, asks: Column) -> Column:
 
 def only_new(views: DataFrame) -> DataFrame:
     """Views whose generation is above all earlier ones of the feed, as a publisher may send them."""
-    top = F.max("gen").over(_before())
-    return views.withColumn("_t", top).where(F.col("_t").isNull() | (F.col("gen") > F.col("_t"))).drop("_t")
+    return running(views, KEY, "arrival", {"_t": (MOST, F.col("gen"))}, own=False).where(F.col("_t").isNull() | (F.col("gen") > F.col("_t"))).drop("_t")

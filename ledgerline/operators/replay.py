@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COUNTER_NAMES, KEY, LEVELS
 from ..shared import written
+from .scans import SUM, running
 
 Levels = list[tuple[int, int]]
 #: A fold hands on its views when it has so many.
@@ -474,23 +475,6 @@ def replay(events: DataFrame, snapshots: DataFrame | None = None, options: Optio
     return fold_sorted(rows.withColumn("segment", F.lit(0).cast("bigint")), options)
 
 
-#: Arrivals of a feed that one task numbers.
-STRETCH = 8192
-
-
-def with_segments(rows: DataFrame) -> DataFrame:
-    """segment: how many snapshot rows a feed has seen, by counts of stretches of arrivals and numbers within a stretch, so
-    that a hot feed is numbered side by side."""
-    rows = rows.withColumn("_stretch", F.expr(f"arrival div {STRETCH}"))
-    snapshot = F.col("kind") == "snapshot"
-    # a row a stretch
-    counts = rows.groupBy(*KEY, "_stretch").agg(F.count_if(snapshot).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*KEY, "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.count_if(snapshot).over(Window.partitionBy(*KEY, "_stretch").orderBy("arrival", "sub").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(counts, [*KEY, "_stretch"]).withColumn("segment", F.col("_before") + within).drop("_stretch", "_before")
-
-
 def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     """The replay of feeds whose snapshots are in their log, a segment at a time, with the same result as replay().
 
@@ -498,7 +482,8 @@ def replay_segments(events: DataFrame, options: Options) -> DataFrame:
     over them. A segment that follows one without an open fault starts by a disconnect. A feed ends where bind_attempts
     snapshots in a row were refused, or more than resync_limit resyncs passed without an applied update.
     """
-    rows = with_segments(log_rows(events, None)).where("segment > 0")
+    snapshot = (F.col("kind") == "snapshot").cast("bigint")
+    rows = running(log_rows(events, None), KEY, "arrival", {"segment": (SUM, snapshot)}, then=("sub",)).where("segment > 0")
     # read by several steps, folded once
     parts = written(fold_sorted(rows, options), "segments")
     return stitch(parts, options)
@@ -628,7 +613,7 @@ def counters_by_venue(counter_rows: DataFrame) -> DataFrame:
 
 def generations(published: DataFrame) -> DataFrame:
     """gen of published rows: one up for each, never reset."""
-    return published.withColumn("gen", F.row_number().over(Window.partitionBy(*KEY).orderBy("arrival")).cast("bigint"))
+    return running(published, KEY, "arrival", {"gen": (SUM, F.lit(1).cast("bigint"))})
 
 
 def downtime(fault_rows: DataFrame) -> DataFrame:

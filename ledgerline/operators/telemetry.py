@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import COUNTER_NAMES, KEY
+from .scans import LAST, MOST, SUM, running
 
 RING = 16
 FAILURES_BEFORE_UNAVAILABLE = 3
 NO_DATA_MS, QUIET_MS = 3000, 10_000
 MAX_COUNTDOWN_S = 30
+#: Ticks that are made, and rows of a span of which are summed, at a time.
+TICKS = 3600
 EVENTS = "array<struct<id:bigint,kind:string,at_ms:bigint,expected_seq:bigint,got_seq:bigint,reason:string,duration_ms:bigint>>"
 
 
@@ -89,12 +92,12 @@ def view_checks(views: DataFrame) -> DataFrame:
 def poll_health(polls: DataFrame) -> DataFrame:
     """State after each poll (KEY, ord, ok, status): ok, degraded, loading before any success, unavailable after three
     failures in a row; the last good status stays."""
-    ok_at = F.max(F.when(F.col("ok"), F.col("ord"))).over(_upto())
-    rows = polls.withColumn("last_ok", ok_at)
-    since = Window.partitionBy(*KEY, "last_ok").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("failures", F.count_if(~F.col("ok")).over(since))
+    bad = (~F.col("ok")).cast("bigint")
+    rows = running(polls, KEY, "ord", {"last_ok": (MOST, F.when(F.col("ok"), F.col("ord"))), "_bad": (SUM, bad), "shown_status": (LAST, F.when(F.col("ok"), F.col("status")))})
+    rows = running(rows, KEY, "ord", {"_then": (LAST, F.when(F.col("ok"), F.col("_bad")))})
+    rows = rows.withColumn("failures", F.col("_bad") - F.coalesce("_then", F.lit(0))).drop("_bad", "_then")
     state = F.when(F.col("ok"), "ok").when(F.col("failures") >= FAILURES_BEFORE_UNAVAILABLE, "unavailable").when(F.col("last_ok").isNull(), "loading").otherwise("degraded")
-    return rows.withColumns({"state": state, "shown_status": F.last(F.when(F.col("ok"), F.col("status")), ignorenulls=True).over(_upto())})
+    return rows.withColumn("state", state)
 
 
 def link_state(events: DataFrame) -> DataFrame:
@@ -106,23 +109,26 @@ def link_state(events: DataFrame) -> DataFrame:
     """
     kind = F.col("type")
     turns = kind.isin("connecting", "open", "transient", "closed")
-    last = lambda cond, value: F.last(F.when(cond, value), ignorenulls=True).over(_upto())
     opened = kind == "open"
-    rows = events.withColumns(
+    one = lambda cond: (SUM, cond.cast("bigint"))
+    last = lambda cond, value: (LAST, F.when(cond, value))
+    rows = running(
+        events,
+        KEY,
+        "ord",
         {
-            "link": F.coalesce(last(turns, kind), F.lit("connecting")),
-            "ever_opened": F.count_if(opened).over(_upto()) > 0,
-            "tries": F.coalesce(last(opened | (kind == "closed"), F.when(opened, F.lit(0)).otherwise(F.col("attempt"))), F.lit(0)),
-            "opens": F.count_if(opened).over(_upto()),
-            "open_at": F.coalesce(last(opened, F.col("now_ms")), F.lit(0)),
-            "beat_at": F.coalesce(last(opened | (kind == "telemetry"), F.col("now_ms")), F.lit(0)),
-            "dropped": F.count_if(kind == "invalid").over(_upto()),
+            "link": last(turns, kind),
+            "_opens": one(opened),
+            "tries": last(opened | (kind == "closed"), F.when(opened, F.lit(0)).otherwise(F.col("attempt"))),
+            "open_at": last(opened, F.col("now_ms")),
+            "beat_at": last(opened | (kind == "telemetry"), F.col("now_ms")),
+            "view_at": last(opened | (kind == "view"), F.when(opened, F.lit(0)).otherwise(F.col("now_ms"))),
+            "dropped": one(kind == "invalid"),
             "_retry": last(turns, F.when(kind == "closed", F.col("retry_at")).otherwise(F.lit(-1))),
-        }
+        },
     )
-    per_open = Window.partitionBy(*KEY, "opens").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("view_at", F.coalesce(F.last(F.when(kind == "view", F.col("now_ms")), ignorenulls=True).over(per_open), F.lit(0)))
-    return rows.withColumn("retry_at", F.when(F.col("_retry") >= 0, F.col("_retry"))).drop("_retry", "opens")
+    rows = rows.fillna("connecting", ["link"]).fillna(0, ["tries", "open_at", "beat_at", "view_at"]).withColumn("ever_opened", F.col("_opens") > 0)
+    return rows.withColumn("retry_at", F.when(F.col("_retry") >= 0, F.col("_retry"))).drop("_retry", "_opens")
 
 
 def freshness(samples: DataFrame, states: DataFrame) -> DataFrame:
@@ -162,25 +168,28 @@ def telemetry_frames(faults: DataFrame, views: DataFrame, first_ms: int, last_ms
     faults: KEY, id, kind, at_ms and the other fault columns; views: KEY, at_ms, gen, last_seq.
     """
     feeds = faults.select(*KEY).union(views.select(*KEY)).distinct()
-    ticks = feeds.select(*KEY, F.explode(F.sequence(F.lit(first_ms), F.lit(last_ms), F.lit(step_ms))).alias("t")).select(*KEY, "t", F.lit(2).alias("_o"))
+    # parts of TICKS ticks first, then the ticks of each, so that no row holds them all
+    part = TICKS * step_ms
+    heads = feeds.select(*KEY, F.explode(F.sequence(F.lit(first_ms), F.lit(last_ms), F.lit(part))).alias("_head"))
+    ticks = heads.select(*KEY, F.explode(F.sequence(F.col("_head"), F.least(F.col("_head") + (part - step_ms), F.lit(last_ms)), F.lit(step_ms))).alias("t")).select(*KEY, "t", F.lit(2).alias("_o"))
     e = F.struct("id", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms").alias("e")
     f = faults.select(*KEY, F.col("at_ms").alias("t"), F.lit(1).alias("_o"), F.col("id").alias("_i"), e)
     v = views.select(*KEY, F.col("at_ms").alias("t"), F.lit(0).alias("_o"), F.col("gen").alias("_i"), F.col("last_seq").alias("seq"))
     every = ticks.unionByName(f, allowMissingColumns=True).unionByName(v, allowMissingColumns=True)
-    w = Window.partitionBy(*KEY).orderBy("t", "_o", "_i").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("e.kind")
-    running = {
-        "seq": F.coalesce(F.last("seq", ignorenulls=True).over(w), F.lit(0)),
-        "gaps": F.count_if(kind == "gap").over(w),
-        "resyncs": F.count_if(kind.isin(*S.REBUILD_KINDS)).over(w),
-        "disconnects": F.count_if(kind == "disconnect").over(w),
-        "would_crosses": F.count_if(kind == "cross").over(w),
-        "checksum_mismatches": F.count_if((kind == "checksum") | (F.col("e.reason") == "snapshot checksum mismatch")).over(w),
-        "snapshot_rejects": F.count_if(kind == "snapshot-reject").over(w),
-        "snapshot_errors": F.count_if(kind == "snapshot-error").over(w),
-        "n_events": F.count("e").over(w),
+    n = lambda cond: (SUM, cond.cast("bigint"))
+    figures = {
+        "seq": (LAST, F.col("seq")),
+        "gaps": n(kind == "gap"),
+        "resyncs": n(kind.isin(*S.REBUILD_KINDS)),
+        "disconnects": n(kind == "disconnect"),
+        "would_crosses": n(kind == "cross"),
+        "checksum_mismatches": n((kind == "checksum") | (F.col("e.reason") == "snapshot checksum mismatch")),
+        "snapshot_rejects": n(kind == "snapshot-reject"),
+        "snapshot_errors": n(kind == "snapshot-error"),
+        "n_events": n(F.col("e").isNotNull()),
     }
-    rows = every.withColumns(running)
+    rows = running(every, KEY, "t", figures, then=("_o", "_i"), stretch=part).fillna(0, list(figures))
     # the last 16 events before a tick are the fault rows numbered n_events - 15 to n_events
     numbered = rows.where("_o = 1").select(*KEY, F.col("n_events").alias("_n"), "e")
     at = rows.where("_o = 2").drop("e", "_o", "_i")

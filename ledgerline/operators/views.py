@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,11 +182,12 @@ def mid_history(mids: DataFrame) -> DataFrame:
     link_breaks: how often the link was not open so far).
 
     A point keeps the time of its slot's first mid and takes its slot's last one. Time that falls below the last point's
-    starts over, as do another scale of the mids and a link that was not open in between.
+    starts over, as do another scale of the mids and a link that was not open in between. A one-sided view has no mid and
+    adds nothing.
     """
     link = F.col("link_breaks") if "link_breaks" in mids.columns else F.lit(0)
     rows = mids.select(*KEY, "ord", "t_ms", "mid", S.scale_of(F.col("mid")).cast("bigint").alias("scale"), link.cast("bigint").alias("link"))
-    slotted = kept_points(rows, GAP_MS, KEY, True)
+    slotted = kept_points(rows.where("mid is not null"), GAP_MS, KEY, True)
     return slotted.groupBy(*KEY, "session", F.col("slot_ms").alias("t_ms")).agg(F.max_by("mid", "ord").alias("mid"))
 
 
@@ -223,21 +223,37 @@ def throttled(rows: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
     """What a display shows that changes once in gap_ms at most: a slot's first value at once, and its last one, if it
     came later, when the slot ends (that starts the next slot)."""
     schema = StructType([*rows.schema.fields, StructField("shown_ms", LongType())])
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ord")
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ord", "ascending")])
-        t = table.column("t_ms").to_numpy()
-        keep, shown, i, free = [], [], 0, -(2**62)
-        while i < len(t):
-            if t[i] >= free:  # nothing is held: shown at once
-                keep.append(i)
-                shown.append(int(t[i]))
-                free, i = int(t[i]) + gap_ms, i + 1
-            else:  # the last one before the slot ends is shown then
-                j = int(np.searchsorted(t, free, side="left"))
-                keep.append(j - 1)
-                shown.append(free)
-                free, i = free + gap_ms, j
-        return table.take(pa.array(keep, pa.int64())).append_column("shown_ms", pa.array(shown, pa.int64()))
-
-    return rows.groupBy(*keys).applyInArrow(fold, schema)
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a key the end of the running slot, and the row that is held to be shown then
+        key, free, held = None, None, None
+        for batch in batches:
+            keep: list[int] = []
+            shown: list[int] = []
+            at, before = None, held  # what is held: a row of this batch, or of an earlier one
+            out: list[pa.RecordBatch] = []
+            for i, (k, t) in enumerate(zip(zip(*[batch.column(c).to_pylist() for c in keys]), batch.column("t_ms").to_pylist())):
+                if k != key or t >= free:
+                    if at is not None:
+                        keep.append(at)
+                        shown.append(free)
+                    elif before is not None:
+                        out.append(before.add_column(before.num_columns, "shown_ms", pa.array([free], pa.int64())))
+                    held_one = k == key and (at is not None or before is not None)
+                    at = before = None
+                    if k == key and held_one and t < free + gap_ms:  # showing what was held began another slot
+                        free, at = free + gap_ms, i
+                        continue
+                    keep.append(i)
+                    shown.append(t)
+                    key, free = k, t + gap_ms
+                else:
+                    at, before = i, None
+            held = batch.slice(at, 1) if at is not None else before
+            yield from out
+            yield batch.take(pa.array(keep, pa.int64())).add_column(batch.num_columns, "shown_ms", pa.array(shown, pa.int64()))
+        if held is not None:
+            yield held.add_column(held.num_columns, "shown_ms", pa.array([free], pa.int64()))
+
+    return dealt.mapInArrow(folded, schema)

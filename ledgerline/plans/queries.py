@@ -18,6 +18,7 @@ from ..operators import inject as I
 from ..operators import latency as L
 from ..operators import ordering as O
 from ..operators import replay as R
+from ..operators import stretches as ST
 from ..operators import telemetry as T
 from ..operators import views as V
 from ..schema import COUNTER_NAMES, FEED_EVENTS, KEY, LEVELS
@@ -723,6 +724,16 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
     return R.counters(out).join(R.status(out), KEY).join(last, KEY).select(*KEY, "gens", "applied", "gaps", "resyncs", "state", "bid", "ask")
 
 
+@query("e1_replay_stretches", SQL["e1_replay"])
+def e1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The same feeds by stretches of 2,000 arrivals, folded side by side."""
+    rows = level_rows(spark, d)
+    log = written(as_events(rows).drop("event_id"), "log")
+    out = ST.replay_stretches(log, empty_snapshots(rows), R.Options(views_every=0), 2000)
+    last = R.views(out).select(*KEY, F.col("bids")[0]["price"].alias("bid"), F.col("asks")[0]["price"].alias("ask"))
+    return R.counters(out).join(R.status(out), KEY).join(last, KEY).select(*KEY, "gens", "applied", "gaps", "resyncs", "state", "bid", "ask")
+
+
 @query("e1_stream_replay", SQL["e1_replay"])
 def e1_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same feeds through the streaming replay, with an empty snapshot at the head of each feed's log."""
@@ -931,6 +942,16 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return want.join(got, KEY)
 
 
+@query("e1_faulted_stretches", SQL["f1_f4_chaos_counters"])
+def e1_faulted_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The same by stretches of 2,000 arrivals, all of which have faults: no snapshot is in the log, all come on request."""
+    rows = written(as_events(level_rows(spark, d)).withColumn("fault", I.scheduled_fault(F.lit(1).cast("bigint"), F.col("arrival") - 1)), "scheduled")
+    log = written(I.inject(rows, F.col("fault")), "log")
+    out = ST.replay_stretches(log, None, R.Options(policy="as_of", views_every=0), 2000)
+    got = R.counters(out).select(*KEY, *[F.col(c).alias(f"got_{c}") for c in ("gaps", "resyncs", "disconnects", "would_crosses", "snapshot_rejects")])
+    return I.expected_counters(rows).join(got, KEY)
+
+
 @query(
     "f2_inject",
     f"""with {EV}, f as (select *, case when event_id % 97 = 0 then 'gap' when event_id % 101 = 0 then 'duplicate' when event_id % 103 = 0 then 'reorder' when event_id % 199 = 0 then 'disconnect' when event_id % 211 = 0 then 'cross' else '' end fault from ev),
@@ -1035,18 +1056,20 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mids(spark: SparkSession, d: str) -> DataFrame:
-    """A series of mids for each user, a few to a slot; time goes back a little often and far now and then; scales change."""
+    """A series of mids for each user, a few to a slot; time goes back a little often and far now and then; scales change.
+    One view in eleven is one-sided and has none."""
     e = level_rows(spark, d, "user_id")
     t = F.col("arrival") * 170 + F.col("c") % 400 - F.when(F.col("event_id") % 97 == 0, 7200000).otherwise(0)
     text = F.when(F.expr("arrival div 7") % 5 == 4, S.format_scaled(F.col("c"), 2)).otherwise(S.format_scaled(F.col("c") * 5, 3))
-    return e.select(*KEY, F.col("arrival").alias("ord"), t.alias("t_ms"), text.alias("mid"))
+    return e.select(*KEY, F.col("arrival").alias("ord"), t.alias("t_ms"), F.when(F.col("event_id") % 11 != 3, text).alias("mid"))
 
 
 # mids in order (rn), and the slots and sessions that they fall into; sl has the last value of each slot
-MIDS = f"""md as (select symbol, arrival ord, arrival rn, arrival * 170 + c % 400 - case when event_id % 97 = 0 then 7200000 else 0 end t_ms, arrival // 7 % 5 = 4 coarse, case when arrival // 7 % 5 = 4 then c else c * 5 end v, case when arrival // 7 % 5 = 4 then {px('c')} else {MID3.format('c * 5')} end mid from ev)"""
-HISTORY = f"""fo as (select symbol, rn, t_ms slot, coarse, 0::bigint session from md where rn = 1
-union all select m.symbol, m.rn, case when m.t_ms < f.slot or m.coarse != f.coarse or m.t_ms >= f.slot + {V.GAP_MS} then m.t_ms else f.slot end, m.coarse, f.session + (m.t_ms < f.slot or m.coarse != f.coarse)::bigint from fo f join md m on m.symbol = f.symbol and m.rn = f.rn + 1),
-pt as (select f.symbol, f.session, f.slot t_ms, arg_max(mid, f.rn) mid, arg_max(v, f.rn) v, any_value(f.coarse) coarse from fo f join md using (symbol, rn) group by all)"""
+MIDS = f"""ma as (select symbol, arrival ord, arrival rn, event_id % 11 != 3 two_sided, arrival * 170 + c % 400 - case when event_id % 97 = 0 then 7200000 else 0 end t_ms, arrival // 7 % 5 = 4 coarse, case when arrival // 7 % 5 = 4 then c else c * 5 end v, case when arrival // 7 % 5 = 4 then {px('c')} else {MID3.format('c * 5')} end mid from ev),
+md as (select * replace (case when two_sided then mid end as mid) from ma), mt as (select * replace (row_number() over (partition by symbol order by ord) as rn) from ma where two_sided)"""
+HISTORY = f"""fo as (select symbol, rn, t_ms slot, coarse, 0::bigint session from mt where rn = 1
+union all select m.symbol, m.rn, case when m.t_ms < f.slot or m.coarse != f.coarse or m.t_ms >= f.slot + {V.GAP_MS} then m.t_ms else f.slot end, m.coarse, f.session + (m.t_ms < f.slot or m.coarse != f.coarse)::bigint from fo f join mt m on m.symbol = f.symbol and m.rn = f.rn + 1),
+pt as (select f.symbol, f.session, f.slot t_ms, arg_max(mid, f.rn) mid, arg_max(v, f.rn) v, any_value(f.coarse) coarse from fo f join mt using (symbol, rn) group by all)"""
 
 
 @query(
@@ -1310,7 +1333,7 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
 @query("k4_tail", f"""with {EV}, t as (select venue, symbol, c * 1000 ns, count(*) over (partition by symbol) total from ev), a as (select *, row_number() over (partition by symbol order by ns) place, count(*) over (partition by symbol) above from t where ns > 1000)
 select venue, symbol, max(case when place = floor(0.5 * (above - 1)) + 1 then ns end) p50_ns, max(case when place = floor(0.9 * (above - 1)) + 1 then ns end) p90_ns, max(case when place = floor(0.99::double * (above - 1)) + 1 then ns end) p99_ns, max(total) total, max(total) - max(above) at_floor from a group by all""")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    return L.tail_figures(L.tail(latency_rows(spark, d), KEY), KEY)
+    return L.tail_figures(latency_rows(spark, d), KEY)
 
 
 @query("k5_latency_bars", f"with {EVU}, g as (select venue, symbol, min(c) * 10 a, max(c) * 5 b, max(c) * 7 m, max(c) * 6 z from ev group by all), s as (select *, case when a < 1000 then 0 else a end sa, case when b < 1000 then 0 else b end sb, case when m < 1000 then 0 else m end sm, case when z < 1000 then 0 else z end sz from g), t as (select *, greatest(sa, sb, sm, sz) tp from s) select venue, symbol, case when tp = 0 then 0 else sa * 100 // tp end p50, case when tp = 0 then 0 else sb * 100 // tp end p99, case when tp = 0 then 0 else sm * 100 // tp end p999, case when tp = 0 then 0 else sz * 100 // tp end \"max\", greatest(a, b, m, z) slowest from t")

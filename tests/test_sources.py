@@ -156,7 +156,7 @@ def test_capture(spark, tmp_path):
     assert LG.check_captures(captures).where("problem is null").count() == 1
     s = LG.capture_samples(captures)
     assert s.count() == 200 and s.first()["total_samples"] - 200 == 800
-    t = L.tail_figures(L.tail(s, ["venue", "symbol"]), ["venue", "symbol"]).first()
+    t = L.tail_figures(s, ["venue", "symbol"]).first()
     assert t["p50_ns"] == 2000 + 1000 * int(0.5 * 199)
 
 
