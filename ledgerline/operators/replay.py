@@ -15,7 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -298,23 +298,13 @@ class Fold:
         raise NotImplementedError
 
     def state(self) -> dict:
-        """Plain values for a state store."""
-        pairs = lambda b: [list(d.items()) for d in b.sizes]
-        names = ("last", "gen", "resyncs_in_a_row", "fault_id", "fetches", "attempts", "bound", "waiting", "open_fault", "ended", "counters", "last_event_ms", "applied", "truth_seq", "head")
-        return {k: getattr(self, k) for k in names} | {"book": pairs(self.book), "truth": pairs(self.truth), "queue": [asdict(r) for r in self.queue]}
+        """The fold's numbers as plain values for a state store, without books and snapshots."""
+        names = ("last", "gen", "resyncs_in_a_row", "fault_id", "fetches", "attempts", "bound", "waiting", "open_fault", "ended", "counters", "last_event_ms", "applied", "truth_seq", "head", "kept")
+        return {k: getattr(self, k) for k in names} | {"shown": getattr(self, "shown", None)}
 
     def restore(self, state: dict) -> None:
         for k, v in state.items():
-            if k in ("book", "truth"):
-                book = Book()
-                for side, pairs in enumerate(v):
-                    for price, size in pairs:
-                        book.set(side, price, size)
-                setattr(self, k, book)
-            elif k == "queue":
-                self.queue = deque(Row(**r) for r in v)
-            else:
-                setattr(self, k, tuple(v) if k == "ended" and v else v)
+            setattr(self, k, tuple(v) if k in ("ended", "shown") and v else v)
 
 
 # --- Arrow in and out ------------------------------------------------------------------------------------------------

@@ -26,6 +26,8 @@ from ..shared import shared_path, written
 from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
+from ..streaming.fanout import delivery_stream
+from ..streaming.live import link_labels, throttled_stream
 from ..streaming.replay import latest_views_stream, replay_stream, telemetry_stream, use_rocksdb
 from . import chaos
 from .feeds import EV, LAST, PRICE_SCALE, SIZE_SCALE, as_events, empty_snapshots, level_rows
@@ -712,6 +714,38 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return book.groupBy(*KEY).agg(F.count("*").alias("levels")).join(wrong, KEY, "left").select(*KEY, F.coalesce("wrong", F.lit(0).cast("bigint")).alias("wrong"), "levels")
 
 
+# --- tables as streams -----------------------------------------------------------------------------------------------
+
+
+def streamed(out: DataFrame, mode: str) -> DataFrame:
+    """All batches of a stream that reads what is there now, as a table with their number in `batch`."""
+    spark, sink = out.sparkSession, shared_path(out.sparkSession, "stream-out")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    job = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_path(spark, "stream-state"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def as_stream(df: DataFrame, files: int) -> DataFrame:
+    """A stream of a table's rows, a file at a time."""
+    path = shared_path(df.sparkSession, "stream-in")
+    df.repartition(files).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_order(df: DataFrame, at: str, batches: int = 3) -> DataFrame:
+    """A stream of a table's rows in micro-batches, each of a part of the range of `at`, in its order."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "stream-in")
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
+    for a, b in zip(cuts, cuts[1:]):  # a file each, the older the earlier
+        df.where((F.col(at) >= a) & (F.col(at) < b)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 # --- E. replay -------------------------------------------------------------------------------------------------------
 
 
@@ -736,17 +770,12 @@ def e1_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e1_stream_replay", SQL["e1_replay"])
 def e1_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same feeds through the streaming replay, with an empty snapshot at the head of each feed's log."""
+    """The same feeds through the streaming replay, with an empty snapshot at the head of each feed's log, in three
+    micro-batches that hand on books and counters."""
     rows = level_rows(spark, d)
-    none = F.array().cast(LEVELS)
-    head = empty_snapshots(rows).select(*KEY, "arrival", F.lit(0).cast("bigint").alias("received_ns"), F.lit("snapshot").alias("kind"), F.col("last_update_id").alias("first_seq"), F.col("last_update_id").alias("last_seq"), none.alias("bids"), none.alias("asks"), "checksum")
-    source, sink = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
-    as_events(rows).drop("event_id").unionByName(head).write.parquet(source)
+    log = headed(rows)
     use_rocksdb(spark)
-    stream = spark.readStream.schema(FEED_EVENTS).parquet(source)
-    job = replay_stream(stream, None, R.Options(policy="in_log", views_every=0)).writeStream.format("parquet").option("path", sink).option("checkpointLocation", shared_path(spark, "stream-state"))
-    job.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(R.OUT).parquet(sink)
+    out = streamed(replay_stream(in_order(log, "arrival"), None, R.Options(policy="in_log", views_every=0)), "append")
     newest = lambda df, at: df.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in df.columns if c not in KEY]), at).alias("x")).select(*KEY, "x.*")
     last = newest(R.views(out), "gen").select(*KEY, F.col("bids")[0]["price"].alias("bid"), F.col("asks")[0]["price"].alias("ask"))
     closing = out.where("what = 'end'").groupBy(*KEY).agg(F.max_by(F.struct("kind", "counters", "n"), "n").alias("x"))
@@ -755,6 +784,24 @@ def e1_stream(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(last, KEY)
 
 
+def headed(rows: DataFrame) -> DataFrame:
+    """feed_events of level rows with an empty snapshot at the head of each feed."""
+    none = F.array().cast(LEVELS)
+    head = empty_snapshots(rows).select(*KEY, "arrival", F.lit(0).cast("bigint").alias("received_ns"), F.lit("snapshot").alias("kind"), F.col("last_update_id").alias("first_seq"), F.col("last_update_id").alias("last_seq"), none.alias("bids"), none.alias("asks"), "checksum")
+    return as_events(rows).drop("event_id").unionByName(head)
+
+
+@query("d5_windows_stream", SQL["d5_windowed_feeds"])
+def d5_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Views of feeds with windows of their own by the streaming replay, in three micro-batches."""
+    rows = level_rows(spark, d, "user_id")
+    windows = rows.select(*KEY).distinct().withColumn("max_depth", (2 + F.col("symbol").cast("bigint") % 3).cast("int"))
+    use_rocksdb(spark)
+    v = R.views(streamed(replay_stream(in_order(headed(rows), "arrival"), None, R.Options(policy="in_log", depth=10), windows), "append"))
+    text = lambda side: F.array_join(F.transform(side, lambda x: F.concat_ws(":", x["price"].cast("string"), x["size"].cast("string"))), " ")
+    return v.where("gen > 1").select(*KEY, "arrival", text("bids").alias("bids"), text("asks").alias("asks"))
+
+
 @query("e1_replay_views", f"""with {EVU}, n as (select a.symbol, a.arrival, b.side, b.price, b.size, b.arrival wrote from ev a join ev b on a.symbol = b.symbol and b.arrival <= a.arrival),
 l as (select symbol, arrival, side, price, arg_max(size, wrote) size from n group by all), v as (select * from l where size > 0)
 select 'EVT' venue, symbol, arrival, arrival + 1 gen, max(case when side = 'bid' then price end) bid, min(case when side = 'ask' then price end) ask from v group by symbol, arrival""")
@@ -1114,6 +1161,16 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     return V.throttled(mids(spark, d).withColumn("t_ms", F.col("ord") * 211000), 600000, KEY)
 
 
+# every value is shown by then but those that are held at the end of all time that was seen
+@query("g11_throttle_stream", f"with z as ({SQL['g11_throttle']}) select venue, symbol, ord, t_ms, mid, shown_ms from z where shown_ms <= (select max(t_ms) from z)")
+def g11_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream with timers, in three micro-batches by time: held values come when their slot has ended."""
+    rows = mids(spark, d).select(*KEY, "ord", (F.col("ord") * 211000).alias("t_ms"), F.col("mid").alias("value"))
+    use_rocksdb(spark)
+    out = streamed(throttled_stream(in_order(rows, "t_ms"), 600000), "append")
+    return out.select(*KEY, "ord", "t_ms", F.col("value").alias("mid"), "shown_ms")
+
+
 # --- H. telemetry ----------------------------------------------------------------------------------------------------
 
 FRAMES = """fr as (select venue, symbol, (arrival - 1) // 4 ord, min(case when event_id % 3 = 0 then arrival end) lo, max(case when event_id % 3 = 0 then arrival end) hi, max(arrival) top, count(*) n, max(case when event_id % 131 = 0 then 1 else 0 end) again from ev group by all)"""
@@ -1201,6 +1258,26 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return T.freshness(samples, states)
 
 
+def _label(t: str) -> str:
+    """SQL text of a link's label at a time."""
+    return f"case link when 'connecting' then case when opens > 0 then 'reconnecting' else 'connecting' end when 'transient' then 'transient' when 'closed' then 'reconnecting' else case when beat_at > 0 and {t} - beat_at > {T.NO_DATA_MS} then 'no-data' when {t} - case when view_at > 0 then view_at else open_at end >= {T.QUIET_MS} then 'quiet' else 'live' end end"
+
+
+@query(
+    "h8_labels_stream",
+    f"""with {LINK_STATES}, nx as (select *, lead(now_ms) over (partition by symbol order by ord) next_ms, max(now_ms) over () seen from lt),
+fl as (select *, unnest([beat_at + {T.NO_DATA_MS} + 1, case when view_at > 0 then view_at else open_at end + {T.QUIET_MS}]) t from nx where link = 'open'),
+pt as (select venue, symbol, ord, 0 o, now_ms t, {_label('now_ms')} as label, 'event' cause from nx union all select venue, symbol, ord, 1, t, {_label('t')}, 'silence' from fl where t > now_ms and t <= seen and (next_ms is null or t < next_ms)),
+ch as (select *, lag(label) over (partition by symbol order by ord, o, t) prior from pt)
+select venue, symbol, t at_ms, label, cause from ch where prior is distinct from label""",
+)
+def h8_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of the label of each user's link, by events or by silence, from a stream with timers in three
+    micro-batches by time."""
+    use_rocksdb(spark)
+    return streamed(link_labels(in_order(link_log(spark, d), "now_ms")), "append").select(*KEY, "at_ms", "label", "cause")
+
+
 @query("h9_telemetry_frames", f"""with {EV}, {FAULTS}, rg as (select min(received_ns // 1000000) lo, max(received_ns // 1000000) hi from ev), tk as (select unnest(range(lo, hi + 1, 3600000)) t from rg), fe as (select distinct venue, symbol from ev)
 select fe.venue, fe.symbol, t, coalesce((select max(arrival) from ev where ev.symbol = fe.symbol and ev.received_ns // 1000000 <= t), 0) seq, (select count(case when kind = 'gap' then 1 end) from fl where fl.symbol = fe.symbol and at_ms <= t) gaps, (select count(case when kind in {REBUILD} then 1 end) from fl where fl.symbol = fe.symbol and at_ms <= t) resyncs, (select least(count(*), 16) from fl where fl.symbol = fe.symbol and at_ms <= t) listed, (select coalesce(max(id), 0) from fl where fl.symbol = fe.symbol and at_ms <= t) newest from fe, tk""")
 def h9(spark: SparkSession, d: str) -> DataFrame:
@@ -1212,25 +1289,6 @@ def h9(spark: SparkSession, d: str) -> DataFrame:
     return f.select(*KEY, "t", "seq", "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.array_max(F.transform("events", lambda e: e["id"])), F.lit(0)).alias("newest"))
 
 
-def streamed(out: DataFrame, mode: str) -> DataFrame:
-    """All batches of a stream that reads what is there now, as a table with their number in `batch`."""
-    spark, sink = out.sparkSession, shared_path(out.sparkSession, "stream-out")
-
-    def keep(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    job = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_path(spark, "stream-state"))
-    job.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(sink)
-
-
-def as_stream(df: DataFrame, files: int) -> DataFrame:
-    """A stream of a table's rows, a file at a time."""
-    path = shared_path(df.sparkSession, "stream-in")
-    df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("h9_telemetry_stream", f"""with {EV}, {FAULTS}, x as (select venue, symbol, at_ms // 3600000 * 3600000 t, id, kind, null::bigint seq from fl union all select venue, symbol, received_ns // 1000000 // 3600000 * 3600000, null, null, arrival from ev)
 select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x group by venue, symbol, t""")
 def h9_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -1281,6 +1339,30 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
     return FO.conflate(log, max_lag=9).groupBy(*FO.CONSUMER).agg(F.count("*").alias("n"), F.max(F.when(F.col("disconnected"), F.col("arrival"))).alias("cut_at"))
 
 
+def delivered_stream(spark: SparkSession, d: str, max_lag: int | None) -> DataFrame:
+    """Outcomes of the same publishes and takes by a stream in three micro-batches."""
+    e = level_rows(spark, d)
+    _, log = delivery_log(spark, d)
+    takes = log.where("op = 'take'").select(*FO.CONSUMER, "arrival")
+    publishes = e.select(*KEY, (F.col("arrival") * 2).alias("arrival"), F.col("arrival").alias("view_seq"), F.lit("publish").alias("op"))
+    js = F.explode(F.array(*[F.lit(j).cast("bigint") for j in (1, 2, 3)])).alias("consumer")
+    subs = written(e.select(*KEY).distinct().select(*KEY, js).withColumns({"from_arrival": F.col("consumer") * 10, "to_arrival": F.lit(2**62)}), "subscriptions")
+    # publishes and takes of one range of arrivals come together
+    both = in_order(publishes.select(*KEY, "arrival", "view_seq", "op", F.lit(None).cast("bigint").alias("consumer")).unionByName(takes.select(*KEY, "arrival", F.lit(None).cast("bigint").alias("view_seq"), F.lit("take").alias("op"), "consumer")), "arrival")
+    use_rocksdb(spark)
+    return streamed(delivery_stream(FO.consumer_log(both.where("op = 'publish'").drop("consumer", "op"), both.where("op = 'take'").drop("view_seq", "op"), subs), max_lag), "append")
+
+
+@query("i1_conflation_stream", SQL["i1_conflation"])
+def i1_stream(spark: SparkSession, d: str) -> DataFrame:
+    return delivered_stream(spark, d, None).select(*FO.CONSUMER, "arrival", "outcome", "got_seq")
+
+
+@query("i3_slow_consumers_stream", SQL["i3_slow_consumers"])
+def i3_stream(spark: SparkSession, d: str) -> DataFrame:
+    return delivered_stream(spark, d, 9).groupBy(*FO.CONSUMER).agg(F.count("*").alias("n"), F.max(F.when(F.col("disconnected"), F.col("arrival"))).alias("cut_at"))
+
+
 @query("i4_latest_views", f"with {EVU} select venue, symbol, max(arrival) gen, arg_max(price, arrival) price from ev group by all")
 def i4(spark: SparkSession, d: str) -> DataFrame:
     return FO.latest_views(level_rows(spark, d, "user_id").select(*KEY, F.col("arrival").alias("gen"), "price"))

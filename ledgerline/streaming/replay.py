@@ -1,4 +1,4 @@
-"""The replay as a stream: one keyed state a feed, in RocksDB, with the same fold as the batch job.
+"""The replay as a stream: keyed state for each feed, in RocksDB, with the same fold as the batch job.
 
 Rows of a key arrive in any order within a micro-batch and are sorted by arrival there; arrivals must not fall from one
 batch to the next. A fault whose rebuild ends in a later batch is sent again under its id with its duration: the last
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
@@ -38,42 +39,96 @@ def event_of(r: Row) -> R.Row:
     return R.Row(r["kind"], r["arrival"] or 0, (r["received_ns"] or 0) // 1_000_000, r["first_seq"] or 0, r["last_seq"] or 0, level(r["bids"]), level(r["asks"]), r["checksum"], r["error"])
 
 
+#: A row of the log in the state, without its feed; levels as text, which the state takes as one value.
+LOG_ROW = "kind string, arrival bigint, ms bigint, first_seq bigint, last_seq bigint, bids string, asks string, checksum bigint, error string"
+
+
+def stored(r: R.Row) -> tuple:
+    return (r.kind, r.arrival, r.ms, r.first_seq, r.last_seq, json.dumps(r.bids), json.dumps(r.asks), r.checksum, r.error)
+
+
+def fetched(r: Row) -> R.Row:
+    kind, arrival, ms, first, last, bids, asks, checksum, error = r
+    levels = lambda text: [(p, s) for p, s in json.loads(text)]
+    return R.Row(kind, arrival, ms, first, last, levels(bids), levels(asks), checksum, error)
+
+
+class StateQueue:
+    """Snapshots that wait for a fetch, in a map of the state from their number: one is read when it is fetched."""
+
+    def __init__(self, state: MapState, head: int, tail: int):
+        self.state, self.head, self.tail = state, head, tail
+
+    def __bool__(self) -> bool:
+        return self.head < self.tail
+
+    def append(self, row: R.Row) -> None:
+        self.state.updateValue((self.tail,), stored(row))
+        self.tail += 1
+
+    def popleft(self) -> R.Row:
+        row = fetched(self.state.getValue((self.head,)))
+        self.state.removeKey((self.head,))
+        self.head += 1
+        return row
+
+
 class ReplayProcessor(StatefulProcessor):
-    """Folds a feed's rows batch by batch. For the policy `queue`, rows wait in a list of the state until a snapshot is
-    there, however many."""
+    """Folds a feed's rows batch by batch.
+
+    The state is a map from price to size for each side of the book, of which a batch writes the levels that it changed; a
+    few numbers; snapshots that wait for a fetch, each by its number; and, for the policy `queue`, the rows that came
+    before the first snapshot, however many.
+    """
 
     def __init__(self, options: Options):
         self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("fold", "value string")
-        self.waiting = handle.getListState("waiting", "value string")
+        self.saved = handle.getValueState("numbers", "value string")
+        self.sides = {name: [handle.getMapState(f"{name}_{side}", "price bigint", "size bigint") for side in ("bids", "asks")] for name in ("book", "truth")}
+        self.snapshots = handle.getMapState("snapshots", "at bigint", LOG_ROW)
+        self.waiting = handle.getListState("waiting", LOG_ROW)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fold, started, carried = Fold(self.options), False, None
-        if self.saved.exists():
-            state = json.loads(self.saved.get()[0])
-            started = state.pop("started")
-            fold.restore(state)
-            carried = fold.open_fault
-        fresh = []
-        for r in sorted(rows, key=lambda r: (r["arrival"] or 0, r["sub"] or 0)):
-            (fold.queue if r["queued"] else fresh).append(event_of(r))
-        gen = fold.gen
+        fresh = sorted(rows, key=lambda r: (r["arrival"] or 0, r["sub"] or 0))
+        numbers = json.loads(self.saved.get()[0]) if self.saved.exists() else {"started": False, "head": 0, "tail": 0, "window": next((r["max_depth"] for r in fresh if r["max_depth"] is not None), None)}
+        window, started = numbers["window"], numbers["started"]
+        fold = Fold(self.options if window is None else replace(self.options, max_depth=window))
+        if "fold" in numbers:
+            fold.restore(numbers["fold"])
+        before = {name: [{k[0]: v[0] for k, v in state.iterator()} for state in states] for name, states in self.sides.items() if name == "book" or self.options.policy == "as_of"}
+        for name, sides in before.items():
+            for side, levels in enumerate(sides):
+                for price, size in levels.items():
+                    getattr(fold, name).set(side, price, size)
+        fold.queue = StateQueue(self.snapshots, numbers["head"], numbers["tail"])
+        carried, gen, due = fold.open_fault, fold.gen, []
+        for r in fresh:
+            (fold.queue if r["queued"] else due).append(event_of(r))
         if started or fold.queue or self.options.policy != "queue":
-            held = [R.Row(**json.loads(r[0])) for r in self.waiting.get()] if self.waiting.exists() else []
-            for row in held + fresh:
+            held = []
+            if self.waiting.exists():
+                held = [fetched(r) for r in self.waiting.get()]
+                self.waiting.clear()
+            for row in held + due:
                 if not started and row.kind != "truth":
                     fold.start(row)
                     started = True
                 fold.step(row)
-            self.waiting.clear()
-        else:
-            self.waiting.appendList([(json.dumps(asdict(r)),) for r in fresh])
+        elif due:
+            self.waiting.appendList([stored(r) for r in due])
         if carried is not None and carried[6] != -1:
             fold.faults.append(carried)
         fold.kept = fold.kept or fold.gen == gen
-        self.saved.update((json.dumps(fold.state() | {"started": started}),))
+        for name, sides in before.items():
+            for state, old, new in zip(self.sides[name], sides, getattr(fold, name).sizes):
+                for price, size in new.items():
+                    if old.get(price) != size:
+                        state.updateValue((price,), (size,))
+                for price in old.keys() - new.keys():
+                    state.removeKey((price,))
+        self.saved.update((json.dumps({"fold": fold.state(), "started": started, "head": fold.queue.head, "tail": fold.queue.tail, "window": window}),))
         level = lambda side: None if side is None else [Row(price=x["price"], size=x["size"]) for x in side]
         for r in output(fold, *key, 0).to_pylist():
             yield Row(**(r | {"bids": level(r["bids"]), "asks": level(r["asks"])}))
@@ -82,10 +137,18 @@ class ReplayProcessor(StatefulProcessor):
         pass
 
 
-def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options(), instruments: DataFrame | None = None) -> DataFrame:
     """Streaming replay of feed_events (and of a stream of snapshots): rows as of operators.replay.replay, in append
-    mode. The closing row of each batch holds the counters and the status so far."""
+    mode. The closing row of each batch holds the counters and the status so far.
+
+    instruments: a table of windows of feeds (KEY, max_depth) where they differ from the options'; a feed keeps the window
+    of its first batch.
+    """
     rows = log_rows(events, snapshots)
+    if instruments is None:
+        rows = rows.withColumn("max_depth", F.lit(None).cast("int"))
+    else:
+        rows = rows.join(instruments.select(*KEY, F.col("max_depth").cast("int").alias("max_depth")), KEY, "left")
     return rows.groupBy(*KEY).transformWithState(ReplayProcessor(options), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="None")
 
 

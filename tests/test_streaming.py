@@ -73,3 +73,70 @@ def test_large_numbers_beside_queued_snapshots(spark, tmp_path):
         q.stop()
         got = sorted((r["gen"], r["last_seq"], r["bids"][0]["price"]) for r in R.views(spark.table(name)).where("gen > 1").collect())
         assert got == want and got[-1][1] == big + 3
+
+
+def test_queued_snapshots_over_batches(spark, tmp_path):
+    """Faults and fetches in every batch, snapshots that wait in the state, and a window: as the batch job has them."""
+    from ledgerline.schema import SNAPSHOTS
+
+    from .test_stretches import random_feed
+
+    events, snaps = random_feed(random.Random(8), "s", 240, 0.1)
+    e, s = spark.createDataFrame(events, FEED_EVENTS), spark.createDataFrame(snaps, SNAPSHOTS)
+    window = spark.createDataFrame([("v", "s", 7)], "venue string, symbol string, max_depth int")
+    options = R.Options(depth=4)
+    use_rocksdb(spark)
+    for i, (a, b) in enumerate([(0, 50), (50, 51), (51, 130), (130, 10**9)]):
+        e.where((F.col("arrival") >= a) & (F.col("arrival") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    s.coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = replay_stream(spark.readStream.schema(FEED_EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e")), spark.readStream.schema(SNAPSHOTS).parquet(str(tmp_path / "s")), options, window)
+    q = stream.writeStream.format("memory").queryName("queued").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    out, batch = spark.table("queued"), R.replay(e, s, options, window).cache()
+    rows = lambda df, c: [tuple(r) for r in df.orderBy(c).collect()]
+    assert rows(R.views(out), "gen") == rows(R.views(batch), "gen")
+    latest = {r["id"]: tuple(r) for r in sorted(R.faults(out).collect(), key=lambda r: (r["id"], r["duration_ms"]))}
+    assert latest == {r["id"]: tuple(r) for r in R.faults(batch).collect()} and len(latest) > 10
+
+
+def test_state_writes_follow_changed_levels():
+    """A batch of one update to a book of many levels writes that level, and reads no snapshot that is not fetched."""
+    from ledgerline.streaming.replay import ReplayProcessor
+    from pyspark.sql import Row
+
+    class Value:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, v):
+            self.value = v
+
+    class Map(dict):
+        writes = 0
+        iterator = lambda self: iter(list(self.items()))
+        getValue = dict.__getitem__
+        removeKey = lambda self, k: self.pop(k)
+
+        def updateValue(self, k, v):
+            self.writes += 1
+            self[k] = v
+
+    class Handle:
+        made = {}
+        getValueState = lambda self, name, schema: Value()
+        getListState = lambda self, name, schema: Value()
+
+        def getMapState(self, name, *schemas):
+            return self.made.setdefault(name, Map())
+
+    row = lambda kind, arrival, seq, bids, queued=False: Row(kind=kind, arrival=arrival, received_ns=0, first_seq=seq, last_seq=seq, bids=[Row(price=p, size=s) for p, s in bids], asks=[], checksum=None, error=None, queued=queued, sub=0, max_depth=None)
+    processor, handle = ReplayProcessor(R.Options()), Handle()
+    processor.init(handle)
+    list(processor.handleInputRows(("v", "s"), iter([row("snapshot", 0, 0, [(p, 1) for p in range(1, 5001)], True), row("snapshot", 0, 5, [(1, 1)], True), row("delta", 1, 1, [(7, 2)])]), None))
+    book = handle.made["book_bids"]
+    assert len(book) == 5000 and len(handle.made["snapshots"]) == 1
+    book.writes = 0
+    out = list(processor.handleInputRows(("v", "s"), iter([row("delta", 2, 2, [(9, 3), (10, 0)])]), None))
+    assert book.writes == 1 and book[(9,)] == (3,) and (10,) not in book and out[0]["last_seq"] == 2
