@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,12 +65,32 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _path(spark, path)
+    return store.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names in a folder and their age in seconds; none if it is not there."""
+    at, store = _path(spark, path)
+    return [(s.getPath().getName(), time.time() - s.getModificationTime() / 1000) for s in store.listStatus(at)] if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _path(spark, path)
+    store.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of settle() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.settled_at)
 
 
 #: Rows of a few short columns that a broadcast may hold.
