@@ -27,8 +27,8 @@ from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
 from ..streaming.fanout import delivery_stream
-from ..streaming.live import link_labels, throttled_stream
-from ..streaming.replay import latest_views_stream, replay_stream, telemetry_stream, use_rocksdb
+from ..streaming.live import link_labels, telemetry_stream, throttled_stream
+from ..streaming.replay import latest_views_stream, replay_stream, use_rocksdb
 from . import chaos
 from .feeds import EV, LAST, PRICE_SCALE, SIZE_SCALE, as_events, empty_snapshots, level_rows
 
@@ -1290,17 +1290,15 @@ def h9(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("h9_telemetry_stream", f"""with {EV}, {FAULTS}, x as (select venue, symbol, at_ms // 3600000 * 3600000 t, id, kind, null::bigint seq from fl union all select venue, symbol, received_ns // 1000000 // 3600000 * 3600000, null, null, arrival from ev)
-select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x group by venue, symbol, t""")
+select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x where t + 3600000 <= (select max(received_ns // 1000000) from ev) group by venue, symbol, t""")
 def h9_stream(spark: SparkSession, d: str) -> DataFrame:
-    """What happened to every feed in each hour, by a stream over faults and views that come in three files each."""
-    at = lambda ms: F.timestamp_millis(ms).alias("at")
+    """What happened to every feed in each hour that has passed, by a stream over faults and views in three micro-batches."""
     log = fault_log(spark, d)
-    views = level_rows(spark, d).select(*KEY, at(F.expr("received_ns div 1000000")), F.col("arrival").alias("last_seq"))
-    out = telemetry_stream(as_stream(log.select("*", at(F.col("at_ms"))), 3), as_stream(views, 3), "1 hour", "30 days")
-    frames = streamed(out, "complete")
-    last = frames.agg(F.max("batch")).first()[0]
-    frames = frames.where(F.col("batch") == last)
-    return frames.select(*KEY, F.unix_millis("window.start").alias("t"), F.coalesce("seq", F.lit(0)).alias("seq"), "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.get("events", F.lit(0))["id"], F.lit(0)).alias("newest"))
+    views = level_rows(spark, d).select(*KEY, F.expr("received_ns div 1000000").alias("at_ms"), F.col("arrival").alias("last_seq"))
+    both = in_order(log.withColumn("last_seq", F.lit(None).cast("bigint")).unionByName(views, allowMissingColumns=True), "at_ms")
+    use_rocksdb(spark)
+    frames = streamed(telemetry_stream(both.where("id is not null"), both.where("id is null"), 3600000, "0 seconds"), "append")
+    return frames.select(*KEY, F.col("tick_ms").alias("t"), F.coalesce("seq", F.lit(0)).alias("seq"), "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.get("events", F.lit(0))["id"], F.lit(0)).alias("newest"))
 
 
 # --- I. fan-out ------------------------------------------------------------------------------------------------------

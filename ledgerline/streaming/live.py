@@ -1,5 +1,5 @@
-"""What a display shows of a live feed, as streams with timers: the label of its link, which silence alone can change, and
-values that change once in a while at most.
+"""What a display shows of a live feed, as streams with timers: the label of its link, which silence alone can change,
+values that change once in a while at most, and a telemetry frame for each tick.
 
 Event time rules: a timer goes off when the watermark has passed it, so nothing that came before it in event time is
 missed, and the result is that of the batch form over the same rows. Rows behind the watermark are lost. Rows of a feed are
@@ -8,6 +8,7 @@ taken in the order of their time within a micro-batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 from typing import Any
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..functions import scalars as S
 from ..operators.telemetry import NO_DATA_MS, QUIET_MS
 from ..schema import FEED, KEY
 
@@ -179,3 +181,70 @@ def throttled_stream(rows: DataFrame, gap_ms: int, late: str = "0 seconds") -> D
     shown_ms), from a stream of (KEY, ord, t_ms, value). A held value is shown once the watermark passes the slot's end."""
     timed = rows.select(*KEY, "ord", "t_ms", F.col("value").cast("string").alias("value"), F.timestamp_millis("t_ms").alias("at")).withWatermark("at", late)
     return timed.groupBy(*KEY).transformWithState(ThrottleProcessor(gap_ms), outputStructType=StructType.fromDDL(SHOWN), outputMode="Append", timeMode="EventTime")
+
+
+#: The newest fault events that a telemetry frame lists.
+LISTED = 16
+_EVENT = "struct<id:bigint,kind:string,at_ms:bigint,expected_seq:bigint,got_seq:bigint,reason:string,duration_ms:bigint>"
+_FIELDS = ("id", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms")
+FRAMES = f"{FEED}, tick_ms bigint, seq bigint, gaps bigint, resyncs bigint, disconnects bigint, would_crosses bigint, events array<{_EVENT}>"
+
+
+class TickProcessor(StatefulProcessor):
+    """Counts and the newest LISTED faults of each tick that is still open; a tick is sent and forgotten when it has passed."""
+
+    def __init__(self, tick_ms: int):
+        self.tick = tick_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("ticks", "tick_ms bigint", "seq bigint, gaps bigint, resyncs bigint, disconnects bigint, would_crosses bigint, events string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        ticks: dict[int, list] = {}
+        for r in rows:
+            at = r["at_ms"] // self.tick * self.tick
+            if at not in ticks:
+                if self.open.containsKey((at,)):
+                    *counts, events = self.open.getValue((at,))
+                    ticks[at] = [*counts, json.loads(events)]
+                else:
+                    ticks[at] = [None, 0, 0, 0, 0, []]
+                    self.handle.registerTimer(at + self.tick)
+            t = ticks[at]
+            if r["e"] is None:
+                t[0] = r["seq"] if t[0] is None or r["seq"] is not None and r["seq"] > t[0] else t[0]
+                continue
+            kind = r["e"]["kind"]
+            for i, kinds in enumerate((("gap",), S.REBUILD_KINDS, ("disconnect",), ("cross",)), start=1):
+                t[i] += kind in kinds
+            t[5].append([r["e"][c] for c in _FIELDS])
+            if len(t[5]) >= 2 * LISTED:
+                t[5] = sorted(t[5], key=lambda e: e[0], reverse=True)[:LISTED]
+        for at, (*counts, events) in ticks.items():
+            self.open.updateValue((at,), (*counts, json.dumps(sorted(events, key=lambda e: e[0], reverse=True)[:LISTED])))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.tick
+        seq, gaps, resyncs, disconnects, crosses, events = self.open.getValue((at,))
+        self.open.removeKey((at,))
+        listed = [Row(**dict(zip(_FIELDS, e))) for e in json.loads(events)]
+        yield Row(venue=key[0], symbol=key[1], tick_ms=at, seq=seq, gaps=gaps, resyncs=resyncs, disconnects=disconnects, would_crosses=crosses, events=listed)
+
+    def close(self) -> None:
+        pass
+
+
+def telemetry_stream(faults: DataFrame, views: DataFrame, tick_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
+    """A frame of each feed for every tick in which something happened, once the watermark has passed it: faults by kind,
+    the newest view's sequence and the last LISTED fault events of that tick, newest first.
+
+    faults: streams of KEY, id, kind, at_ms and the other fault columns; views: KEY, at_ms, last_seq. Rows behind the
+    watermark are lost. Running counters are sums over ticks.
+    """
+    event = F.struct(*_FIELDS)
+    f = faults.select(*KEY, "at_ms", event.cast(_EVENT).alias("e"), F.lit(None).cast("bigint").alias("seq"))
+    v = views.select(*KEY, "at_ms", F.lit(None).cast(_EVENT).alias("e"), F.col("last_seq").alias("seq"))
+    rows = f.unionByName(v).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    return rows.groupBy(*KEY).transformWithState(TickProcessor(tick_ms), outputStructType=StructType.fromDDL(FRAMES), outputMode="Append", timeMode="EventTime")

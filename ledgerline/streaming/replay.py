@@ -18,14 +18,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import MapState
 from pyspark.sql.types import StructType
 
-from ..functions import scalars as S
 from ..operators import replay as R
 from ..operators.replay import OUT, Fold, Options, log_rows, output
 from ..schema import KEY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The newest fault events that a telemetry frame lists.
-LISTED = 16
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -156,25 +153,3 @@ def latest_views_stream(views: DataFrame) -> DataFrame:
     """The newest view of each feed after every micro-batch, for update mode: a consumer that is slow gets the last one."""
     other = [c for c in views.columns if c not in (*KEY, "gen")]
     return views.groupBy(*KEY).agg(F.max("gen").alias("gen"), F.max_by(F.struct(*other), "gen").alias("view"))
-
-
-def telemetry_stream(faults: DataFrame, views: DataFrame, tick: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """A frame of each feed for every tick in which something happened: faults by kind, the newest view's sequence and the
-    last LISTED fault events, newest first, of that tick.
-
-    faults: KEY, at, id, kind and the other fault columns; views: KEY, at, last_seq; `at` is their timestamp. Rows beyond
-    the watermark are lost. Running counters are sums over ticks.
-    """
-    event = F.struct("id", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration_ms")
-    f = faults.select(*KEY, "at", event.alias("e"), F.lit(None).cast("bigint").alias("seq"))
-    v = views.select(*KEY, "at", F.lit(None).cast(f.schema["e"].dataType).alias("e"), F.col("last_seq").alias("seq"))
-    kind = F.col("e.kind")
-    frames = f.unionByName(v).withWatermark("at", late).groupBy(F.window("at", tick), *KEY).agg(
-        F.count_if(kind == "gap").alias("gaps"),
-        F.count_if(kind.isin(*S.REBUILD_KINDS)).alias("resyncs"),
-        F.count_if(kind == "disconnect").alias("disconnects"),
-        F.count_if(kind == "cross").alias("would_crosses"),
-        F.max("seq").alias("seq"),
-        F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, LISTED).alias("events"),
-    )
-    return frames
