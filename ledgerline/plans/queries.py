@@ -26,6 +26,7 @@ from ..shared import shared_path, written
 from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
+from ..streaming import ingest as IN
 from ..streaming.fanout import delivery_stream
 from ..streaming.live import link_labels, telemetry_stream, throttled_stream
 from ..streaming.replay import latest_views_stream, replay_stream, use_rocksdb
@@ -746,6 +747,39 @@ def in_order(df: DataFrame, at: str, batches: int = 3) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def recording(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    """A stream of recorded lines in micro-batches: the raw frames of the events with the answer of an empty book at each
+    feed's head, and a torn line in each part."""
+    frames = _raw(spark, d, False).withColumn("type", F.lit("frame"))
+    head = frames.select(*KEY).distinct().select(*KEY, F.lit(0).cast("bigint").alias("arrival"), F.lit(0).cast("bigint").alias("received_ns"), F.lit('{"lastUpdateId":0,"bids":[],"asks":[]}').alias("raw"), F.lit("snapshot").alias("type"))
+    log = written(frames.unionByName(head).select("arrival", F.to_json(F.struct(*KEY, "arrival", "received_ns", "type", "raw")).alias("value")), "recording")
+    path, n = shared_path(spark, "recorded"), log.agg(F.max("arrival")).first()[0] + 1
+    for i in range(batches):
+        part = log.where((F.col("arrival") >= n * i // batches) & (F.col("arrival") < n * (i + 1) // batches)).select("value")
+        part.union(spark.range(1).select(F.lit('{"venue":"EVT","symb').alias("value"))).coalesce(1).write.mode("append").text(path)
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+
+
+@query(
+    "a1_a13_ingest_stream",
+    f"""with {EV}, r as (select *, {ROUTE.format('update')} route from ev),
+m as (select symbol, min(case when route != 'update' then arrival end) lost, max(case when route = 'update' then arrival end) newest, count(case when route = 'update' then 1 end) events, count(case when route = 'rejected' then 1 end) rejects from r group by symbol)
+select 'EVT' venue, symbol, events, rejects, 1 snapshots, case when lost is null then events else lost - 1 end + 1 views, (coalesce(newest > lost, false))::bigint faults from m""",
+)
+def a13_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the canonical tables of every feed after two streams over its recorded lines, in three micro-batches each:
+    all books end at the first frame that could not be used, as no second snapshot is there."""
+    text, tables = recording(spark, d), IN.Tables(spark, shared_path(spark, "canonical"))
+    windows = written(instruments(spark, d), "instruments")
+    for job, start in (("ingest", IN.ingest), ("replay", IN.replayed)):
+        start(text, windows, tables, shared_path(spark, f"{job}-state")).awaitTermination()
+    count = lambda job, name, alias: tables.read(job, name).where("symbol is not null").groupBy(*KEY).agg(F.count("*").alias(alias))
+    out = count("ingest", "feed_events", "events")
+    for job, name in (("ingest", "rejects"), ("ingest", "snapshots"), ("replay", "views"), ("replay", "faults")):
+        out = out.join(count(job, name, name), KEY, "left")
+    return out.fillna(0)
+
+
 # --- E. replay -------------------------------------------------------------------------------------------------------
 
 
