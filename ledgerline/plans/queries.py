@@ -56,6 +56,12 @@ def sz(v: str) -> str:
     return f"((({v}) // 1000)::varchar || '.' || lpad((({v}) % 1000)::varchar, 3, '0'))"
 
 
+def in_case(words: dict[str, str]) -> str:
+    """SQL text of the branches of a case."""
+    quoted = {k: v.replace("'", "''") for k, v in words.items()}
+    return " ".join(f"when '{k}' then '{v}'" for k, v in quoted.items())
+
+
 def str_list(agg: str) -> str:
     return f"coalesce({agg}, '')"
 
@@ -299,8 +305,8 @@ def fault_log(spark: SparkSession, d: str) -> DataFrame:
     "b16_fault_words",
     f"""with {EV}, {FAULTS}, n as (select *, max(case when kind in {REBUILD} then id end) over (partition by symbol) nw from fl),
 w as (select *, case when kind not in {REBUILD} then null when duration_ms = -1 and id = nw then 'rebuilding…' when duration_ms = -1 then 'rebuild time not recorded' when duration_ms = 0 then 'rebuilt from a snapshot in under 1 ms' else 'rebuilt from a snapshot in ' || duration_ms::varchar || ' ms' end rebuild,
-case kind when 'gap' then case when expected_seq > 0 and got_seq > 0 then 'Expected ' || expected_seq::varchar || ', got ' || got_seq::varchar || '.' else 'An update was missed.' end when 'cross' then 'It would have put a bid at or above the ask. Discarded.' when 'checksum' then 'The book no longer matched the exchange''s checksum after an update.' when 'disconnect' then 'The connection to the exchange dropped.' else upper(left(reason, 1)) || substr(reason, 2) || '.' end what from n)
-select venue, symbol, id, case kind when 'gap' then 'Sequence gap' when 'cross' then 'Crossing update rejected' when 'checksum' then 'Checksum mismatch' when 'disconnect' then 'Feed disconnected' when 'snapshot-reject' then 'Snapshot refused' else 'Snapshot failed' end title,
+case kind when 'gap' then case when expected_seq > 0 and got_seq > 0 then 'Expected ' || expected_seq::varchar || ', got ' || got_seq::varchar || '.' else 'An update was missed.' end {in_case(S.FAULT_SENTENCES)} else upper(left(reason, 1)) || substr(reason, 2) || '.' end what from n)
+select venue, symbol, id, case kind {in_case(S.FAULT_TITLES)} end title,
 case when rebuild is null then what else what || ' ' || upper(left(rebuild, 1)) || substr(rebuild, 2) || case when rebuild = 'rebuilding…' then '' else '.' end end detail, rebuild from w""",
 )
 def b16(spark: SparkSession, d: str) -> DataFrame:
@@ -529,10 +535,11 @@ def capture_documents(e: DataFrame) -> DataFrame:
 select venue, symbol, least(ns // w, 32) bin, count(*) n from t group by all""",
 )
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    """Captures written as documents of bounded size, checked, exploded and binned."""
+    """Captures written as files of a document each, of bounded size, read back, checked, exploded and binned."""
     docs = capture_documents(level_rows(spark, d).select(*KEY, "event_id", (F.col("c") * 1000).alias("ns")))
-    doc = F.to_json(F.struct(F.lit(1).alias("schema"), "venue", "symbol", F.lit(60_000_000_000).alias("window_ns"), F.lit(1000).alias("resolution_ns"), "total_samples", "tail_ns"))
-    captures = docs.select(F.from_json(doc, LG.CAPTURE).alias("c")).select("c.*")
+    path = shared_path(spark, "captures")
+    docs.select(F.lit(1).alias("schema"), "venue", "symbol", F.lit(60_000_000_000).alias("window_ns"), F.lit(1000).alias("resolution_ns"), "total_samples", "tail_ns").write.option("maxRecordsPerFile", 1).json(path)
+    captures = LG.read_captures(spark, path)
     return L.tail_bins(L.tail(LG.capture_samples(captures), KEY), KEY)
 
 

@@ -12,6 +12,7 @@ from ledgerline.sources import documents as D
 from ledgerline.sources import frames as FR
 from ledgerline.sources import logs as LG
 
+#: Documents of the wire format, as its specification gives them.
 VIEW = '{"venue":"kraken","symbol":"BTC/USD","seq":5,"bids":[["62721.7","1.35823999"],["62721.6","0.05000000"]],"asks":[["62721.8","0.00114202"],["62721.9","2.50000000"]]}'
 STATUS = '{"schema":1,"mode":"live","chaos":false,"version":"v1.2.3","venue":"kraken","symbol":"BTC/USD","startedAtUnixMs":1699999000000,"depth":10,"lastEventAgeMs":1500,"delivery":{"consumers":1,"delivered":2,"dropped":3,"published":5},"engine":{"gaps":1,"resyncs":2,"disconnects":3,"wouldCrosses":4,"checksumMismatches":5,"snapshotRejects":6,"snapshotErrors":7,"rejected":8},"latency":{"count":3,"p50Ns":1986,"p99Ns":50118,"p999Ns":50118,"maxNs":50000}}'
 TELEMETRY = '{"t":1700000000000,"seq":4182,"gaps":1,"resyncs":2,"disconnects":3,"wouldCrosses":4,"checksumMismatches":5,"snapshotRejects":6,"snapshotErrors":7,"rejected":9,"consumers":1,"events":[{"id":1,"kind":"gap","atUnixMs":1699999990000,"expectedSeq":4182,"gotSeq":4185,"reason":"sequence gap","durationMs":38},{"id":2,"kind":"disconnect","atUnixMs":1699999995000,"expectedSeq":0,"gotSeq":0,"reason":"source disconnected","durationMs":-1}]}'
