@@ -400,17 +400,18 @@ def log_rows(events: DataFrame, snapshots: DataFrame | None) -> DataFrame:
     return rows.unionByName(queue)
 
 
-def fold_sorted(rows: DataFrame, options: Options, fold_type: type[Fold] = Fold) -> DataFrame:
+def fold_sorted(rows: DataFrame, options: Options, fold_type: type[Fold] = Fold, tasks: int | None = None) -> DataFrame:
     """The folds of all (venue, symbol, segment) of rows, which are dealt by it.
 
     A task reads its rows in order, batch by batch, and hands on what is settled after every VIEWS_A_BATCH views and
-    every batch: it holds books, a batch, the snapshots that wait for a fetch, and the open fault.
+    every batch: it holds books, a batch, the snapshots that wait for a fetch, and the open fault. tasks: how many, where
+    the folds to be done are known, as Spark joins small tasks by their bytes, not by what a fold takes.
     """
     keys = [*KEY, "segment"]
     last = lambda c: F.col(c).asc_nulls_last()
     if "max_depth" not in rows.columns:
         rows = rows.withColumn("max_depth", F.lit(None).cast("int"))
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("queued"), last("arrival"), last("sub"))
+    dealt = (rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)).sortWithinPartitions(*keys, F.desc("queued"), last("arrival"), last("sub"))
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, at, started = None, None, False

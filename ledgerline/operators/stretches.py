@@ -30,6 +30,8 @@ from .replay import Fold, Options, Row, fold_sorted, log_rows
 STRETCH = 65_536
 #: Snapshots that a stretch is given at first; if it asks for more, it is folded again with GROWTH times as many.
 GIVEN, GROWTH = 4, 8
+#: Tasks of a round, at most; two a stretch, for few of them to meet in one.
+MOST_TASKS = 20_000
 _N = len(COUNTER_NAMES)
 #: Places in a closing row's counters, behind those of every fold.
 APPLIED, MS, FETCHED, IN_A_ROW, REBUILT, STARVED, ENDED, BOUND = _N, _N + 3, _N + 6, _N + 7, _N + 8, _N + 9, _N + 10, _N + 11
@@ -106,7 +108,8 @@ def replay_stretches(events: DataFrame, snapshots: DataFrame | None = None, opti
             wanted = states.select(*KEY, "segment", F.explode(F.sequence(F.col("fetches"), F.col("fetches") + F.col("given") - 1)).alias("sub"))
             given = given.unionByName(queue.join(wanted, [*KEY, "sub"]))
         own = rows.join(states.select(*KEY, "segment"), [*KEY, "segment"], "left_semi")
-        return written(fold_sorted(own.unionByName(given), options, StretchFold), "stretch-folds")
+        tasks = min(2 * states.count(), MOST_TASKS)
+        return written(fold_sorted(own.unionByName(given), options, StretchFold, tasks), "stretch-folds")
 
     none = F.array().cast(LEVELS)
     zero = F.lit(0).cast("bigint")
@@ -175,9 +178,13 @@ def standing(writes: DataFrame, group: list[str]) -> DataFrame:
 
 
 def last_writes(rows: DataFrame) -> DataFrame:
-    """(KEY, segment, side, price, size): the last write of each price in a stretch, by sequence number and then by place."""
-    levels = rows.select(*KEY, "segment", F.struct("last_seq", "arrival", "sub").alias("_at"), B._entries())
-    return levels.groupBy(*KEY, "segment", "l.side", "l.price").agg(F.max_by("l.size", F.struct("_at", "l._s", "l.pos")).alias("size"))
+    """(KEY, segment, side, price, size): the last write of each price in a stretch by sequence number, then by place.
+
+    Good for a guess: the order is packed into one number, so that the aggregate hashes, and ids beyond 2^50 wrap.
+    """
+    place = F.col("last_seq").bitwiseAND(2**50 - 1) * 4096
+    levels = rows.select(*KEY, "segment", place.alias("_at"), B._entries())
+    return levels.groupBy(*KEY, "segment", "l.side", "l.price").agg(F.max_by("l.size", F.col("_at") + F.least(F.col("l.pos"), F.lit(4095))).alias("size"))
 
 
 def true_states(rows: DataFrame, every: DataFrame) -> DataFrame:
