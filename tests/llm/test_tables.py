@@ -249,12 +249,12 @@ def test_rollup_history_does_not_grow(spark):
     r = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-history", compact=2, grace=-1)
     one = spark.createDataFrame([("insert", "s", "en", "v1", 1, None)], CHANGE)
     folders = []
-    for i in range(24):
+    for i in range(14):
         assert r.commit(f"batch-{i}", one)
         names = {f: len([n for n, _ in rollups.children(spark, f"{r.path}/{f}") if not n.startswith((".", "_"))]) for f in ("heads", "log", "deltas", "totals", "ids")}
         folders.append(names)
     head, _, since = r._state()
-    assert len(since) < 2 and len(head.runs) <= 4 and sum(n for _, n in head.runs) == 24
+    assert len(since) < 2 and len(head.runs) <= 4 and sum(n for _, n in head.runs) == 14
     assert all(n["heads"] == 1 and n["log"] <= 1 and n["deltas"] <= 1 and n["totals"] == 1 and n["ids"] <= 4 for n in folders[3:])
-    assert not any(r.commit(f"batch-{i}", one) for i in (0, 7, 23))
-    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v1", 24, 24)]
+    assert not any(r.commit(f"batch-{i}", one) for i in (0, 7, 13))
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v1", 14, 14)]
