@@ -1,8 +1,8 @@
 """Running aggregates along a feed of any size, in two levels.
 
 A window over a feed puts all its rows into one task. Here a feed is cut into stretches of its order: each stretch is
-reduced to one row, a window over these rows says what came before each stretch, and rows are numbered within their
-stretch only. Rows are dealt once, by feed and stretch; only a row a stretch meets in one task.
+reduced to one row, a window over these rows says what came before each stretch, and what it says goes to the head of the
+stretch, along which a second window runs. Rows are dealt once, by feed and stretch; only a row a stretch meets in one task.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ def running(rows: DataFrame, keys: list[str], by: str, values: dict[str, tuple[s
     is not null, of the rows of a key up to this one (own=False: before it), in the order of `by` (whole numbers, null
     first) and `then`.
 
-    Where no value came yet the result is null. Rows that tie in the order are taken in any order, as by a window.
+    Where no value came yet the result is null. Rows that tie in the order are taken in any order, as by a window. Null keys
+    are keys of their own.
     """
     place = {"_stretch": F.coalesce(F.expr(f"`{by}` div {stretch}"), F.lit(-(2**62)))}
     marked = rows.withColumns(place | {f"_v{i}": value for i, (_, value) in enumerate(values.values())})
     order = F.struct(by, *then)
     kinds = [kind for kind, _ in values.values()]
     reduced, carried, within = [], [], []
-    upto = Window.partitionBy(*keys, "_stretch").orderBy(by, *then).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    upto = Window.partitionBy(*keys, "_stretch").orderBy(F.desc("_head"), by, *then).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     for i, kind in enumerate(kinds):
         v, r = F.col(f"_v{i}"), F.col(f"_r{i}")
@@ -43,11 +44,11 @@ def running(rows: DataFrame, keys: list[str], by: str, values: dict[str, tuple[s
             reduced.append(F.max_by(v, F.when(v.isNotNull(), order)).alias(f"_r{i}"))
             carried.append(F.last(r, ignorenulls=True).over(before).alias(f"_c{i}"))
             within.append(F.last(v, ignorenulls=True).over(upto))
-    heads = marked.groupBy(*keys, "_stretch").agg(*reduced).select(*keys, "_stretch", *carried)
-    joined = marked.join(heads, [*keys, "_stretch"])
+    heads = marked.groupBy(*keys, "_stretch").agg(*reduced).select(*keys, "_stretch", *carried, F.lit(True).alias("_head"))
+    every = marked.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
     out = {}
     for i, (name, kind) in enumerate(zip(values, kinds)):
-        c, w = F.col(f"_c{i}"), within[i]
+        c, w = F.max(f"_c{i}").over(upto), within[i]
         out[name] = F.when(c.isNull() & w.isNull(), F.lit(None)).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(w, F.lit(0))) if kind == SUM else F.greatest(c, w) if kind == MOST else F.coalesce(w, c)
-    drops = ["_stretch", *[f"{p}{i}" for p in ("_v", "_c") for i in range(len(kinds))]]
-    return joined.withColumns(out).drop(*drops)
+    drops = ["_stretch", "_head", *[f"{p}{i}" for p in ("_v", "_c") for i in range(len(kinds))]]
+    return every.withColumns(out).where("not _head").drop(*drops)
