@@ -6,7 +6,8 @@ snapshots are in its log is folded a segment at a time, so that a hot feed runs
 by window functions.
 
 Snapshot policies: `queue` (the k-th fetch takes the k-th snapshot), `in_log` (snapshot rows are events), `as_of` (a
-fetch takes the true book, kept from `truth` rows of the log). A feed that ends early gets a status, never an error.
+fetch takes the true book, kept from `truth` rows of the log, at the cost of the levels that differ since the last fetch).
+A feed that ends early gets a status, never an error.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .scans import SUM, running
 Levels = list[tuple[int, int]]
 #: A fold hands on its views when it has so many.
 VIEWS_A_BATCH = 1000
+#: So many waiting snapshots are taken out of Arrow's columns at a time.
+DECODED = 16
 
 
 @dataclass(frozen=True)
@@ -61,11 +64,12 @@ CHECKSUMS: dict[str, Callable[[Levels, Levels], int]] = {"crc32": crc_checksum,
 
 
 class Book:
-    """Two maps of price to size with their prices in order."""
+    """Two maps of price to size with their prices in order; of levels given twice the last one counts."""
 
-    def __init__(self) -> None:
-        self.sizes: tuple[dict[int, int], dict[int, int]] = ({}, {})
-        self.prices: tuple[list[int], list[int]] = ([], [])
+    def __init__(self, bids: Iterable[tuple[int, int]] = (), asks: Iterable[tuple[int, int]] = ()) -> None:
+        bid, ask = ({p: s for p, s in dict(side).items() if s} for side in (bids, asks))
+        self.sizes: tuple[dict[int, int], dict[int, int]] = (bid, ask)
+        self.prices: tuple[list[int], list[int]] = (sorted(bid), sorted(ask))
 
     def set(self, side: int, price: int, size: int) -> None:
         sizes, prices = self.sizes[side], self.prices[side]
@@ -100,6 +104,35 @@ class Book:
         return [(p, self.sizes[0][p]) for p in best], [(p, self.sizes[1][p]) for p in asks[:n]]
 
 
+class NotedBook(Book):
+    """A book that notes the prices written to it, so that it can follow another one at the cost of what changed."""
+
+    def __init__(self, bids: Iterable[tuple[int, int]] = (), asks: Iterable[tuple[int, int]] = ()) -> None:
+        super().__init__(bids, asks)
+        self.noted: tuple[set[int], set[int]] | None = None  # None: any may have changed
+
+    def set(self, side: int, price: int, size: int) -> None:
+        super().set(side, price, size)
+        if self.noted is not None:
+            self.noted[side].add(price)
+
+    def apply(self, bids: Levels, asks: Levels) -> None:
+        super().apply(bids, asks)
+        if self.noted is not None and sum(map(len, self.noted)) > sum(map(len, self.prices)):
+            self.noted = None  # a copy costs no more, and notes stay as few as levels
+
+    def follow(self, other: NotedBook) -> None:
+        """Takes the levels of other: those that either wrote since the last time, or a copy if they are not known."""
+        if self.noted is None or other.noted is None:
+            (bid, ask), (bids, asks) = other.sizes, other.prices
+            self.sizes, self.prices = (dict(bid), dict(ask)), (list(bids), list(asks))
+        else:
+            for side, (own, its) in enumerate(zip(self.noted, other.noted)):
+                for price in own | its:
+                    super().set(side, price, other.sizes[side].get(price, 0))
+        self.noted, other.noted = (set(), set()), (set(), set())
+
+
 def raw_crossed(bids: Levels, asks: Levels) -> bool:
     return bool(bids and asks and max(p for p, _ in bids) >= min(p for p, _ in asks))
 
@@ -125,14 +158,15 @@ class Fold:
     def __init__(self, options: Options):
         self.o = options
         self.sum = CHECKSUMS[options.checksum] if options.checksum else None
-        self.book, self.truth, self.truth_seq = Book(), Book(), 0
+        kind = NotedBook if options.policy == "as_of" and not options.max_depth else Book
+        self.book, self.truth, self.truth_seq = kind(), kind(), 0
         self.last = self.gen = self.resyncs_in_a_row = self.fault_id = self.fetches = self.attempts = self.transient = 0
         self.bound, self.waiting, self.open_fault = False, False, None
         self.ended: tuple[str, str, int] | None = None
         self.counters = dict.fromkeys(COUNTER_NAMES, 0)
         self.last_event_ms = -1
         self.applied = 0
-        self.queue: deque[Row] = deque()
+        self.queue: deque[Row] | Waiting = deque()
         self.views: list[tuple] = []
         self.faults: list[list] = []
         self.kept = True
@@ -163,17 +197,22 @@ class Fold:
     # --- binding
 
     def try_bind(self, row: Row, snap: Row) -> bool:
-        """Takes one snapshot; False if it is refused."""
-        if raw_crossed(snap.bids, snap.asks):
+        """Takes one snapshot; False if it is refused. The true book's checksum is its own."""
+        true = snap.kind == "true-book"
+        if self.truth.crossed() if true else raw_crossed(snap.bids, snap.asks):
             self.counters["snapshot_rejects"] += 1
             self.fault(row, "snapshot-reject", "snapshot crossed", got=snap.last_seq)
             self.refusal = "snapshot crossed"
             return False
-        self.book = Book()
-        self.book.apply(snap.bids, snap.asks)
-        self.book.truncate(self.o.max_depth)
+        if not true:
+            self.book = type(self.book)(snap.bids, snap.asks)
+            self.book.truncate(self.o.max_depth)
+        elif isinstance(self.book, NotedBook):
+            self.book.follow(self.truth)
+        else:
+            self.book = Book(*self.truth.top(self.o.max_depth))
         self.last = snap.last_seq
-        if self.sum and self.sum(*self.book.top(10)) != snap.checksum:
+        if self.sum and not true and self.sum(*self.book.top(10)) != snap.checksum:
             self.counters["checksum_mismatches"] += 1
             self.counters["snapshot_rejects"] += 1
             self.fault(row, "snapshot-reject", "snapshot checksum mismatch", got=snap.last_seq)
@@ -189,8 +228,7 @@ class Fold:
     def fetch(self) -> Row | None:
         self.fetches += 1
         if self.o.policy == "as_of":
-            bids, asks = self.truth.top(len(self.truth.prices[0]) + len(self.truth.prices[1]))
-            return Row("snapshot", last_seq=self.truth_seq, bids=bids, asks=asks)
+            return Row("true-book", last_seq=self.truth_seq)
         return self.queue.popleft() if self.queue else None
 
     def bind(self, row: Row) -> None:
@@ -329,8 +367,10 @@ def texts(column: pa.Array) -> list[str | None]:
 
 
 def level_lists(column: pa.Array) -> list[Levels]:
-    at = column.offsets.to_numpy().tolist()
-    flat = list(zip(numbers(column.values.field("price")), numbers(column.values.field("size"))))
+    at = column.offsets.to_numpy()
+    first, last = (int(at[0]), int(at[-1])) if len(at) else (0, 0)
+    own, at = column.values.slice(first, last - first), (at - first).tolist()
+    flat = list(zip(numbers(own.field("price")), numbers(own.field("size"))))
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
@@ -342,6 +382,34 @@ def rows_of(table: pa.Table) -> Iterator[Row]:
     return map(Row, texts(column("kind")), numbers(column("arrival")), ms, numbers(column("first_seq")), numbers(column("last_seq")), level_lists(column("bids")), level_lists(column("asks")), checksums, texts(column("error")))
 
 
+class Waiting:
+    """Snapshots that wait for a fetch, as Arrow's columns; only those that are fetched next are rows."""
+
+    def __init__(self) -> None:
+        self.tables: deque[pa.Table] = deque()
+        self.rows: deque[Row] = deque()
+
+    def __bool__(self) -> bool:
+        return bool(self.rows or self.tables)
+
+    def add(self, table: pa.Table) -> None:
+        self.tables.append(table)
+
+    def popleft(self) -> Row:
+        if not self.rows:
+            table = self.tables.popleft()
+            self.rows.extend(rows_of(table.slice(0, DECODED)))
+            if table.num_rows > DECODED:
+                self.tables.appendleft(table.slice(DECODED))
+        return self.rows.popleft()
+
+
+def pieces(flags: np.ndarray) -> list[tuple[int, int, bool]]:
+    """First and last place of each run of equal flags, and the flag."""
+    at = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
+    return [(a, b, bool(flags[a])) for a, b in zip(at[:-1], at[1:])]
+
+
 def key_runs(table: pa.Table, keys: list[str]) -> list[tuple[int, int, tuple]]:
     """First and last row and key of each run of rows with one key."""
     codes = [pc.fill_null(whole(table.column(c)).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in keys]
@@ -404,7 +472,8 @@ def fold_sorted(rows: DataFrame, options: Options, fold_type: type[Fold] = Fold,
     """The folds of all (venue, symbol, segment) of rows, which are dealt by it.
 
     A task reads its rows in order, batch by batch, and hands on what is settled after every VIEWS_A_BATCH views and
-    every batch: it holds books, a batch, the snapshots that wait for a fetch, and the open fault. tasks: how many, where
+    every batch: it holds books, a batch, the snapshots that wait for a fetch (in Arrow's columns, 16 bytes a level), and
+    the open fault. tasks: how many, where
     the folds to be done are known, as Spark joins small tasks by their bytes, not by what a fold takes.
     """
     keys = [*KEY, "segment"]
@@ -423,27 +492,31 @@ def fold_sorted(rows: DataFrame, options: Options, fold_type: type[Fold] = Fold,
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            rows, queued = rows_of(table), table.column("queued").to_numpy().tolist()
+            queued = table.column("queued").to_numpy()
+            waits = queued & pc.equal(table.column("kind"), "snapshot").fill_null(False).to_numpy()
+            rows = rows_of(table.filter(pa.array(~waits)) if waits.any() else table)
             for first, end, key in key_runs(table, keys) if table.num_rows else []:
                 if fold is None or key != at:
                     if fold is not None:
                         yield from output(fold, *at).to_batches()
                     window = table.column("max_depth")[first].as_py()
                     fold = fold_type(options if window is None else replace(options, max_depth=window))
+                    fold.queue = Waiting()
                     at, started = key, False
-                for i, row in zip(range(first, end), rows):
-                    if queued[i]:
-                        if row.kind == "snapshot":
-                            fold.queue.append(row)
-                        else:
-                            started = fold.enter(row) or started
+                for a, b, wait in pieces(waits[first:end]):
+                    if wait:
+                        fold.queue.add(table.slice(first + a, b - a))
                         continue
-                    if not started and row.kind != "truth":
-                        fold.start(row)
-                        started = True
-                    fold.step(row)
-                    if len(fold.views) >= VIEWS_A_BATCH:
-                        yield from settled()
+                    for given, row in zip(queued[first + a : first + b].tolist(), rows):
+                        if given:
+                            started = fold.enter(row) or started
+                            continue
+                        if not started and row.kind != "truth":
+                            fold.start(row)
+                            started = True
+                        fold.step(row)
+                        if len(fold.views) >= VIEWS_A_BATCH:
+                            yield from settled()
             if fold is not None:
                 yield from settled()
         if fold is not None:

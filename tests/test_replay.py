@@ -195,3 +195,64 @@ def test_crossed_states_are_counted(spark):
     views = spark.createDataFrame([("v", "s", g, g, g, [(105 if g == 7 else 99, 1)], [(101, 1)]) for g in range(1, 12)], f"venue string, symbol string, gen long, arrival long, last_seq long, bids {LEVELS}, asks {LEVELS}")
     faults = spark.createDataFrame([], "venue string, symbol string, arrival long, kind string")
     assert [r["crossed"] for r in R.count_crossed(R.best_series(views, faults)).collect()] == [1] * 11
+
+
+def test_book_follows_the_true_book():
+    """A fetch gives the true book, whatever either wrote since the last one, and writes what differs only."""
+    rng = random.Random(5)
+    true, own = R.NotedBook([(p, 1) for p in range(1, 2001)]), R.NotedBook()
+    own.follow(true)
+    for _ in range(60):
+        for book in (true, own):
+            for _ in range(rng.choice([0, 1, 5, 40])):
+                book.apply([(rng.randint(1, 2100), rng.randint(0, 2))], [(rng.randint(3000, 3400), rng.randint(0, 2))])
+        copied = rng.random() < 0.1
+        if copied:
+            own.noted = None
+        few = not copied and own.noted is not None and sum(map(len, own.noted)) <= 80
+        before = own.prices[0]
+        own.follow(true)
+        assert own.sizes == true.sizes and own.prices == true.prices and own.sizes[0] is not true.sizes[0]
+        assert not few or own.prices[0] is before
+    for p in range(1, 6000):
+        own.apply([(p, p % 2)], [])
+    # notes never outgrow the book
+    assert own.noted is None or sum(map(len, own.noted)) <= sum(map(len, own.prices))
+
+
+@pytest.mark.parametrize("options", [R.Options(policy="as_of"), R.Options(policy="as_of", max_depth=10), R.Options(policy="as_of", checksum="sum")])
+def test_as_of_takes_the_true_book(options):
+    """A gap fetches the book as the truth rows left it, within the window; its checksum is its own."""
+    levels = [(100 - i, 1) for i in range(15)]
+    truth = lambda seq, bids: R.Row("truth", ms=START, last_seq=seq, bids=bids)
+    rows = [truth(1, levels), delta(1, 1), truth(2, [(100, 7)]), truth(3, [(99, 0)]), delta(3, 3, bids=[(99, 0)])]
+    fold = R.fold_rows(options, rows)
+    shown = [(100, 7), *levels[2:]]
+    assert fold.status()[0] == "ok" and [f[1] for f in fold.faults] == ["gap"]
+    assert fold.views[-1][3] == shown[:10] and len(fold.book.prices[0]) == (options.max_depth or len(shown))
+
+
+def test_waiting_snapshots_become_rows_when_fetched(spark, monkeypatch):
+    """Fetches over several Arrow batches and feeds give what a list of snapshots gives; few of them are rows at a time."""
+    rng = random.Random(7)
+    events, snaps, folds = [], [], {}
+    for s in range(3):
+        rows, queue = [], []
+        for a in range(120):
+            gap = rng.random() < 0.5
+            seq = 10 * a + 10
+            rows.append((f"s{s}", a, seq if gap else seq - 9, seq, [(rng.randint(1, 9), rng.randint(0, 2))]))
+        for k in range(150):
+            queue.append((k, rng.randint(0, 1200), [(rng.randint(1, 9), 1) for _ in range(rng.choice([0, 1, 30]))], [(50, 1)], rng.choice([None] * 9 + ["transient"])))
+        events += [("v", n, a, a * 10**6, "delta", f, l, b, [], None) for n, a, f, l, b in rows]
+        snaps += [("v", f"s{s}", k, 0, i, b, x, None, e) for k, i, b, x, e in queue]
+        fold = R.fold_rows(R.Options(resync_limit=200), [R.Row("delta", a, a, f, l, b, []) for _, a, f, l, b in rows], [R.Row("snapshot", 0, 0, i, i, b, x, None, e) for _, i, b, x, e in queue])
+        folds[f"s{s}"] = fold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    out = R.replay(spark.createDataFrame(events, FEED_EVENTS), spark.createDataFrame(snaps, SNAPSHOTS), R.Options(resync_limit=200)).cache()
+    got = {(r["symbol"], r["gen"]): (r["arrival"], r["last_seq"], [tuple(x) for x in r["bids"]]) for r in R.views(out).collect()}
+    status = {r["symbol"]: r["state"] for r in R.status(out).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out.unpersist()
+    assert got == {(s, v[0]): (v[1], v[2], v[3]) for s, f in folds.items() for v in f.views}
+    assert status == {s: f.status()[0] for s, f in folds.items()} and sum(f.fetches for f in folds.values()) > 60
