@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import KEY, LEVELS
 
@@ -37,10 +38,19 @@ def build(snapshots: DataFrame) -> DataFrame:
     return levels.groupBy(*KEY, "snap_ord", "last_update_id", "side", "price").agg(F.max_by("size", "pos").alias("size")).where("size > 0")
 
 
+def _place(levels: DataFrame) -> Column:
+    """ord as one number: by a struct Spark sorts all rows before it combines any, by a number it hashes them."""
+    ord_ = levels.schema["ord"].dataType
+    if not isinstance(ord_, StructType) or ord_.names != ["arrival", "_s", "pos"]:
+        return F.col("ord")
+    # a null arrival comes before all others; 31 bits hold a place in a list
+    return F.expr(f"coalesce(cast(ord.arrival as decimal(20,0)), {-(2**63) - 1}) * {2**32} + (ord._s * {2**31} + ord.pos)")
+
+
 def latest(levels: DataFrame, until: Column | None = None) -> DataFrame:
     """(venue, symbol, side, price, size) of the books after all writes, or after those that `until` lets through."""
     rows = levels if until is None else levels.where(until)
-    return rows.groupBy(*KEY, "side", "price").agg(F.max_by("size", "ord").alias("size")).where("size > 0")
+    return rows.groupBy(*KEY, "side", "price").agg(F.max_by("size", _place(rows)).alias("size")).where("size > 0")
 
 
 def best(book: DataFrame) -> DataFrame:

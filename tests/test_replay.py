@@ -256,3 +256,13 @@ def test_waiting_snapshots_become_rows_when_fetched(spark, monkeypatch):
     out.unpersist()
     assert got == {(s, v[0]): (v[1], v[2], v[3]) for s, f in folds.items() for v in f.views}
     assert status == {s: f.status()[0] for s, f in folds.items()} and sum(f.fetches for f in folds.values()) > 60
+
+
+def test_latest_book_is_hashed(spark):
+    """Order of writes: arrival, nulls first, then the place in the list; no sort of the level rows."""
+    row = lambda arrival, bids: ("v", "s", arrival, 0, "delta", 1, 1, bids, [], None)
+    big = 2**63 - 1
+    df = spark.createDataFrame([row(None, [(1, 9), (2, 9)]), row(-5, [(2, 1), (2, 3)]), row(big, [(3, 1), (3, 4)]), row(big - 1, [(3, 8)]), row(7, [(1, 0)])], FEED_EVENTS)
+    book = B.latest(B.delta_levels(df))
+    assert sorted((r["price"], r["size"]) for r in book.collect()) == [(2, 3), (3, 4)]
+    assert "SortAggregate" not in book._jdf.queryExecution().executedPlan().toString()
