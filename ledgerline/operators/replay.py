@@ -21,12 +21,12 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COUNTER_NAMES, KEY, LEVELS
 from ..shared import written
-from .scans import SUM, running
+from .scans import LAST, SUM, running
 
 Levels = list[tuple[int, int]]
 #: A fold hands on its views when it has so many.
@@ -581,7 +581,9 @@ def stitch(parts: DataFrame, options: Options) -> DataFrame:
     first = F.min(F.when(F.col("_ended").isNotNull(), F.col("segment"))).over(Window.partitionBy(*KEY))
     ends = ends.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("segment") <= F.col("_stop")))
     ends = ends.withColumns({"gen0": F.coalesce(F.sum("gens").over(before), F.lit(0)), "id0": F.coalesce(F.sum(F.col("n_faults") + F.col("lost")).over(before), F.lit(0))})
-    ends = ends.withColumn("next_bind_ms", F.first(F.when(F.col("bound"), F.col("head_ms")), ignorenulls=True).over(feed.rowsBetween(1, Window.unboundedFollowing)))
+    # backwards, as Spark goes through the whole rest of a feed for each row of a window that ends with it
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("next_bind_ms", F.last(F.when(F.col("bound"), F.col("head_ms")), ignorenulls=True).over(ahead))
     offsets = ends.select(*KEY, "segment", "gen0", "id0", "lost", "next_bind_ms", "head", "head_ms", "bound")
     inner = parts.where("what != 'end'").join(offsets, [*KEY, "segment"])
     view = F.col("what") == "view"
@@ -625,17 +627,23 @@ def status(out: DataFrame) -> DataFrame:
 # --- on the replay's tables: windows and aggregates -------------------------------------------------------------------
 
 
+def following(rows: DataFrame, by: str, then: str, name: str, value: Column) -> DataFrame:
+    """rows with `name`: the next value that is not null, in the order of `by` (null first) and `then`, of rows that have
+    none themselves. Taken backwards and by stretches of a feed, so that its cost grows with the rows."""
+    back = {"_back": F.coalesce(-F.col(by), F.lit(2**62)), "_then": -F.col(then)}
+    return running(rows.withColumns(back), KEY, "_back", {name: (LAST, value)}, then=("_then",)).drop(*back)
+
+
 def bind_points(snapshots: DataFrame, deltas: DataFrame) -> DataFrame:
     """For each snapshot the first delta above it, and whether it covers the next id (else the snapshot is too old).
 
-    A union and one window instead of a range join: snapshots and deltas of a feed in the order of their ids.
+    A union and a running figure instead of a range join: snapshots and deltas of a feed, the highest ids first.
     """
     s = snapshots.select(*KEY, F.col("last_update_id").alias("id"), F.lit(1).alias("_o"), F.lit(None).cast("bigint").alias("first_seq"), F.lit(None).cast("bigint").alias("arrival"), "snap_ord")
     d = deltas.select(*KEY, F.col("last_seq").alias("id"), F.lit(0).alias("_o"), "first_seq", "arrival", F.lit(None).cast("bigint").alias("snap_ord"))
     # deltas with an id equal to the snapshot's are stale and sort before it
-    order = Window.partitionBy(*KEY).orderBy("id", "_o").rowsBetween(1, Window.unboundedFollowing)
-    next_ = F.first(F.when(F.col("_o") == 0, F.struct("arrival", "first_seq", "id")), ignorenulls=True).over(order)
-    out = s.unionByName(d).withColumn("d", next_).where("_o = 1")
+    next_ = F.when(F.col("_o") == 0, F.struct("arrival", "first_seq", "id"))
+    out = following(s.unionByName(d), "id", "_o", "d", next_).where("_o = 1")
     return out.select(*KEY, "snap_ord", F.col("id").alias("last_update_id"), F.col("d.arrival").alias("bind_arrival"), F.when(F.col("d").isNotNull(), F.col("d.first_seq") <= F.col("id") + 1).alias("covers"))
 
 
@@ -643,8 +651,7 @@ def recovery(fault_rows: DataFrame, binds: DataFrame) -> DataFrame:
     """duration_ms of each fault from the next bind (KEY, arrival, at_ms) of its feed: -1 if there is none, never negative."""
     f = fault_rows.select(*KEY, "arrival", "at_ms", F.col("id"), F.lit(0).alias("_b"))
     b = binds.select(*KEY, "arrival", "at_ms", F.lit(None).cast("bigint").alias("id"), F.lit(1).alias("_b"))
-    ahead = Window.partitionBy(*KEY).orderBy("arrival", "_b").rowsBetween(1, Window.unboundedFollowing)
-    out = f.unionByName(b).withColumn("_n", F.first(F.when(F.col("_b") == 1, F.col("at_ms")), ignorenulls=True).over(ahead)).where("_b = 0")
+    out = following(f.unionByName(b), "arrival", "_b", "_n", F.when(F.col("_b") == 1, F.col("at_ms"))).where("_b = 0")
     return out.select(*KEY, "id", _took(F.col("_n") - F.col("at_ms")).alias("duration_ms"))
 
 
