@@ -22,7 +22,7 @@ from ..operators import stretches as ST
 from ..operators import telemetry as T
 from ..operators import views as V
 from ..schema import COUNTER_NAMES, FEED_EVENTS, KEY, LEVELS
-from ..shared import shared_path, written
+from ..shared import drop_written, shared_path, written
 from ..sources import documents as D
 from ..sources import frames as FR
 from ..sources import logs as LG
@@ -744,14 +744,27 @@ def as_stream(df: DataFrame, files: int) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def in_order(df: DataFrame, at: str, batches: int = 3) -> DataFrame:
-    """A stream of a table's rows in micro-batches, each of a part of the range of `at`, in its order."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, "stream-in")
-    low, high = df.agg(F.min(at), F.max(at)).first()
-    cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
-    for a, b in zip(cuts, cuts[1:]):  # a file each, the older the earlier
-        df.where((F.col(at) >= a) & (F.col(at) < b)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+#: Rows of a feed that a micro-batch takes, about: a stream's processor has them at once. And those that a file of it holds.
+FEED_ROWS, FILE_ROWS = 400_000, 500_000
+
+
+def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROWS) -> DataFrame:
+    """A stream of a table's rows in micro-batches, each of a part of the range of `at`, in its order; more of them than
+    asked for where a feed has more rows than so many batches may take, so that a batch is no larger for a longer log."""
+    spark, path, parts = df.sparkSession, shared_path(df.sparkSession, "stream-in"), shared_path(df.sparkSession, "stream-parts")
+    log = written(df, "stream-log")
+    low, high, most = log.groupBy(*KEY).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n")).agg(F.min("low"), F.max("high"), F.max("n")).first()
+    width = -(-(high + 1 - low) // max(batches, -(-most // feed_rows)))
+    dealt = log.withColumn("_part", F.expr(f"({at} - {low}) div {width}")).where("_part is not null")
+    dealt.repartition("_part").write.partitionBy("_part").parquet(parts)
+    sizes = {r["_part"]: r["count"] for r in spark.read.parquet(parts).groupBy("_part").count().collect()}
+    files = {part: -(-n // FILE_ROWS) for part, n in sizes.items()}
+    for part in sorted(files):  # the older the earlier; empty files fill up, as a batch takes a number of files
+        own = spark.read.schema(df.schema).parquet(f"{parts}/_part={part}")
+        for rows in (own.repartition(files[part]), *[own.limit(0)] * (max(files.values()) - files[part])):
+            rows.write.mode("append").parquet(path)
+    drop_written(log)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(files.values())).parquet(path)
 
 
 def recording(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
@@ -1331,12 +1344,14 @@ def h9(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("h9_telemetry_stream", f"""with {EV}, {FAULTS}, x as (select venue, symbol, at_ms // 3600000 * 3600000 t, id, kind, null::bigint seq from fl union all select venue, symbol, received_ns // 1000000 // 3600000 * 3600000, null, null, arrival from ev)
-select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x where t + 3600000 <= (select max(received_ns // 1000000) from ev) group by venue, symbol, t""")
+select venue, symbol, t, coalesce(max(seq), 0) seq, count(case when kind = 'gap' then 1 end) gaps, count(case when kind in {REBUILD} then 1 end) resyncs, least(count(id), 16) listed, coalesce(max(id), 0) newest from x group by venue, symbol, t""")
 def h9_stream(spark: SparkSession, d: str) -> DataFrame:
-    """What happened to every feed in each hour that has passed, by a stream over faults and views in three micro-batches."""
+    """What happened to every feed in each hour, by a stream over faults and views in three micro-batches or more; a row of
+    no feed, two hours after the last, ends the recording."""
     log = fault_log(spark, d)
     views = level_rows(spark, d).select(*KEY, F.expr("received_ns div 1000000").alias("at_ms"), F.col("arrival").alias("last_seq"))
-    both = in_order(log.withColumn("last_seq", F.lit(None).cast("bigint")).unionByName(views, allowMissingColumns=True), "at_ms")
+    end = views.agg(((F.expr("max(at_ms) div 3600000") + 2) * 3600000).alias("at_ms"))
+    both = in_order(log.withColumn("last_seq", F.lit(None).cast("bigint")).unionByName(views, allowMissingColumns=True).unionByName(end, allowMissingColumns=True), "at_ms", feed_rows=1_000_000)
     use_rocksdb(spark)
     frames = streamed(telemetry_stream(both.where("id is not null"), both.where("id is null"), 3600000, "0 seconds"), "append")
     return frames.select(*KEY, F.col("tick_ms").alias("t"), F.coalesce("seq", F.lit(0)).alias("seq"), "gaps", "resyncs", F.size("events").cast("bigint").alias("listed"), F.coalesce(F.get("events", F.lit(0))["id"], F.lit(0)).alias("newest"))

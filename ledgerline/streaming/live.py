@@ -13,12 +13,16 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
+from ..operators.replay import key_runs
 from ..operators.telemetry import NO_DATA_MS, QUIET_MS
 from ..schema import FEED, KEY
 
@@ -190,6 +194,49 @@ _FIELDS = ("id", "kind", "at_ms", "expected_seq", "got_seq", "reason", "duration
 FRAMES = f"{FEED}, tick_ms bigint, seq bigint, gaps bigint, resyncs bigint, disconnects bigint, would_crosses bigint, events array<{_EVENT}>"
 
 
+_COUNTS = ("gaps", "resyncs", "disconnects", "would_crosses")
+#: Parts of ticks: counts and the newest sequence of some rows of a tick, or one fault event of it.
+PARTS = f"{FEED}, tick_ms bigint, at_ms bigint, seq bigint, {', '.join(f'{c} bigint' for c in _COUNTS)}, e {_EVENT}"
+#: Parts that a task holds before it hands them on.
+PARTS_HELD = 65_536
+
+
+def merged(parts: pa.Table) -> pa.Table:
+    """One row of counts for each feed and tick, and its newest LISTED events."""
+    keys = [*KEY, "tick_ms"]
+    sums = parts.group_by(keys).aggregate([("at_ms", "max"), ("seq", "max"), *[(c, "sum") for c in _COUNTS]])
+    sums = sums.select([*keys, "at_ms_max", "seq_max", *[f"{c}_sum" for c in _COUNTS]]).rename_columns([*keys, "at_ms", "seq", *_COUNTS])
+    sums = sums.append_column("e", pa.nulls(len(sums), parts.schema.field("e").type)).cast(parts.schema)
+    listed = parts.filter(pc.is_valid(parts.column("e")))
+    if not len(listed):
+        return sums
+    ids = pc.struct_field(listed.column("e"), "id")
+    order = pc.sort_indices(listed.select(keys).append_column("id", ids), [*[(k, "ascending") for k in keys], ("id", "descending")])
+    listed = listed.take(order)
+    starts = np.array([a for a, _, _ in key_runs(listed, keys)])
+    rank = np.arange(len(listed)) - np.repeat(starts, np.diff([*starts, len(listed)]))
+    listed = listed.filter(pa.array(rank < LISTED))
+    for c in _COUNTS:  # they are in the sums
+        listed = listed.set_column(listed.schema.get_field_index(c), c, pa.array(np.zeros(len(listed), np.int64)))
+    return pa.concat_tables([sums, listed.cast(parts.schema)])
+
+
+def tick_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in few parts, for a feed's state to take up."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        n += batch.num_rows
+        if n > PARTS_HELD:
+            held = [merged(pa.concat_tables(held))]
+            n = len(held[0])
+            if n > PARTS_HELD // 2:
+                yield from held[0].to_batches()
+                held, n = [], 0
+    if n:
+        yield from merged(pa.concat_tables(held)).to_batches()
+
+
 class TickProcessor(StatefulProcessor):
     """Counts and the newest LISTED faults of each tick that is still open; a tick is sent and forgotten when it has passed."""
 
@@ -203,7 +250,7 @@ class TickProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         ticks: dict[int, list] = {}
         for r in rows:
-            at = r["at_ms"] // self.tick * self.tick
+            at = r["tick_ms"]
             if at not in ticks:
                 if self.open.containsKey((at,)):
                     *counts, events = self.open.getValue((at,))
@@ -212,15 +259,14 @@ class TickProcessor(StatefulProcessor):
                     ticks[at] = [None, 0, 0, 0, 0, []]
                     self.handle.registerTimer(at + self.tick)
             t = ticks[at]
-            if r["e"] is None:
-                t[0] = r["seq"] if t[0] is None or r["seq"] is not None and r["seq"] > t[0] else t[0]
-                continue
-            kind = r["e"]["kind"]
-            for i, kinds in enumerate((("gap",), S.REBUILD_KINDS, ("disconnect",), ("cross",)), start=1):
-                t[i] += kind in kinds
-            t[5].append([r["e"][c] for c in _FIELDS])
-            if len(t[5]) >= 2 * LISTED:
-                t[5] = sorted(t[5], key=lambda e: e[0], reverse=True)[:LISTED]
+            if r["seq"] is not None and (t[0] is None or r["seq"] > t[0]):
+                t[0] = r["seq"]
+            for i, c in enumerate(_COUNTS, start=1):
+                t[i] += r[c]
+            if r["e"] is not None:
+                t[5].append([r["e"][c] for c in _FIELDS])
+                if len(t[5]) >= 2 * LISTED:
+                    t[5] = sorted(t[5], key=lambda e: e[0], reverse=True)[:LISTED]
         for at, (*counts, events) in ticks.items():
             self.open.updateValue((at,), (*counts, json.dumps(sorted(events, key=lambda e: e[0], reverse=True)[:LISTED])))
         yield from ()
@@ -240,11 +286,16 @@ def telemetry_stream(faults: DataFrame, views: DataFrame, tick_ms: int = 1000, l
     """A frame of each feed for every tick in which something happened, once the watermark has passed it: faults by kind,
     the newest view's sequence and the last LISTED fault events of that tick, newest first.
 
-    faults: streams of KEY, id, kind, at_ms and the other fault columns; views: KEY, at_ms, last_seq. Rows behind the
-    watermark are lost. Running counters are sums over ticks.
+    faults: streams of KEY, id, kind, at_ms and the other fault columns; views: KEY, at_ms, last_seq. A view of no feed (null)
+    moves the clock on, for the ticks before it to be sent. Rows of a tick meet in parts within the tasks that read them,
+    so that a feed's state takes up few rows; a part behind the watermark is lost. Running counters are sums over ticks.
     """
     event = F.struct(*_FIELDS)
     f = faults.select(*KEY, "at_ms", event.cast(_EVENT).alias("e"), F.lit(None).cast("bigint").alias("seq"))
     v = views.select(*KEY, "at_ms", F.lit(None).cast(_EVENT).alias("e"), F.col("last_seq").alias("seq"))
-    rows = f.unionByName(v).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    kinds = zip(_COUNTS, (("gap",), S.REBUILD_KINDS, ("disconnect",), ("cross",)))
+    counts = [F.coalesce(F.col("e.kind").isin(*names).cast("bigint"), F.lit(0)).cast("bigint").alias(c) for c, names in kinds]
+    tick = (F.col("at_ms") - F.pmod("at_ms", F.lit(tick_ms))).cast("bigint").alias("tick_ms")
+    rows = f.unionByName(v).select(*KEY, tick, "at_ms", "seq", *counts, "e").mapInArrow(tick_parts, PARTS)
+    rows = rows.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
     return rows.groupBy(*KEY).transformWithState(TickProcessor(tick_ms), outputStructType=StructType.fromDDL(FRAMES), outputMode="Append", timeMode="EventTime")

@@ -140,3 +140,25 @@ def test_state_writes_follow_changed_levels():
     book.writes = 0
     out = list(processor.handleInputRows(("v", "s"), iter([row("delta", 2, 2, [(9, 3), (10, 0)])]), None))
     assert book.writes == 1 and book[(9,)] == (3,) and (10,) not in book and out[0]["last_seq"] == 2
+
+
+def test_last_ticks_are_sent(spark):
+    """The frames of the ticks that are open at the end of the recording, and a long log in batches no larger."""
+    from ledgerline.plans import queries as Q
+    from ledgerline.streaming.live import merged, PARTS
+    import pyarrow as pa
+
+    rows = level_rows(spark, SF)
+    hour = F.expr("received_ns div 3600000000000 * 3600000")
+    want = {(r["symbol"], r["t"]): r["seq"] for r in rows.groupBy("symbol", hour.alias("t")).agg(F.max("arrival").alias("seq")).collect()}
+    assert {(r["symbol"], r["t"]): r["seq"] for r in Q.h9_stream(spark, SF).collect()} == want
+    stream = Q.in_order(rows.select("venue", "symbol", "arrival"), "arrival", feed_rows=10)
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda df, i: seen.append(df.groupBy("symbol").count().agg(F.max("count")).first()[0])).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) > 3 and max(seen) <= 10
+    # parts list the newest 16 events of a tick, whatever the order in which they are merged
+    e = lambda i: {"id": i, "kind": "gap", "at_ms": i, "expected_seq": 0, "got_seq": 0, "reason": None, "duration_ms": 0}
+    part = [{"venue": None, "symbol": "a", "tick_ms": 0, "at_ms": i, "seq": None, "gaps": 1, "resyncs": 1, "disconnects": 0, "would_crosses": 0, "e": e(i)} for i in range(40)]
+    table = merged(merged(pa.Table.from_pylist(part, schema=spark.createDataFrame([], PARTS).toArrow().schema)))
+    assert sorted(x["id"] for x in table.column("e").to_pylist() if x) == list(range(24, 40)) and sum(table.column("gaps").to_pylist()) == 40
