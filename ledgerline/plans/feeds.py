@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scans import SUM, running
 from ..schema import LEVELS
 
 #: Scales that the derived feeds are printed with.
@@ -32,7 +33,7 @@ def level_rows(spark: SparkSession, sf_dir: str, symbol: str = "event_type") ->
         F.when(k % 4 == 0, F.lit(0)).otherwise(k).alias("size"),
         c.alias("c"),
     )
-    return rows.withColumn("arrival", F.row_number().over(Window.partitionBy("venue", "symbol").orderBy("event_id")).cast("bigint"))
+    return running(rows, ["venue", "symbol"], "event_id", {"arrival": (SUM, F.lit(1).cast("bigint"))})
 
 
 def as_events(rows: DataFrame) -> DataFrame:
