@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from .scans import LAST, MOST, SUM, running
 
 CONSUMER = [*KEY, "consumer"]
 
@@ -26,22 +27,23 @@ def conflate(log: DataFrame, max_lag: int | None = None) -> DataFrame:
     take gets the newest view (`taken`, its sequence in got_seq) or `nothing`. With max_lag, the supersede that is the
     max_lag-th in a row disconnects the consumer; later rows are gone.
     """
-    w = Window.partitionBy(*CONSUMER).orderBy("arrival", "op")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("_epoch", F.coalesce(F.count_if(F.col("op") == "take").over(before), F.lit(0)))
-    per = Window.partitionBy(*CONSUMER, "_epoch").orderBy("arrival", "op")
-    place = F.count_if(F.col("op") == "publish").over(per.rowsBetween(Window.unboundedPreceding, 0))
-    newest = F.last(F.when(F.col("op") == "publish", F.col("view_seq")), ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"streak": place - 1, "_newest": newest})
+    publish, take = F.col("op") == "publish", F.col("op") == "take"
+    rows = running(log, CONSUMER, "arrival", {"_made": (SUM, publish.cast("bigint"))}, then=("op",))
+    view = F.when(publish & F.col("view_seq").isNotNull(), F.struct("_made", "view_seq"))
+    rows = running(rows, CONSUMER, "arrival", {"_taken": (LAST, F.when(take, F.col("_made"))), "_view": (LAST, view)}, then=("op",), own=False)
+    taken = F.coalesce("_taken", F.lit(0))  # the publishes up to the last take
+    newest = F.when(F.col("_view._made") > taken, F.col("_view.view_seq"))
+    rows = rows.withColumn("streak", F.col("_made") - taken - 1)
     rows = rows.withColumn(
         "outcome",
-        F.when(F.col("op") == "publish", F.when(F.col("streak") == 0, "delivered").otherwise("supersedes")).otherwise(F.when(F.col("_newest").isNull(), "nothing").otherwise("taken")),
-    ).withColumn("got_seq", F.when(F.col("op") == "take", F.col("_newest")))
+        F.when(publish, F.when(F.col("streak") == 0, "delivered").otherwise("supersedes")).otherwise(F.when(newest.isNull(), "nothing").otherwise("taken")),
+    ).withColumn("got_seq", F.when(take, newest)).drop("_made", "_taken", "_view")
     if max_lag is not None:
-        cut = F.min(F.when((F.col("op") == "publish") & (F.col("streak") >= max(max_lag, 1)), F.col("arrival"))).over(Window.partitionBy(*CONSUMER))
-        rows = rows.withColumn("cut_at", cut).where(F.col("cut_at").isNull() | (F.col("arrival") <= F.col("cut_at")))
-        rows = rows.withColumn("disconnected", F.coalesce(F.col("arrival") == F.col("cut_at"), F.lit(False)))
-    return rows.drop("_epoch", "_newest", "cut_at")
+        cuts = F.when(publish & (F.col("streak") >= max(max_lag, 1)), -F.col("arrival"))
+        rows = running(rows, CONSUMER, "arrival", {"_cut": (MOST, cuts)}, then=("op",))
+        rows = rows.where(F.col("_cut").isNull() | (F.col("arrival") <= -F.col("_cut")))
+        rows = rows.withColumn("disconnected", F.coalesce(F.col("arrival") == -F.col("_cut"), F.lit(False))).drop("_cut")
+    return rows
 
 
 def delivery_stats(outcomes: DataFrame, publishes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import fanout as FO
 from ledgerline.operators import latency as L
 from ledgerline.operators import replay as R
 from ledgerline.operators.scans import LAST, MOST, SUM, running
@@ -62,3 +63,30 @@ def test_next_binds_at_linear_cost(spark):
     assert sorted((r["snap_ord"], r["bind_arrival"], r["covers"]) for r in points.collect()) == [(1, 2, True), (2, None, None)]
     for df in (got, points):
         assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_conflation_by_stretches(spark):
+    """Outcomes of logs that span several stretches as by a plain fold, and no window over a whole consumer's log."""
+    rng = random.Random(4)
+    log = [("v", "s", c, i * 97, rng.choice(["publish", "publish", "take"]), i) for c in (1, 2) for i in range(300)]
+    df = spark.createDataFrame([(*r[:5], r[5] if r[4] == "publish" else None) for r in log], "venue string, symbol string, consumer long, arrival long, op string, view_seq long")
+    for lag in (None, 6):
+        want = []
+        for c in (1, 2):
+            slot, streak = None, 0
+            for *_, at, op, seq in (r for r in log if r[2] == c):
+                if op == "take":
+                    want.append((c, at, "nothing" if slot is None else "taken", slot, False))
+                    slot, streak = None, 0
+                    continue
+                streak = 0 if slot is None else streak + 1
+                cut = lag is not None and streak >= lag
+                want.append((c, at, "delivered" if slot is None else "supersedes", None, cut))
+                slot = seq
+                if cut:
+                    break
+        got = FO.conflate(df, lag)
+        cut = F.col("disconnected") if lag else F.lit(False)
+        assert sorted(map(tuple, got.select("consumer", "arrival", "outcome", "got_seq", cut).collect()), key=str) == sorted(want, key=str)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_stretch" in line for line in plan.splitlines() if "Window [" in line)
