@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +21,8 @@ from pyspark.sql.types import StructType
 
 from ..operators import replay as R
 from ..operators.replay import OUT, Fold, Options, log_rows, output
-from ..schema import KEY
+from ..schema import FEED, KEY
+from .packs import PACK, handed, unpacked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,16 +72,20 @@ class StateQueue:
         return row
 
 
+#: A book of so many levels is one value of the state with the numbers; a larger one is in maps.
+SMALL = 64
+
+
 class ReplayProcessor(StatefulProcessor):
     """Folds a feed's rows batch by batch.
 
-    The state is a map from price to size for each side of the book, of which a batch writes the levels that it changed; a
-    few numbers; snapshots that wait for a fetch, each by its number; and, for the policy `queue`, the rows that came
-    before the first snapshot, however many.
+    The state is a few numbers, with the levels of the book while they are few; else a map from price to size for each side
+    of the book, of which a batch writes the levels that it changed; snapshots that wait for a fetch, each by its number;
+    and, for the policy `queue`, the rows that came before the first snapshot, however many. packs: hands on rows in packs.
     """
 
-    def __init__(self, options: Options):
-        self.options = options
+    def __init__(self, options: Options, packs: bool = False):
+        self.options, self.packs = options, packs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("numbers", "value string")
@@ -88,24 +94,37 @@ class ReplayProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", LOG_ROW)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh = sorted(rows, key=lambda r: (r["arrival"] or 0, r["sub"] or 0))
-        numbers = json.loads(self.saved.get()[0]) if self.saved.exists() else {"started": False, "head": 0, "tail": 0, "window": next((r["max_depth"] for r in fresh if r["max_depth"] is not None), None)}
-        window, started = numbers["window"], numbers["started"]
+        level = lambda side: None if side is None else [Row(price=x["price"], size=x["size"]) for x in side]
+        for table in self.folded(key, rows):
+            if self.packs:
+                yield from handed(table.drop_columns(KEY), dict(zip(KEY, key)))
+                continue
+            for r in table.to_pylist():
+                yield Row(**(r | {"bids": level(r["bids"]), "asks": level(r["asks"])}))
+
+    def folded(self, key: Any, rows: Iterator[Row]) -> Iterator[pa.Table]:
+        # rows of the fold at once, as those of Spark take several times their memory
+        fresh = sorted(((r["arrival"] or 0, r["sub"] or 0, r["queued"], r["max_depth"], event_of(r)) for r in rows), key=lambda r: r[:2])
+        saved = self.saved.get()
+        numbers = json.loads(saved[0]) if saved is not None else {"started": False, "head": 0, "tail": 0, "window": next((r[3] for r in fresh if r[3] is not None), None), "small": {"book": [[], []], "truth": [[], []]}}
+        window, started, small = numbers["window"], numbers["started"], numbers["small"]
         fold = Fold(self.options if window is None else replace(self.options, max_depth=window))
         if "fold" in numbers:
             fold.restore(numbers["fold"])
-        before = {name: [{k[0]: v[0] for k, v in state.iterator()} for state in states] for name, states in self.sides.items() if name == "book" or self.options.policy == "as_of"}
-        for name, sides in before.items():
-            for side, levels in enumerate(sides):
-                for price, size in levels.items():
-                    getattr(fold, name).set(side, price, size)
+        before = {}
+        for name, states in self.sides.items():
+            if name == "book" or self.options.policy == "as_of":
+                before[name] = [dict(side) for side in small[name]] if name in small else [{k[0]: v[0] for k, v in state.iterator()} for state in states]
+                for side, levels in enumerate(before[name]):
+                    for price, size in levels.items():
+                        getattr(fold, name).set(side, price, size)
         fold.queue = StateQueue(self.snapshots, numbers["head"], numbers["tail"])
         carried, gen, due = fold.open_fault, fold.gen, []
-        for r in fresh:
-            (fold.queue if r["queued"] else due).append(event_of(r))
+        for _, _, queued, _, row in fresh:
+            (fold.queue if queued else due).append(row)
         if started or fold.queue or self.options.policy != "queue":
             held = []
-            if self.waiting.exists():
+            if self.options.policy == "queue" and self.waiting.exists():
                 held = [fetched(r) for r in self.waiting.get()]
                 self.waiting.clear()
             for row in held + due:
@@ -113,22 +132,29 @@ class ReplayProcessor(StatefulProcessor):
                     fold.start(row)
                     started = True
                 fold.step(row)
+                if len(fold.views) >= R.VIEWS_A_BATCH:
+                    yield output(fold, *key, 0, closing=False)
+                    fold.views, fold.faults = [], [f for f in fold.faults if f is fold.open_fault]
         elif due:
             self.waiting.appendList([stored(r) for r in due])
         if carried is not None and carried[6] != -1:
             fold.faults.append(carried)
         fold.kept = fold.kept or fold.gen == gen
         for name, sides in before.items():
-            for state, old, new in zip(self.sides[name], sides, getattr(fold, name).sizes):
+            now = getattr(fold, name).sizes
+            if name in small and sum(map(len, now)) <= SMALL:
+                small[name] = [list(side.items()) for side in now]
+                continue
+            if small.pop(name, None) is not None:
+                sides = [{}, {}]
+            for state, old, new in zip(self.sides[name], sides, now):
                 for price, size in new.items():
                     if old.get(price) != size:
                         state.updateValue((price,), (size,))
                 for price in old.keys() - new.keys():
                     state.removeKey((price,))
-        self.saved.update((json.dumps({"fold": fold.state(), "started": started, "head": fold.queue.head, "tail": fold.queue.tail, "window": window}),))
-        level = lambda side: None if side is None else [Row(price=x["price"], size=x["size"]) for x in side]
-        for r in output(fold, *key, 0).to_pylist():
-            yield Row(**(r | {"bids": level(r["bids"]), "asks": level(r["asks"])}))
+        self.saved.update((json.dumps({"fold": fold.state(), "started": started, "head": fold.queue.head, "tail": fold.queue.tail, "window": window, "small": small}),))
+        yield output(fold, *key, 0)
 
     def close(self) -> None:
         pass
@@ -146,7 +172,8 @@ def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options
         rows = rows.withColumn("max_depth", F.lit(None).cast("int"))
     else:
         rows = rows.join(instruments.select(*KEY, F.col("max_depth").cast("int").alias("max_depth")), KEY, "left")
-    return rows.groupBy(*KEY).transformWithState(ReplayProcessor(options), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="None")
+    out = rows.groupBy(*KEY).transformWithState(ReplayProcessor(options, packs=True), outputStructType=StructType.fromDDL(f"{FEED}, {PACK}"), outputMode="Append", timeMode="None")
+    return unpacked(out, KEY, OUT)
 
 
 def latest_views_stream(views: DataFrame) -> DataFrame:

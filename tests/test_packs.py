@@ -69,3 +69,48 @@ def test_packs_hold_all_rows(spark):
     packs = P.packed(rows.coalesce(1), ["k"]).collect()
     assert len(packs) == 7
     assert sorted((str(p["k"]), x["id"], *x["l"]) for p in packs for x in P.unpack(p["pack"]).to_pylist()) == sorted(("None" if i % 7 == 0 else str(i % 7), i, i, i + 1) for i in range(1000))
+
+
+def test_replay_state_in_few_calls():
+    """A feed with a small book costs one read and one write of the state a batch; its rows leave in packs, not all at once."""
+    from ledgerline.operators import replay as R
+    from ledgerline.streaming.replay import SMALL, ReplayProcessor
+
+    calls = []
+
+    class Counted:
+        def __init__(self):
+            self.value, self.map = None, {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                elif name == "updateValue":
+                    self.map[args[0]] = args[1]
+                elif name == "removeKey":
+                    del self.map[args[0]]
+                return {"get": self.value, "exists": self.value is not None, "iterator": iter(list(self.map.items()))}.get(name)
+
+            return call
+
+    class Store:
+        def __getattr__(self, _):
+            return lambda *_: Counted()
+
+    row = lambda kind, seq, bids: Row(kind=kind, arrival=seq, received_ns=0, first_seq=seq, last_seq=seq, bids=[Row(price=p, size=s) for p, s in bids], asks=[], checksum=None, error=None, queued=False, sub=0, max_depth=None)
+    processor = ReplayProcessor(R.Options(policy="in_log", depth=1000), packs=True)
+    processor.init(Store())
+    fold = lambda rows: [P.unpack(h["pack"]) for h in processor.handleInputRows(("v", "s"), iter(rows), None)]
+    last = lambda tables: [x for t in tables for x in t.to_pylist() if x["what"] == "view"][-1]
+    fold([row("snapshot", 0, [(1, 1)])])
+    assert sorted(calls) == ["get", "update"]
+    calls.clear()
+    many = fold([row("delta", i, [(1 + i % 3, i)]) for i in range(1, 2501)])
+    assert sorted(calls) == ["get", "update"] and len(many) == 3 and sum(t.num_rows for t in many) == 2501
+    # a book grows out of the numbers into maps, and goes on there
+    fold([row("delta", 2500 + i, [(10 + i, 1)]) for i in range(1, SMALL + 1)])
+    assert "updateValue" in calls
+    view = last(fold([row("delta", 2501 + SMALL, [(1, 0)])]))
+    assert len(view["bids"]) == SMALL + 2 and view["bids"][-1] == {"price": 2, "size": 2500}
