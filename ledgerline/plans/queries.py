@@ -829,7 +829,7 @@ def e1_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = level_rows(spark, d)
     log = headed(rows)
     use_rocksdb(spark)
-    out = streamed(replay_stream(in_order(log, "arrival"), None, R.Options(policy="in_log", views_every=0)), "append")
+    out = streamed(replay_stream(in_order(log, "arrival"), None, R.Options(policy="in_log", views_every=0), hot=True), "append")
     newest = lambda df, at: df.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in df.columns if c not in KEY]), at).alias("x")).select(*KEY, "x.*")
     last = newest(R.views(out), "gen").select(*KEY, F.col("bids")[0]["price"].alias("bid"), F.col("asks")[0]["price"].alias("ask"))
     closing = out.where("what = 'end'").groupBy(*KEY).agg(F.max_by(F.struct("kind", "counters", "n"), "n").alias("x"))

@@ -87,7 +87,7 @@ def replayed(text: DataFrame, instruments: DataFrame, tables: Tables, checkpoint
     rebuild ends in a later batch comes again under its id, with its duration."""
     use_rocksdb(tables.spark)
     parts = decoded(lines(text), instruments, decode, snapshots)
-    out = replay_stream(parts["feed_events"], parts["snapshots"], options, instruments)
+    out = replay_stream(parts["feed_events"], parts["snapshots"], options, instruments, hot=True)
 
     def put(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()

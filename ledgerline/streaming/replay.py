@@ -8,11 +8,14 @@ row of an id counts.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
+from itertools import chain
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,7 +25,7 @@ from pyspark.sql.types import StructType
 from ..operators import replay as R
 from ..operators.replay import OUT, Fold, Options, log_rows, output
 from ..schema import FEED, KEY
-from .packs import PACK, handed, unpacked
+from .packs import PACK, given, handed, packed, unpacked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -72,6 +75,26 @@ class StateQueue:
         return row
 
 
+#: Rows of a pack that are taken out of Arrow's columns at a time.
+DECODED = 8192
+
+
+def one_by_one(rows: Iterable[Row]) -> tuple[int | None, Iterable[tuple[bool, R.Row]]]:
+    """A batch's window, and its rows in order with whether they are queued; rows of the fold at once, as those of Spark take
+    several times their memory."""
+    fresh = sorted(((r["arrival"] or 0, r["sub"] or 0, r["queued"], r["max_depth"], event_of(r)) for r in rows), key=lambda r: r[:2])
+    return next((r[3] for r in fresh if r[3] is not None), None), ((r[2], r[4]) for r in fresh)
+
+
+def in_columns(table: pa.Table) -> tuple[int | None, Iterable[tuple[bool, R.Row]]]:
+    """The same of a table, some rows at a time."""
+    number = lambda c: pc.fill_null(table.column(c), 0).to_numpy()
+    order = np.lexsort((number("sub"), number("arrival")))
+    windows = table.column("max_depth").take(pa.array(order)).drop_null()
+    parts = (table.take(pa.array(order[a : a + DECODED])) for a in range(0, len(order), DECODED))
+    return windows[0].as_py() if len(windows) else None, (x for part in parts for x in zip(part.column("queued").to_pylist(), R.rows_of(part)))
+
+
 #: A book of so many levels is one value of the state with the numbers; a larger one is in maps.
 SMALL = 64
 
@@ -102,11 +125,22 @@ class ReplayProcessor(StatefulProcessor):
             for r in table.to_pylist():
                 yield Row(**(r | {"bids": level(r["bids"]), "asks": level(r["asks"])}))
 
+    @staticmethod
+    def events(fold: Fold, fresh: Iterable[tuple[bool, R.Row]]) -> Iterator[R.Row]:
+        """Rows that do not wait for a fetch; the others go to the fold's queue."""
+        for queued, row in fresh:
+            if queued:
+                fold.queue.append(row)
+            else:
+                yield row
+
     def folded(self, key: Any, rows: Iterator[Row]) -> Iterator[pa.Table]:
-        # rows of the fold at once, as those of Spark take several times their memory
-        fresh = sorted(((r["arrival"] or 0, r["sub"] or 0, r["queued"], r["max_depth"], event_of(r)) for r in rows), key=lambda r: r[:2])
+        rows = iter(rows)
+        first = next(rows)
+        rows = chain([first], rows)
+        widest, fresh = in_columns(given(rows)) if hasattr(first, "pack") else one_by_one(rows)
         saved = self.saved.get()
-        numbers = json.loads(saved[0]) if saved is not None else {"started": False, "head": 0, "tail": 0, "window": next((r[3] for r in fresh if r[3] is not None), None), "small": {"book": [[], []], "truth": [[], []]}}
+        numbers = json.loads(saved[0]) if saved is not None else {"started": False, "head": 0, "tail": 0, "window": widest, "small": {"book": [[], []], "truth": [[], []]}}
         window, started, small = numbers["window"], numbers["started"], numbers["small"]
         fold = Fold(self.options if window is None else replace(self.options, max_depth=window))
         if "fold" in numbers:
@@ -119,15 +153,16 @@ class ReplayProcessor(StatefulProcessor):
                     for price, size in levels.items():
                         getattr(fold, name).set(side, price, size)
         fold.queue = StateQueue(self.snapshots, numbers["head"], numbers["tail"])
-        carried, gen, due = fold.open_fault, fold.gen, []
-        for _, _, queued, _, row in fresh:
-            (fold.queue if queued else due).append(row)
+        carried, gen = fold.open_fault, fold.gen
+        due = self.events(fold, fresh)
+        if self.options.policy == "queue":
+            due = list(due)  # a fetch may take a snapshot that came with later rows
         if started or fold.queue or self.options.policy != "queue":
             held = []
             if self.options.policy == "queue" and self.waiting.exists():
                 held = [fetched(r) for r in self.waiting.get()]
                 self.waiting.clear()
-            for row in held + due:
+            for row in chain(held, due):
                 if not started and row.kind != "truth":
                     fold.start(row)
                     started = True
@@ -135,7 +170,7 @@ class ReplayProcessor(StatefulProcessor):
                 if len(fold.views) >= R.VIEWS_A_BATCH:
                     yield output(fold, *key, 0, closing=False)
                     fold.views, fold.faults = [], [f for f in fold.faults if f is fold.open_fault]
-        elif due:
+        elif due:  # a list, as the policy is queue
             self.waiting.appendList([stored(r) for r in due])
         if carried is not None and carried[6] != -1:
             fold.faults.append(carried)
@@ -160,18 +195,20 @@ class ReplayProcessor(StatefulProcessor):
         pass
 
 
-def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options(), instruments: DataFrame | None = None) -> DataFrame:
+def replay_stream(events: DataFrame, snapshots: DataFrame | None = None, options: Options = Options(), instruments: DataFrame | None = None, hot: bool = False) -> DataFrame:
     """Streaming replay of feed_events (and of a stream of snapshots): rows as of operators.replay.replay, in append
     mode. The closing row of each batch holds the counters and the status so far.
 
     instruments: a table of windows of feeds (KEY, max_depth) where they differ from the options'; a feed keeps the window
-    of its first batch.
+    of its first batch. hot: feeds are few and their rows many, which then reach the state in packs.
     """
     rows = log_rows(events, snapshots)
     if instruments is None:
         rows = rows.withColumn("max_depth", F.lit(None).cast("int"))
     else:
         rows = rows.join(instruments.select(*KEY, F.col("max_depth").cast("int").alias("max_depth")), KEY, "left")
+    if hot:
+        rows = packed(rows, KEY)
     out = rows.groupBy(*KEY).transformWithState(ReplayProcessor(options, packs=True), outputStructType=StructType.fromDDL(f"{FEED}, {PACK}"), outputMode="Append", timeMode="None")
     return unpacked(out, KEY, OUT)
 

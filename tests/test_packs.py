@@ -114,3 +114,19 @@ def test_replay_state_in_few_calls():
     assert "updateValue" in calls
     view = last(fold([row("delta", 2501 + SMALL, [(1, 0)])]))
     assert len(view["bids"]) == SMALL + 2 and view["bids"][-1] == {"price": 2, "size": 2500}
+
+
+def test_replay_of_packs_is_that_of_rows():
+    """Packs in any order give what rows give, with rows that share an arrival and ids above 2^53."""
+    from ledgerline.operators import replay as R
+    from ledgerline.streaming.replay import in_columns, one_by_one
+
+    big = 2**53 + 1
+    r = random.Random(2)
+    level = pa.list_(pa.struct([("price", pa.int64()), ("size", pa.int64())]))
+    schema = pa.schema([("arrival", pa.int64()), ("received_ns", pa.int64()), ("kind", pa.string()), ("first_seq", pa.int64()), ("last_seq", pa.int64()), ("bids", level), ("asks", level), ("checksum", pa.int64()), ("error", pa.string()), ("queued", pa.bool_()), ("sub", pa.int64()), ("max_depth", pa.int32())])
+    rows = [dict(arrival=big + i // 3, received_ns=10**18 + i, kind="delta", first_seq=big + i, last_seq=big + i, bids=[{"price": i, "size": 1}], asks=[], checksum=None, error=None, queued=i == 5, sub=i % 3, max_depth=None if i < 7 else 4) for i in range(20_000)]
+    r.shuffle(rows)
+    window, fresh = in_columns(pa.Table.from_pylist(rows, schema=schema))
+    plain = [Row(**{**x, "bids": [Row(**v) for v in x["bids"]]}) for x in rows]
+    assert (window, list(fresh)) == (4, list(one_by_one(plain)[1])) and one_by_one(plain)[0] == 4
