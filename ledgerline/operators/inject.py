@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..schema import KEY, LEVELS
+from .scans import STRETCH, SUM, beside, running
 
 PERIOD, JITTER = 300, 20
 #: Fault kinds in their order, with the step of a period at which each may first happen.
@@ -37,19 +38,19 @@ def scheduled_fault(seed: pd.Series, step: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def inject(events: DataFrame, fault: Column, with_truth: bool = True) -> DataFrame:
+def inject(events: DataFrame, fault: Column, with_truth: bool = True, stretch: int = STRETCH) -> DataFrame:
     """The log of single-sequence deltas with faults put in, arrivals numbered anew.
 
     gap drops the row, duplicate sends it twice, reorder sends it after the next one, disconnect and cross insert an
     event before it (cross: a bid above all asks under the row's own sequence), coalesce merges it with the next row. A
     row that its predecessor's coalesce takes in has no fault of its own. with_truth: every clean delta is in the log
-    as a `truth` row too, which replays by the policy `as_of` use.
+    as a `truth` row too, which replays by the policy `as_of` use. Rows meet by stretches of a feed, never a whole feed in one
+    task; the events are read several times.
     """
-    w = Window.partitionBy(*KEY).orderBy("arrival")
-    rows = events.withColumn("fault", fault)
-    rows = rows.withColumn("_joined", F.coalesce(F.lag("fault").over(w) == "coalesce", F.lit(False)))
+    next_ = {"_next": F.struct("last_seq", "bids", "asks")}
+    rows = beside(events.withColumn("fault", fault), KEY, "arrival", {"_before": F.col("fault")}, next_, stretch)
+    rows = rows.withColumn("_joined", F.coalesce(F.col("_before") == "coalesce", F.lit(False)))
     rows = rows.withColumn("fault", F.when(F.col("_joined"), None).otherwise(F.col("fault")))
-    rows = rows.withColumn("_next", F.lead(F.struct("last_seq", "bids", "asks")).over(w))
     f = F.coalesce(F.col("fault"), F.lit(""))
     none = F.array().cast(LEVELS)
     row = lambda where, sub, kind, first, last, bids, asks: F.when(where, F.struct(sub.alias("pos"), F.lit(kind).alias("kind"), first.alias("first_seq"), last.alias("last_seq"), bids.alias("bids"), asks.alias("asks")))
@@ -69,7 +70,7 @@ def inject(events: DataFrame, fault: Column, with_truth: bool = True) -> DataFra
         row((f == "coalesce") & c("_next").isNull(), here(0, 1), "delta", c("first_seq"), c("last_seq"), c("bids"), c("asks")),
     ]
     flat = rows.select(*KEY, "received_ns", F.col("arrival").alias("step"), F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("e")).select(*KEY, "received_ns", "step", "e.*")
-    numbered = flat.withColumn("arrival", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")).cast("bigint"))
+    numbered = running(flat.select("*", "pos.*"), KEY, "a", {"arrival": (SUM, F.lit(1).cast("bigint"))}, then=("b",), stretch=stretch)
     return numbered.select(*KEY, "arrival", "received_ns", "kind", "first_seq", "last_seq", "bids", "asks", F.lit(None).cast("bigint").alias("checksum"), "step")
 
 

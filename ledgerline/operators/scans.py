@@ -52,3 +52,23 @@ def running(rows: DataFrame, keys: list[str], by: str, values: dict[str, tuple[s
         out[name] = F.when(c.isNull() & w.isNull(), F.lit(None)).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(w, F.lit(0))) if kind == SUM else F.greatest(c, w) if kind == MOST else F.coalesce(w, c)
     drops = ["_stretch", "_head", *[f"{p}{i}" for p in ("_v", "_c") for i in range(len(kinds))]]
     return every.withColumns(out).where("not _head").drop(*drops)
+
+
+def beside(rows: DataFrame, keys: list[str], by: str, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """rows with columns of the row before (`before`, name: value of that row) and of the next one (`after`) of a key, in the
+    order of `by` (whole numbers, no two equal), as by lag and lead; null where there is none.
+
+    A stretch gets copies of the last row of the stretch before it and of the first of the next, so that rows meet a stretch
+    at a time.
+    """
+    before, after = before or {}, after or {}
+    marked = rows.withColumn("_stretch", F.coalesce(F.expr(f"`{by}` div {stretch}"), F.lit(-(2**62))))
+    marked = marked.withColumns({"_b": F.struct(F.lit(True).alias("_is"), *[v.alias(n) for n, v in before.items()]), "_a": F.struct(F.lit(True).alias("_is"), *[v.alias(n) for n, v in after.items()])})
+    feed = Window.partitionBy(*keys).orderBy("_stretch")
+    ends = marked.groupBy(*keys, "_stretch").agg(F.max_by("_b", by).alias("_b"), F.min_by("_a", by).alias("_a"))
+    sides = ends.select(*keys, "_stretch", F.lag("_b").over(feed).alias("_b"), F.lead("_a").over(feed).alias("_a"))
+    copies = sides.select(*keys, "_stretch", "_b", F.lit(0).alias("_at")).unionByName(sides.select(*keys, "_stretch", "_a", F.lit(2).alias("_at")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "_stretch").orderBy("_at", by)
+    every = marked.withColumn("_at", F.lit(1)).unionByName(copies, allowMissingColumns=True)
+    every = every.withColumns({"_b": F.lag("_b").over(order), "_a": F.lead("_a").over(order)}).where("_at = 1")
+    return every.withColumns({n: F.col(f"_b.{n}") for n in before} | {n: F.col(f"_a.{n}") for n in after}).drop("_stretch", "_at", "_b", "_a")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import fanout as FO
 from ledgerline.operators import latency as L
 from ledgerline.operators import replay as R
-from ledgerline.operators.scans import LAST, MOST, SUM, running
+from ledgerline.operators.scans import LAST, MOST, SUM, beside, running
 
 
 def test_running_equals_windows(spark):
@@ -24,6 +24,18 @@ def test_running_equals_windows(spark):
     assert running(df.where("false"), ["key"], "at", {"a": (SUM, F.col("v"))}).count() == 0
 
 
+def test_beside_equals_lag_and_lead(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["k0", "k1", None]), 3 * i - 90, rng.choice([None, rng.randint(-5, 5)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, at long, v long").repartition(5)
+    w = Window.partitionBy("key").orderBy("at")
+    want = df.select("*", F.lag("v").over(w).alias("b"), F.lead(F.struct("at", "v")).over(w).alias("a"))
+    got = beside(df, ["key"], "at", {"b": F.col("v")}, {"a": F.struct("at", "v")}, stretch=7)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert beside(df.where("false"), ["key"], "at", {"b": F.col("v")}).count() == 0
+
+
 def test_selection_equals_sorting(spark):
     rng = random.Random(2)
     rows = [(k, int(rng.choice([rng.randint(0, 9), rng.lognormvariate(8, 4), 2**40 + rng.randint(0, 2)]))) for k in ("a", "b") for _ in range(500)] + [("c", 0), ("d", 3_000)]

@@ -82,6 +82,15 @@ def test_scheduled_faults(spark):
     log.unpersist()
 
 
+def test_scheduled_faults_injected_by_stretches(spark):
+    """Feeds cut into stretches at injection and replay both, of which each third view is kept."""
+    rows = as_events(level_rows(spark, SF)).withColumn("fault", I.scheduled_fault(F.lit(1).cast("bigint"), F.col("arrival") - 1)).cache()
+    log = I.inject(rows, F.col("fault"), stretch=16).cache()
+    assert sorted(map(str, log.collect())) == sorted(map(str, I.inject(rows, F.col("fault")).collect()))
+    same(log, None, R.Options(policy="as_of", depth=2, views_every=3), 128)
+    rows.unpersist(), log.unpersist()
+
+
 def test_clean_feeds_take_two_rounds(spark, monkeypatch):
     rows = level_rows(spark, SF)
     events = as_events(rows).drop("event_id").cache()
