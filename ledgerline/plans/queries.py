@@ -744,11 +744,12 @@ def as_stream(df: DataFrame, files: int) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-#: Rows of a feed that a micro-batch takes, about: a stream's processor has them at once. And those that a file of it holds.
-FEED_ROWS, FILE_ROWS = 400_000, 500_000
+#: Rows of a feed that a micro-batch takes, about: a stream's processor has them at once. And those that a file of it holds,
+#: of a recording's lines, which take longer to decode, fewer.
+FEED_ROWS, FILE_ROWS, FILE_LINES = 400_000, 500_000, 50_000
 
 
-def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROWS) -> DataFrame:
+def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROWS, file_rows: int = FILE_ROWS) -> DataFrame:
     """A stream of a table's rows in micro-batches, each of a part of the range of `at`, in its order; more of them than
     asked for where a feed has more rows than so many batches may take, so that a batch is no larger for a longer log."""
     spark, path, parts = df.sparkSession, shared_path(df.sparkSession, "stream-in"), shared_path(df.sparkSession, "stream-parts")
@@ -758,7 +759,7 @@ def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROW
     dealt = log.withColumn("_part", F.expr(f"({at} - {low}) div {width}")).where("_part is not null")
     dealt.repartition("_part").write.partitionBy("_part").parquet(parts)
     sizes = {r["_part"]: r["count"] for r in spark.read.parquet(parts).groupBy("_part").count().collect()}
-    files = {part: -(-n // FILE_ROWS) for part, n in sizes.items()}
+    files = {part: -(-n // file_rows) for part, n in sizes.items()}
     for part in sorted(files):  # the older the earlier; empty files fill up, as a batch takes a number of files
         own = spark.read.schema(df.schema).parquet(f"{parts}/_part={part}")
         for rows in (own.repartition(files[part]), *[own.limit(0)] * (max(files.values()) - files[part])):
@@ -767,17 +768,18 @@ def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROW
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(files.values())).parquet(path)
 
 
-def recording(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
-    """A stream of recorded lines in micro-batches: the raw frames of the events with the answer of an empty book at each
-    feed's head, and a torn line in each part."""
+def recording(spark: SparkSession, d: str, batches: int = 3, feed_rows: int = FEED_ROWS) -> DataFrame:
+    """A stream of recorded lines in micro-batches, so many or more for a longer log (see in_order): the raw frames of the
+    events with the answer of an empty book at each feed's head, and a torn line in each part."""
     frames = _raw(spark, d, False).withColumn("type", F.lit("frame"))
     head = frames.select(*KEY).distinct().select(*KEY, F.lit(0).cast("bigint").alias("arrival"), F.lit(0).cast("bigint").alias("received_ns"), F.lit('{"lastUpdateId":0,"bids":[],"asks":[]}').alias("raw"), F.lit("snapshot").alias("type"))
-    log = written(frames.unionByName(head).select("arrival", F.to_json(F.struct(*KEY, "arrival", "received_ns", "type", "raw")).alias("value")), "recording")
-    path, n = shared_path(spark, "recorded"), log.agg(F.max("arrival")).first()[0] + 1
-    for i in range(batches):
-        part = log.where((F.col("arrival") >= n * i // batches) & (F.col("arrival") < n * (i + 1) // batches)).select("value")
-        part.union(spark.range(1).select(F.lit('{"venue":"EVT","symb').alias("value"))).coalesce(1).write.mode("append").text(path)
-    return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+    log = written(frames.unionByName(head).select(*KEY, "arrival", F.to_json(F.struct(*KEY, "arrival", "received_ns", "type", "raw")).alias("value")), "recording")
+    n = log.agg(F.max("arrival")).first()[0] + 1
+    none = F.lit(None).cast("string")
+    torn = spark.range(0, n, -(-n // max(batches, -(-n // feed_rows)))).select(none.alias("venue"), none.alias("symbol"), F.col("id").alias("arrival"), F.lit('{"venue":"EVT","symb').alias("value"))
+    stream = in_order(log.unionByName(torn), "arrival", batches, feed_rows, FILE_LINES)
+    drop_written(log)
+    return stream.select("value")
 
 
 @query(
@@ -787,7 +789,7 @@ m as (select symbol, min(case when route != 'update' then arrival end) lost, max
 select 'EVT' venue, symbol, events, rejects, 1 snapshots, case when lost is null then events else lost - 1 end + 1 views, (coalesce(newest > lost, false))::bigint faults from m""",
 )
 def a13_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the canonical tables of every feed after two streams over its recorded lines, in three micro-batches each:
+    """Rows of the canonical tables of every feed after two streams over its recorded lines, in three micro-batches or more each:
     all books end at the first frame that could not be used, as no second snapshot is there."""
     text, tables = recording(spark, d), IN.Tables(spark, shared_path(spark, "canonical"))
     windows = written(instruments(spark, d), "instruments")

@@ -60,3 +60,12 @@ def test_tables_are_what_batches_make(spark):
     assert rows(R.views(batch)) == rows(tables.read("replay", "views"))
     assert rows(R.faults(batch)) == rows(tables.read("replay", "faults"))
     assert tables.read("ingest", "rejects").where(F.col("reason") == "not a line of a recording").count() == 3
+
+
+def test_longer_recordings_take_more_batches(spark):
+    """A micro-batch has at most so many lines of a feed, whatever the length of the log, and a torn line of its own."""
+    seen = []
+    count = lambda rows, _: seen.append({r["symbol"]: r["count"] for r in IN.lines(rows).groupBy("symbol").count().collect()})
+    Q.recording(spark, SF, 3, 40).writeStream.foreachBatch(count).option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) > 3 and all(batch.pop(None) == 1 and max(batch.values()) <= 40 for batch in seen)
+    assert sum(sum(batch.values()) for batch in seen) == Q.level_rows(spark, SF).count() + len(set().union(*seen))
