@@ -757,9 +757,11 @@ def in_order(df: DataFrame, at: str, batches: int = 3, feed_rows: int = FEED_ROW
     low, high, most = log.groupBy(*KEY).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n")).agg(F.min("low"), F.max("high"), F.max("n")).first()
     width = -(-(high + 1 - low) // max(batches, -(-most // feed_rows)))
     dealt = log.withColumn("_part", F.expr(f"({at} - {low}) div {width}")).where("_part is not null")
-    dealt.repartition("_part").write.partitionBy("_part").parquet(parts)
-    sizes = {r["_part"]: r["count"] for r in spark.read.parquet(parts).groupBy("_part").count().collect()}
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
     files = {part: -(-n // file_rows) for part, n in sizes.items()}
+    # a part is dealt to as many tasks as it has files, else few parts of a long log meet in as few tasks
+    share = F.pmod(F.xxhash64(*KEY, at), F.lit(max(files.values())))
+    dealt.repartition("_part", share).write.partitionBy("_part").parquet(parts)
     for part in sorted(files):  # the older the earlier; empty files fill up, as a batch takes a number of files
         own = spark.read.schema(df.schema).parquet(f"{parts}/_part={part}")
         for rows in (own.repartition(files[part]), *[own.limit(0)] * (max(files.values()) - files[part])):

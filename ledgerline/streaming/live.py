@@ -25,6 +25,7 @@ from ..functions import scalars as S
 from ..operators.replay import key_runs
 from ..operators.telemetry import NO_DATA_MS, QUIET_MS
 from ..schema import FEED, KEY
+from .packs import PACK, given, handed, pack, packed, unpack, unpacked
 
 
 @dataclass
@@ -127,64 +128,114 @@ def link_labels(events: DataFrame, late: str = "0 seconds") -> DataFrame:
 
 
 SHOWN = f"{FEED}, ord bigint, t_ms bigint, value string, shown_ms bigint"
+#: Feeds share this many states: a state costs calls a batch, however little it holds.
+GROUPS = 512
+
+
+def throttle(times: list[int], gap: int, free: int | None, held: int | None) -> tuple[list[tuple[int, int]], int | None, int | None]:
+    """Which of a feed's values are shown, and when, from when its slot ends and which value is held on; values are places in
+    times, -1 for the one held from before. Also the slot's end and the value held after them."""
+    shown = []
+    for i, t in enumerate(times):
+        if free is not None and t < free:
+            held = i
+            continue
+        if held is not None:
+            shown.append((held, free))
+            free, held = free + gap, None
+            if t < free:  # what was held began another slot
+                held = i
+                continue
+        shown.append((i, t))
+        free = t + gap
+    return shown, free, held
 
 
 class ThrottleProcessor(StatefulProcessor):
-    """Holds of each feed when its slot ends, and the value to be shown then."""
+    """Holds of each feed of a group when its slot ends, and the value to be shown then: one value of the state, with one
+    timer for the slot that ends first."""
+
+    SLOTS = pa.schema([*[(k, pa.string()) for k in KEY], ("free", pa.int64()), ("held", pa.bool_()), ("ord", pa.int64()), ("t_ms", pa.int64()), ("value", pa.string())])
+    OUT = pa.schema([*[(k, pa.string()) for k in KEY], ("ord", pa.int64()), ("t_ms", pa.int64()), ("value", pa.string()), ("shown_ms", pa.int64())])
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.saved = handle.getValueState("slot", "free bigint, held boolean, ord bigint, t_ms bigint, value string")
-
-    @staticmethod
-    def shown(key: Any, value: tuple, at: int) -> Row:
-        return Row(venue=key[0], symbol=key[1], ord=value[0], t_ms=value[1], value=value[2], shown_ms=at)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        free, held = None, None
-        if self.saved.exists():
-            free, is_held, *value = self.saved.get()
-            held = tuple(value) if is_held else None
-        timer = free if held else None
-        for r in sorted(rows, key=lambda r: (r["t_ms"], r["ord"])):
-            own = (r["ord"], r["t_ms"], r["value"])
-            if free is not None and r["t_ms"] < free:
-                held = own
-                continue
-            if held is not None:
-                yield self.shown(key, held, free)
-                free, held = free + self.gap, None
-                if r["t_ms"] < free:  # what was held began another slot
-                    held = own
-                    continue
-            yield self.shown(key, own, r["t_ms"])
-            free = r["t_ms"] + self.gap
-        due = free if held else None
+        self.saved = handle.getValueState("slots", "slots binary, timer bigint, seen bigint")
+
+    def load(self) -> tuple[dict, int | None, int]:
+        """Slots by feed (free, held, and the held row's ord, t_ms and value), the timer, and how far the clock was."""
+        saved = self.saved.get()
+        if saved is None:
+            return {}, None, 0
+        columns = [c.to_pylist() for c in unpack(saved[0]).columns]
+        return {tuple(x[: len(KEY)]): tuple(x[len(KEY) :]) for x in zip(*columns)}, saved[1], saved[2]
+
+    def save(self, slots: dict, timer: int | None, seen: int) -> None:
+        due = min((free for free, held, *_ in slots.values() if held), default=None)
         if due != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.saved.update((free, held is not None, *(held or (None, None, None))))
+        self.saved.update((pack(self.table([(*key, *slot) for key, slot in slots.items()], self.SLOTS)), due, seen))
+
+    @staticmethod
+    def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+        columns = list(zip(*rows)) if rows else [()] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        slots, timer, seen = self.load()
+        log = given(rows)
+        if seen:
+            log = log.filter(pc.greater(log.column("t_ms"), seen))
+        if log.num_rows:
+            log = log.sort_by([(c, "ascending") for c in (*KEY, "t_ms", "ord")]).combine_chunks()
+            times, early, places, at = log.column("t_ms").to_pylist(), [], [], []
+            for a, b, feed in key_runs(log, KEY):
+                free, is_held, *value = slots.get(feed, (None, False))
+                shown, free, held = throttle(times[a:b], self.gap, free, -1 if is_held else None)
+                if shown and shown[0][0] < 0:
+                    early.append((*feed, *value, shown.pop(0)[1]))
+                places += [a + i for i, _ in shown]
+                at += [t for _, t in shown]
+                if held is None:
+                    slots[feed] = (free, False, None, None, None)
+                else:
+                    slots[feed] = (free, True, *(value if held < 0 else [log.column(c)[a + held].as_py() for c in ("ord", "t_ms", "value")]))
+            taken = log.select(self.OUT.names[:-1]).take(pa.array(places, pa.int64())).append_column("shown_ms", pa.array(at, pa.int64())).cast(self.OUT)
+            yield from handed(pa.concat_tables([self.table(early, self.OUT), taken]), {})
+        self.save(slots, timer, max(seen, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        free, is_held, *value = self.saved.get()
-        if is_held and free <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self.shown(key, tuple(value), free)
-            self.saved.update((free + self.gap, False, None, None, None))
+        slots, _, seen = self.load()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        ended = {feed: slot for feed, slot in slots.items() if slot[1] and slot[0] <= until}
+        for feed, (free, *_) in ended.items():
+            slots[feed] = (free + self.gap, False, None, None, None)
+        if ended:
+            yield from handed(self.table([(*feed, *value, free) for feed, (free, _, *value) in ended.items()], self.OUT), {})
+        self.save(slots, None, max(seen, until))  # the timer is gone
 
     def close(self) -> None:
         pass
 
 
-def throttled_stream(rows: DataFrame, gap_ms: int, late: str = "0 seconds") -> DataFrame:
+def throttled_stream(rows: DataFrame, gap_ms: int, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """What a display shows that changes once in gap_ms at most, as operators.views.throttled: (KEY, ord, t_ms, value,
-    shown_ms), from a stream of (KEY, ord, t_ms, value). A held value is shown once the watermark passes the slot's end."""
-    timed = rows.select(*KEY, "ord", "t_ms", F.col("value").cast("string").alias("value"), F.timestamp_millis("t_ms").alias("at")).withWatermark("at", late)
-    return timed.groupBy(*KEY).transformWithState(ThrottleProcessor(gap_ms), outputStructType=StructType.fromDDL(SHOWN), outputMode="Append", timeMode="EventTime")
+    shown_ms), from a stream of (KEY, ord, t_ms, value). A held value is shown once the watermark passes the slot's end.
+
+    Feeds are dealt to groups, each with one state and one timer, and their rows come and go in packs: a pack behind the
+    watermark is lost, and so is a row behind the watermark that its group saw last.
+    """
+    group = F.pmod(F.xxhash64(*KEY), F.lit(groups)).alias("group")
+    timed = packed(rows.select(group, *KEY, "ord", "t_ms", F.col("value").cast("string").alias("value")), ["group"], "t_ms")
+    timed = timed.withColumn("at", F.timestamp_millis("t_ms")).withWatermark("at", late)
+    out = timed.groupBy("group").transformWithState(ThrottleProcessor(gap_ms), outputStructType=StructType.fromDDL(PACK), outputMode="Append", timeMode="EventTime")
+    return unpacked(out, [], SHOWN)
 
 
 #: The newest fault events that a telemetry frame lists.

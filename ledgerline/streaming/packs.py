@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 
 from ..operators.replay import key_runs
@@ -31,8 +32,8 @@ def unpack(value: bytes) -> pa.Table:
     return pa.ipc.open_stream(value).read_all()
 
 
-def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows in packs (keys, pack), several for each key."""
+def packed(rows: DataFrame, keys: list[str], time: str | None = None) -> DataFrame:
+    """rows in packs (keys, pack), several for each key; with `time`, a column of whole numbers, also its largest in a pack."""
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -52,10 +53,11 @@ def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
         own = table.select([c for c in table.column_names if c not in keys])
         firsts = table.select(keys).take([a for a, _, _ in runs]).combine_chunks()
         values = pa.array([pack(own.slice(a, b - a)) for a, b, _ in runs], pa.binary())
-        return pa.RecordBatch.from_arrays([*[firsts.column(c).combine_chunks() for c in keys], values], names=[*keys, "pack"])
+        newest = [pa.array([pc.max(own.column(time).slice(a, b - a)).as_py() for a, b, _ in runs], pa.int64())] if time else []
+        return pa.RecordBatch.from_arrays([*[firsts.column(c).combine_chunks() for c in keys], *newest, values], names=[*keys, *([time] if time else []), "pack"])
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
-    return rows.mapInArrow(packs, f"{schema}, {PACK}")
+    schema = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    return rows.mapInArrow(packs, f"{schema}{f'{time} bigint, ' if time else ''}{PACK}")
 
 
 def given(rows: Iterator[Row]) -> pa.Table:
